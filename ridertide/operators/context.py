@@ -133,7 +133,7 @@ def median_station_mean(table: DataFrame) -> Column:
     """Median of the positive station means over all rows of a table, as a scalar."""
     means = table.filter(F.col("station_train_mean_target") > 0)
     tallied = means.groupBy("station_train_mean_target").agg(F.count(F.lit(1)).alias("n"))
-    return tallied.agg(F.percentile("station_train_mean_target", 0.5, "n")).scalar()
+    return tallied.agg(F.percentile("station_train_mean_target", 0.5, F.col("n"))).scalar()
 
 
 SCALE_SOURCES = (
@@ -161,7 +161,7 @@ def normalize_scale(table: DataFrame, features: list[str]) -> tuple[DataFrame, l
     scaled = table.withColumn("own_scale", F.coalesce(*sources) if sources else F.lit(None).cast("double"))
     tallied = scaled.groupBy("fold", "role", "own_scale").agg(F.count(F.lit(1)).alias("n"))
     tallied = tallied.filter(F.col("own_scale").isNotNull())
-    typical = tallied.groupBy("fold", "role").agg(F.percentile("own_scale", 0.5, "n").alias("typical_scale"))
+    typical = tallied.groupBy("fold", "role").agg(F.percentile("own_scale", 0.5, F.col("n")).alias("typical_scale"))
     # typical: one row per fold and role, four at most
     joined = scaled.join(F.broadcast(typical), ["fold", "role"], "left")
     scale = F.greatest(F.coalesce("own_scale", "typical_scale", F.lit(1.0)), F.lit(1.0))

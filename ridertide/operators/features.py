@@ -111,12 +111,12 @@ def attach_weather(frame: DataFrame, weather: DataFrame | None, time_col: str) -
 
 def network_frame(
     counts: DataFrame,
-    stations: DataFrame,
+    stations: DataFrame | None,
     cfg: NetworkConfig,
     weather: DataFrame | None = None,
     within: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """The multi-station supervised frame."""
+    """The multi-station supervised frame; without ``stations`` it carries no static station columns."""
     windows = network_windows(counts, cfg, within)
     day = f"lag_{cfg.day_lag}"
     derived = {
@@ -126,12 +126,15 @@ def network_frame(
         **deviation_columns("lag_1", day),
     }
     frame = windows.withColumns(derived).withColumn("operational_date", F.col("date"))
+    frame = attach_weather(frame, weather, cfg.time_col)
+    if stations is None:
+        return frame
     static = station_codes(stations, counts)
     extra = ("n_place_ids", *STRUCTURE_COLUMNS)
     kept = [c for c in (*STATION_NAMES, *extra) if c in static.columns]
     codes = ["station_key_code", "station_name_code", "line_name_code", "station_id_raw", "line_id_raw"]
     static = static.select("station_key", *kept, *codes, "station_code", "line_code")
-    return attach_weather(frame.join(static, "station_key"), weather, cfg.time_col)
+    return frame.join(static, "station_key")
 
 
 def station_frame(counts: DataFrame, cfg: StationConfig, within: tuple[int, int] | None = None) -> DataFrame:
