@@ -197,13 +197,16 @@ def fit_ridge(table: DataFrame, features: list[str], label: str, alpha: float, w
     weighted = table.withColumn("fit_weight", F.lit(1.0) if weight is None else F.col(weight))
     known = weighted.filter(F.col(label).isNotNull())
     w, y = F.col("fit_weight"), F.col(label)
-    size, mean, square = known.agg(
-        F.sum(w), F.sum(w * y) / F.sum(w), F.sum(w * y * y) / F.sum(w)
+    ranges = [(F.max(f) - F.min(f)).alias(f"range_{i}") for i, f in enumerate(features)]
+    size, mean, square, *widths = known.agg(
+        F.sum(w), F.sum(w * y) / F.sum(w), F.sum(w * y * y) / F.sum(w), *ranges
     ).first()
     spread = max(square - mean * mean, 0.0) ** 0.5
-    if spread == 0:
-        return RidgeFit(features, np.zeros(len(features)), float(mean))
-    data = VectorAssembler(inputCols=features, outputCol="ridge_in").transform(known)
+    varying = [i for i, width in enumerate(widths) if width]
+    coefficients = np.zeros(len(features))  # a constant feature keeps coefficient 0
+    if spread == 0 or not varying:
+        return RidgeFit(features, coefficients, float(mean))
+    data = VectorAssembler(inputCols=[features[i] for i in varying], outputCol="ridge_in").transform(known)
     learner = LinearRegression(
         featuresCol="ridge_in",
         labelCol=label,
@@ -214,7 +217,8 @@ def fit_ridge(table: DataFrame, features: list[str], label: str, alpha: float, w
         regParam=alpha / size * spread,
     )
     model = learner.fit(data.select("ridge_in", label, "fit_weight"))
-    return RidgeFit(features, model.coefficients.toArray(), float(model.intercept))
+    coefficients[varying] = model.coefficients.toArray()
+    return RidgeFit(features, coefficients, float(model.intercept))
 
 
 def residual_bounds(table: DataFrame, primary: str, probs: tuple[float, float]) -> tuple[float, float]:

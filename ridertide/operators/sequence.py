@@ -11,6 +11,8 @@ from ridertide.config import SeriesConfig
 from ridertide.operators.folds import EVAL, FULL, TRAIN, TUNE
 
 SPREAD_FLOOR = 1e-8
+# A little shrinkage keeps the fit unique where a series has fewer windows than steps in a window.
+SHRINKAGE = 0.01
 
 
 def scaled_windows(
@@ -68,10 +70,18 @@ def pooled_autoregression(
     """Forecasts of the evaluation anchors of both folds: (fold, keys..., step, pred)."""
     windows = scaled_windows(folds, cfg, window, keys)
     vectors = windows.withColumn("features", array_to_vector(F.col("history")))
+    learner = LinearRegression(
+        featuresCol="features",
+        labelCol="target_scaled",
+        solver="normal",
+        standardization=False,
+        elasticNetParam=0.0,
+        regParam=SHRINKAGE,
+    )
     parts = []
     for fold in (TUNE, FULL):
         train = vectors.filter((F.col("fold") == fold) & (F.col("role") == TRAIN))
-        model = LinearRegression(featuresCol="features", labelCol="target_scaled", maxIter=100).fit(train)
+        model = learner.fit(train)
         scored = model.transform(vectors.filter((F.col("fold") == fold) & (F.col("role") == EVAL)))
         parts.append(scored.select("fold", *keys, "step", unscaled(F.col("prediction"), cfg).alias("pred")))
     return parts[0].unionByName(parts[1])
