@@ -119,6 +119,11 @@ class NetworkConfig(SeriesConfig):
     def volatility_rolls(self) -> tuple[int, ...]:
         return (2, 4)
 
+    @property
+    def lookback(self) -> int:
+        """Rows before an anchor that its features reach."""
+        return max(*self.lags, *self.rolls)
+
 
 @dataclass(frozen=True)
 class StationConfig(SeriesConfig):
@@ -155,6 +160,11 @@ class StationConfig(SeriesConfig):
     def rolls(self) -> tuple[int, ...]:
         return self._steps(self.rolling_minutes, 2)
 
+    @property
+    def lookback(self) -> int:
+        """Rows before an anchor that its features reach."""
+        return max(*self.lags, *self.rolls, self.day_lag + 1, 3)
+
     @property
     def seq_window(self) -> int:
         return self.day_lag

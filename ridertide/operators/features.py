@@ -67,8 +67,7 @@ def deviation_columns(now: str, day_before: str) -> dict[str, Column]:
 
 def network_windows(counts: DataFrame, cfg: NetworkConfig, within: tuple[int, int] | None = None) -> DataFrame:
     """Dense series of every station with target, lags and rolling columns, from one shuffle and one sort."""
-    back = max(*cfg.lags, *cfg.rolls, cfg.day_lag)
-    sliced = sliced_series(counts, SERIES_KEY, cfg.slice_steps, back, cfg.horizon_steps, within)
+    sliced = sliced_series(counts, SERIES_KEY, cfg.slice_steps, cfg.lookback, cfg.horizon_steps, within)
     w = slice_window(SERIES_KEY)
     columns = {
         "target_h": horizon_target(w, cfg.horizon_steps),
@@ -140,8 +139,7 @@ def network_frame(
 def station_frame(counts: DataFrame, cfg: StationConfig, within: tuple[int, int] | None = None) -> DataFrame:
     """The single-station supervised frame; context groups follow the settings."""
     day = cfg.day_lag
-    back = max(*cfg.lags, *cfg.rolls, day + 1, 3)
-    sliced = sliced_series(counts, (), cfg.slice_steps, back, cfg.horizon_steps, within)
+    sliced = sliced_series(counts, (), cfg.slice_steps, cfg.lookback, cfg.horizon_steps, within)
     w = slice_window(())
     context = set(cfg.context_features)
     columns = {

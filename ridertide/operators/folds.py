@@ -12,7 +12,7 @@ import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridertide.config import MINUTES_PER_DAY, SeriesConfig
+from ridertide.config import MINUTES_PER_DAY, NetworkConfig, SeriesConfig, StationConfig
 from ridertide.functions.calendar import op_date
 from ridertide.operators.densify import series_bounds
 
@@ -38,7 +38,7 @@ def fold_dates(counts: DataFrame, cfg: SeriesConfig, keys: tuple[str, ...] = ("s
     return dates
 
 
-def fold_range(dates: list[datetime.date], cfg: SeriesConfig, back: int) -> tuple[int, int]:
+def fold_range(dates: list[datetime.date], cfg: NetworkConfig | StationConfig) -> tuple[int, int]:
     """Steps that the fold days and their lags and targets touch; everything else can be pruned at the scan."""
     epoch = datetime.date(1970, 1, 1)
 
@@ -46,7 +46,7 @@ def fold_range(dates: list[datetime.date], cfg: SeriesConfig, back: int) -> tupl
         return ((day - epoch).days * MINUTES_PER_DAY + cfg.day_start_hour * 60) // cfg.bucket_minutes
 
     stop = first_step(dates[-1] + datetime.timedelta(days=1)) + cfg.horizon_steps
-    return first_step(dates[0]) - back, stop
+    return first_step(dates[0]) - cfg.lookback, stop
 
 
 def day_folds(frame: DataFrame, dates: list[datetime.date], cfg: SeriesConfig) -> DataFrame:

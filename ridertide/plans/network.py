@@ -70,7 +70,7 @@ def fold_tables(
     """(fold rows before the clip, clipped rows with load context), both staged."""
     counted = stage(counts)
     dates = folds.fold_dates(counted, cfg)
-    within = folds.fold_range(dates, cfg, 2 * cfg.day_lag)
+    within = folds.fold_range(dates, cfg)
     frame = network_frame(counted, stations, cfg, weather, within)
     rows = stage(folds.day_folds(frame, dates, cfg))
     return rows, stage(context.attach_context(folds.clip_per_day(rows, cfg), cfg))

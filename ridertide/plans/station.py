@@ -57,7 +57,7 @@ def run_station(counts: DataFrame, cfg: StationConfig) -> StationResult:
     spark = counts.sparkSession
     counted = stage(counts)
     dates = folds.fold_dates(counted, cfg, ())
-    within = folds.fold_range(dates, cfg, max(*cfg.lags, *cfg.rolls, cfg.day_lag + 1))
+    within = folds.fold_range(dates, cfg)
     rows = stage(folds.day_folds(station_frame(counted, cfg, within), dates, cfg))
     attached = stage(context.attach_series_context(folds.clip_per_segment(rows, cfg), cfg))
 

@@ -39,6 +39,9 @@ STATION = StationConfig(
     meta_trees=TreeParams(8, 0.1, 1),
 )
 
+# A sequence window that stations starting after the first fold day are too short for.
+LONG_WINDOW = 44
+
 # Codes given to the event types.
 EVENT_CODES = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}
 
@@ -101,7 +104,7 @@ def network_folds(spark: SparkSession, folder: str, static: bool = False) -> Dat
     stations = maps(spark, folder)[0] if static else None
     counted = stage(counts(spark, folder))
     dates = fold_dates(counted, NETWORK)
-    within = fold_range(dates, NETWORK, 2 * NETWORK.day_lag)
+    within = fold_range(dates, NETWORK)
     return day_folds(network_frame(counted, stations, NETWORK, within=within), dates, NETWORK)
 
 
@@ -130,7 +133,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 def series_folds(spark: SparkSession, folder: str, cfg: StationConfig = STATION) -> DataFrame:
     counted = stage(total_counts(spark, folder, cfg))
     dates = fold_dates(counted, cfg, ())
-    within = fold_range(dates, cfg, max(*cfg.lags, cfg.day_lag + 1))
+    within = fold_range(dates, cfg)
     return day_folds(station_frame(counted, cfg, within), dates, cfg)
 
 

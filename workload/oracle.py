@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from ridertide.functions.draws import draw_sql
-from workload.inputs import NETWORK, STATION
+from workload.inputs import LONG_WINDOW, NETWORK, STATION
 
 LAGS = NETWORK.lags
 ROLLS = NETWORK.rolls
@@ -329,13 +329,21 @@ CTES["numbered"] = """
            avg(cnt) FILTER (role = 'train') OVER (PARTITION BY fold, station_key) AS series_mean,
            stddev_pop(cnt) FILTER (role = 'train') OVER (PARTITION BY fold, station_key) + 1e-8 AS series_std
     FROM split"""
-CTES["seq"] = f"""
-    SELECT * FROM (
-        SELECT fold, role, station_key, t, i, n_train, n_eval, series_mean, series_std, cnt,
-               lag(cnt, {W - 1}) OVER w AS oldest_count, sum(cnt) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS future
-        FROM numbered WINDOW w AS (PARTITION BY fold, station_key ORDER BY t))
-    WHERE n_train >= {W + 4} AND n_eval >= 4 AND i >= {W - 1}
-      AND i + 3 < CASE WHEN role = 'train' THEN n_train ELSE n_train + n_eval END"""
+
+
+def _sequence(window: int) -> str:
+    return f"""
+        SELECT * FROM (
+            SELECT fold, role, station_key, t, i, n_train, n_eval, series_mean, series_std, cnt,
+                   lag(cnt, {window - 1}) OVER w AS oldest_count,
+                   sum(cnt) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS future
+            FROM numbered WINDOW w AS (PARTITION BY fold, station_key ORDER BY t))
+        WHERE n_train >= {window + 4} AND n_eval >= 4 AND i >= {window - 1}
+          AND i + 3 < CASE WHEN role = 'train' THEN n_train ELSE n_train + n_eval END"""
+
+
+CTES["seq"] = _sequence(W)
+CTES["seq_long"] = _sequence(LONG_WINDOW)
 
 
 def _sources(text: str) -> set[str]:
@@ -452,7 +460,7 @@ BODIES = {
         {r('(future - 3 * series_mean) / series_std', 'target_scaled')}, {_rounded(['series_mean', 'series_std'])}
         FROM seq""",
     "unreached_anchors": f"""SELECT fold, station_key, {T} FROM seasonal_table
-        WHERE (fold, station_key, t) NOT IN (SELECT (fold, station_key, t) FROM seq WHERE role = 'eval')""",
+        WHERE (fold, station_key, t) NOT IN (SELECT (fold, station_key, t) FROM seq_long WHERE role = 'eval')""",
     "blend_static": f"SELECT station_key, {T}, {_rounded(['pred'])} FROM blended",
     "blend_context": f"SELECT station_key, {T}, {r('pred_context', 'pred')} FROM blended",
     "blend_weighted": f"SELECT station_key, {T}, {_rounded(['pred', 'pred_context'])} FROM blended_lw",

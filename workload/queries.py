@@ -248,7 +248,7 @@ def unreached_anchors(spark, folder):
     rows = stage(inputs.network_folds(spark, folder))
     keys = ["fold", "station_key", "step"]
     wanted = forecasts.anchors(folds.clip_per_day(rows, NETWORK))
-    reached = scaled_windows(rows, NETWORK, NETWORK.seq_window).filter("role = 'eval'")
+    reached = scaled_windows(rows, NETWORK, inputs.LONG_WINDOW).filter("role = 'eval'")
     return _timed(forecasts.unreached(wanted, reached, keys)).drop("step")
 
 
