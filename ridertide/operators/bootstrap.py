@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridertide.functions.draws import draw
+from ridertide.functions.numeric import power
 from ridertide.operators.metrics import (
     NETWORK_KEEP,
     NETWORK_METRICS,
@@ -25,7 +26,6 @@ from ridertide.operators.metrics import (
     series_metrics,
     station_metrics,
 )
-from ridertide.functions.numeric import power
 from ridertide.operators.ranking import dense_codes
 
 
@@ -149,3 +149,9 @@ def delta_intervals(
     points = paired(estimates, "estimate", []).select(*keys, F.col("delta").alias("delta_estimate"))
     clear = F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False))
     return points.join(ends, keys, "left").withColumn("significant_95", clear)
+
+
+def selected_deltas(deltas: DataFrame, mode: str, baselines: list[str], names: list[str]) -> DataFrame:
+    """The rows of a delta table worth reporting, best improvement first within baseline and metric."""
+    wanted = (F.col("mode") == mode) & F.col("baseline").isin(*baselines) & F.col("metric").isin(*names)
+    return deltas.filter(wanted).orderBy("baseline", "metric", F.col("delta_estimate").desc())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridertide.config import NetworkConfig, StationConfig
 from ridertide.functions.numeric import FLOOR, clip, finite, flag, load_weight, ratio
 from ridertide.operators.folds import TRAIN
+from ridertide.operators.ranking import exact_quantiles
 
 STATION_STATS = (
     "station_train_mean_target",
@@ -129,11 +130,9 @@ def sample_weight(y: Column, mean: Column, typical: Column, gamma: float) -> Col
     return F.coalesce(clip(load_weight(y, usable, gamma), 0.25, 8.0), F.lit(1.0))
 
 
-def median_station_mean(table: DataFrame) -> Column:
-    """Median of the positive station means over all rows of a table, as a scalar."""
-    means = table.filter(F.col("station_train_mean_target") > 0)
-    tallied = means.groupBy("station_train_mean_target").agg(F.count(F.lit(1)).alias("n"))
-    return tallied.agg(F.percentile("station_train_mean_target", 0.5, F.col("n"))).scalar()
+def median_station_mean(table: DataFrame) -> float | None:
+    """Median of the positive station means over all rows of a table."""
+    return exact_quantiles(table.filter(F.col("station_train_mean_target") > 0), "station_train_mean_target", [0.5])[0]
 
 
 SCALE_SOURCES = (

@@ -142,3 +142,12 @@ def labelled_station_maps(
         "line_places": line,
         "line_stations": station_summary(line),
     }
+
+
+def map_profile(places: DataFrame) -> DataFrame:
+    """Number of stations, places and lines in a place map."""
+    return places.agg(
+        F.count_distinct("station_key").alias("stations"),
+        F.count_distinct("PLACE_ID").alias("places"),
+        F.count_distinct("LN_CODE").alias("lines"),
+    )

@@ -107,7 +107,7 @@ def run_network(
 
     scores = stage(metrics.micro_metrics(validation, experts, cfg.load_gamma))
     pool = blending.select_pool(scores, "seasonal", cfg.pool_tolerance)
-    typical = context.median_station_mean(validation)
+    typical = F.lit(context.median_station_mean(validation))
     weight = context.sample_weight(F.col("y_true"), F.col("station_train_mean_target"), typical, cfg.load_gamma)
     validation = stage(validation.withColumn("fit_lw", weight))
     least = blending.network_least_rows(pool)

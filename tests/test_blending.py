@@ -125,5 +125,5 @@ def test_sample_weight(spark):
     rows = [(4.0, 2.0), (0.0, 2.0), (100.0, 2.0), (4.0, 0.0), (4.0, None), (4.0, 8.0)]
     df = spark.createDataFrame(rows, "y_true double, station_train_mean_target double")
     typical = context.median_station_mean(df)
-    weight = context.sample_weight(F.col("y_true"), F.col("station_train_mean_target"), typical, 1.0)
+    weight = context.sample_weight(F.col("y_true"), F.col("station_train_mean_target"), F.lit(typical), 1.0)
     assert [r[0] for r in df.select(weight).collect()] == [2.0, 0.25, 8.0, 2.0, 2.0, 0.5]

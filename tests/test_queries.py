@@ -13,8 +13,8 @@ SQL = driver.oracle_sql()
 QUERIES = driver.queries()
 # Queries without a SQL counterpart, and the smallest number of rows each must give.
 TRAINED = {
-    "holt_winters_forecast",
-    "pooled_autoregression_forecast",
+    "holt_winters",
+    "pooled_autoregression",
     "boosted_grid",
     "boosted_normalized",
     "boosted_series",

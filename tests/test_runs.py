@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from ridertide.config import NetworkConfig, StationConfig, TreeParams
 from ridertide.operators.metrics import NETWORK_METRICS
-from ridertide.plans import network, station
+from ridertide.operators.stations import map_profile
+from ridertide.plans import maps, network, station
+from ridertide.sources.events import read_events_csv
+from ridertide.sources.places import read_places, read_plain_places
 from ridertide.sources.tables import read_buckets, write_buckets
 
 FEW = (TreeParams(3, 0.3, 2),)
@@ -80,3 +83,21 @@ def test_station_run_and_sweep(spark, files, tmp_path):
     assert result.profile.count() == 4
     paths = station.save_station(result, str(tmp_path))
     assert "residual_linear_coef" in paths and "summary_table" in paths
+
+
+def test_map_and_bucket_jobs(spark, files, tmp_path):
+    cfg = NetworkConfig(bucket_minutes=60, horizon_minutes=180)
+    reference = read_plain_places(spark, str(files / "REF_1.csv"))
+    wide = reference.withColumns({c: F.lit(None).cast("string") for c in ("CODE", "NAME", "ST_NAME_SHORT")})
+    wide = wide.withColumn("LN_NAME_SHORT", F.col("LN_NAME")).withColumn("IS_TEST", F.lit(0))
+    paths = maps.save_labelled_maps(wide, "L9", str(tmp_path / "labelled"))
+    mapped = maps.read_map(spark, paths["line_places"])
+    assert {r["PLACE_ID"] for r in mapped.collect()} == {1, 3, 5}
+    taps = read_events_csv(spark, str(files / "taps.csv"))
+    maps.save_bucket_table(taps, mapped, cfg, str(tmp_path / "buckets"))
+    buckets = read_buckets(spark, str(tmp_path / "buckets"))
+    assert buckets.agg(F.sum("count")).first()[0] == taps.filter("PLACE_ID in (1, 3, 5)").count()
+    assert "station_label" in buckets.columns
+    scope = maps.save_network_maps(read_places(spark, str(files / "REF_1.csv")), cfg, str(tmp_path / "scope"))
+    assert maps.read_map(spark, scope["network_places"]).count() == 6
+    assert map_profile(maps.read_map(spark, scope["network_places"])).first()["lines"] == 2

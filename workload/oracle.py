@@ -412,9 +412,11 @@ BODIES = {
     "bucket_counts": f"SELECT station_key, {NAMES}, {T}, cnt AS count FROM counts JOIN stations USING (station_key)",
     "bucket_profile": """SELECT count(*) AS rows, count(DISTINCT station_key) AS stations,
         min(t)::VARCHAR AS first_bucket, max(t)::VARCHAR AS last_bucket FROM counts""",
+    "map_profile": """SELECT count(DISTINCT station_key) AS stations, count(DISTINCT place_id) AS places,
+        count(DISTINCT ln_code) AS lines FROM place_map""",
     "line_flow": f"""SELECT station_key, cnt AS count, {T}, st_name AS station_name
         FROM counts JOIN stations USING (station_key) WHERE lower(ln_name) LIKE '%eur%'""",
-    "dense_counts": f"SELECT station_key, {T}, cnt AS count FROM dense",
+    "dense_series": f"SELECT station_key, {T}, cnt AS count FROM dense",
     "horizon_target": f"SELECT station_key, {T}, target_h, target_daylag FROM frame",
     "lag_features": f"SELECT station_key, {T}, {', '.join(LAG_NAMES)} FROM windowed",
     "rolling_features": f"SELECT station_key, {T}, {_rounded([*ROLL_NAMES, *STD_NAMES])} FROM windowed",
@@ -493,6 +495,14 @@ BODIES = {
         LEFT JOIN (SELECT p.mode, p.metric, p.model, {ENDS.format('b.value - p.value')}
               FROM reps p JOIN reps b USING (rep, mode, metric) WHERE b.model = 'seasonal' AND p.model <> 'seasonal'
               GROUP BY ALL) USING (mode, metric, model)""",
+    "selected_deltas": f"""SELECT mode, metric, 'seasonal' AS baseline, model,
+        {_rounded(['delta_estimate', 'ci_low', 'ci_high'])}, coalesce(ci_low > 0 OR ci_high < 0, false) AS significant_95
+        FROM (SELECT p.mode, p.metric, p.model, b.estimate - p.estimate AS delta_estimate
+              FROM points p JOIN points b USING (mode, metric) WHERE b.model = 'seasonal' AND p.model <> 'seasonal')
+        LEFT JOIN (SELECT p.mode, p.metric, p.model, {ENDS.format('b.value - p.value')}
+              FROM reps p JOIN reps b USING (rep, mode, metric) WHERE b.model = 'seasonal' AND p.model <> 'seasonal'
+              GROUP BY ALL) USING (mode, metric, model)
+        WHERE mode = 'micro' AND metric IN ('lw_mae', 'hl_mae', 'hl_under_mae')""",
     "block_bootstrap": f"""SELECT model, metric, {_rounded(['estimate', 'ci_low', 'ci_high'])} FROM
         (SELECT model, metric, {ENDS.format('value')} FROM (UNPIVOT s_reps ON mae, rmse, wmape, lw_mae
             INTO NAME metric VALUE value) GROUP BY ALL)

@@ -13,6 +13,7 @@ from ridertide.operators.densify import dense_series
 from ridertide.operators.sequence import pooled_autoregression, scaled_windows
 from ridertide.operators.smoothing import holt_winters
 from ridertide.operators.stations import labelled_place_map, station_summary
+from ridertide.operators.stations import map_profile as map_profile_of
 from ridertide.plans.network import run_network
 from ridertide.plans.station import run_station
 from ridertide.session import stage
@@ -27,7 +28,8 @@ STATION_KEY = ("station_key",)
 
 
 def query(fn):
-    REGISTRY[fn.__name__] = lambda spark, folder: tidy(fn(spark, folder))
+    """Registers a query under its function name, without the trailing underscore that avoids a clash."""
+    REGISTRY[fn.__name__.rstrip("_")] = lambda spark, folder: tidy(fn(spark, folder))
     return fn
 
 
@@ -72,6 +74,11 @@ def bucket_profile(spark, folder):
     return buckets.bucket_profile(_timed(inputs.counts(spark, folder)), TIME)
 
 
+@query
+def map_profile(spark, folder):
+    return map_profile_of(inputs.maps(spark, folder)[1])
+
+
 @query
 def line_flow(spark, folder):
     stations = inputs.maps(spark, folder)[0]
@@ -82,7 +89,7 @@ def line_flow(spark, folder):
 
 
 @query
-def dense_counts(spark, folder):
+def dense_series_(spark, folder):
     dense = dense_series(inputs.counts(spark, folder), STATION_KEY, NETWORK.slice_steps)
     return _timed(dense).drop("step")
 
@@ -221,7 +228,7 @@ def normalized_features(spark, folder):
 @query
 def sample_weights(spark, folder):
     table = stage(inputs.predictions(spark, folder).filter("fold = 'tune'"))
-    typical = context.median_station_mean(table)
+    typical = F.lit(context.median_station_mean(table))
     weight = context.sample_weight(F.col("y_true"), F.col("station_train_mean_target"), typical, NETWORK.load_gamma)
     return table.select("station_key", TIME, weight.alias("weight"))
 
@@ -253,12 +260,12 @@ def unreached_anchors(spark, folder):
 
 
 @query
-def holt_winters_forecast(spark, folder):
+def holt_winters_(spark, folder):
     return _timed(holt_winters(inputs.network_folds(spark, folder), NETWORK))
 
 
 @query
-def pooled_autoregression_forecast(spark, folder):
+def pooled_autoregression_(spark, folder):
     rows = stage(inputs.network_folds(spark, folder))
     return _timed(pooled_autoregression(rows, NETWORK, NETWORK.seq_window))
 
@@ -309,7 +316,7 @@ def blend_context(spark, folder):
 @query
 def blend_weighted(spark, folder):
     validation, test = _two_parts(spark, folder)
-    typical = context.median_station_mean(validation)
+    typical = F.lit(context.median_station_mean(validation))
     weight = context.sample_weight(F.col("y_true"), F.col("station_train_mean_target"), typical, NETWORK.load_gamma)
     blend = blending.fit_blend(validation.withColumn("w", weight), PAIR, blending.network_least_rows(PAIR), F.col("w"))
     return test.select("station_key", TIME, blend.static().alias("pred"), blend.contextual().alias("pred_context"))
@@ -424,6 +431,14 @@ def delta_ci(spark, folder):
     return bootstrap.delta_intervals(reps, bootstrap.station_estimates(test, MODELS), ["seasonal"])
 
 
+@query
+def selected_deltas(spark, folder):
+    test = stage(_test(spark, folder))
+    reps = bootstrap.station_replicates(test, MODELS, NETWORK.n_bootstrap, NETWORK.seed)
+    deltas = bootstrap.delta_intervals(reps, bootstrap.station_estimates(test, MODELS), ["seasonal", "recent"])
+    return bootstrap.selected_deltas(deltas, "micro", ["seasonal"], ["lw_mae", "hl_mae", "hl_under_mae"])
+
+
 @query
 def block_bootstrap(spark, folder):
     test = stage(inputs.series_predictions(spark, folder))
