@@ -10,4 +10,8 @@ from ridertide.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, app="tests")
+    session = local_session(8, partitions=4, app="tests")
+    # On tables this small, compiling each plan takes longer than interpreting it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    return session

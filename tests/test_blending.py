@@ -25,7 +25,7 @@ MODELS = ["m1", "m2", "m3"]
 def solve(x, y, w):
     free = np.zeros(x.shape[1])
     gram, moment = x.T @ (x * w[:, None]), x.T @ (w * y)
-    for _ in range(20_000):
+    for _ in range(6_000):
         free = np.maximum(free - (gram @ free - moment) / np.linalg.norm(gram, 2), 0)
     return free / free.sum()
 
