@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridertide.config import SeriesConfig
@@ -18,17 +18,25 @@ def station_counts(events: DataFrame, places: DataFrame, cfg: SeriesConfig) -> D
     third of all taps sends no more than one row per step, and only counts meet the place map. The join therefore
     needs no broadcast hint; the optimizer broadcasts the map if it is small and shuffles counts otherwise.
     """
-    per_place = events.groupBy("PLACE_ID", step_of(F.col("TRAN_DATE"), cfg.bucket_minutes).alias("step")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    per_place = events.groupBy("PLACE_ID", _bucket_start(cfg)).agg(F.count(F.lit(1)).alias("n"))
     mapped = per_place.join(places.select("PLACE_ID", "station_key"), "PLACE_ID")
-    return mapped.groupBy("station_key", "step").agg(F.sum("n").cast("double").alias("count"))
+    per_station = mapped.groupBy("station_key", "bucket").agg(F.sum("n").cast("double").alias("count"))
+    return per_station.select("station_key", _bucket_step(cfg), "count")
 
 
 def series_counts(events: DataFrame, cfg: SeriesConfig) -> DataFrame:
     """Counts per step for one series."""
-    step = step_of(F.col("TRAN_DATE"), cfg.bucket_minutes).alias("step")
-    return events.groupBy(step).agg(F.count(F.lit(1)).cast("double").alias("count"))
+    counted = events.groupBy(_bucket_start(cfg)).agg(F.count(F.lit(1)).cast("double").alias("count"))
+    return counted.select(_bucket_step(cfg), "count")
+
+
+def _bucket_start(cfg: SeriesConfig) -> Column:
+    """Bucket of an event: plain arithmetic on the stored value. Calendar fields are read after counting."""
+    return F.window("TRAN_DATE", f"{cfg.bucket_minutes} minutes")["start"].alias("bucket")
+
+
+def _bucket_step(cfg: SeriesConfig) -> Column:
+    return step_of(F.col("bucket"), cfg.bucket_minutes).alias("step")
 
 
 def bucket_table(counts: DataFrame, stations: DataFrame, cfg: SeriesConfig) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ridertide.config import NetworkConfig, SeriesConfig, StationConfig
@@ -15,40 +15,58 @@ from ridertide.operators.stations import STATION_NAMES, STRUCTURE_COLUMNS
 SERIES_KEY = ("station_key",)
 
 
-def _full(frame: WindowSpec, rows: int, value: Column) -> Column:
-    """A window value that exists only where the frame holds all its rows."""
-    return F.when(F.count(F.lit(1)).over(frame) == rows, value.over(frame))
+def with_running(sliced: DataFrame, w: WindowSpec) -> DataFrame:
+    """Running totals inside each slice: ``upto`` with the current row, ``before`` and ``before_sq`` without it.
+
+    Every sum over a frame is then the difference of two totals, at a cost that does not depend on the frame length.
+    Counts are whole numbers, so the differences are exact.
+    """
+    rows = w.rowsBetween(Window.unboundedPreceding, 0)
+    count = F.col("count")
+    totals = sliced.select("*", F.sum(count).over(rows).alias("upto"), F.sum(count * count).over(rows).alias("upto_sq"))
+    return totals.withColumns({"before": F.col("upto") - count, "before_sq": F.col("upto_sq") - count * count})
+
+
+RUNNING = ("upto", "upto_sq", "before", "before_sq")
 
 
 def horizon_target(w: WindowSpec, horizon: int) -> Column:
-    """Sum of the next ``horizon`` counts."""
-    return _full(w.rowsBetween(1, horizon), horizon, F.sum("count"))
+    """Sum of the next ``horizon`` counts; NULL unless all of them exist."""
+    return F.lead("upto", horizon).over(w) - F.col("upto")
 
 
 def daylag_target(w: WindowSpec, horizon: int, day: int) -> Column:
-    """The horizon target one day earlier, taken straight from the counts, so one window pass serves both."""
-    frame = w.rowsBetween(1 - day, horizon - day)
-    exists = F.lag("count", day).over(w).isNotNull()
-    return F.when(exists, _full(frame, horizon, F.sum("count")))
+    """The horizon target one day earlier, taken from the totals, so it needs no window of its own."""
+    return F.lag("upto", day - horizon).over(w) - F.lag("upto", day).over(w)
 
 
 def lag_columns(w: WindowSpec, lags) -> dict[str, Column]:
     return {f"lag_{n}": F.lag("count", n).over(w) for n in lags}
 
 
+def _last(column: str, n: int, w: WindowSpec) -> Column:
+    """Sum of the previous ``n`` rows, the current one left out; NULL unless all of them exist."""
+    return F.col(column) - F.lag(column, n).over(w)
+
+
 def rolling_columns(w: WindowSpec, sizes) -> dict[str, Column]:
-    """Sum and mean of the previous rows, the current one left out."""
+    """Sum and mean of the previous rows."""
     out = {}
     for n in sizes:
-        frame = w.rowsBetween(-n, -1)
-        out[f"roll_sum_{n}"] = _full(frame, n, F.sum("count"))
-        out[f"roll_mean_{n}"] = _full(frame, n, F.avg("count"))
+        total = _last("before", n, w)
+        out[f"roll_sum_{n}"] = total
+        out[f"roll_mean_{n}"] = total / F.lit(float(n))
     return out
 
 
 def volatility_columns(w: WindowSpec, sizes) -> dict[str, Column]:
     """Sample deviation of the previous rows."""
-    return {f"roll_std_{n}": _full(w.rowsBetween(-n, -1), n, F.stddev_samp("count")) for n in sizes}
+    out = {}
+    for n in sizes:
+        total = _last("before", n, w)
+        variance = (_last("before_sq", n, w) - total * total / F.lit(float(n))) / F.lit(float(n - 1))
+        out[f"roll_std_{n}"] = F.sqrt(F.when(variance > 0, variance).when(variance.isNotNull(), F.lit(0.0)))
+    return out
 
 
 def slope_columns() -> dict[str, Column]:
@@ -67,8 +85,9 @@ def deviation_columns(now: str, day_before: str) -> dict[str, Column]:
 
 def network_windows(counts: DataFrame, cfg: NetworkConfig, within: tuple[int, int] | None = None) -> DataFrame:
     """Dense series of every station with target, lags and rolling columns, from one shuffle and one sort."""
-    sliced = sliced_series(counts, SERIES_KEY, cfg.slice_steps, cfg.lookback, cfg.horizon_steps, within)
     w = slice_window(SERIES_KEY)
+    sliced = sliced_series(counts, SERIES_KEY, cfg.slice_steps, cfg.lookback, cfg.horizon_steps, within)
+    sliced = with_running(sliced, w)
     columns = {
         "target_h": horizon_target(w, cfg.horizon_steps),
         "target_daylag": daylag_target(w, cfg.horizon_steps, cfg.day_lag),
@@ -77,7 +96,7 @@ def network_windows(counts: DataFrame, cfg: NetworkConfig, within: tuple[int, in
         **volatility_columns(w, cfg.volatility_rolls),
     }
     wide = sliced.select("*", *[c.alias(n) for n, c in columns.items()])
-    return own_rows(wide, cfg.slice_steps)
+    return own_rows(wide, cfg.slice_steps).drop(*RUNNING)
 
 
 def station_codes(stations: DataFrame, counted: DataFrame) -> DataFrame:
@@ -139,8 +158,8 @@ def network_frame(
 def station_frame(counts: DataFrame, cfg: StationConfig, within: tuple[int, int] | None = None) -> DataFrame:
     """The single-station supervised frame; context groups follow the settings."""
     day = cfg.day_lag
-    sliced = sliced_series(counts, (), cfg.slice_steps, cfg.lookback, cfg.horizon_steps, within)
     w = slice_window(())
+    sliced = with_running(sliced_series(counts, (), cfg.slice_steps, cfg.lookback, cfg.horizon_steps, within), w)
     context = set(cfg.context_features)
     columns = {
         "target_h": horizon_target(w, cfg.horizon_steps),
@@ -157,7 +176,8 @@ def station_frame(counts: DataFrame, cfg: StationConfig, within: tuple[int, int]
         columns["local_slope_2"] = previous - F.lag("count", 3).over(w)
     if "rolling_volatility" in context:
         columns.update(volatility_columns(w, cfg.rolls[:1]))
-    frame = own_rows(sliced.select("*", *[c.alias(n) for n, c in columns.items()]), cfg.slice_steps)
+    wide = sliced.select("*", *[c.alias(n) for n, c in columns.items()])
+    frame = own_rows(wide, cfg.slice_steps).drop(*RUNNING)
     time = time_of(F.col("step"), cfg.bucket_minutes)
     calendar = calendar_columns(F.col("step"), cfg)
     if "hour_cyclical" not in context:
@@ -172,9 +192,9 @@ def station_frame(counts: DataFrame, cfg: StationConfig, within: tuple[int, int]
 
 def sequence_windows(counts: DataFrame, cfg: SeriesConfig, window: int, keys: tuple[str, ...] = SERIES_KEY) -> DataFrame:
     """Per anchor, the last ``window`` counts as an array and the sum of the next horizon."""
-    sliced = sliced_series(counts, keys, cfg.slice_steps, window - 1, cfg.horizon_steps)
     w = slice_window(keys)
+    sliced = with_running(sliced_series(counts, keys, cfg.slice_steps, window - 1, cfg.horizon_steps), w)
     history = F.collect_list("count").over(w.rowsBetween(1 - window, 0))
     wide = sliced.select("*", history.alias("history"), horizon_target(w, cfg.horizon_steps).alias("target_h"))
     complete = (F.size("history") == window) & F.col("target_h").isNotNull()
-    return own_rows(wide, cfg.slice_steps).filter(complete)
+    return own_rows(wide, cfg.slice_steps).filter(complete).drop(*RUNNING)

@@ -115,3 +115,13 @@ def test_hot_place_folds_before_the_shuffle(spark):
     assert len(rows) == 5 * 8
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join") < plan.rindex("HashAggregate")
+
+
+def test_one_shuffle_and_one_sort_for_all_windows(spark):
+    wide = features.network_windows(counts_frame(spark, three_stations()), CFG)
+    plan = wide._jdf.queryExecution().executedPlan().toString().splitlines()
+    kinds = [line.strip(" :+-").split(" ")[0] for line in plan]
+    assert kinds.count("Sort") == 1 and kinds.count("Window") == 2
+    assert sum("REPARTITION_BY_COL" in line for line in plan) == 1
+    below = kinds[kinds.index("Sort") :]
+    assert "Window" not in below and sum(k == "Exchange" for k in kinds) == 2  # the other one is the bounds aggregate
