@@ -19,8 +19,6 @@ from ridertide.operators.metrics import (
     STATION_SUMS,
     error_columns,
     long_predictions,
-    macro_metrics,
-    micro_metrics,
     network_metrics,
     network_sums,
     series_metrics,
@@ -43,30 +41,38 @@ def station_draws(table: DataFrame, n_boot: int, seed: int) -> DataFrame:
     return times.join(codes, "code").select("rep", "station_key", "times")
 
 
+def _station_parts(table: DataFrame, models: list[str], gamma: float) -> DataFrame:
+    """Per station and model, the sums and the station's own metrics."""
+    sums = network_sums(long_predictions(table, models, NETWORK_KEEP), ["station_key", "model"], gamma)
+    return sums.select("*", *[c.alias(f"own_{m}") for m, c in network_metrics(gamma).items()])
+
+
+def _combined(parts: DataFrame, by: list[str], times: Column, gamma: float, value: str) -> DataFrame:
+    """(by..., mode, metric, value): micro from weighted sums, macro as the mean of the stations' own metrics."""
+    weighted = [F.sum(F.col(s) * times).alias(s) for s in NETWORK_SUMS]
+    averaged = [F.avg(f"own_{m}").alias(f"own_{m}") for m in NETWORK_METRICS]
+    totals = parts.groupBy(*by).agg(*weighted, *averaged)
+    scores = [("micro", m, c) for m, c in network_metrics(gamma).items()]
+    scores += [("macro", m, F.col(f"own_{m}")) for m in NETWORK_METRICS]
+    rows = [F.struct(F.lit(g).alias("mode"), F.lit(m).alias("metric"), c.alias(value)) for g, m, c in scores]
+    return totals.select(*by, F.inline(F.array(*rows)))
+
+
 def station_replicates(
     table: DataFrame, models: list[str], n_boot: int, seed: int, gamma: float = 1.0
 ) -> DataFrame:
-    """Metric values per replicate: (rep, mode, model, metric, value).
+    """Metric values per replicate: (rep, model, mode, metric, value).
 
     Micro counts a station as often as it was drawn. Macro averages over the distinct drawn stations: repeats of a
     station fall into one group there and leave its metrics unchanged.
     """
-    sums = network_sums(long_predictions(table, models, NETWORK_KEEP), ["station_key", "model"], gamma)
-    own = sums.select("*", *[c.alias(f"own_{m}") for m, c in network_metrics(gamma).items()])
-    joined = station_draws(table, n_boot, seed).join(own, "station_key")
-    weighted = [F.sum(F.col(s) * F.col("times")).alias(s) for s in NETWORK_SUMS]
-    averaged = [F.avg(f"own_{m}").alias(f"own_{m}") for m in NETWORK_METRICS]
-    totals = joined.groupBy("rep", "model").agg(*weighted, *averaged)
-    micro = totals.select("rep", "model", F.lit("micro").alias("mode"), *[c.alias(m) for m, c in network_metrics(gamma).items()])
-    macro = totals.select("rep", "model", F.lit("macro").alias("mode"), *[F.col(f"own_{m}").alias(m) for m in NETWORK_METRICS])
-    return micro.unionByName(macro).unpivot(["rep", "mode", "model"], list(NETWORK_METRICS), "metric", "value")
+    drawn = station_draws(table, n_boot, seed).join(_station_parts(table, models, gamma), "station_key")
+    return _combined(drawn, ["rep", "model"], F.col("times"), gamma, "value")
 
 
 def station_estimates(table: DataFrame, models: list[str], gamma: float = 1.0) -> DataFrame:
-    """Point values: (mode, model, metric, estimate)."""
-    micro = micro_metrics(table, models, gamma).withColumn("mode", F.lit("micro"))
-    macro = macro_metrics(table, models, gamma).withColumn("mode", F.lit("macro"))
-    return micro.unionByName(macro).unpivot(["mode", "model"], list(NETWORK_METRICS), "metric", "estimate")
+    """Point values: (model, mode, metric, estimate)."""
+    return _combined(_station_parts(table, models, gamma), ["model"], F.lit(1), gamma, "estimate")
 
 
 def block_replicates(
@@ -139,10 +145,16 @@ def delta_intervals(
     shared = [c for c in ("mode", "metric") if c in estimates.columns]
 
     def paired(df: DataFrame, value: str, extra: list[str]) -> DataFrame:
-        base = df.filter(F.col("model").isin(*baselines))
-        base = base.select(*extra, *shared, F.col("model").alias("baseline"), F.col(value).alias("base_value"))
-        both = df.join(base, [*extra, *shared]).filter(F.col("model") != F.col("baseline"))
-        return both.withColumn("delta", F.col("base_value") - F.col(value))
+        # A group holds one score per model.
+        scores = F.collect_list(F.struct("model", F.col(value).alias("value"))).alias("scores")
+        grouped = df.groupBy(*extra, *shared).agg(scores)
+        base = F.explode(F.filter("scores", lambda x: x["model"].isin(*baselines))).alias("base")
+        both = grouped.select(*extra, *shared, "scores", base)
+        both = both.select(*extra, *shared, "base", F.explode("scores").alias("own"))
+        both = both.filter(F.col("own.model") != F.col("base.model"))
+        delta = F.col("base.value") - F.col("own.value")
+        names = [F.col("base.model").alias("baseline"), F.col("own.model").alias("model")]
+        return both.select(*extra, *shared, *names, delta.alias("delta"))
 
     keys = [*shared, "baseline", "model"]
     ends = paired(replicates, "value", ["rep"]).groupBy(*keys).agg(*_bounds("delta", alpha))
