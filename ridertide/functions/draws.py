@@ -18,7 +18,7 @@ def draw(replicate: Column, position: Column, seed: int, size: Column) -> Column
     """Index in [0, size) for one draw of one replicate."""
     z = (replicate.cast("bigint") * 1000003 + position.cast("bigint") * 7919 + seed) % PRIME
     for _ in range(ROUNDS):
-        z = (z * z + z * 48271 + 12345) % PRIME
+        z = (z * (z + 48271) + 12345) % PRIME
     return z % size
 
 
@@ -26,5 +26,5 @@ def draw_sql(replicate: str, position: str, seed: int, size: str) -> str:
     """The same draw as SQL text."""
     z = f"(({replicate})::BIGINT * 1000003 + ({position})::BIGINT * 7919 + {seed}) % {PRIME}"
     for _ in range(ROUNDS):
-        z = f"(({z}) * ({z}) + ({z}) * 48271 + 12345) % {PRIME}"
+        z = f"(({z}) * (({z}) + 48271) + 12345) % {PRIME}"
     return f"(({z}) % ({size}))"

@@ -47,10 +47,10 @@ def _station_parts(table: DataFrame, models: list[str], gamma: float) -> DataFra
     return sums.select("*", *[c.alias(f"own_{m}") for m, c in network_metrics(gamma).items()])
 
 
-def _combined(parts: DataFrame, by: list[str], times: Column, gamma: float, value: str) -> DataFrame:
+def _combined(parts: DataFrame, by: list[str], times: str, gamma: float, value: str) -> DataFrame:
     """(by..., mode, metric, value): micro from weighted sums, macro as the mean of the stations' own metrics."""
-    weighted = [F.sum(F.col(s) * times).alias(s) for s in NETWORK_SUMS]
-    averaged = [F.avg(f"own_{m}").alias(f"own_{m}") for m in NETWORK_METRICS]
+    weighted = [F.expr(f"sum({s} * {times})").alias(s) for s in NETWORK_SUMS]
+    averaged = [F.expr(f"avg(own_{m})").alias(f"own_{m}") for m in NETWORK_METRICS]
     totals = parts.groupBy(*by).agg(*weighted, *averaged)
     scores = [("micro", m, c) for m, c in network_metrics(gamma).items()]
     scores += [("macro", m, F.col(f"own_{m}")) for m in NETWORK_METRICS]
@@ -67,12 +67,12 @@ def station_replicates(
     station fall into one group there and leave its metrics unchanged.
     """
     drawn = station_draws(table, n_boot, seed).join(_station_parts(table, models, gamma), "station_key")
-    return _combined(drawn, ["rep", "model"], F.col("times"), gamma, "value")
+    return _combined(drawn, ["rep", "model"], "times", gamma, "value")
 
 
 def station_estimates(table: DataFrame, models: list[str], gamma: float = 1.0) -> DataFrame:
     """Point values: (model, mode, metric, estimate)."""
-    return _combined(_station_parts(table, models, gamma), ["model"], F.lit(1), gamma, "estimate")
+    return _combined(_station_parts(table, models, gamma), ["model"], "1", gamma, "estimate")
 
 
 def block_replicates(

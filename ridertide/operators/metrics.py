@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridertide.functions.numeric import FLOOR, load_weight, power, ratio
+from ridertide.functions.numeric import FLOOR
 
 NETWORK_METRICS = ("mae", "rmse", "wmape", "lw_mae", "hl_mae", "hl_under_mae", "hl_under_rate")
 STATION_METRICS = ("mae", "rmse", "wmape", "lw_mae")
@@ -40,75 +40,84 @@ def error_columns() -> tuple[Column, Column]:
     return error, F.abs(error)
 
 
+def _aggregates(terms: dict[str, str]) -> list[Column]:
+    return [F.expr(text).alias(name) for name, text in terms.items()]
+
+
+def _powered(text: str, gamma: float) -> str:
+    return f"({text})" if gamma == 1.0 else f"power({text}, {gamma}D)"
+
+
 def network_sums(predictions: DataFrame, by: list[str], gamma: float) -> DataFrame:
     """Sums behind the network metrics.
 
     The load weight divides by the station's train mean. Where that mean is zero or missing the mean of the scored
     set takes its place; being one constant per set, it is divided out later, so its rows get a sum of their own.
     """
-    y = F.col("y_true")
-    error, ae = error_columns()
-    mean = F.nullif(F.col("station_train_mean_target"), F.lit(0.0))
-    high = F.coalesce(F.col("hl_actual"), F.lit(0)) == 1
-
-    def when_high(value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(high, value)), F.lit(0.0))
-
-    scaled = F.when(mean.isNotNull(), ae * load_weight(y, mean, gamma)).otherwise(0.0)
-    unscaled = F.when(mean.isNull(), ae * power(F.greatest(y, F.lit(0.0)), gamma)).otherwise(0.0)
-    return predictions.groupBy(*by).agg(
-        F.count(ae).alias("n"),
-        F.sum(ae).alias("sum_ae"),
-        F.sum(error * error).alias("sum_se"),
-        F.sum(F.abs(y)).alias("sum_abs_y"),
-        F.sum(y).alias("sum_y"),
-        F.sum(scaled).alias("sum_weighted"),
-        F.sum(unscaled).alias("sum_unscaled"),
-        F.count(F.when(high, ae)).alias("n_high"),
-        when_high(ae).alias("sum_ae_high"),
-        when_high(F.greatest(error, F.lit(0.0))).alias("sum_under_high"),
-        F.count(F.when(high & (error > 0), ae)).alias("n_under_high"),
+    scored = predictions.withColumns(
+        {
+            "error": F.expr("y_true - pred"),
+            "ae": F.expr("abs(y_true - pred)"),
+            "scale": F.expr("nullif(station_train_mean_target, 0D)"),
+            "high": F.expr("coalesce(hl_actual, 0) = 1"),
+        }
     )
+    load = _powered(f"greatest(y_true, 0D) / greatest(scale, {FLOOR}D)", gamma)
+    volume = _powered("greatest(y_true, 0D)", gamma)
+    terms = {
+        "n": "count(ae)",
+        "sum_ae": "sum(ae)",
+        "sum_se": "sum(error * error)",
+        "sum_abs_y": "sum(abs(y_true))",
+        "sum_y": "sum(y_true)",
+        "sum_weighted": f"coalesce(sum(ae * {load}) FILTER (WHERE scale IS NOT NULL), 0D)",
+        "sum_unscaled": f"coalesce(sum(ae * {volume}) FILTER (WHERE scale IS NULL), 0D)",
+        "n_high": "count(ae) FILTER (WHERE high)",
+        "sum_ae_high": "coalesce(sum(ae) FILTER (WHERE high), 0D)",
+        "sum_under_high": "coalesce(sum(greatest(error, 0D)) FILTER (WHERE high), 0D)",
+        "n_under_high": "count(ae) FILTER (WHERE high AND error > 0)",
+    }
+    return scored.groupBy(*by).agg(*_aggregates(terms))
 
 
 def network_metrics(gamma: float) -> dict[str, Column]:
     """Metric expressions over the columns of ``network_sums``; NULL where a metric is undefined."""
-    n, high = F.nullif(F.col("n"), F.lit(0)), F.nullif(F.col("n_high"), F.lit(0))
-    set_mean = F.greatest(F.col("sum_y") / n, F.lit(FLOOR))
-    loaded = F.col("sum_weighted") + F.col("sum_unscaled") / power(set_mean, gamma)
-    return {
-        "mae": F.col("sum_ae") / n,
-        "rmse": F.sqrt(F.col("sum_se") / n),
-        "wmape": ratio(F.col("sum_ae"), F.col("sum_abs_y")),
-        "lw_mae": loaded / n,
-        "hl_mae": F.col("sum_ae_high") / high,
-        "hl_under_mae": F.col("sum_under_high") / high,
-        "hl_under_rate": F.col("n_under_high") / high,
+    set_mean = _powered(f"greatest(sum_y / nullif(n, 0), {FLOOR}D)", gamma)
+    texts = {
+        "mae": "sum_ae / nullif(n, 0)",
+        "rmse": "sqrt(sum_se / nullif(n, 0))",
+        "wmape": "sum_ae / nullif(sum_abs_y, 0D)",
+        "lw_mae": f"(sum_weighted + sum_unscaled / {set_mean}) / nullif(n, 0)",
+        "hl_mae": "sum_ae_high / nullif(n_high, 0)",
+        "hl_under_mae": "sum_under_high / nullif(n_high, 0)",
+        "hl_under_rate": "n_under_high / nullif(n_high, 0)",
     }
+    return {name: F.expr(text) for name, text in texts.items()}
 
 
 def station_sums(predictions: DataFrame, by: list[str], gamma: float) -> DataFrame:
     """Sums behind the single-station metrics, whose load weight divides by the mean of the scored set."""
-    y = F.col("y_true")
-    error, ae = error_columns()
-    return predictions.groupBy(*by).agg(
-        F.count(ae).alias("n"),
-        F.sum(ae).alias("sum_ae"),
-        F.sum(error * error).alias("sum_se"),
-        F.sum(F.abs(y)).alias("sum_abs_y"),
-        F.sum(y).alias("sum_y"),
-        F.sum(ae * power(y, gamma)).alias("sum_loaded"),
-    )
+    scored = predictions.withColumn("ae", F.expr("abs(y_true - pred)"))
+    terms = {
+        "n": "count(ae)",
+        "sum_ae": "sum(ae)",
+        "sum_se": "sum(ae * ae)",
+        "sum_abs_y": "sum(abs(y_true))",
+        "sum_y": "sum(y_true)",
+        "sum_loaded": f"sum(ae * {_powered('y_true', gamma)})",
+    }
+    return scored.groupBy(*by).agg(*_aggregates(terms))
 
 
 def station_metrics(gamma: float) -> dict[str, Column]:
-    n = F.nullif(F.col("n"), F.lit(0))
-    return {
-        "mae": F.col("sum_ae") / n,
-        "rmse": F.sqrt(F.col("sum_se") / n),
-        "wmape": ratio(F.col("sum_ae"), F.col("sum_abs_y")),
-        "lw_mae": ratio(F.col("sum_loaded") / n, power(F.col("sum_y") / n, gamma)),
+    """Metric expressions over the columns of ``station_sums``."""
+    texts = {
+        "mae": "sum_ae / nullif(n, 0)",
+        "rmse": "sqrt(sum_se / nullif(n, 0))",
+        "wmape": "sum_ae / nullif(sum_abs_y, 0D)",
+        "lw_mae": f"sum_loaded / nullif(n, 0) / nullif({_powered('sum_y / nullif(n, 0)', gamma)}, 0D)",
     }
+    return {name: F.expr(text) for name, text in texts.items()}
 
 
 def _named(columns: dict[str, Column]) -> list[Column]:
