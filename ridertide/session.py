@@ -30,22 +30,21 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "ridert
 
 def stage_folder(spark: SparkSession) -> str:
     """Shared folder for stage tables: the cluster's own setting, or a scratch folder in local mode only."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder before running on a cluster")
-    folder = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return context.getCheckpointDir()
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Give iterative learners a checkpoint folder, so long lineages are cut on shared storage."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(stage_folder(spark))
+    folder = stage_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def stage(df: DataFrame) -> DataFrame:
