@@ -8,7 +8,6 @@ progression and understate the spread.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 PRIME = 2147483647
 ROUNDS = 3
