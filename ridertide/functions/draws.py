@@ -2,7 +2,7 @@
 
 Draws are pure integer arithmetic on (replicate, position), so they do not depend on partitioning, retries or
 engine. Each round squares modulo a prime: a purely linear rule would make the draws of one replicate an arithmetic
-progression and understate the spread.
+progression and distort the spread.
 """
 
 from __future__ import annotations
