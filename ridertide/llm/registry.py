@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridertide.llm import grammar, packing
+from ridertide.llm import cascade, grammar, langid, packing
 from ridertide.llm.tables import documents, shared_path
 
 
@@ -20,8 +20,19 @@ def op4_grammar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.read_files(spark, path)
 
 
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.judged(documents(spark, sf_dir)).drop("rejected_by", "n_lines")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return langid.identified(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_grammar_files": op4_grammar_files,
+    "op6_quality_cascade": op6_quality_cascade,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
