@@ -145,8 +145,8 @@ def few_symbols(b: Batch) -> np.ndarray:
 
 
 def few_repeated_lines(b: Batch) -> np.ndarray:
-    """At most 30 % of the lines occurred before."""
-    return 100 * b.counts["n_dup_lines"] <= 30 * b.counts["n_lines"]
+    """At most half of the lines occurred before."""
+    return 2 * b.counts["n_dup_lines"] <= b.counts["n_lines"]
 
 
 def with_letters(b: Batch) -> np.ndarray:

@@ -28,7 +28,7 @@ from ridertide.llm.tokens import pieces
 FILE, END = "word_bpe_49k.json", 1
 MAGIC = b"RPG1"
 #: Text that goes into one file.
-FILE_BYTES = 8 << 20
+FILE_BYTES = 6 << 20
 #: Passes, least count of a pair, and nonterminals of a pass: how hard a file is compressed.
 PASSES, LEAST, SLOTS = 4, 24, 1 << 17
 #: First nonterminal: above every id of the vocabulary.

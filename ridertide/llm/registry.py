@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridertide.llm import cascade, grammar, langid, packing
+from ridertide.llm import cascade, grammar, langid, lines, oracle, packing, sketch
 from ridertide.llm.tables import documents, shared_path
 
 
@@ -24,6 +25,15 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.judged(documents(spark, sf_dir)).drop("rejected_by", "n_lines")
 
 
+def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(documents(spark, sf_dir))
+
+
+def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.without_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     return langid.identified(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
@@ -33,6 +43,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_grammar_files": op4_grammar_files,
     "op6_quality_cascade": op6_quality_cascade,
+    "op7_scaled_sketch": op7_scaled_sketch,
+    "op8_site_lines": op8_site_lines,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_cascade": oracle.CASCADE,
+    "op7_scaled_sketch": oracle.SKETCH,
+    "op8_site_lines": oracle.LINES,
+}

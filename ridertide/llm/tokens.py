@@ -17,7 +17,7 @@ import pyarrow as pa
 from ridertide.llm.arrays import flat, ranges, strings
 
 #: A worker forgets its pieces when it holds so many; they are then encoded again.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 500_000
 #: How byte-level vocabularies write the space before a word.
 SPACE = "\u0120"
 
