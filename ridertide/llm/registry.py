@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridertide.llm import cascade, grammar, langid, lines, oracle, packing, sketch
+from ridertide.llm import cascade, grammar, langid, lines, oracle, packing, sketch, suffix
 from ridertide.llm.tables import documents, shared_path
 
 
@@ -34,6 +34,10 @@ def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     return langid.identified(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_cascade": op6_quality_cascade,
     "op7_scaled_sketch": op7_scaled_sketch,
     "op8_site_lines": op8_site_lines,
+    "op9_suffix_repeats": op9_suffix_repeats,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
