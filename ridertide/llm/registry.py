@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridertide.llm import cascade, grammar, langid, lines, oracle, packing, sketch, suffix
+from ridertide.llm import cascade, grammar, langid, lines, minhash, oracle, packing, sketch, suffix
 from ridertide.llm.tables import documents, shared_path
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_packing": op3_packing,
     "op4_grammar_files": op4_grammar_files,
     "op6_quality_cascade": op6_quality_cascade,
