@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridertide.llm import cascade, grammar, langid, lines, minhash, oracle, packing, sketch, suffix
-from ridertide.llm.tables import documents, shared_path
+import corpus_pipeline
+from ridertide.llm import cascade, grammar, importance, langid, lines, minhash, mixing, oracle, packing, sketch, suffix
+from ridertide.llm.tables import documents, shared_path, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -25,6 +30,10 @@ def op4_grammar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.read_files(spark, path)
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.judged(documents(spark, sf_dir)).drop("rejected_by", "n_lines")
 
@@ -49,13 +58,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_importance": op2_importance,
     "op3_packing": op3_packing,
     "op4_grammar_files": op4_grammar_files,
+    "op5_soft_mixing": op5_soft_mixing,
     "op6_quality_cascade": op6_quality_cascade,
     "op7_scaled_sketch": op7_scaled_sketch,
     "op8_site_lines": op8_site_lines,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_cascade": oracle.CASCADE,
