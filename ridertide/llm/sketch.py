@@ -14,9 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridertide.llm.tables import raised, stage
+from ridertide.llm.tables import stage, text_bytes
 
 SHINGLE, FLOOR, FRACTION = 5, 16, 1 / 16
+#: Text of a range of doc_id.
+PART_BYTES = 4 << 20
 GAPS = "\t\n\x0b\x0c\r"
 #: Above every hash.
 TOP = "~"
@@ -100,52 +102,61 @@ def merged(sketches: Column, fraction: float = FRACTION) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.flatten(sketches), lambda h: h < bound)))
 
 
-def previous(docs: DataFrame) -> DataFrame:
-    """For each distinct key the key before it (before the first: the last) and that one's characters.
+def cuts_of(keys: DataFrame, parts: int) -> list[int]:
+    """Ascending keys that cut the rows into about equal parts."""
+    if parts < 2:
+        return []
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    return sorted(set(keys.agg(F.percentile_approx("key", shares, max(10_000, 20 * parts))).first()[0] or []))
 
-    Keys are dealt by range; a window runs over each range, and one row for each range links it to the one before."""
-    spark = docs.sparkSession
-    sizes = docs.groupBy("key").agg(F.max("n_chars").alias("n"))
-    dealt = sizes.repartitionByRange(raised(spark, 1), "key").withColumn("part", F.spark_partition_id())
-    dealt = stage(dealt)
-    inside = Window.partitionBy("part").orderBy("key")
-    ends = dealt.groupBy("part").agg(F.max(F.struct("key", "n")).alias("last"))
-    over = Window.orderBy("part")
-    final = F.max(F.col("last")).over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    links = ends.select("part", F.coalesce(F.lag("last").over(over), final).alias("link"))
-    lagged = dealt.withColumn("own", F.lag(F.struct("key", "n")).over(inside))
-    joined = lagged.join(links, "part").withColumn("before", F.coalesce("own", "link"))
-    return joined.select("key", F.col("before.key").alias("before"), F.col("before.n").alias("before_n"))
 
+def part_of(key: Column, cuts: list[int]) -> Column:
+    """Number of cuts below the key, by binary search in a constant array."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    below = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
 
-def fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
+    def further(found: Column, step: Column) -> Column:
+        ahead = found + step
+        inside = ahead <= len(cuts)
+        return F.when(inside & (F.element_at(below, F.least(ahead, F.lit(len(cuts)))) < key), ahead).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
+
+def fingerprints(docs: DataFrame, fraction: float = FRACTION, part_bytes: int = PART_BYTES) -> DataFrame:
     """Sketches of every text and of the same text with its second half replaced by the start of the next document.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (resemblance),
     contained_edited, contained_next (share of the text's shingles found there). A null text is empty; empty texts
-    have the empty fingerprint and are alike. A null doc_id sorts first. Rows that share a doc_id are each followed by
-    the next larger one; of several next rows the one whose start and sketch sort first counts. Other columns are ignored.
+    have the empty fingerprint and are alike. Documents follow each other by doc_id, a null one first, and by text
+    where a doc_id repeats. Other columns are ignored; an empty table stays empty.
+
+    Texts move once, to parts that are ranges of doc_id; one row for each part links it to the next.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")))
-    base = base.withColumn("n_chars", F.length("text").cast("long"))
-    before = previous(base.select("key", "n_chars"))
-    # What the document before needs of this one is the start of its text and its sketch.
-    given = base.join(before, "key").select(
-        F.col("before").alias("key"),
-        F.expr("left(text, cast(floor(before_n / 2) as int))").alias("start"),
-        retained(shingle_hashes(words(F.col("text"))), fraction).alias("next_sketch"),
-    )
-    given = given.groupBy("key").agg(F.min(F.struct("start", "next_sketch")).alias("next"))
+    cuts = cuts_of(base.select("key"), -(-text_bytes(base) // part_bytes))
+    base = base.withColumn("part", part_of(F.col("key"), cuts))
+    of = lambda column: retained(shingle_hashes(words(F.col(column))), fraction)
+    ends = Window.orderBy("part")
+    firsts = base.groupBy("part").agg(F.min(F.struct("key", "text")).alias("first"))
+    links = firsts.select("part", F.coalesce(F.lead("first.text").over(ends), F.first("first.text").over(ends)).alias("link"))
+    links = stage(links.withColumn("link_sketch", of("link")))
+    inside = Window.partitionBy("part").orderBy("key", "text")
+    chained = base.repartition("part").withColumn("sketch", of("text"))
+    chained = chained.withColumn("after", F.lead("text").over(inside)).withColumn("after_sketch", F.lead("sketch").over(inside))
+    joined = chained.join(links, "part").withColumn("n_chars", F.length("text").cast("long"))
     half = "cast(floor(n_chars / 2) as int)"
-    edited = F.concat(F.expr(f"left(text, cast(n_chars as int) - {half})"), F.expr(f"left(next.start, {half})"))
-    both = base.join(given, "key").withColumn("edited", edited).select(
+    edited = F.concat(F.expr(f"left(text, cast(n_chars as int) - {half})"), F.expr(f"left(coalesce(after, link), {half})"))
+    both = joined.withColumn("edited", edited).select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        retained(shingle_hashes(words(F.col("text"))), fraction).alias("sketch"),
-        retained(shingle_hashes(words(F.col("edited"))), fraction).alias("edited_sketch"),
-        F.col("next.next_sketch").alias("next_sketch"),
+        "sketch",
+        of("edited").alias("edited_sketch"),
+        F.coalesce("after_sketch", "link_sketch").alias("next_sketch"),
     )
     sketch, other, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return both.select(

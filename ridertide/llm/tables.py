@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridertide.session import stage, stage_folder
 
-__all__ = ["arrow_batches", "documents", "raised", "shared_path", "stage", "table", "text_bytes"]
+__all__ = ["arrow_batches", "documents", "shared_path", "stage", "table", "text_bytes"]
 
 #: Rows and bytes of an Arrow batch sent to Python workers: a task holds a few of these at a time.
 BATCH_ROWS, BATCH_BYTES = 3000, 8 << 20
@@ -29,11 +29,6 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def raised(spark: SparkSession, least: int) -> int:
-    """Partitions for a shuffle: the session's setting, or more where the data need them."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
-
-
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
