@@ -6,6 +6,8 @@ stage's docs. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +15,24 @@ from ridertide.llm import langid, lines, minhash, mixing, packing
 from ridertide.llm.tables import documents, stage, table
 
 
+def with_own_columns(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """step(docs), for an operator that adds columns: the documents' own columns come back whatever their names."""
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang", "source")}
+    out = step(docs.withColumnsRenamed(own))
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter are in no language and go, as do those that no language explains better than
     chance among the learned ones."""
-    found = langid.identified(docs)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(docs.columns)
+    good = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)
+    return with_own_columns(docs, lambda d: langid.identified(d).where(good))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source go; a document of nothing else goes with them."""
-    kept = lines.without_boilerplate(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
-    return kept.select(docs.columns)
+    some = (F.col("n_dropped") == 0) | (F.trim("text") != "")
+    return with_own_columns(docs, lambda d: lines.without_boilerplate(d).where(some))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +50,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out by their rate in the mix of good, poor and toxic text."""
-    copies = stage(mixing.mixed(docs, table(spark, sf_dir, "labels")).select("doc_id", "copies").distinct())
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    copies = mixing.mixed(docs, table(spark, sf_dir, "labels")).select(F.col("doc_id").alias("mixed_id"), "copies").distinct()
+    copies = stage(copies.where("copies > 0"))
+
+    def repeated(d: DataFrame) -> DataFrame:
+        joined = d.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+        return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+
+    return with_own_columns(docs, repeated)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
