@@ -38,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each class of near-duplicates stays."""
     classes = stage(minhash.near_duplicates(docs))
-    drop = classes.where("doc_id <> class_id or (doc_id is null and class_id is not null)").select("doc_id").distinct()
+    drop = classes.where("not (doc_id <=> class_id)").select("doc_id").distinct()
     again = classes.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     kept = docs.join(stage(drop), "doc_id", "left_anti")
     # Rows that share a doc_id are one document.

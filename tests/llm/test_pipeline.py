@@ -28,7 +28,7 @@ def test_stages_on_odd_rows(spark, folder):
         if name == "language":
             assert sorted(str(r) for r in rows) == sorted(str(r) for r in old if any(c.isalpha() for c in r["text"] or ""))
         if name == "lines":
-            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in old}
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in old}, "lines"
         if name == "near_dedup":
             classes = corpus_pipeline.minhash.near_duplicates(before).collect()
             keep = {r["class_id"] for r in classes}
