@@ -24,6 +24,8 @@ class TreeParams:
     row_fraction: float = 1.0
     column_fraction: float = 1.0
     min_rows: int = 1
+    #: Split candidates per feature; at least the number of distinct station codes that should stay apart.
+    bins: int = 256
 
 
 # Candidate grids and meta-layer boosters.

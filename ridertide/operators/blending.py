@@ -100,13 +100,26 @@ class Blend:
 
 
 def gram_sums(table: DataFrame, models: list[str], weight: Column | None = None) -> DataFrame:
-    """Per context value: row count, X'X (upper half) and X'y, weighted if asked."""
+    """Per context value: row count, X'X (upper half) and X'y, weighted if asked.
+
+    Only rows with the target and every model's forecast count, so that all sums cover the same rows.
+    """
     w = F.lit(1.0) if weight is None else weight
     x, y = [F.col(m) for m in models], F.col("y_true")
     pairs = [F.sum(w * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
     moments = [F.sum(w * x[i] * y).alias(f"m{i}") for i in range(len(x))]
     context = F.coalesce(F.col(CONTEXT), F.lit(0)).alias("context")
-    return table.groupBy(context).agg(F.count(F.lit(1)).alias("n"), *pairs, *moments)
+    complete = table.dropna(subset=["y_true", *models])
+    return complete.groupBy(context).agg(F.count(F.lit(1)).alias("n"), *pairs, *moments)
+
+
+def require_forecasts(table: DataFrame, models: list[str]) -> None:
+    """Stop if an expert has no finite forecast for an anchor; the error names the experts and folds."""
+    gaps = [F.count_if(finite(F.col(m)).isNull()).alias(m) for m in models]
+    rows = table.groupBy("fold").agg(*gaps).collect()  # one row per fold: two at most
+    found = [f"{m} in fold {r['fold']}: {r[m]}" for r in sorted(rows, key=lambda r: str(r["fold"])) for m in models if r[m]]
+    if found:
+        raise ValueError("missing forecasts: " + "; ".join(found))
 
 
 def fit_blend(table: DataFrame, models: list[str], least_rows: int, weight: Column | None = None) -> Blend:
@@ -117,7 +130,7 @@ def fit_blend(table: DataFrame, models: list[str], least_rows: int, weight: Colu
         gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
         sums[int(row["context"])] = (row["n"], gram, np.array([row[f"m{i}"] for i in range(k)]))
     if not sums:
-        raise ValueError("no validation rows to fit a blend on")
+        raise ValueError("no validation row has the target and all forecasts of the blend")
     overall = nonnegative_blend(sum(s[1] for s in sums.values()), sum(s[2] for s in sums.values()))
     by_context = {
         c: nonnegative_blend(sums[c][1], sums[c][2]) if c in sums and sums[c][0] >= least_rows else overall
@@ -153,7 +166,10 @@ def select_pool(metrics: DataFrame, baseline: str = "seasonal", tolerance: float
 def meta_features(
     models: list[str], primary: str, context: list[str], extremes: bool = False
 ) -> dict[str, Column]:
-    """Predictions, their differences to the primary, row statistics, and context with missing as 0."""
+    """Predictions, their differences to the primary, row statistics, and context with missing as 0.
+
+    Only context is filled: a row that lacks a forecast keeps NULL there.
+    """
     preds = [F.col(m).cast("double") for m in models]
     out = {f"pred_{m}": p for m, p in zip(models, preds)}
     for m, p in zip(models, preds):
@@ -165,8 +181,8 @@ def meta_features(
     if extremes:
         out["pred_min"], out["pred_max"] = low, high
     out["pred_range"] = high - low
-    filled = {n: F.coalesce(finite(c), F.lit(0.0)) for n, c in out.items()}
-    return {**filled, **{c: F.coalesce(finite(F.col(c)), F.lit(0.0)) for c in context}}
+    made = {n: finite(c) for n, c in out.items()}
+    return {**made, **{c: F.coalesce(finite(F.col(c)), F.lit(0.0)) for c in context}}
 
 
 def with_meta(table: DataFrame, features: dict[str, Column]) -> tuple[DataFrame, list[str]]:

@@ -81,7 +81,7 @@ def rich_features(cfg: SeriesConfig) -> list[str]:
     return [*base_features(cfg), *CONTEXT_FEATURES, *STATISTIC_FEATURES, *WEATHER_FEATURES]
 
 
-# Feature groups behind each context setting, the time group first.
+# Feature groups behind each context setting.
 CONTEXT_GROUPS = {
     "highload_daylag": ("hl_daylag",),
     "continuous_load_score": ("continuous_load_score",),
@@ -90,37 +90,52 @@ CONTEXT_GROUPS = {
 }
 
 
+@dataclass(frozen=True)
+class SetSpec:
+    """What a named feature set holds: the first lags, windows (by place in the settings) of sum and mean, switches."""
+
+    name: str
+    n_lags: int
+    sum_window: int | None = None
+    mean_window: int | None = None
+    day: bool = False
+    regime: bool = False
+
+
+# The single-station feature sets.
+SET_SPECS = (
+    SetSpec("lags_short", 3, 0, 0),
+    SetSpec("lags_hour", 5, 1, 1),
+    SetSpec("lags_day_time", 5, day=True),
+    SetSpec("lags_day_time_ctx", 5, day=True, regime=True),
+    SetSpec("lags_extended", 8, 1, 2, day=True),
+    SetSpec("lags_extended_ctx", 8, 1, 2, day=True, regime=True),
+)
+
+
+def set_columns(spec: SetSpec, cfg: StationConfig) -> tuple[str, ...]:
+    """Columns of one feature set under the settings, each once."""
+    context = cfg.context_features if cfg.boosting_context_features is None else cfg.boosting_context_features
+    columns = [f"lag_{n}" for n in cfg.lags[: spec.n_lags]]
+    if spec.day:
+        columns += [f"lag_{cfg.day_lag}", f"lag_{cfg.day_lag + 1}"]
+        columns += [f"hour_{wave}" for wave in ("sin", "cos") if "hour_cyclical" in context]
+    for kind, window in (("sum", spec.sum_window), ("mean", spec.mean_window)):
+        if window is not None:
+            columns.append(f"roll_{kind}_{cfg.rolls[: window + 1][-1]}")
+    if spec.regime:
+        columns += [c for name, group in CONTEXT_GROUPS.items() if name in context for c in group]
+        columns += [f"roll_std_{cfg.rolls[0]}"] * ("rolling_volatility" in context)
+    return tuple(dict.fromkeys(columns))
+
+
 def feature_sets(cfg: StationConfig) -> dict[str, list[str]]:
     """The named single-station feature sets; a set equal to an earlier one is left out."""
-    lags, rolls = cfg.lags, cfg.rolls
-    chosen = cfg.context_features if cfg.boosting_context_features is None else cfg.boosting_context_features
-    time = ["hour_sin", "hour_cos"] if "hour_cyclical" in chosen else []
-    regime = [c for group, columns in CONTEXT_GROUPS.items() if group in chosen for c in columns]
-    if "rolling_volatility" in chosen:
-        regime.append(f"roll_std_{rolls[0]}")
-
-    def first(n: int) -> list[str]:
-        return [f"lag_{x}" for x in lags[:n]]
-
-    def rolling(sum_at: int, mean_at: int) -> list[str]:
-        last = len(rolls) - 1
-        return [f"roll_sum_{rolls[min(sum_at, last)]}", f"roll_mean_{rolls[min(mean_at, last)]}"]
-
-    day = [f"lag_{cfg.day_lag}", f"lag_{cfg.day_lag + 1}"]
-    sets = {
-        "lags_short": first(3) + rolling(0, 0),
-        "lags_hour": first(5) + rolling(1, 1),
-        "lags_day_time": first(5) + day + time,
-        "lags_day_time_ctx": first(5) + day + time + regime,
-        "lags_extended": first(8) + day + time + rolling(1, 2),
-        "lags_extended_ctx": first(8) + day + time + rolling(1, 2) + regime,
-    }
-    kept: dict[str, list[str]] = {}
-    for name, columns in sets.items():
-        unique = list(dict.fromkeys(columns))
-        if all(set(unique) != set(other) for other in kept.values()):
-            kept[name] = unique
-    return kept
+    by_content = {}
+    for spec in SET_SPECS:
+        columns = set_columns(spec, cfg)
+        by_content.setdefault(frozenset(columns), (spec.name, list(columns)))
+    return dict(by_content.values())
 
 
 def model_inputs(columns: list[str]) -> dict[str, Column]:
@@ -185,6 +200,7 @@ def fit_trees(
         subsamplingRate=params.row_fraction,
         featureSubsetStrategy=str(params.column_fraction) if params.column_fraction < 1 else "all",
         minInstancesPerNode=params.min_rows,
+        maxBins=params.bins,
         seed=seed,
     )
     if weight:

@@ -98,10 +98,20 @@ def load_columns(threshold: Column) -> dict[str, Column]:
     }
 
 
+def known_or_stop(statistic: Column) -> Column:
+    """A statistic of a fold's train targets, or an error that names the fold."""
+    message = F.concat(F.lit("no train target in fold "), F.col("fold"))
+    return F.when(statistic.isNotNull(), statistic).otherwise(F.raise_error(message).cast("double"))
+
+
 def attach_context(folds: DataFrame, cfg: NetworkConfig) -> DataFrame:
-    """Station statistics with global fallback, high-load flags, and ratios to the network."""
+    """Station statistics with global fallback, high-load flags, and ratios to the network.
+
+    A fold without a train target is an error.
+    """
     overall = F.broadcast(global_stats(folds, cfg))  # one row per fold: two at most
-    joined = folds.join(station_stats(folds, cfg), ["fold", "station_key"], "left").join(overall, "fold")
+    joined = folds.join(station_stats(folds, cfg), ["fold", "station_key"], "left").join(overall, "fold", "left")
+    joined = joined.withColumn("global_mean_target", known_or_stop(F.col("global_mean_target")))
     filled = joined.withColumns({s: F.coalesce(F.col(s), F.col(_global_name(s))) for s in STATION_STATS})
     filled = filled.withColumns(load_columns(F.col("station_train_q80_target")))
     relative = {
@@ -111,9 +121,13 @@ def attach_context(folds: DataFrame, cfg: NetworkConfig) -> DataFrame:
 
 
 def attach_series_context(folds: DataFrame, cfg: StationConfig) -> DataFrame:
-    """Single-station context: one threshold per fold. A fold holds at most three train days of one series."""
+    """Single-station context: one threshold per fold. A fold holds at most three train days of one series.
+
+    A fold without a train target is an error.
+    """
     thresholds = _train(folds).groupBy("fold").agg(F.percentile("target_h", cfg.highload_quantile).alias("q_train"))
-    joined = folds.join(F.broadcast(thresholds), "fold")  # one row per fold: two at most
+    joined = folds.join(F.broadcast(thresholds), "fold", "left")  # one row per fold: two at most
+    joined = joined.withColumn("q_train", known_or_stop(F.col("q_train")))
     limit = F.col("q_train")
     columns = {"hl_actual": flag(F.col("target_h") > limit)}
     on_daylag = flag(F.col("target_daylag") > limit)

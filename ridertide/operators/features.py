@@ -107,7 +107,7 @@ def station_codes(stations: DataFrame, counted: DataFrame) -> DataFrame:
         "ST_NAME_SHORT": "station_name_code",
         "LN_NAME_SHORT": "line_name_code",
     }
-    coded = add_codes(present, codes, within=stations)
+    coded = add_codes(present, codes)
     raw_line = F.coalesce(to_long(F.col("LN_CODE")), F.lit(-1))
     return coded.withColumns(
         {
@@ -152,7 +152,7 @@ def network_frame(
     kept = [c for c in (*STATION_NAMES, *extra) if c in static.columns]
     codes = ["station_key_code", "station_name_code", "line_name_code", "station_id_raw", "line_id_raw"]
     static = static.select("station_key", *kept, *codes, "station_code", "line_code")
-    return frame.join(static, "station_key")
+    return frame.join(static, "station_key", "left")
 
 
 def station_frame(counts: DataFrame, cfg: StationConfig, within: tuple[int, int] | None = None) -> DataFrame:

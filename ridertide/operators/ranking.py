@@ -9,45 +9,38 @@ from pyspark.sql import functions as F
 
 from ridertide.session import ensure_checkpoints, stage
 
-# A table of this many keys is ranked by one window; a longer one is ranked by sorted ranges.
-ONE_TASK_KEYS = 200_000
+# Distinct values left when the search for a quantile ends, and parts that each step of it looks at.
+LAST_VALUES, PARTS = 10_000, 64
 
 
 def dense_codes(df: DataFrame, column: str, code: str) -> DataFrame:
     """(column, code): position of each distinct value in sorted order, from 0. NULL gets no code."""
     keys = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    if fits_one_task(keys):
-        return keys.withColumn(code, F.row_number().over(Window.orderBy(column)) - 1)
     return range_codes(keys, column, code)
 
 
-def add_codes(df: DataFrame, pairs: dict[str, str], within: DataFrame | None = None) -> DataFrame:
+def add_codes(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """A dimension table with a dense code column per source column (``pairs``: source to code name).
 
-    ``within`` is a cheaper table that holds at least the rows of ``df``; its size decides how codes are made.
+    NULL is a value of its own and comes last.
     """
-    if fits_one_task(df if within is None else within):
-        ranks = {c: F.dense_rank().over(Window.orderBy(F.col(s).asc_nulls_last())) - 1 for s, c in pairs.items()}
-        return df.withColumns(ranks)
     kept = stage(df)
     for source, code in pairs.items():
-        kept = kept.join(dense_codes(kept, source, code), source, "left")
+        codes = range_codes(kept.select(source).distinct(), source, code)
+        codes = codes.withColumnRenamed(source, "coded_value")
+        kept = kept.join(codes, F.col(source).eqNullSafe(F.col("coded_value")), "left").drop("coded_value")
     return kept
 
 
-def fits_one_task(keys: DataFrame) -> bool:
-    return keys.limit(ONE_TASK_KEYS + 1).count() <= ONE_TASK_KEYS
-
-
 def range_codes(keys: DataFrame, column: str, code: str) -> DataFrame:
-    """The same codes without a single-task sort.
+    """Dense codes of distinct keys, NULL last, without a single-task sort.
 
     Keys are sorted across partitions and pinned by a checkpoint, so partition numbers cannot change on a retry.
     A key's code is its place inside its partition plus the sizes of the partitions before it; only those sizes,
     one per partition, go through one task.
     """
     ensure_checkpoints(keys.sparkSession)
-    placed = keys.orderBy(column).select(
+    placed = keys.orderBy(F.col(column).asc_nulls_last()).select(
         column,
         F.spark_partition_id().alias("part"),
         F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"),
@@ -60,34 +53,51 @@ def range_codes(keys: DataFrame, column: str, code: str) -> DataFrame:
     return joined.select(column, (F.col("offset") + F.col("place")).cast("int").alias(code))
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: list[float], accuracy: int = 10_000) -> list[float | None]:
+def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
     """Exact linearly interpolated quantiles of one column in bounded memory.
 
-    Up to ``accuracy`` values are taken directly. Beyond that a mergeable sketch brackets each wanted rank (its rank
-    error is at most n / accuracy, the brackets are three times as wide), and only distinct values inside a bracket
-    are sorted. Ties cost nothing and no task holds the column.
+    Values are tallied once. Each wanted rank is then narrowed down: cuts from a sketch of the distinct values divide
+    the range, the tallies of the parts tell which one holds the rank, and so on until few distinct values are left.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    margin = 3.0 / accuracy
-    cuts = [p + d for p in probs for d in (-margin, margin)]
-    inner = [min(max(c, 0.0), 1.0) for c in cuts]
-    n, marks = values.agg(F.count("v"), F.percentile_approx("v", inner, accuracy)).first()
+    tallied = stage(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    n = tallied.agg(F.sum("n")).first()[0]
     if not n:
         return [None] * len(probs)
-    if n <= accuracy:
-        return list(values.agg(F.percentile("v", probs)).first()[0])
-    marks = [-math.inf if c <= 0 else math.inf if c >= 1 else m for c, m in zip(cuts, marks)]
-    brackets = list(zip(marks[::2], marks[1::2]))
-    tallied = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    below = [F.sum(F.when(F.col("v") < low, F.col("n")).otherwise(0)) for low, _ in brackets]
-    offsets = tallied.agg(*below).first()
     out = []
-    for p, (low, high), offset in zip(probs, brackets, offsets):
+    for p in probs:
         rank = p * (n - 1)
         k = math.floor(rank)
-        running = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + offset
-        ranked = tallied.filter(F.col("v").between(low, high)).select("v", running.alias("upto"))
-        at = [F.min(F.when(F.col("upto") > k + i, F.col("v"))) for i in (0, 1)]
-        lower, upper = ranked.agg(*at).first()
+        lower, upper = values_at(tallied, k)
         out.append(lower if rank == k else lower + (upper - lower) * (rank - k))
     return out
+
+
+def values_at(tallied: DataFrame, k: int) -> tuple[float, float | None]:
+    """The values at ranks k and k + 1, counted from 0, of values v that occur n times."""
+    low, high, below = -math.inf, math.inf, 0  # the ranks lie in low < v <= high, with ``below`` rows before
+    while True:
+        inside = tallied.filter(((F.col("v") > low) | F.lit(math.isinf(low))) & (F.col("v") <= high))
+        shares = [i / PARTS for i in range(1, PARTS)]
+        distinct, marks = inside.agg(F.count("v"), F.percentile_approx("v", shares, 100 * PARTS)).first()
+        cuts = sorted(set(marks) | {high})
+        if distinct <= LAST_VALUES or len(cuts) < 3:
+            found = [None, None]
+            for v, n in inside.orderBy("v").select("v", "n").toLocalIterator():
+                below += n
+                found = [v if x is None and below > k + i else x for i, x in enumerate(found)]
+                if found[1] is not None:
+                    break
+            return tuple(found)
+        part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v")))
+        sums = dict(inside.groupBy(part.alias("part")).agg(F.sum("n")).collect())
+        first = last = None
+        before = running = below
+        for i in range(len(cuts)):
+            running += sums.get(i, 0)
+            if first is None and running > k:
+                first, before = i, running - sums.get(i, 0)
+            if last is None and running > k + 1:
+                last = i
+        last = len(cuts) - 1 if last is None else last
+        low, high, below = (low if first == 0 else cuts[first - 1]), cuts[last], before

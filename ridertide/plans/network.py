@@ -104,6 +104,7 @@ def run_network(
     table = expert_table(rows, attached, cfg)
     validation = table.filter(F.col("fold") == folds.TUNE)
     experts = [m for m in EXPERTS if m in table.columns]
+    blending.require_forecasts(table, experts)
 
     scores = stage(metrics.micro_metrics(validation, experts, cfg.load_gamma))
     pool = blending.select_pool(scores, "seasonal", cfg.pool_tolerance)

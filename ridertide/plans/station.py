@@ -73,6 +73,7 @@ def run_station(counts: DataFrame, cfg: StationConfig) -> StationResult:
         table = forecasts.add_expert(table, df, name, keys, None)
     table = stage(table)
     experts = [m for m in EXPERTS if m in table.columns]
+    blending.require_forecasts(table, experts)
     validation, test = (table.filter(F.col("fold") == f) for f in (folds.TUNE, folds.FULL))
 
     ranking = stage(metrics.series_metrics(validation, experts, cfg.load_gamma))

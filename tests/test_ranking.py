@@ -12,25 +12,31 @@ def test_range_codes_equal_window_codes(spark):
     assert got == {k: i for i, k in enumerate(ordered)}
 
 
-def test_codes_beyond_one_task(spark, monkeypatch):
-    df = spark.createDataFrame([("b", "y"), ("a", "x"), ("c", "y")], "k string, g string")
-    small = {tuple(r) for r in ranking.add_codes(df, {"k": "ck", "g": "cg"}).select("k", "ck", "cg").collect()}
-    monkeypatch.setattr(ranking, "ONE_TASK_KEYS", 1)
-    large = {tuple(r) for r in ranking.add_codes(df, {"k": "ck", "g": "cg"}).select("k", "ck", "cg").collect()}
-    assert small == large == {("a", 0, 0), ("b", 1, 1), ("c", 2, 1)}
-
-
-@pytest.mark.parametrize("kind", ["heavy", "ties", "few"])
-def test_exact_quantiles(spark, kind):
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_codes_with_missing_values(spark, partitions):
+    rows = [("b", "y"), ("a", "x"), ("c", None), ("d", "y"), (None, "x"), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, g string").repartition(partitions)
+    got = {tuple(r) for r in ranking.add_codes(df, {"k": "ck", "g": "cg"}).select("k", "ck", "cg").collect()}
+    assert got == {("a", 0, 0), ("b", 1, 1), ("c", 2, 2), ("d", 3, 1), ("e", 4, 2), (None, 5, 0)}
+    codes = {tuple(r) for r in ranking.dense_codes(df, "g", "code").collect()}
+    assert codes == {("x", 0), ("y", 1)}
+
+
+@pytest.mark.parametrize("last", [ranking.LAST_VALUES, 3])
+@pytest.mark.parametrize("kind", ["heavy", "ties", "few", "one", "signed"])
+def test_exact_quantiles(spark, kind, last, monkeypatch):
+    monkeypatch.setattr(ranking, "LAST_VALUES", last)
     rng = np.random.default_rng(4)
     values = {
-        "heavy": np.concatenate([rng.normal(0, 1, 30_000), rng.normal(0, 1e6, 30)]),
-        "ties": np.repeat([0.0, 0.0, 1.0, 5.0], 6_000),
+        "heavy": np.concatenate([rng.normal(0, 1, 4_000), rng.normal(0, 1e6, 30)]),
+        "ties": np.repeat([0.0, 0.0, 1.0, 5.0], 1_000),
         "few": rng.normal(0, 1, 37),
+        "one": np.array([4.0]),
+        "signed": np.round(rng.normal(0, 3, 3_000)),
     }[kind]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(7)
-    probs = [0.0, 0.05, 0.1, 0.5, 0.8, 0.9, 0.95, 1.0]
-    got = ranking.exact_quantiles(df, "v", probs, accuracy=1000)
+    probs = [0.0, 0.05, 0.5, 0.8, 0.95, 1.0]
+    got = ranking.exact_quantiles(df, "v", probs)
     np.testing.assert_allclose(got, np.quantile(values, probs), rtol=1e-12, atol=1e-12)
 
 

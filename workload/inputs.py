@@ -14,16 +14,16 @@ from ridertide.operators.forecasts import anchors, seasonal_naive
 from ridertide.operators.stations import place_map, station_maps
 from ridertide.session import stage
 
-FEW_TREES = (TreeParams(8, 0.1, 3), TreeParams(12, 0.1, 4))
+# Three candidates as in the default grids, with few rounds: the defaults take hours in one process.
+FEW_TREES = (TreeParams(8, 0.1, 3), TreeParams(12, 0.1, 4), TreeParams(16, 0.1, 4))
 
 NETWORK = NetworkConfig(
     name="network_60m_180m",
     bucket_minutes=60,
     horizon_minutes=180,
     line_codes=None,
-    n_bootstrap=200,
     tree_grid=FEW_TREES,
-    residual_trees=TreeParams(8, 0.1, 2),
+    top_k=2,
 )
 STATION = StationConfig(
     name="series_60m_180m",
@@ -34,9 +34,7 @@ STATION = StationConfig(
     lag_minutes=(60, 120, 180, 240, 360, 720, 1440, 1500, 2880),
     rolling_minutes=(60, 120, 180, 240, 360),
     context_features=RICH_CONTEXT,
-    n_bootstrap=200,
-    tree_grid=FEW_TREES[:1],
-    meta_trees=TreeParams(8, 0.1, 1),
+    tree_grid=FEW_TREES,
 )
 
 # A sequence window that stations starting after the first fold day are too short for.

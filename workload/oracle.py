@@ -259,14 +259,15 @@ CTES["s_rows"] = "SELECT *, row_number() OVER (PARTITION BY model ORDER BY t) -
 CTES["s_size"] = "SELECT count(*) AS n FROM s_test"
 CTES["s_blocks"] = f"""
     SELECT rep, block, {draw_sql("rep", "block", STATION.seed, f"n - {BLOCK} + 1")} AS start, n
-    FROM s_size, range({STATION.n_bootstrap}) a(rep), range(1000) b(block)
-    WHERE block * {BLOCK} < n"""
+    FROM (SELECT rep, n, unnest(range((n + {BLOCK} - 1) // {BLOCK})) AS block
+          FROM s_size, range({STATION.n_bootstrap}) a(rep))"""
 CTES["s_places"] = f"""
     SELECT rep, start + k AS i FROM s_blocks, range({BLOCK}) c(k) WHERE block * {BLOCK} + k < n"""
 CTES["s_drawn"] = "SELECT rep, s.* FROM s_places p JOIN s_rows s USING (i)"
 CTES["s_reps"] = _series_metrics("s_drawn", "rep, model")
 
-# Closed forms for two forecasts.
+# Closed forms for two forecasts. With gaps, one of them is missing at some hours.
+GAP_SQL = "hour(t) % 3 = 0"
 CTES["gram_all"] = """
     SELECT CASE WHEN ctx.c IS NULL THEN -1 ELSE ctx.c END AS c, count(*) AS n, sum(seasonal * seasonal) AS a,
            sum(seasonal * recent) AS b, sum(recent * recent) AS d, sum(seasonal * y_true) AS p, sum(recent * y_true) AS q
@@ -296,7 +297,9 @@ def _shares(weights: str) -> str:
                CASE WHEN u + v > 0 THEN v / (u + v) ELSE 0.5 END AS v FROM {weights}"""
 
 
-for _name, _gram in (("", "gram_all"), ("_lw", "gram_lw")):
+CTES["gram_gaps"] = CTES["gram_all"].replace("WHERE ctx", f"WHERE ({GAP_SQL}) IS FALSE AND (ctx").replace(" GROUP BY", ") GROUP BY")
+
+for _name, _gram in (("", "gram_all"), ("_lw", "gram_lw"), ("_gaps", "gram_gaps")):
     CTES[f"raw_weights{_name}"] = _pair_weights(_gram)
     CTES[f"shares{_name}"] = _shares(f"raw_weights{_name}")
     CTES[f"blended{_name}"] = f"""
@@ -434,6 +437,10 @@ BODIES = {
         {_rounded(['weather_temperature_2m', 'weather_wind_speed_10m'])}
         FROM frame JOIN stations USING (station_key) JOIN structure USING (station_key) JOIN codes USING (station_key)
         LEFT JOIN weather ON weather_hour = date_trunc('hour', t)""",
+    "partial_map_frame": f"""SELECT station_key, {T}, target_h, st_name AS ST_NAME,
+        coalesce(n_place_ids, -1) AS n_place_ids, coalesce(line_n_stations, -1) AS line_n_stations
+        FROM frame LEFT JOIN (SELECT * FROM stations JOIN structure USING (station_key) WHERE ln_name <> 'ASIA')
+        USING (station_key)""",
     "single_series_frame": f"""SELECT {T}, cnt AS count, t::DATE::VARCHAR AS calendar_date, {CAL},
         date::VARCHAR AS operational_date, {_rounded(SERIES_COLUMNS)} FROM s_frame""",
     "sequence_windows": f"""SELECT station_key, {T}, target_h, history FROM (
@@ -464,6 +471,7 @@ BODIES = {
     "unreached_anchors": f"""SELECT fold, station_key, {T} FROM seasonal_table
         WHERE (fold, station_key, t) NOT IN (SELECT (fold, station_key, t) FROM seq_long WHERE role = 'eval')""",
     "blend_static": f"SELECT station_key, {T}, {_rounded(['pred'])} FROM blended",
+    "blend_gaps": f"SELECT station_key, {T}, {_rounded(['pred', 'pred_context'])} FROM blended_gaps",
     "blend_context": f"SELECT station_key, {T}, {r('pred_context', 'pred')} FROM blended",
     "blend_weighted": f"SELECT station_key, {T}, {_rounded(['pred', 'pred_context'])} FROM blended_lw",
     "meta_features": f"""SELECT station_key, {T}, {r('seasonal', 'pred_seasonal')}, {r('recent', 'pred_recent')},

@@ -167,6 +167,15 @@ def supervised_frame(spark, folder):
     return features.network_frame(inputs.counts(spark, folder), stations, NETWORK, weather).drop("step")
 
 
+@query
+def partial_map_frame(spark, folder):
+    """Stations that the map lacks keep their rows, without static columns."""
+    stations = inputs.maps(spark, folder)[0].filter("LN_NAME <> 'ASIA'")
+    frame = features.network_frame(inputs.counts(spark, folder), stations, NETWORK)
+    filled = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("n_place_ids", "line_n_stations")]
+    return frame.select("station_key", TIME, "target_h", "ST_NAME", *filled)
+
+
 @query
 def single_series_frame(spark, folder):
     return features.station_frame(inputs.total_counts(spark, folder), STATION).drop("step")
@@ -306,6 +315,15 @@ def blend_static(spark, folder):
     return test.select("station_key", TIME, blend.static().alias("pred"))
 
 
+@query
+def blend_gaps(spark, folder):
+    """Weights from the complete rows where one forecast is missing at every third hour."""
+    validation, test = _two_parts(spark, folder)
+    partly = F.when(F.hour(TIME) % 3 != 0, F.col("recent"))
+    blend = blending.fit_blend(validation.withColumn("recent", partly), PAIR, blending.network_least_rows(PAIR))
+    return test.select("station_key", TIME, blend.static().alias("pred"), blend.contextual().alias("pred_context"))
+
+
 @query
 def blend_context(spark, folder):
     validation, test = _two_parts(spark, folder)
