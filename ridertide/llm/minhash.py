@@ -5,9 +5,11 @@ occurs). An element with weight w arrives at registers as a Poisson process of r
 keeps its first arrival. Elements stop as soon as their next arrival is later than all registers of the text, so most
 need one. Two registers agree with the probability Jaccard similarity of the texts.
 
-Texts that agree in a band are linked to a few leaders of the band's bucket and, once those links have formed classes,
-to the members of other classes in the bucket; no link inside a class is looked for twice. A pair counts if the exact
-Jaccard similarity of the shingle sets is at least SIMILARITY.
+Texts that agree in a band share a bucket. Each is first compared with its bucket's leader, the member that meets most
+texts in all its buckets. Where those links leave several classes in a bucket, members of the smaller classes are then
+compared with all members of other classes, in blocks of at most BLOCK by BLOCK texts; only links leave a block, and no
+link inside a class is looked for twice. A pair counts if the exact Jaccard similarity of the shingle sets is at least
+SIMILARITY.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,8 @@ from ridertide.llm.tables import arrow_batches, stage
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the threshold misses all bands with probability (1 - 0.8 ** 6) ** 40, five in a million.
 BANDS, ROWS = 40, 6
-#: Orders by which buckets choose their leaders.
-LEADERS = 3
+#: Texts on each side of a comparison in one task; shingles that are looked at together.
+BLOCK, COLUMNS = 512, 4096
 
 
 def shingles(texts: pa.Array, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,13 +142,59 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def members_of(elements: pa.ChunkedArray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in `common`) of the shingles that are in `common`, and the size of each set."""
+    data, offsets = flat(elements)
+    hashed = np.frombuffer(data.tobytes(), np.uint64)
+    sizes = np.diff(offsets) // 8
+    place = np.minimum(np.searchsorted(common, hashed), max(len(common) - 1, 0))
+    hit = common[place] == hashed if len(common) else np.zeros(len(hashed), bool)
+    return np.repeat(np.arange(len(sizes)), sizes)[hit], place[hit], sizes
+
+
+def linked(rows: pa.Table, similarity: float) -> pa.Table:
+    """The links between the probes and the targets of a block, other than those inside a class."""
+    sides = [rows.filter(pa.compute.equal(rows.column("side"), k)) for k in (0, 1)]
+    sets = [np.frombuffer(flat(x.column("elements"))[0].tobytes(), np.uint64) for x in sides]
+    common = np.intersect1d(*sets)
+    (p, at_p, n), (q, at_q, m) = (members_of(x.column("elements"), common) for x in sides)
+    met = np.zeros((len(n), len(m)), np.float32)
+    order_p, order_q = np.argsort(at_p, kind="stable"), np.argsort(at_q, kind="stable")
+    p, at_p, q, at_q = p[order_p], at_p[order_p], q[order_q], at_q[order_q]
+    for first in range(0, len(common), COLUMNS):
+        x, y = np.zeros((len(n), COLUMNS), np.float32), np.zeros((len(m), COLUMNS), np.float32)
+        for to, of, at in ((x, p, at_p), (y, q, at_q)):
+            i, j = np.searchsorted(at, [first, first + COLUMNS])
+            to[of[i:j], at[i:j] - first] = 1
+        met += x @ y.T
+    union = n[:, None] + m[None, :] - met
+    classes = [x.column("class_id").to_numpy() for x in sides]
+    i, j = np.nonzero((met >= similarity * union) & (classes[0][:, None] != classes[1][None, :]))
+    ids = [x.column("doc_id").to_numpy() for x in sides]
+    return pa.table({"a": ids[0][i], "b": ids[1][j]})
+
+
+def across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between the classes of each bucket. placed: bucket, doc_id, class_id."""
+    sizes = placed.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "class_id")).alias("most"))
+    buckets = buckets.where("all > most.n").select(
+        "bucket",
+        F.col("most.class_id").alias("largest"),
+        F.ceil((F.col("all") - F.col("most.n")) / BLOCK).alias("probes"),
+        F.ceil(F.col("all") / BLOCK).alias("targets"),
+    )
+    rows = placed.join(buckets, "bucket").join(sets, "doc_id")
+    own = lambda count: F.pmod(F.xxhash64("doc_id"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    kept = ["bucket", "doc_id", "class_id", "elements"]
+    probe = rows.where("class_id <> largest").select(*kept, own("probes").alias("k"), every("targets").alias("j"), F.lit(0).alias("side"))
+    target = rows.select(*kept, every("probes").alias("k"), own("targets").alias("j"), F.lit(1).alias("side"))
 
+    def compare(block: pa.Table) -> pa.Table:
+        return linked(block, similarity)
 
-def sized(similarity: float) -> str:
-    """Sets that are alike have about as many elements."""
-    return f"least(n, m) >= {similarity} * greatest(n, m)"
+    return probe.unionByName(target).groupBy("bucket", "k", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -163,32 +212,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     copies = known.groupBy("digest").agg(F.min("doc_id").alias("first"))
     texts = known.join(copies, "digest").where("doc_id = first")
     members = stage(texts.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
-    # Buckets of two texts or more, each with leaders by a few orders.
-    leaders = members.groupBy("bucket").agg(
-        F.count("*").alias("size"),
-        F.array_distinct(F.array(*[F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id", F.lit(k))) for k in range(LEADERS)])).alias("leaders"),
-    )
-    shared = members.join(leaders.where("size > 1"), "bucket")
-    shared = stage(shared.select("bucket", "doc_id", "n", F.col("leaders")))
-    star = shared.select("doc_id", "n", F.explode("leaders").alias("leader"))
-    star = star.select("doc_id", "n", F.col("leader.doc_id").alias("leader"), F.col("leader.n").alias("m"))
-    star = star.where("doc_id <> leader").where(sized(similarity)).select(*ordered("doc_id", "leader")).distinct()
-    star = stage(star)
-    # The shingles of texts that share a bucket with a text of about their size.
-    wanted = shared.select("doc_id").distinct()
-    sets = stage(shingle_sets(docs.join(stage(wanted), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-    first = stage(verified(star, sets, similarity))
-    classes = components(first)
-    # Members of a bucket that are in different classes by now.
-    placed = shared.select("bucket", "doc_id", "n").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    mixed_ = placed.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi")
-    placed = stage(placed.join(mixed_.select("bucket"), "bucket"))
-    other = placed.select("bucket", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("class_id").alias("other_class"))
-    across = placed.join(other, "bucket").where("doc_id < other and class_id <> other_class").where(sized(similarity))
-    across = across.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    across = across.join(star, ["a", "b"], "left_anti")
-    links = first.unionByName(verified(across, sets, similarity))
+    members = texts.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    members = stage(members)
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stage(members.join(sizes, "bucket"))
+    # The sets of all texts that share a bucket.
+    degrees = stage(shared.groupBy("doc_id").agg(F.sum("size").alias("degree")))
+    sets = stage(shingle_sets(docs.join(degrees, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    ranked = shared.join(degrees, "doc_id")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("degree", F.bitwise_not("doc_id"), "doc_id", "n")).alias("leader"))
+    star = shared.join(leaders, "bucket").select("doc_id", "n", F.col("leader.doc_id").alias("leader"), F.col("leader.n").alias("m"))
+    # Sets that are alike have about as many elements.
+    star = star.where("doc_id <> leader").where(f"least(n, m) >= {similarity} * greatest(n, m)")
+    star = star.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
+    classes = components(verified(star, sets, similarity))
+    placed = shared.select("bucket", "doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = stage(placed.withColumn("class_id", F.coalesce("class_id", "doc_id")))
+    links = across(placed, sets, similarity).unionByName(classes.select(F.col("node").alias("a"), F.col("class_id").alias("b")))
     copy_links = known.join(copies, "digest").where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = components(links.unionByName(copy_links))
     result = known.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
