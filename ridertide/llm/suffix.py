@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridertide.llm.arrays import flat, mixed, ranges
-from ridertide.llm.tables import arrow_batches, shared_path, stage, text_bytes
+from ridertide.llm.tables import arrow_batches, release, shared_path, stage, text_bytes
 
 LENGTH, PROBE = 50, 32
 #: Text for each shard and for each range of hashes: what a task holds.
@@ -154,11 +154,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np
         done = live[~same]
         # The last eight bytes: those before the first difference, not past the end.
         rest = x[~same]
-        equal = np.full(len(rest), 8, np.int64)
-        for k in range(7, -1, -1):
-            equal[(rest >> np.uint64(8 * (7 - k))) & np.uint64(0xFF) != 0] = np.minimum(equal[(rest >> np.uint64(8 * (7 - k))) & np.uint64(0xFF) != 0], k)
+        # Without the bit below it, the highest bit isn't rounded up.
+        highest = np.frexp((rest & ~(rest >> np.uint64(1))).astype(np.float64))[1]
         left = np.minimum(n - a[done], n - b[done])
-        step = np.minimum(equal, np.maximum(left, 0))
+        step = np.minimum((64 - highest) // 8, np.maximum(left, 0))
         a[done] += step
         b[done] += step
         live = live[same]
@@ -471,15 +470,18 @@ def removed(docs: DataFrame, shard_bytes: int = SHARD_BYTES, range_bytes: int =
     by_shard = texts.groupBy("shard")
     arrays = by_shard.cogroup(copies.groupBy("shard")).applyInArrow(probed, ROW)
     met = stage(arrays.groupBy("part").applyInArrow(met_elsewhere, ROW))
+    release(spark)
     told = met.select("shard", "part", "body", F.lit(None).cast("long").alias("doc_id")).unionByName(
         copies.select("shard", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("body"), "doc_id")
     )
     path = shared_path(spark, "strings")
     found = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(sorted_, STAGED)
     found.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    release(spark)
     found = spark.read.schema(STAGED).parquet(path)
     strings = found.where("kind = 0").drop("kind")
     decided = stage(strings.groupBy("part").applyInArrow(smaller_elsewhere, ROW))
+    release(spark)
     open_ = found.where("kind = 1").drop("kind")
     closed = open_.groupBy("shard").cogroup(decided.groupBy("shard")).applyInArrow(dropped, DONE)
     done = found.where("kind = 2").select(F.col("part").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

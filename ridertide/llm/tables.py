@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridertide.session import stage, stage_folder
 
-__all__ = ["arrow_batches", "documents", "shared_path", "stage", "table", "text_bytes"]
+__all__ = ["arrow_batches", "documents", "release", "shared_path", "stage", "table", "text_bytes"]
 
 #: Rows and bytes of an Arrow batch sent to Python workers: a task holds a few of these at a time.
 BATCH_ROWS, BATCH_BYTES = 3000, 8 << 20
@@ -37,3 +38,9 @@ def text_bytes(docs: DataFrame) -> int:
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path for files of one run, in the folder that all executors share."""
     return f"{stage_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver drops their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
