@@ -104,7 +104,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     are split by the rank of the suffix 8, 16, 32, ... bytes on; groups of one are left alone."""
     n = len(data)
     keys = eights(data)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     rank = np.empty(n, np.int64)
@@ -119,10 +119,11 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group = rank[suffixes]
         # What ends sooner comes first.
         after = np.where(suffixes + h < n, rank[np.minimum(suffixes + h, n - 1)], n - 1 - suffixes - h)
-        new = np.lexsort([after, group])
-        suffixes, group, after = suffixes[new], group[new], after[new]
+        both = group * (2 * n + h) + (after + n + h)
+        new = np.argsort(both)
+        suffixes, both = suffixes[new], both[new]
         order[places] = suffixes
-        first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
         sizes = np.diff(np.r_[first, len(places)])
         rank[suffixes] = np.repeat(places[first + sizes - 1], sizes)
         places = places[np.repeat(sizes > 1, sizes)]
