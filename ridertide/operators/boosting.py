@@ -220,6 +220,10 @@ class Expert:
     scores: DataFrame
     chosen: list[str]
 
+    def candidates(self, name: str) -> DataFrame:
+        """(expert, model, scores..., chosen): one row for each candidate."""
+        return self.scores.select(F.lit(name).alias("expert"), "*", F.col("model").isin(self.chosen).alias("chosen"))
+
 
 def tree_expert(
     folds: DataFrame,

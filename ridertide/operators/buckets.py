@@ -30,6 +30,14 @@ def series_counts(events: DataFrame, cfg: SeriesConfig) -> DataFrame:
     return counted.select(_bucket_step(cfg), "count")
 
 
+def rolled_up(counts: DataFrame, minutes: int, cfg: SeriesConfig) -> DataFrame:
+    """Counts of one series at ``minutes`` summed to the settings' coarser buckets."""
+    if cfg.bucket_minutes % minutes:
+        raise ValueError(f"{minutes}-minute counts don't add up to {cfg.bucket_minutes} minutes")
+    step = F.floor(F.col("step") / F.lit(cfg.bucket_minutes // minutes)).cast("bigint").alias("step")
+    return counts.groupBy(step).agg(F.sum("count").alias("count"))
+
+
 def _bucket_start(cfg: SeriesConfig) -> Column:
     """Bucket of an event: plain arithmetic on the stored value. Calendar fields are read after counting."""
     return F.window("TRAN_DATE", f"{cfg.bucket_minutes} minutes")["start"].alias("bucket")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,9 @@ class NetworkResult:
     metric_ci: DataFrame
     delta_ci: DataFrame
     stations: DataFrame
+    #: Scores of all boosted candidates, and the anchors per expert, fold and station that took the fallback.
+    candidates: DataFrame | None = None
+    fallbacks: DataFrame | None = None
     terms: dict[str, DataFrame] = field(default_factory=dict)
 
     def validation(self) -> DataFrame:
@@ -76,24 +80,40 @@ def fold_tables(
     return rows, stage(context.attach_context(folds.clip_per_day(rows, cfg), cfg))
 
 
-def expert_table(rows: DataFrame, attached: DataFrame, cfg: NetworkConfig) -> DataFrame:
-    """Evaluation anchors with one column per expert."""
+def expert_table(
+    rows: DataFrame, attached: DataFrame, cfg: NetworkConfig
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(evaluation anchors with one column per expert, candidate scores, anchors that took the fallback)."""
     table = forecasts.anchors(attached).withColumn("seasonal", forecasts.seasonal_naive(cfg))
     found: dict[str, DataFrame] = {}
+    candidates, missed = None, []
     if cfg.run_smoothing:
         found["smoothing"] = holt_winters(rows, cfg)
     if cfg.run_trees:
         base, rich = boosting.base_features(cfg), boosting.rich_features(cfg)
-        found["trees_base"] = boosting.network_trees(attached, base, cfg, "trees_base").forecasts
-        found["trees_rich"] = boosting.network_trees(attached, rich, cfg, "trees_rich").forecasts
-        found["trees_base_norm"] = boosting.normalized_trees(attached, base, cfg, "trees_base_norm").forecasts
-        found["trees_rich_norm"] = boosting.normalized_trees(attached, rich, cfg, "trees_rich_norm").forecasts
+        fits = {
+            "trees_base": boosting.network_trees(attached, base, cfg, "trees_base"),
+            "trees_rich": boosting.network_trees(attached, rich, cfg, "trees_rich"),
+            "trees_base_norm": boosting.normalized_trees(attached, base, cfg, "trees_base_norm"),
+            "trees_rich_norm": boosting.normalized_trees(attached, rich, cfg, "trees_rich_norm"),
+        }
+        found.update({name: fit.forecasts for name, fit in fits.items()})
+        candidates = union_all([fit.candidates(name) for name, fit in fits.items()])
     if cfg.run_sequence:
         found["sequence"] = pooled_autoregression(rows, cfg, cfg.seq_window)
     for name, df in found.items():
         fallback = None if name.startswith("trees") else F.col("seasonal")
+        if fallback is not None:
+            missed.append(forecasts.unreached(table, df, KEYS).withColumn("expert", F.lit(name)))
         table = forecasts.add_expert(table, df, name, KEYS, fallback)
-    return stage(table)
+    fallbacks = None
+    if missed:
+        fallbacks = union_all(missed).groupBy("expert", "fold", "station_key").agg(F.count(F.lit(1)).alias("anchors"))
+    return stage(table), candidates, fallbacks
+
+
+def union_all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def run_network(
@@ -101,7 +121,7 @@ def run_network(
 ) -> NetworkResult:
     spark = counts.sparkSession
     rows, attached = fold_tables(counts, stations, cfg, weather)
-    table = expert_table(rows, attached, cfg)
+    table, candidates, fallbacks = expert_table(rows, attached, cfg)
     validation = table.filter(F.col("fold") == folds.TUNE)
     experts = [m for m in EXPERTS if m in table.columns]
     blending.require_forecasts(table, experts)
@@ -149,6 +169,8 @@ def run_network(
             "mode", "baseline", "metric", F.col("delta_estimate").desc()
         ),
         stations=stations,
+        candidates=candidates,
+        fallbacks=fallbacks,
         terms=terms,
     )
 
@@ -178,8 +200,10 @@ def _residual_models(spark, scored, validation, pool, primary, cfg):
 
 def save_network(result: NetworkResult, folder: str) -> dict[str, str]:
     """Metric, interval, prediction and station tables as CSV."""
+    extra = {"candidate_scores": result.candidates, "fallback_stations": result.fallbacks}
     return write_csv_tables(
         {
+            **{name: table for name, table in extra.items() if table is not None},
             "micro_metrics": result.micro,
             "macro_metrics": result.macro,
             "station_bootstrap_metric_ci": result.metric_ci,

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import gcd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridertide.config import StationConfig
 from ridertide.operators import blending, bootstrap, boosting, context, folds, forecasts, metrics
-from ridertide.operators.buckets import series_counts
+from ridertide.operators.buckets import rolled_up, series_counts
 from ridertide.operators.features import station_frame
 from ridertide.operators.sequence import pooled_autoregression
 from ridertide.operators.smoothing import holt_winters
@@ -34,6 +35,7 @@ class StationResult:
     delta_ci: DataFrame
     profile: DataFrame
     blend_deltas: DataFrame
+    candidates: DataFrame
     terms: dict[str, DataFrame] = field(default_factory=dict)
 
     def validation(self) -> DataFrame:
@@ -63,10 +65,8 @@ def run_station(counts: DataFrame, cfg: StationConfig) -> StationResult:
 
     keys = ["fold", "step"]
     table = forecasts.anchors(attached)
-    found = {
-        "smoothing": holt_winters(rows, cfg, (), floor=False),
-        "trees": boosting.station_trees(attached, cfg).forecasts,
-    }
+    trees = boosting.station_trees(attached, cfg)
+    found = {"smoothing": holt_winters(rows, cfg, (), floor=False), "trees": trees.forecasts}
     if cfg.run_sequence:
         found["sequence"] = pooled_autoregression(rows, cfg, cfg.seq_window, ())
     for name, df in found.items():
@@ -115,6 +115,7 @@ def run_station(counts: DataFrame, cfg: StationConfig) -> StationResult:
         delta_ci=bootstrap.delta_intervals(reps, points, [best_base]),
         profile=folds.split_profile(attached, cfg.time_col, None),
         blend_deltas=metrics.blend_deltas(summary, experts, [m for m in BLENDS if m in models]),
+        candidates=trees.candidates("trees"),
         terms=terms,
     )
 
@@ -149,16 +150,22 @@ def save_station(result: StationResult, folder: str) -> dict[str, str]:
         "validation_predictions": result.validation(),
         "split_profile": result.profile,
         "blend_deltas": result.blend_deltas,
+        "candidate_scores": result.candidates,
     }
     tables.update({name: metrics.top_terms(t, t.columns[1], 20, name.endswith("coef")) for name, t in result.terms.items()})
     return write_csv_tables(tables, folder)
 
 
 def run_sweep(events: DataFrame, configs: list[StationConfig]) -> tuple[DataFrame, dict[str, StationResult]]:
-    """Each configuration in turn over the same events, and the best model of each."""
+    """Each configuration in turn, and the best model of each.
+
+    Events are counted once, at the largest bucket size that divides all others; each configuration sums these counts.
+    """
     boards, results = None, {}
+    finest = gcd(*[cfg.bucket_minutes for cfg in configs])
+    counted = stage(series_counts(events, configs[0].but(bucket_minutes=finest, horizon_minutes=finest)))
     for cfg in configs:
-        result = results[cfg.name] = run_station_events(events, cfg)
+        result = results[cfg.name] = run_station(rolled_up(counted, finest, cfg), cfg)
         board = result.summary.select(
             F.lit(cfg.name).alias("config_name"),
             F.lit(cfg.bucket_minutes).alias("bucket_minutes"),

@@ -59,6 +59,10 @@ def test_network_run(spark, files, tmp_path):
     baselines = {r[0] for r in result.delta_ci.select("baseline").distinct().collect()}
     assert baselines == set(network.EXPERTS) - {"sequence"}
     assert len(result.terms) == 4
+    scores = result.candidates.collect()
+    assert {r["expert"] for r in scores} == {m for m in network.EXPERTS if m.startswith("trees")}
+    assert all(sum(r["chosen"] for r in scores if r["expert"] == m) == cfg.top_k for m in {r["expert"] for r in scores})
+    assert {r["expert"] for r in result.fallbacks.collect()} <= {"smoothing", "sequence"}
     paths = network.save_network(result, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(paths["test_predictions"]).count() == n * 21
 
@@ -81,6 +85,7 @@ def test_station_run_and_sweep(spark, files, tmp_path):
     assert result.delta_ci.filter(F.col("baseline") != result.best_base).count() == 0
     assert result.blend_deltas.count() == len(station.BLENDS)
     assert result.profile.count() == 4
+    assert result.candidates.filter("chosen").count() == cfg.top_k
     paths = station.save_station(result, str(tmp_path))
     assert "residual_linear_coef" in paths and "summary_table" in paths
 

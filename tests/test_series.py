@@ -125,3 +125,15 @@ def test_one_shuffle_and_one_sort_for_all_windows(spark):
     assert sum("REPARTITION_BY_COL" in line for line in plan) == 1
     below = kinds[kinds.index("Sort") :]
     assert "Window" not in below and sum(k == "Exchange" for k in kinds) == 2  # the other one is the bounds aggregate
+
+
+def test_rolled_up_counts_are_the_coarse_counts(spark):
+    from ridertide.config import StationConfig
+    from ridertide.operators.buckets import rolled_up, series_counts
+
+    events = spark.range(500).selectExpr("timestamp_ntz'2024-01-01 00:07:00' + make_interval(0, 0, 0, 0, 0, id * 11) AS TRAN_DATE")
+    fine = series_counts(events, StationConfig(bucket_minutes=15, horizon_minutes=15))
+    for minutes in (15, 30, 60, 360):
+        cfg = StationConfig(bucket_minutes=minutes, horizon_minutes=minutes)
+        want = {(r["step"], r["count"]) for r in series_counts(events, cfg).collect()}
+        assert {(r["step"], r["count"]) for r in rolled_up(fine, 15, cfg).collect()} == want

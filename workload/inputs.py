@@ -128,24 +128,30 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def series_folds(spark: SparkSession, folder: str, cfg: StationConfig = STATION) -> DataFrame:
-    counted = stage(total_counts(spark, folder, cfg))
+def series_folds(
+    spark: SparkSession, folder: str, cfg: StationConfig = STATION, counted: DataFrame | None = None
+) -> DataFrame:
+    counted = stage(total_counts(spark, folder, cfg)) if counted is None else counted
     dates = fold_dates(counted, cfg, ())
     within = fold_range(dates, cfg)
     return day_folds(station_frame(counted, cfg, within), dates, cfg)
 
 
-def series_context(spark: SparkSession, folder: str, cfg: StationConfig = STATION) -> DataFrame:
-    clipped = stage(clip_per_segment(series_folds(spark, folder, cfg), cfg))
+def series_context(
+    spark: SparkSession, folder: str, cfg: StationConfig = STATION, counted: DataFrame | None = None
+) -> DataFrame:
+    clipped = stage(clip_per_segment(series_folds(spark, folder, cfg, counted), cfg))
     return attach_series_context(clipped, cfg)
 
 
 SERIES_MODELS = ["daylag", "recent"]
 
 
-def series_predictions(spark: SparkSession, folder: str, cfg: StationConfig = STATION) -> DataFrame:
+def series_predictions(
+    spark: SparkSession, folder: str, cfg: StationConfig = STATION, counted: DataFrame | None = None
+) -> DataFrame:
     """Test anchors of the single series with two SQL-expressible forecasts."""
-    test = anchors(series_context(spark, folder, cfg)).filter("fold = 'full'")
+    test = anchors(series_context(spark, folder, cfg, counted)).filter("fold = 'full'")
     daylag = F.coalesce(F.col("target_daylag"), F.col(f"lag_{cfg.day_lag}") * F.lit(cfg.horizon_steps))
     return test.withColumn("daylag", daylag).withColumn("recent", recent_mean(cfg, F.col("daylag")))
 

@@ -491,9 +491,11 @@ def busiest_station(spark, folder):
 @query
 def sweep_summary(spark, folder):
     boards = None
+    fine = stage(inputs.total_counts(spark, folder, STATION.but(bucket_minutes=30)))  # one scan of the events
     for minutes in (60, 180):
         cfg = STATION.but(name=f"series_60m_{minutes}m", horizon_minutes=minutes)
-        scores = metrics.series_metrics(inputs.series_predictions(spark, folder, cfg), SERIES_MODELS)
+        counted = stage(buckets.rolled_up(fine, 30, cfg))
+        scores = metrics.series_metrics(inputs.series_predictions(spark, folder, cfg, counted), SERIES_MODELS)
         board = scores.select(
             F.lit(cfg.name).alias("config_name"),
             F.lit(cfg.bucket_minutes).alias("bucket_minutes"),
