@@ -403,6 +403,21 @@ ENDS = "quantile_cont({0}, 0.025) AS ci_low, quantile_cont({0}, 0.975) AS ci_hig
 META = ["pred_seasonal", "pred_recent", "pred_typical"]
 
 BODIES = {
+    "event_files": """SELECT ts::VARCHAR AS "TRAN_DATE", 1::BIGINT AS "TRANSPORT_TYPE_ID", user_id AS "PLACE_ID",
+        CASE event_type WHEN 'view' THEN 1 ELSE 2 END::BIGINT AS "VALIDATION_MODE"
+        FROM events WHERE event_type IN ('view', 'click') AND event_id % 7 <> 0""",
+    "place_files": """SELECT c_custkey AS "PLACE_ID", 1::BIGINT AS "TYPE_ID", n_nationkey::BIGINT AS "ST_CODE",
+        n_name AS "ST_NAME", n_name AS "ST_NAME_SHORT", CASE WHEN r_regionkey <> 2 THEN r_regionkey ELSE -1 END::BIGINT AS "LN_CODE",
+        r_name AS "LN_NAME", r_name AS "LN_NAME_SHORT"
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "place_files_without_header": """SELECT c_custkey AS "PLACE_ID", 1::BIGINT AS "TYPE_ID",
+        n_nationkey::BIGINT AS "ST_CODE", n_name AS "ST_NAME", n_name AS "ST_NAME_SHORT", r_regionkey::BIGINT AS "LN_CODE",
+        r_name AS "LN_NAME", r_name AS "LN_NAME_SHORT", c_name AS "PLACE_NAME"
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "weather_files": f"""SELECT weather_hour::VARCHAR AS weather_hour,
+        {_rounded(['weather_temperature_2m', 'weather_wind_speed_10m'])} FROM weather""",
+    "bucket_files": f"SELECT station_key, {T}, cnt AS count FROM counts",
+    "result_files": 'SELECT station_key, st_name AS "ST_NAME", ln_name AS "LN_NAME", n_place_ids FROM stations',
     "station_map": f"SELECT station_key, {NAMES}, n_place_ids, place_ids FROM stations",
     "labelled_station_map": f"""SELECT station_key, {NAMES}, st_name || ' | ' || ln_name AS station_label,
         n_place_ids, place_ids FROM stations""",

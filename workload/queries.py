@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,11 @@ from ridertide.operators.stations import labelled_place_map, station_summary
 from ridertide.operators.stations import map_profile as map_profile_of
 from ridertide.plans.network import run_network
 from ridertide.plans.station import run_station
-from ridertide.session import stage
-from ridertide.sources.events import at_places, filter_events, filter_terms, timed_events
-from ridertide.sources.weather import hourly_weather
+from ridertide.session import stage, stage_folder
+from ridertide.sources.events import at_places, filter_events, filter_terms, read_events_csv, timed_events
+from ridertide.sources.places import HEADERLESS_COLUMNS, latest_file, read_places
+from ridertide.sources.tables import read_buckets, write_buckets, write_csv_tables
+from ridertide.sources.weather import hourly_weather, read_weather, require_times
 from workload import inputs
 from workload.inputs import MODELS, NETWORK, SERIES_MODELS, STATION, tidy
 
@@ -506,6 +509,84 @@ def sweep_summary(spark, folder):
     return metrics.sweep_summary(boards)
 
 
+# Readers and writers: given tables as delimited or Parquet files in the stage folder, read by the real readers
+
+
+def _stage_path(spark) -> str:
+    return f"{stage_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def _delimited(df: DataFrame, header: bool = True) -> str:
+    path = _stage_path(df.sparkSession)
+    df.write.option("sep", ";").option("header", header).csv(path)
+    return path
+
+
+@query
+def event_files(spark, folder):
+    """Events from delimited files in which every seventh time is unreadable."""
+    taps = inputs.taps(spark, folder)
+    unreadable = F.when(F.col("APP_ID") % 7 == 0, "no time").otherwise(F.col("TRAN_DATE").cast("string"))
+    path = _delimited(taps.withColumn("TRAN_DATE", unreadable))
+    return timed_events(filter_events(read_events_csv(spark, path), filter_terms(1, (), (1, 2)))).drop("APP_ID")
+
+
+PLACE_COLUMNS = ("PLACE_ID", "TYPE_ID", "ST_CODE", "ST_NAME", "ST_NAME_SHORT", "LN_CODE", "LN_NAME", "LN_NAME_SHORT")
+
+
+@query
+def place_files(spark, folder):
+    """Places by other column names, without the short names, from the last of the matching files."""
+    places = inputs.place_reference(spark, folder).select(
+        F.col("PLACE_ID").alias("id"),
+        F.col("TYPE_ID").alias("transport type id"),
+        F.col("ST_CODE").alias("Station ID"),
+        F.concat(F.lit(" "), "ST_NAME", F.lit(" ")).alias("station_name"),
+        F.when(F.col("LN_CODE") == 2, "two").otherwise(F.col("LN_CODE").cast("string")).alias("line_id"),
+        F.col("LN_NAME").alias("line name"),
+    )
+    path = _delimited(places.coalesce(1))
+    read = read_places(spark, latest_file(spark, path, "part-*.csv")).select(*PLACE_COLUMNS)
+    return read.withColumn("LN_CODE", F.coalesce("LN_CODE", F.lit(-1)))
+
+
+@query
+def place_files_without_header(spark, folder):
+    places = inputs.place_reference(spark, folder).withColumns({c: F.lit("x") for c in ("PLACE_NUM", "COL_4", "COL_5")})
+    path = _delimited(places.select(*HEADERLESS_COLUMNS), header=False)
+    return read_places(spark, path).select(*PLACE_COLUMNS, "PLACE_NAME")
+
+
+@query
+def weather_files(spark, folder):
+    """Hourly weather from a delimited file, one row for each hour."""
+    hourly = _weather(spark, folder).select(
+        F.col("weather_hour").alias("datetime"),
+        F.col("weather_temperature_2m").alias("temperature_2m"),
+        F.col("weather_wind_speed_10m").alias("wind_speed_10m"),
+    )
+    path = _stage_path(spark)
+    hourly.write.option("header", True).csv(path)
+    return require_times(read_weather(spark, path))
+
+
+@query
+def bucket_files(spark, folder):
+    """Station buckets through the Parquet sink and back as counts."""
+    buckets_ = buckets.bucket_table(inputs.counts(spark, folder), inputs.maps(spark, folder)[0], NETWORK)
+    path = _stage_path(spark)
+    write_buckets(buckets_, path, ["LN_CODE", "ST_CODE", TIME])
+    return _timed(buckets.counts_of(read_buckets(spark, path), NETWORK)).drop("step")
+
+
+@query
+def result_files(spark, folder):
+    """Station tables through the CSV sink."""
+    paths = write_csv_tables({"stations": inputs.maps(spark, folder)[0].drop("place_ids")}, _stage_path(spark))
+    written = spark.read.option("header", True).csv(paths["stations"])
+    return written.select("station_key", "ST_NAME", "LN_NAME", F.col("n_place_ids").cast("bigint"))
+
+
 # Whole runs
 
 
