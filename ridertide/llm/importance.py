@@ -76,19 +76,31 @@ def weighted(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
 
 
 def kth_largest(scores: DataFrame, k: int) -> float:
-    """The k-th largest key: quantile sketches narrow the range, exact counts keep the rank, a short sort ends it."""
-    low, high, left = float("-inf"), float("inf"), k
-    while True:
+    """The k-th largest key: quantile sketches narrow the range, exact counts keep the rank, a short sort ends it.
+
+    Where a sketch doesn't narrow it, since many keys tie, the range is halved; a range of one value is the answer."""
+    low, high = scores.agg(F.min("key"), F.max("key")).first()
+    left = k
+    while low < high:
         inside = scores.where(F.col("key").between(low, high))
         n = inside.count()
+        if n <= LAST_ROWS:
+            return inside.orderBy(F.desc("key")).select("key").limit(left).agg(F.min("key")).first()[0]
         share = 1 - left / n
         near = [max(0.0, share - 0.001), min(1.0, share + 0.001)]
         a, b = inside.agg(F.percentile_approx("key", near, 100_000)).first()[0]
         above, within = inside.agg(F.count_if(F.col("key") > b), F.count_if(F.col("key").between(a, b))).first()
-        if n > LAST_ROWS and above < left <= above + within and within < n:
+        if above < left <= above + within and within < n:
             low, high, left = a, b, left - above
             continue
-        return inside.orderBy(F.desc("key")).select("key").limit(left).agg(F.min("key")).first()[0]
+        middle = low + (high - low) / 2
+        upper = inside.where(F.col("key") > middle).agg(F.count("key"), F.min("key")).first()
+        if upper[0] >= left:
+            low = upper[1]
+        else:
+            high, left = middle, left - upper[0]
+            high = inside.where(F.col("key") <= middle).agg(F.max("key")).first()[0]
+    return low
 
 
 def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17, buckets: int = BUCKETS) -> DataFrame:

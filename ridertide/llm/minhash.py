@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     """doc_id, class_id for every row: the smallest doc_id of the class.
 
     Equal texts are one class and searched once. A null text is empty; texts without words are alike only if equal.
-    A null doc_id is one document below all others; rows that share a doc_id are one document. Other columns are
+    A null doc_id is one document below all others; rows that share a doc_id are one document (whose links are those of
+    the text with the smallest shingle hashes). Other columns are
     ignored; an empty table stays empty.
     """
     spark = docs.sparkSession
@@ -218,7 +219,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     shared = stage(members.join(sizes, "bucket"))
     # The sets of all texts that share a bucket.
     degrees = stage(shared.groupBy("doc_id").agg(F.sum("size").alias("degree")))
-    sets = stage(shingle_sets(docs.join(degrees, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    sets = shingle_sets(docs.join(degrees, "doc_id", "left_semi"))
+    sets = stage(sets.groupBy("doc_id").agg(F.min("elements").alias("elements")))
     ranked = shared.join(degrees, "doc_id")
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("degree", F.bitwise_not("doc_id"), "doc_id", "n")).alias("leader"))
     star = shared.join(leaders, "bucket").select("doc_id", "n", F.col("leader.doc_id").alias("leader"), F.col("leader.n").alias("m"))

@@ -26,6 +26,12 @@ def test_kth_largest(spark, monkeypatch, last_rows):
         assert importance.kth_largest(scores, k) == np.sort(keys)[-k]
 
 
+def test_kth_largest_of_ties(spark, monkeypatch):
+    monkeypatch.setattr(importance, "LAST_ROWS", 10)
+    scores = spark.createDataFrame([(v,) for v in [1.0] * 60 + [2.0] * 30 + [5.0]], "key double").cache()
+    assert [importance.kth_largest(scores, k) for k in (1, 2, 31, 32, 91)] == [5.0, 2.0, 2.0, 1.0, 1.0]
+
+
 def test_odd_rows(odd, labels, empty):
     rows = importance.resampled(odd, labels, share=0.5).collect()
     assert len(rows) == odd.count()
