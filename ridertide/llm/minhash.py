@@ -201,9 +201,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     """doc_id, class_id for every row: the smallest doc_id of the class.
 
     Equal texts are one class and searched once. A null text is empty; texts without words are alike only if equal.
-    A null doc_id is one document below all others; rows that share a doc_id are one document (whose links are those of
-    the text with the smallest shingle hashes). Other columns are
-    ignored; an empty table stays empty.
+    A null doc_id is one document below all others; rows that share a doc_id are one document, whose links are those of
+    the text with the smallest shingle hashes. Other columns are ignored; an empty table stays empty.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -213,8 +212,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     copies = known.groupBy("digest").agg(F.min("doc_id").alias("first"))
     texts = known.join(copies, "digest").where("doc_id = first")
     members = stage(texts.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
-    members = texts.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    members = stage(members)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = stage(members.join(sizes, "bucket"))
     # The sets of all texts that share a bucket.
