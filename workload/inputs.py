@@ -82,6 +82,22 @@ def place_reference(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def varied_reference(spark: SparkSession, folder: str) -> DataFrame:
+    """The reference with places of another type, test places, a ring line, and codes that are missing."""
+    places = place_reference(spark, folder)
+    return places.withColumns(
+        {
+            "TYPE_ID": F.when(F.col("CODE") == "BUILDING", 2).otherwise(1),
+            "IS_TEST": (F.col("PLACE_ID") % 11 == 0).cast("int"),
+            "LN_CODE": F.when(F.col("LN_CODE") == 3, F.lit(609)).otherwise(F.col("LN_CODE")).cast("bigint"),
+            "ST_CODE": F.when(F.col("ST_CODE") % 7 != 5, F.col("ST_CODE")),
+        }
+    )
+
+
+SCOPE = NETWORK.but(line_codes=(0, 1, 609))
+
+
 def maps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return station_maps(place_reference(spark, folder), NETWORK)
 

@@ -402,7 +402,31 @@ SERIES_COLUMNS = [
 ENDS = "quantile_cont({0}, 0.025) AS ci_low, quantile_cont({0}, 0.975) AS ci_high"
 META = ["pred_seasonal", "pred_recent", "pred_typical"]
 
+CTES["varied"] = """
+    SELECT c_custkey AS place_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS type_id, n_name AS st_name,
+           r_name AS ln_name, c_custkey % 11 = 0 AS is_test, n_nationkey::BIGINT AS st_code,
+           CASE WHEN r_regionkey = 3 THEN 609 ELSE r_regionkey END::BIGINT AS ln_code
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    WHERE n_nationkey % 7 <> 5 AND type_id = 1"""
+CTES["scope_map"] = """
+    SELECT *, printf('ln%05d_st%05d', ln_code, st_code) AS station_key FROM varied WHERE ln_code IN (0, 1, 609)"""
+CTES["scope_stations"] = CTES["stations"].replace("place_map", "scope_map")
+CTES["scope_placed"] = CTES["placed"].replace("stations", "scope_stations")
+CTES["scope_structure"] = CTES["structure"].replace("placed", "scope_placed")
+CTES["scope_counts"] = CTES["counts"].replace("place_map", "scope_map")
+CTES["textual"] = """
+    SELECT *, 'ln' || lpad(ln_code::VARCHAR, 5, '0') || '_st'
+              || lpad(CASE WHEN st_code > 12 THEN 'N_' || st_code ELSE st_code::VARCHAR END, 5, '0') AS station_key
+    FROM varied WHERE NOT is_test"""
+
 BODIES = {
+    "scoped_line_structure": f"""SELECT station_key, {NAMES}, n_place_ids, {STRUCTURE}
+        FROM scope_stations JOIN scope_structure USING (station_key)""",
+    "scoped_bucket_counts": f"SELECT station_key, {T}, cnt AS count FROM scope_counts",
+    "textual_station_map": """SELECT station_key, any_value(st_name) AS "ST_NAME", any_value(st_name) AS "ST_NAME_SHORT",
+        any_value(ln_name) AS "LN_NAME", any_value(ln_name) AS "LN_NAME_SHORT",
+        any_value(st_name || ' | ' || ln_name) AS station_label, count(DISTINCT place_id) AS n_place_ids,
+        array_to_string(list_sort(list(DISTINCT place_id)), ',') AS place_ids FROM textual GROUP BY station_key""",
     "event_files": """SELECT ts::VARCHAR AS "TRAN_DATE", 1::BIGINT AS "TRANSPORT_TYPE_ID", user_id AS "PLACE_ID",
         CASE event_type WHEN 'view' THEN 1 ELSE 2 END::BIGINT AS "VALIDATION_MODE"
         FROM events WHERE event_type IN ('view', 'click') AND event_id % 7 <> 0""",

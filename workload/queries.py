@@ -13,7 +13,7 @@ from ridertide.operators import blending, bootstrap, boosting, buckets, context,
 from ridertide.operators.densify import dense_series
 from ridertide.operators.sequence import pooled_autoregression, scaled_windows
 from ridertide.operators.smoothing import holt_winters
-from ridertide.operators.stations import labelled_place_map, station_summary
+from ridertide.operators.stations import labelled_place_map, station_maps, station_summary
 from ridertide.operators.stations import map_profile as map_profile_of
 from ridertide.plans.network import run_network
 from ridertide.plans.station import run_station
@@ -53,6 +53,27 @@ def labelled_station_map(spark, folder):
     return station_summary(labelled_place_map(inputs.place_reference(spark, folder)))
 
 
+@query
+def scoped_line_structure(spark, folder):
+    """Places of one type on listed lines, one of them a ring; places without a code are out."""
+    return station_maps(inputs.varied_reference(spark, folder), inputs.SCOPE)[0].drop("place_ids")
+
+
+@query
+def scoped_bucket_counts(spark, folder):
+    mapped = station_maps(inputs.varied_reference(spark, folder), inputs.SCOPE)[1]
+    return _timed(buckets.station_counts(inputs.taps(spark, folder), mapped, NETWORK)).drop("step")
+
+
+@query
+def textual_station_map(spark, folder):
+    """Codes as text, some with a fraction or symbols; test places left out."""
+    places = inputs.varied_reference(spark, folder)
+    code = F.col("ST_CODE").cast("string")
+    text = F.when(F.col("ST_CODE") > 12, F.concat(F.lit("N-"), code, F.lit(" "))).otherwise(F.concat(code, F.lit(".0")))
+    return station_summary(labelled_place_map(places.withColumn("ST_CODE", text))).drop("ST_CODE", "LN_CODE")
+
+
 @query
 def line_structure(spark, folder):
     return inputs.maps(spark, folder)[0].drop("place_ids")
