@@ -107,6 +107,8 @@ class NetworkConfig(SeriesConfig):
     ridge_clip: tuple[float, float] = (0.05, 0.95)
     trees_clip: tuple[float, float] = (0.10, 0.90)
     pool_tolerance: float = 1.05
+    #: Hourly weather file; a run goes on without weather if there is none.
+    weather_path: str | None = None
 
     @property
     def lags(self) -> tuple[int, ...]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from ridertide.session import stage
 from ridertide.sources.events import filter_events, filter_terms, read_events_csv, timed_events
 from ridertide.sources.places import latest_file, read_places
 from ridertide.sources.tables import write_csv_tables
+from ridertide.sources.weather import read_weather, require_times
 
 KEYS = ["fold", "station_key", "step"]
 EXPERTS = ("seasonal", "smoothing", "trees_base_norm", "trees_rich_norm", "trees_base", "trees_rich", "sequence")
@@ -64,6 +66,19 @@ def prepare_network(
     return counts, stations, bucket_table(counts, stations, cfg)
 
 
+def network_weather(spark: SparkSession, cfg: NetworkConfig) -> DataFrame | None:
+    """Hourly weather of the settings; None without a path, a file, or a known covariate in it."""
+    if not cfg.weather_path:
+        return None
+    try:
+        weather = read_weather(spark, cfg.weather_path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if weather is None else require_times(stage(weather))
+
+
 def run_from_buckets(buckets: DataFrame, stations: DataFrame, cfg: NetworkConfig, weather=None) -> NetworkResult:
     return run_network(counts_of(buckets, cfg), stations, cfg, weather)
 
@@ -120,6 +135,7 @@ def run_network(
     counts: DataFrame, stations: DataFrame, cfg: NetworkConfig, weather: DataFrame | None = None
 ) -> NetworkResult:
     spark = counts.sparkSession
+    weather = network_weather(spark, cfg) if weather is None else weather
     rows, attached = fold_tables(counts, stations, cfg, weather)
     table, candidates, fallbacks = expert_table(rows, attached, cfg)
     validation = table.filter(F.col("fold") == folds.TUNE)

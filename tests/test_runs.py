@@ -67,6 +67,18 @@ def test_network_run(spark, files, tmp_path):
     assert spark.read.option("header", True).csv(paths["test_predictions"]).count() == n * 21
 
 
+def test_weather_of_a_run(spark, tmp_path):
+    cfg = NetworkConfig(bucket_minutes=60, horizon_minutes=180)
+    assert network.network_weather(spark, cfg) is None
+    assert network.network_weather(spark, cfg.but(weather_path=str(tmp_path / "none.csv"))) is None
+    (tmp_path / "w.csv").write_text("time,rain\n2024-01-01 03:20:00,1.5\n2024-01-01 03:40:00,2.5\nbad,9\n")
+    rows = network.network_weather(spark, cfg.but(weather_path=str(tmp_path / "w.csv"))).collect()
+    assert [(str(r["weather_hour"]), r["weather_rain"]) for r in rows] == [("2024-01-01 03:00:00", 2.5)]
+    (tmp_path / "x.csv").write_text("time,rain\nbad,9\n")
+    with pytest.raises(ValueError, match="no weather timestamp"):
+        network.network_weather(spark, cfg.but(weather_path=str(tmp_path / "x.csv")))
+
+
 def test_station_run_and_sweep(spark, files, tmp_path):
     cfg = StationConfig(
         name="h3", bucket_minutes=60, horizon_minutes=180, place_ids=(5, 6), tree_grid=FEW, run_direct=True,
