@@ -13,7 +13,7 @@ from ridertide.session import stage, stage_folder
 __all__ = ["arrow_batches", "documents", "release", "shared_path", "stage", "table", "text_bytes"]
 
 #: Rows and bytes of an Arrow batch sent to Python workers: a task holds a few of these at a time.
-BATCH_ROWS, BATCH_BYTES = 3000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1200, 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
