@@ -137,6 +137,7 @@ class StationConfig(SeriesConfig):
     transport_type_id: int | None = 1
     place_ids: tuple[int, ...] = (1623, 1624)
     validation_modes: tuple[int, ...] = ()
+    # Lags, windows, seed and clip quantiles of the default settings.
     lag_minutes: tuple[int, ...] = (15, 30, 45, 60, 120, 180, 240, 360, 1440, 1455, 2880)
     rolling_minutes: tuple[int, ...] = (30, 60, 120, 180, 240)
     context_features: tuple[str, ...] = ("highload_daylag", "hour_cyclical")

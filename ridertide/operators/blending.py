@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from ridertide.config import TreeParams
 from ridertide.functions.linalg import nonnegative_blend
 from ridertide.functions.numeric import clip, finite, row_max, row_mean, row_min, row_std, total
-from ridertide.operators.boosting import FittedTrees, fit_trees
+from ridertide.operators.boosting import STATIC_FEATURES, STATISTIC_FEATURES, FittedTrees, fit_trees
 from ridertide.operators.metrics import leaderboard
 from ridertide.operators.ranking import exact_quantiles
+from ridertide.sources.weather import WEATHER_FEATURES
 
 CONTEXT = "hl_daylag"
 
@@ -38,37 +39,9 @@ NETWORK_META_CONTEXT = (
     *STATION_META_CONTEXT,
     "roll_std_2",
     "roll_std_4",
-    "q80_station",
-    "station_train_mean_target",
-    "station_train_median_target",
-    "station_train_q80_target",
-    "station_train_q95_target",
-    "station_train_max_target",
-    "station_train_mean_count",
-    "station_mean_target_vs_global",
-    "station_q80_target_vs_global",
-    "station_mean_count_vs_global",
-    "station_key_code",
-    "station_id_raw",
-    "line_id_raw",
-    "station_name_code",
-    "line_name_code",
-    "n_place_ids",
-    "line_n_stations",
-    "station_order_on_line_proxy",
-    "station_order_norm",
-    "distance_to_nearest_terminal_proxy",
-    "distance_to_nearest_terminal_norm",
-    "is_terminal_proxy",
-    "is_ring_line_proxy",
-    "weather_temperature_2m",
-    "weather_relative_humidity_2m",
-    "weather_precipitation",
-    "weather_rain",
-    "weather_snowfall",
-    "weather_snow_depth",
-    "weather_weather_code",
-    "weather_wind_speed_10m",
+    *STATISTIC_FEATURES,
+    *STATIC_FEATURES,
+    *WEATHER_FEATURES,
     "station_code",
     "line_code",
 )

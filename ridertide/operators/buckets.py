@@ -73,9 +73,7 @@ def require_counts(counts: DataFrame) -> DataFrame:
 def line_flow(buckets: DataFrame, stations: DataFrame, line: str) -> DataFrame:
     """Buckets of the stations on one line, with the short station name."""
     on_line = stations.filter(contains_text(F.col("LN_NAME_SHORT"), line))
-    kept = buckets.join(on_line.select("station_key"), "station_key", "left_semi")
-    names = on_line.select("station_key", F.col("ST_NAME_SHORT").alias("station_name"))
-    return kept.join(names, "station_key", "left")
+    return buckets.join(on_line.select("station_key", F.col("ST_NAME_SHORT").alias("station_name")), "station_key")
 
 
 def bucket_profile(buckets: DataFrame, time_col: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ridertide.functions.numeric import FLOOR, clip, finite, flag, load_weight,
 from ridertide.operators.folds import TRAIN
 from ridertide.operators.ranking import exact_quantiles
 
+# Names of the statistics.
 STATION_STATS = (
     "station_train_mean_target",
     "station_train_median_target",
@@ -149,6 +150,7 @@ def median_station_mean(table: DataFrame) -> float | None:
     return exact_quantiles(table.filter(F.col("station_train_mean_target") > 0), "station_train_mean_target", [0.5])[0]
 
 
+# Statistics that may scale a station, in order of preference, and the columns that are scaled.
 SCALE_SOURCES = (
     "station_train_q80_target",
     "q80_station",

@@ -9,6 +9,7 @@ from ridertide.config import RING_LINE_CODE, RING_LINE_TEXT, NetworkConfig
 from ridertide.functions.numeric import to_long
 from ridertide.functions.text import contains_text, loose_station_key, station_key, station_label
 
+# Column names of the maps.
 STATION_NAMES = ("ST_CODE", "ST_NAME", "ST_NAME_SHORT", "LN_CODE", "LN_NAME", "LN_NAME_SHORT")
 PLACE_MAP_COLUMNS = ("PLACE_ID", "PLACE_NAME", "TYPE_ID", *STATION_NAMES, "station_key")
 LABELLED_COLUMNS = (
