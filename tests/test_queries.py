@@ -2,15 +2,18 @@
 
 import glob
 import os
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from workload import oracle
+from workload.queries import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = driver.oracle_sql()
-QUERIES = driver.queries()
+SQL = oracle.statements()
+QUERIES = REGISTRY
 # Queries without a SQL counterpart, and the smallest number of rows each must give.
 TRAINED = {
     "holt_winters",
@@ -35,6 +38,14 @@ def db():
 
 def test_every_query_is_covered():
     assert set(QUERIES) == set(SQL) | TRAINED and not set(SQL) & TRAINED
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
+
+
+def test_entry_works_without_the_corpus_modules(monkeypatch):
+    for name in driver.CORPUS_MODULES:
+        monkeypatch.setitem(sys.modules, name, None)
+    assert driver.corpus() == ({}, {})
+    assert set(driver.queries()) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
