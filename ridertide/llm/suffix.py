@@ -6,12 +6,15 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
    hash of a PROBE-byte string in each LENGTH-byte window. A string that two documents share has the same anchors in
    both, so only text around anchors that several documents have can matter. Shards exchange their distinct anchors as
    sorted arrays, by range of the hash; what comes back is one bit for each.
-2. Each shard sorts the suffixes of that text (Larsson-Sadakane refinement), takes common prefixes of neighbours
-   (Kasai, in the form that fills the text order from the few entries where a run starts), and so finds the strings it
-   has twice, with the smallest doc_id of each. Shards exchange their distinct strings, again as sorted arrays by range;
-   a merge looks each array up in the others by binary search, and one bit comes back for each string: is there a
-   smaller document elsewhere?
-3. Bytes are dropped.
+2. Neighbouring strings with the same anchor form a context. Shards exchange the hashes of their distinct contexts. A
+   context that a smaller document has goes whole; where all documents have an anchor in the same context, its strings
+   are settled too. What is left are strings under anchors with several contexts, as at the edges of copied passages.
+3. Each shard sorts the suffixes of the text under those strings (Larsson-Sadakane refinement), takes common prefixes of
+   neighbours (Kasai, in the form that fills the text order from the few entries where a run starts), and so finds the
+   strings it has twice, with the smallest doc_id of each. Shards exchange their distinct strings as sorted arrays by
+   range; a merge looks each array up in the others by binary search, and one bit comes back for each string: is there
+   a smaller document elsewhere?
+4. Bytes are dropped.
 
 All that crosses shards is arrays of a bounded part of the shards' sizes; a string that every document has is one
 entry for each shard.
@@ -36,6 +39,8 @@ LENGTH, PROBE = 50, 32
 SHARD_BYTES, RANGE_BYTES = 6 << 20, 12 << 20
 #: Bytes that are sorted at once, hashed at once, and the longest part of a text in either.
 SORT_BYTES, BLOCK_BYTES, CHUNK = 1 << 20, 1 << 20, 1 << 20
+#: Strings of a context.
+SPAN = 32
 #: Between stretches of text: never part of UTF-8.
 BREAK = 0xFF
 
@@ -286,10 +291,10 @@ def answers(hashed: np.ndarray, bits: pa.Table, count: int) -> np.ndarray:
 
 
 def candidates(shard: Shard, bits: pa.Table, count: int) -> np.ndarray:
-    """Marks for the shard's bytes: starts of strings whose anchor several documents have."""
+    """For each byte of the shard the anchor of the string that starts there, 0 unless several documents have it."""
     hashed, local = shard.probes()
     common = hashed[local | answers(hashed, bits, count)]
-    starts = np.zeros(len(shard.data), bool)
+    starts = np.zeros(len(shard.data), np.uint64)
     if len(common):
         for data, offsets, place, _ in shard.blocks():
             probe, _ = hashes(data)
@@ -297,10 +302,38 @@ def candidates(shard: Shard, bits: pa.Table, count: int) -> np.ndarray:
             probe[tail < PROBE] = np.uint64(2**64 - 1)
             least = windowed(probe, LENGTH - PROBE + 1, np.minimum)
             i = np.minimum(np.searchsorted(common, least), len(common) - 1)
-            starts[place[(common[i] == least) & (tail >= LENGTH)]] = True
+            hit = (common[i] == least) & (tail >= LENGTH)
+            starts[place[hit]] = least[hit]
     return starts
 
 
+def contexts(data: np.ndarray, at: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each context in `at`, hash of each) for starts of strings at ascending positions.
+
+    A context is a run of neighbouring starts of one document with the same anchor, at most SPAN of them, so that its
+    first and last string cover it."""
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    new = np.r_[True, (np.diff(at) != 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]
+    first = np.flatnonzero(new)
+    inside = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+    first = np.flatnonzero(inside % SPAN == 0)
+    last = np.r_[first[1:], len(at)] - 1
+    size = (last - first).astype(np.uint64)
+    return first, mixed(mixed(string_hashes(data, at[first]) + size) * np.uint64(3) + string_hashes(data, at[last]))
+
+
+def distinct_contexts(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor, hash, smallest doc) of the distinct contexts, ascending, and which of them each context is."""
+    order = np.lexsort([doc, context, anchor])
+    a, c = anchor[order], context[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])] if len(a) else np.empty(0, bool)
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    return anchor[first], context[first], doc[first], which
+
+
 def string_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hashes of the LENGTH-byte strings at ascending positions, without hashing the text between."""
     if not len(at):
@@ -352,47 +385,160 @@ def sorted_strings(shard: Shard, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashed[first], np.minimum.reduceat(small, first) if len(first) else small
 
 
-def string_arrays(rows: pa.Table, bits: pa.Table, count: int) -> pa.Table:
-    """Of a shard: its distinct strings by range (kind 0); documents with candidates, their text, the runs of starts
-    and a bit for those that the shard itself decides (kind 1); documents that are done (kind 2)."""
+def done(number: int, doc_id: int, text: bytes, removed: np.ndarray | None) -> tuple:
+    """A finished document. removed: marks of its bytes, None if nothing goes."""
+    if removed is None:
+        digest = hashlib.sha256(text).hexdigest()
+        return (2, number, doc_id, b"", b"", b"", len(text), 0, 0, digest)
+    digest = hashlib.sha256(np.frombuffer(text, np.uint8)[~removed].tobytes()).hexdigest()
+    return (2, number, doc_id, b"", b"", b"", len(text), int(removed.sum()), len(runs_of(removed)[0]), digest)
+
+
+def covered(size: int, starts: np.ndarray) -> np.ndarray:
+    """Bytes under the strings that start at the given positions."""
+    cover = np.zeros(size + 1, np.int32)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + LENGTH, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
+def context_arrays(rows: pa.Table, bits: pa.Table, count: int) -> pa.Table:
+    """Of a shard: its distinct contexts by range (kind 0); documents with candidates, their text, the starts and their
+    anchors (kind 1); documents that are done (kind 2)."""
     if not len(rows):
         return table([], STAGED)
     number = rows.column("shard")[0].as_py()
     copies = bits.filter(pa.compute.equal(bits.column("part"), -1))
     shard = Shard(rows, pa.table({"doc_id": copies.column("doc_id")}))
     starts = candidates(shard, bits, count)
-    hashed, small = sorted_strings(shard, starts)
-    ids = shard.all_ids
-    out = []
-    for part, s in by_range(hashed, count):
-        arrays = hashed[s].astype("<u8").tobytes(), small[s].astype("<u4").tobytes(), ids.astype("<i8").tobytes()
-        out.append((0, number, part, *arrays, None, None, None, None))
     at = np.flatnonzero(starts)
     doc = np.searchsorted(shard.offsets, at, side="right") - 1
-    own = small[np.searchsorted(hashed, string_hashes(shard.data, at))] if len(at) else at
-    local = ids[own] < ids[doc]
+    first, context = contexts(shard.data, at, starts[at], doc)
+    anchor, context, small, _ = distinct_contexts(starts[at][first], context, doc[first])
+    ids, out = shard.all_ids, []
+    for part, s in by_range(anchor, count):
+        body = np.stack([anchor[s], context[s]]).astype("<u8").tobytes()
+        out.append((0, number, part, body, ids[small[s]].astype("<i8").tobytes(), b"", None, None, None, None))
     edges = np.searchsorted(at, shard.offsets)
     for k, doc_id in enumerate(ids.tolist()):
         text = shard.data[shard.offsets[k] : shard.offsets[k + 1]].tobytes()
         a, b = edges[k], edges[k + 1]
-        if shard.is_copy[k] or a == b:
-            whole = bool(shard.is_copy[k]) and len(text) >= LENGTH
-            digest = hashlib.sha256(b"" if whole else text).hexdigest()
-            out.append((2, number, doc_id, b"", b"", b"", len(text), whole * len(text), int(whole), digest))
+        if shard.is_copy[k] and len(text) >= LENGTH:
+            out.append(done(number, doc_id, text, np.ones(len(text), bool)))
+        elif shard.is_copy[k] or a == b:
+            out.append(done(number, doc_id, text, None))
+        else:
+            here = starts[at[a:b]]
+            # Anchors by run of equal ones: each is written once.
+            turn = np.flatnonzero(np.r_[True, (np.diff(at[a:b]) != 1) | (here[1:] != here[:-1])])
+            begin, end = at[a:b][turn] - shard.offsets[k], at[a:b][np.r_[turn[1:], b - a] - 1] + 1 - shard.offsets[k]
+            out.append((1, number, doc_id, text, np.stack([begin, end]).astype("<i8").tobytes(), here[turn].astype("<u8").tobytes(), None, None, None, None))
+    return table(out, STAGED)
+
+
+def settled(rows: pa.Table) -> pa.Table:
+    """For each shard's array of contexts two rows of bits: has a smaller document the context? Has its anchor others?"""
+    parts = [np.frombuffer(x.as_buffer(), "<u8").reshape(2, -1) for x in rows.column("body")]
+    owners = [np.frombuffer(x.as_buffer(), "<i8") for x in rows.column("docs")]
+    anchor, context, least, which = distinct_contexts(*(np.concatenate([x[k] for x in parts]) for k in (0, 1)), np.concatenate(owners))
+    several = np.zeros(len(anchor), bool)
+    same = anchor[1:] == anchor[:-1]
+    several[1:] |= same
+    several[:-1] |= same
+    out, base = [], 0
+    for shard, part, owner in zip(rows.column("shard").to_pylist(), rows.column("part").to_pylist(), owners, strict=True):
+        own = which[base : base + len(owner)]
+        base += len(owner)
+        out.append((shard, part, np.packbits([least[own] < owner, several[own]], axis=1).tobytes(), b"", b""))
+    return table(out, ROW)
+
+
+class Open:
+    """Documents of a shard that have candidates, as they were staged, in ascending order of doc_id."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by([("part", "ascending")])
+        self.ids = rows.column("part").to_numpy()
+        self.data, self.offsets = flat(rows.column("body"))
+        at, anchor, doc = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for k, (runs, named) in enumerate(zip(rows.column("docs"), rows.column("ids"), strict=True)):
+            begin, end = np.frombuffer(runs.as_buffer(), "<i8").reshape(2, -1)
+            at.append(ranges(begin, end - begin) + self.offsets[k])
+            anchor.append(np.repeat(np.frombuffer(named.as_buffer(), "<u8"), end - begin))
+            doc.append(np.full(len(at[-1]), k))
+        self.at, self.anchor, self.doc = np.concatenate(at), np.concatenate(anchor), np.concatenate(doc)
+
+    def text(self, k: int) -> bytes:
+        return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
+
+
+def string_arrays(rows: pa.Table, bits: pa.Table, count: int) -> pa.Table:
+    """Of a shard's open documents: the distinct strings that contexts left open, by range (kind 0); documents with
+    such strings, their text, the starts of strings, and bits for those that are open and those that go (kind 1);
+    documents that are done (kind 2)."""
+    if not len(rows):
+        return table([], STAGED)
+    number = rows.column("shard")[0].as_py()
+    docs = Open(rows)
+    first, context = contexts(docs.data, docs.at, docs.anchor, docs.doc)
+    anchor, context, small, which = distinct_contexts(docs.anchor[first], context, docs.doc[first])
+    back = {p.as_py(): b for p, b in zip(bits.column("part"), bits.column("body"), strict=True)}
+    smaller, several = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
+    for part, s in by_range(anchor, count):
+        n = s.stop - s.start
+        two = np.unpackbits(np.frombuffer(back[part].as_buffer(), np.uint8).reshape(2, -1), axis=1, count=n).astype(bool)
+        smaller[s], several[s] = two
+    size = np.diff(np.r_[first, len(docs.at)])
+    own = docs.ids[docs.doc[first]]
+    gone = np.repeat(smaller[which] | (docs.ids[small[which]] < own), size)
+    left = np.repeat(several[which], size) & ~gone
+    marks = np.zeros(len(docs.data), bool)
+    marks[docs.at[left]] = True
+    hashed, least = sorted_strings(docs, marks)
+    out = []
+    for part, s in by_range(hashed, count):
+        arrays = hashed[s].astype("<u8").tobytes(), docs.ids[least[s]].astype("<i8").tobytes(), b""
+        out.append((0, number, part, *arrays, None, None, None, None))
+    if left.any():
+        where = np.searchsorted(hashed, string_hashes(docs.data, docs.at[left]))
+        local = docs.ids[least[where]] < docs.ids[docs.doc[left]]
+        still = np.flatnonzero(left)
+        gone[still[local]] = True
+    edges = np.searchsorted(docs.at, docs.offsets)
+    for k, doc_id in enumerate(docs.ids.tolist()):
+        text, part = docs.text(k), slice(int(edges[k]), int(edges[k + 1]))
+        at = docs.at[part] - docs.offsets[k]
+        if (left[part] & ~gone[part]).any():
+            flags = np.packbits([left[part], gone[part]], axis=1).tobytes()
+            begin, end = runs_of_positions(at)
+            out.append((1, number, doc_id, text, np.stack([begin, end]).astype("<i8").tobytes(), flags, None, None, None, None))
         else:
-            begin, end = runs_of(starts[shard.offsets[k] : shard.offsets[k + 1]])
-            arrays = text, np.stack([begin, end]).astype("<i8").tobytes(), np.packbits(local[a:b]).tobytes()
-            out.append((1, number, doc_id, *arrays, None, None, None, None))
+            out.append(done(number, doc_id, text, covered(len(text), at[gone[part]])))
     return table(out, STAGED)
 
 
+def runs_of_positions(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of consecutive numbers."""
+    first = np.flatnonzero(np.r_[True, np.diff(at) != 1]) if len(at) else np.empty(0, np.int64)
+    return at[first], at[np.r_[first[1:], len(at)] - 1] + 1 if len(at) else at
+
+
+def looked_up(hashed: np.ndarray, bits: pa.Table, count: int) -> np.ndarray:
+    """Does a smaller document have the string? For some of a shard's strings: bits came back with the strings."""
+    back = {p.as_py(): k for k, p in enumerate(bits.column("part"))}
+    out = np.zeros(len(hashed), bool)
+    for part, s in by_range(hashed, count):
+        k = back[part]
+        known = np.frombuffer(bits.column("docs")[k].as_buffer(), "<u8")
+        said = np.unpackbits(np.frombuffer(bits.column("body")[k].as_buffer(), np.uint8), count=len(known)).astype(bool)
+        out[s] = said[np.searchsorted(known, hashed[s])]
+    return out
+
+
 def smaller_elsewhere(rows: pa.Table) -> pa.Table:
     """For each shard's array of strings a bit: has a smaller document of any shard the string?"""
     arrays = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("body")]
-    owners = [
-        np.frombuffer(i.as_buffer(), "<i8")[np.frombuffer(d.as_buffer(), "<u4")]
-        for d, i in zip(rows.column("docs"), rows.column("ids"), strict=True)
-    ]
+    owners = [np.frombuffer(x.as_buffer(), "<i8") for x in rows.column("docs")]
     merged, owner = np.concatenate(arrays), np.concatenate(owners)
     order = np.argsort(merged, kind="stable")
     merged, owner = merged[order], owner[order]
@@ -400,38 +546,31 @@ def smaller_elsewhere(rows: pa.Table) -> pa.Table:
     distinct, least = merged[first], np.minimum.reduceat(owner, first)
     bits = [np.packbits(least[np.searchsorted(distinct, x)] < o).tobytes() for x, o in zip(arrays, owners, strict=True)]
     shards, parts = rows.column("shard").to_pylist(), rows.column("part").to_pylist()
-    return table([(s, p, b, b"", b"") for s, p, b in zip(shards, parts, bits, strict=True)], ROW)
+    return table([(s, p, b, x.tobytes(), b"") for s, p, b, x in zip(shards, parts, bits, arrays, strict=True)], ROW)
 
 
 def cleaned(rows: pa.Table, bits: pa.Table, count: int) -> pa.Table:
-    """The documents with candidates: bytes under a string that a smaller document has go."""
+    """The documents with open strings: bytes under a string that a smaller document has go."""
+    if not len(rows):
+        return table([], DONE)
     rows = rows.sort_by([("part", "ascending")])
-    texts, starts, local, base = [], [], [], 0
-    for body, runs, bit in zip(rows.column("body"), rows.column("docs"), rows.column("ids"), strict=True):
+    data, offsets = flat(rows.column("body"))
+    starts, left, gone = [], [], []
+    for k, (runs, flags) in enumerate(zip(rows.column("docs"), rows.column("ids"), strict=True)):
         begin, end = np.frombuffer(runs.as_buffer(), "<i8").reshape(2, -1)
-        at = ranges(begin, end - begin)
-        texts.append(body.as_py())
-        starts.append(at + base)
-        local.append(np.unpackbits(np.frombuffer(bit.as_buffer(), np.uint8), count=len(at)).astype(bool))
-        base += len(texts[-1])
-    if not texts:
-        return table([], DONE)
-    at, gone = np.concatenate(starts), np.concatenate(local)
-    hashed = string_hashes(np.frombuffer(b"".join(texts), np.uint8), at)
-    distinct, place = np.unique(hashed, return_inverse=True)
-    gone |= answers(distinct, bits, count)[place]
-    out, edges = [], np.cumsum([0] + [len(x) for x in starts])
-    base = 0
-    for k, (doc_id, text) in enumerate(zip(rows.column("part").to_pylist(), texts, strict=True)):
-        hit = at[edges[k] : edges[k + 1]][gone[edges[k] : edges[k + 1]]] - base
-        base += len(text)
-        cover = np.zeros(len(text) + 1, np.int32)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + LENGTH, -1)
-        removed = np.cumsum(cover[:-1]) > 0
-        spans = len(runs_of(removed)[0])
-        kept = np.frombuffer(text, np.uint8)[~removed].tobytes()
-        out.append((doc_id, len(text), int(removed.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        starts.append(ranges(begin, end - begin) + offsets[k])
+        two = np.unpackbits(np.frombuffer(flags.as_buffer(), np.uint8).reshape(2, -1), axis=1, count=len(starts[-1]))
+        left.append(two[0].astype(bool))
+        gone.append(two[1].astype(bool))
+    at, left, gone = np.concatenate(starts), np.concatenate(left), np.concatenate(gone)
+    distinct, place = np.unique(string_hashes(data, at[left]), return_inverse=True)
+    gone[left] |= looked_up(distinct, bits, count)[place]
+    edges, out = np.searchsorted(at, offsets), []
+    for k, doc_id in enumerate(rows.column("part").to_pylist()):
+        part = slice(int(edges[k]), int(edges[k + 1]))
+        text = data[offsets[k] : offsets[k + 1]].tobytes()
+        marks = covered(len(text), at[part][gone[part]] - offsets[k])
+        out.append((doc_id, *done(0, doc_id, text, marks)[6:]))
     return table(out, DONE)
 
 
@@ -462,28 +601,37 @@ def removed(docs: DataFrame, shard_bytes: int = SHARD_BYTES, range_bytes: int =
     def probed(left: pa.Table, right: pa.Table) -> pa.Table:
         return probe_arrays(left, right, count)
 
+    def grouped(left: pa.Table, right: pa.Table) -> pa.Table:
+        return context_arrays(left, right, count)
+
     def sorted_(left: pa.Table, right: pa.Table) -> pa.Table:
         return string_arrays(left, right, count)
 
     def dropped(left: pa.Table, right: pa.Table) -> pa.Table:
         return cleaned(left, right, count)
 
-    by_shard = texts.groupBy("shard")
-    arrays = by_shard.cogroup(copies.groupBy("shard")).applyInArrow(probed, ROW)
+    def written(found: DataFrame) -> DataFrame:
+        path = shared_path(spark, "strings")
+        found.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+        release(spark)
+        return spark.read.schema(STAGED).parquet(path)
+
+    def of_kind(found: DataFrame, kind: int) -> DataFrame:
+        return found.where(F.col("kind") == kind).drop("kind")
+
+    arrays = texts.groupBy("shard").cogroup(copies.groupBy("shard")).applyInArrow(probed, ROW)
     met = stage(arrays.groupBy("part").applyInArrow(met_elsewhere, ROW))
+    del arrays
     release(spark)
     told = met.select("shard", "part", "body", F.lit(None).cast("long").alias("doc_id")).unionByName(
         copies.select("shard", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("body"), "doc_id")
     )
-    path = shared_path(spark, "strings")
-    found = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(sorted_, STAGED)
-    found.write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    release(spark)
-    found = spark.read.schema(STAGED).parquet(path)
-    strings = found.where("kind = 0").drop("kind")
-    decided = stage(strings.groupBy("part").applyInArrow(smaller_elsewhere, ROW))
-    release(spark)
-    open_ = found.where("kind = 1").drop("kind")
-    closed = open_.groupBy("shard").cogroup(decided.groupBy("shard")).applyInArrow(dropped, DONE)
-    done = found.where("kind = 2").select(F.col("part").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return closed.unionByName(done).withColumn("doc_id", F.nullif("doc_id", lowest))
+    found = written(texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(grouped, STAGED))
+    known = stage(of_kind(found, 0).groupBy("part").applyInArrow(settled, ROW))
+    open_ = of_kind(found, 1).groupBy("shard").cogroup(known.groupBy("shard"))
+    strings = written(open_.applyInArrow(sorted_, STAGED))
+    decided = stage(of_kind(strings, 0).groupBy("part").applyInArrow(smaller_elsewhere, ROW))
+    closed = of_kind(strings, 1).groupBy("shard").cogroup(decided.groupBy("shard")).applyInArrow(dropped, DONE)
+    columns = [F.col("part").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    done_ = of_kind(found, 2).select(columns).unionByName(of_kind(strings, 2).select(columns))
+    return closed.unionByName(done_).withColumn("doc_id", F.nullif("doc_id", lowest))
