@@ -5,6 +5,10 @@ occurs). An element with weight w arrives at registers as a Poisson process of r
 keeps its first arrival. Elements stop as soon as their next arrival is later than all registers of the text, so most
 need one. Two registers agree with the probability Jaccard similarity of the texts.
 
+That similarity can be far below the Jaccard similarity of the sets where one text repeats what the other does not. So
+every text has the bands of its set, where all weights are 1, and a text whose shingles occur unequally often has those
+of its weights too. Both kinds share their keys; of texts whose shingles occur equally often they are the same.
+
 Texts that agree in a band share a bucket. Each is first compared with its bucket's leader, the member that meets most
 texts in all its buckets. Where those links leave several classes in a bucket, members of the smaller classes are then
 compared with all members of other classes, in blocks of at most BLOCK by BLOCK texts; only links leave a block, and no
@@ -27,7 +31,8 @@ from ridertide.llm.components import components
 from ridertide.llm.tables import arrow_batches, stage
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: A pair at the threshold misses all bands with probability (1 - 0.8 ** 6) ** 40, five in a million.
+#: A pair of sets at the threshold misses all bands of weight 1 with probability (1 - 0.8 ** 6) ** 40, five in a million,
+#: however often the texts repeat their shingles.
 BANDS, ROWS = 40, 6
 #: Texts on each side of a comparison in one task; shingles that are looked at together.
 BLOCK, COLUMNS = 512, 4096
@@ -87,23 +92,37 @@ def signatures(hashed: np.ndarray, weight: np.ndarray, each: np.ndarray, registe
 
 def bands_of(signature: np.ndarray, rows: int) -> np.ndarray:
     """One hash for each band of a text."""
-    parts = signature.reshape(len(signature), -1, rows)
+    parts = signature.reshape(len(signature), signature.shape[1] // rows, rows)
     out = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(rows):
         out = mixed(out * np.uint64(3) + parts[:, :, k])
     return out
 
 
+def band_keys(hashed: np.ndarray, times: np.ndarray, each: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, keys by text): of the set, and those of the weighted set that differ; none without a word."""
+    full = each > 0
+    text = np.repeat(np.arange(len(each)), each)
+    uneven = np.zeros(len(each), bool)
+    uneven[text[times != np.repeat(times[(np.cumsum(each) - each)[full]], each[full])]] = True
+    keys = np.zeros((len(each), 2 * bands), np.uint64)
+    keys[:, :bands] = bands_of(signatures(hashed, np.ones(len(hashed)), each, bands * rows), rows)
+    mine = uneven[text]
+    keys[uneven, bands:] = bands_of(signatures(hashed[mine], 1 + np.log(times[mine]), each[uneven], bands * rows), rows)
+    kept = np.repeat(np.c_[full, uneven], bands, axis=1)
+    kept[:, bands:] &= keys[:, bands:] != keys[:, :bands]
+    return keys[kept], kept.sum(1)
+
+
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, digest of the text, n_shingles, bands (one key for each band; none without a word)."""
+    """doc_id, digest of the text, n_shingles, bands (the text's distinct keys; none without a word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashed, times, each = shingles(batch.column("text"))
-            keys = bands_of(signatures(hashed, 1 + np.log(times), each, bands * rows), rows)
-            keys = keys[each > 0].astype(np.int64).ravel()
-            offsets = np.r_[0, np.cumsum((each > 0) * bands)].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
+            keys, counts = band_keys(hashed, times, each, bands, rows)
+            offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
             columns = [batch.column("doc_id"), batch.column("digest"), pa.array(each), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n_shingles", "bands"])
 

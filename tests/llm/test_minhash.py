@@ -62,6 +62,37 @@ def test_chains_and_large_groups(spark, seed):
     assert got == classes(rows)
 
 
+def repeated(rng, n, part, times, changed=0):
+    """Two texts of n words: the second without `changed` of them, and with a part repeated."""
+    base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    other = base[: n - changed] + [f"x{rng.randrange(10**9)}" for _ in range(changed)]
+    return " ".join(base), " ".join(other + other[:part] * times)
+
+
+def test_pairs_that_repeat_unequally(spark):
+    rng = random.Random(8)
+    rows = []
+    for part, times, changed in [(150, 30, 0), (30, 50, 0), (150, 5, 25), (30, 300, 0)] * 15:
+        for text in repeated(rng, 300, part, times, changed):
+            rows.append((len(rows), text))
+    want = classes(rows)
+    assert len(set(want.values())) == len(rows) / 2
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_bands_of_sets_and_of_weights():
+    texts = ["a b c d e f g", "a b c d e f g " * 2, "", None, "k l m n o " + "p q r s t u " * 9]
+    hashed, times, each = minhash.shingles(pa.array(texts))
+    keys, counts = minhash.band_keys(hashed, times, each, 40, 6)
+    assert counts[0] == 40 and counts[2] == counts[3] == 0 and 40 < counts[4] <= 80
+    ends = np.cumsum(counts)
+    for n, end in zip(counts, ends, strict=True):
+        assert len(set(keys[end - n : end].tolist())) == n
+    weighted = minhash.bands_of(minhash.signatures(hashed, 1 + np.log(times), each, 240), 6)
+    assert set(weighted[4].tolist()) <= set(keys[ends[3] : ends[4]].tolist())
+
+
 def test_registers_estimate_the_probability_jaccard_similarity():
     rng = np.random.default_rng(3)
     common, only_a, only_b = (rng.integers(1, 2**63, n).astype(np.uint64) for n in (60, 20, 30))
