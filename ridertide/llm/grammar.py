@@ -6,8 +6,9 @@ A file holds the documents of one range of doc_id, in ascending order:
     | left, right of each rule (u32) | ids that each rule stands for (u32) | symbols (u32)
     | doc_id (i64) and ids before it (u64) of each document
 
-Each pass counts the pairs of neighbours, gives those above the least count a nonterminal, the most frequent first,
-and replaces them from left to right without overlap.
+Each pass counts the pairs of neighbours, gives those that reach the least count a nonterminal and replaces them from
+left to right without overlap. A pair that others leave too few places waits. Passes go on until no pair reaches the
+least count.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ FILE, END = "word_bpe_49k.json", 1
 MAGIC = b"RPG1"
 #: Text that goes into one file.
 FILE_BYTES = 6 << 20
-#: Passes, least count of a pair, and nonterminals of a pass: how hard a file is compressed.
-PASSES, LEAST, SLOTS = 4, 24, 1 << 17
+#: Least count of a pair: a rule has 12 bytes and saves 4 at each place. Nonterminals of a pass.
+LEAST, SLOT_BITS = 4, 17
 #: First nonterminal: above every id of the vocabulary.
 BASE = 1 << 16
+NO_PAIR = np.uint64(2**64 - 1)
 
 
 @dataclass
@@ -68,32 +70,71 @@ class Grammar:
         return self.expand(self.symbols[i : j + 1])[skipped : skipped + stop - start]
 
 
-def compress(ids: np.ndarray, passes: int = PASSES, least: int = LEAST) -> Grammar:
+def slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def alternating(place: np.ndarray) -> np.ndarray:
+    """Every second one of places that follow each other, from the left."""
+    run = np.flatnonzero(np.r_[True, np.diff(place) > 1])
+    nth = np.arange(len(place)) - np.repeat(run, np.diff(np.r_[run, len(place)]))
+    return place[nth % 2 == 0]
+
+
+def frequent(keys: np.ndarray, live: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of those at `least` of the live places, ascending by count. Places that overlap in a run of one
+    symbol count once."""
+    own = keys[live]
+    same = (own >> np.uint64(32)) == (own & np.uint64(0xFFFFFFFF))
+    if same.any():
+        own = np.concatenate([own[~same], keys[alternating(live[same])]])
+    ordered = np.sort(own)
+    first = np.flatnonzero(np.r_[len(ordered) > 0, ordered[1:] != ordered[:-1]])
+    counts = np.diff(np.r_[first, len(ordered)])
+    often = np.flatnonzero(counts >= least)
+    often = often[np.argsort(counts[often], kind="stable")]
+    return ordered[first[often]], counts[often]
+
+
+def paying(place: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """The places of pairs that have at least `least` of them."""
+    return place[np.bincount(at[place], minlength=1 << SLOT_BITS)[at[place]] >= least]
+
+
+def places(keys: np.ndarray, live: np.ndarray, chosen: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places to replace, slot of each live place, pair of each slot). The most frequent pair of a slot has it."""
+    table = np.full(1 << SLOT_BITS, NO_PAIR)
+    table[slots(chosen)] = chosen
+    at = np.zeros(len(keys), np.int64)
+    at[live] = slots(keys[live])
+    hit = live[table[at[live]] == keys[live]]
+    place = paying(alternating(hit), at, least)
+    if not len(place):
+        # Each takes too many places of the others: places go to the more frequent pair, so the first one has all of its.
+        rank = np.zeros(1 << SLOT_BITS, np.int64)
+        order = np.lexsort([slots(chosen), counts])
+        rank[slots(chosen[order])] = np.arange(1, len(order) + 1)
+        score = np.zeros(len(keys) + 2, np.int64)
+        score[hit + 1] = rank[at[hit]]
+        beaten = np.maximum(score[hit], score[hit + 2]) > score[hit + 1]
+        place = paying(alternating(hit[~beaten]), at, least)
+    return place, at, table
+
+
+def compress(ids: np.ndarray, passes: int | None = None, least: int = LEAST) -> Grammar:
+    """passes: at most so many; by default as many as there are pairs for."""
     symbols, next_rule = ids.astype(np.uint32), BASE
     left, right, lengths = [], [], []
     length_of = np.ones(0, np.int64)
-    for _ in range(passes):
-        if len(symbols) < 2:
-            break
+    again = fresh = None
+    while len(symbols) > 1 and (passes is None or len(left) < passes):
         keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        ordered = np.sort(keys)
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        counts = np.diff(np.r_[first, len(ordered)])
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+        # A pair never gains places: only those that were frequent and those with a new symbol are counted again.
+        live = np.arange(len(keys)) if again is None else np.flatnonzero(again[:-1] | fresh[:-1] | fresh[1:])
+        chosen, counts = frequent(keys, live, least)
+        if not len(chosen):
             break
-        chosen = ordered[first[often[np.argsort(counts[often], kind="stable")]]]
-        # A slot keeps the most frequent of its pairs; the others wait for the next pass.
-        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 17)).astype(np.int64)
-        table = np.full(SLOTS, np.uint64(2**64 - 1))
-        table[slot(chosen)] = chosen
-        at = slot(keys)
-        hit = table[at] == keys
-        # In a run of overlapping pairs every second one is replaced, from the left.
-        place = np.flatnonzero(hit)
-        run = np.flatnonzero(np.r_[True, np.diff(place) > 1])
-        nth = np.arange(len(place)) - np.repeat(run, np.diff(np.r_[run, len(place)]))
-        place = place[nth % 2 == 0]
+        place, at, table = places(keys, live, chosen, counts, least)
         used, rule = np.unique(at[place], return_inverse=True)
         pairs = table[used]
         new_left, new_right = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -105,7 +146,10 @@ def compress(ids: np.ndarray, passes: int = PASSES, least: int = LEAST) -> Gramm
         symbols[place] = next_rule + rule
         keep = np.ones(len(symbols), bool)
         keep[place + 1] = False
-        symbols = symbols[keep]
+        again = np.zeros(len(symbols), bool)
+        again[live] = table[at[live]] != NO_PAIR
+        symbols, again = symbols[keep], again[keep]
+        fresh = symbols >= next_rule
         next_rule += len(used)
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.uint32)
     return Grammar(join(left), join(right), join(lengths), symbols)

@@ -28,6 +28,36 @@ def test_repetition_shrinks():
     assert len(grammar.compress(ids).symbols) < len(ids) / 8
 
 
+def left_over(symbols, least):
+    """Pairs at `least` places or more that do not overlap."""
+    counts, last = {}, {}
+    for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+        if last.get(pair, -2) < i - 1:
+            counts[pair] = counts.get(pair, 0) + 1
+            last[pair] = i
+    return {k: n for k, n in counts.items() if n >= least}
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.integers(0, 3), max_size=300), st.integers(1, 9))
+def test_no_frequent_pair_is_left(ids, times):
+    ids = np.array(ids * times, np.uint32)
+    made = grammar.compress(ids)
+    assert made.expand(made.symbols).tolist() == ids.tolist()
+    assert not left_over(made.symbols, grammar.LEAST)
+    assert 4 * len(made.symbols) + 12 * len(made.left) <= 4 * len(ids)
+
+
+def test_long_repeats_become_one_symbol():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 40_000, 400)
+    ids = np.concatenate([np.r_[passage, rng.integers(0, 40_000, 9)] for _ in range(500)]).astype(np.uint32)
+    made = grammar.compress(ids)
+    assert made.expand(made.symbols).tolist() == ids.tolist()
+    assert made.lengths.max() >= 399
+    assert not left_over(made.symbols, grammar.LEAST)
+
+
 def test_files(spark, odd, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(grammar.FILE))
     tokenizer.encode_special_tokens = True
