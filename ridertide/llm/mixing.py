@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from ridertide.llm.sketch import once, words
 from ridertide.llm.tables import stage
 
-#: Domains by the label `quality`, and the share of tokens that each should have.
-TARGETS = {"good": 0.95, "poor": 0.05}
+#: Domains by the labels, and the share of tokens that each should have: what is labelled toxic is toxic whatever its
+#: quality, the rest is good or poor by `quality`.
+#: Soft membership gives clean text some share of toxic; a target near 0 would leave out most of it.
+TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
 #: Labelled rows that the classifier is fitted on at most, those with the smallest hash first; buckets of words.
 LABELLED_ROWS, BUCKETS = 10_000, 1 << 12
 SMOOTHING = 1.0
@@ -31,9 +33,12 @@ def bucket_of(word: Column, buckets: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray] | None:
-    """(log prior, log-probability by domain and bucket); None without labelled text."""
-    named = labels.where("doc_id is not null and quality is not null")
-    named = named.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.when(F.min("quality") == 1, "good").otherwise("poor").alias("domain"))
+    """(log prior, log-probability by domain and bucket); None without labelled text. Toxic labels count only where toxic
+    is a domain; a document with several labels is toxic if one says so, and poor if one says so."""
+    toxic = F.max(F.coalesce("toxic", F.lit(0))) == 1 if "toxic" in domains else F.lit(False)
+    named = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("labelled"))
+    named = named.agg(F.when(toxic, "toxic").when(F.min("quality") == 1, "good").when(F.min("quality").isNotNull(), "poor").alias("domain"))
+    named = named.where("domain is not null")
     # At most LABELLED_ROWS rows, so this side is small whatever the tables hold.
     named = F.broadcast(named.orderBy(F.xxhash64("labelled"), "labelled").limit(LABELLED_ROWS))
     found = docs.join(named, F.col("doc_id") == F.col("labelled")).select("domain", words(F.col("text")).alias("words"))
@@ -105,9 +110,21 @@ def rates(known: DataFrame, weights: np.ndarray, steps: int = STEPS, close: floa
     return rate
 
 
+def shares(domains: list[str]) -> list[Column]:
+    """p_<domain> columns of a posterior. p_toxic is the share of the toxic domain, the others are shares of the rest."""
+    part = {name: F.element_at("posterior", k + 1) for k, name in enumerate(domains)}
+    rest = sum((p for name, p in part.items() if name != "toxic"), F.lit(0.0))
+    others = len(domains) - ("toxic" in domains)
+    # Where all is toxic, nothing tells the others apart.
+    of_rest = lambda p: F.when(rest > 0, p / rest).otherwise(1.0 / max(others, 1))
+    return [(p if name == "toxic" or "toxic" not in part else of_rest(p)).alias(f"p_{name}") for name, p in part.items()]
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, seed: int = 29) -> DataFrame:
     """doc_id, tokens, one p_<domain> column each, rate, copies: what each document contributes to the mix.
 
+    p_toxic is the share of toxic text, p_good and p_poor are shares of the rest and add up to 1.
+
     copies is the rate rounded up or down at random with the right mean, fixed by doc_id and seed. A null text has no
     tokens and the prior as posterior; rows that share a doc_id are documents of their own with one random number; a
     null doc_id has a random number too; without labels or without tokens every rate is 1; an empty table stays empty.
@@ -120,6 +137,5 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     known = stage(posteriors(texts, model, domains).select("doc_id", "tokens", "posterior"))
     rate = rates(known, weights) if model else F.lit(1.0)
     random = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    shares = [F.element_at("posterior", k + 1).alias(f"p_{name}") for k, name in enumerate(domains)]
-    out = known.select("doc_id", "tokens", *shares, rate.alias("rate"))
+    out = known.select("doc_id", "tokens", *shares(domains), rate.alias("rate"))
     return out.withColumn("copies", F.floor(F.col("rate") + random).cast("long"))

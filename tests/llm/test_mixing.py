@@ -63,3 +63,17 @@ def test_copies_have_the_right_mean(spark, odd):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
     out = mixing.mixed(docs, labels, {"good": 0.8, "poor": 0.2}).agg(F.avg("rate"), F.avg("copies")).first()
     assert abs(out[0] - out[1]) < 0.03
+
+
+def test_toxic_text_is_a_domain_of_its_own(spark):
+    kinds = {"good": "fine words of sense", "poor": "junk junk spam", "toxic": "vile insult fine words"}
+    docs = spark.createDataFrame([(i, " ".join([kinds[list(kinds)[i % 3]]] * 9)) for i in range(300)], "doc_id long, text string")
+    # Toxic documents have good quality, or none, as well as poor.
+    rows = [(i, *[(1, 0), (0, 0), ([1, None, 0][i // 3 % 3], 1)][i % 3]) for i in range(90)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    got = mixing.mixed(docs, labels).collect()
+    rate = [sum(r["rate"] for r in got if r["doc_id"] % 3 == k) / 100 for k in range(3)]
+    assert rate[0] > 1 and rate[2] < 0.2
+    for r in got:
+        assert abs(r["p_good"] + r["p_poor"] - 1) < 1e-9
+        assert (r["p_toxic"] > 0.5) == (r["doc_id"] % 3 == 2)
