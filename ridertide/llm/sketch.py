@@ -125,6 +125,16 @@ def part_of(key: Column, cuts: list[int]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
 
 
+def links_of(base: DataFrame) -> DataFrame:
+    """part, link: the first text of the next part, after the last part that of the first. base: part, key, text."""
+    # One task orders the part numbers; texts are joined to them.
+    ends = Window.orderBy("part")
+    numbers = base.select("part").distinct()
+    following = numbers.select("part", F.coalesce(F.lead("part").over(ends), F.first("part").over(ends)).alias("next_part"))
+    firsts = base.groupBy("part").agg(F.min(F.struct("key", "text")).alias("first"))
+    return following.join(firsts.select(F.col("part").alias("next_part"), F.col("first.text").alias("link")), "next_part").select("part", "link")
+
+
 def fingerprints(docs: DataFrame, fraction: float = FRACTION, part_bytes: int = PART_BYTES) -> DataFrame:
     """Sketches of every text and of the same text with its second half replaced by the start of the next document.
 
@@ -140,9 +150,7 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, part_bytes: int =
     cuts = cuts_of(base.select("key"), -(-text_bytes(base) // part_bytes))
     base = base.withColumn("part", part_of(F.col("key"), cuts))
     of = lambda column: retained(shingle_hashes(words(F.col(column))), fraction)
-    ends = Window.orderBy("part")
-    firsts = base.groupBy("part").agg(F.min(F.struct("key", "text")).alias("first"))
-    links = firsts.select("part", F.coalesce(F.lead("first.text").over(ends), F.first("first.text").over(ends)).alias("link"))
+    links = links_of(base)
     links = stage(links.withColumn("link_sketch", of("link")))
     inside = Window.partitionBy("part").orderBy("key", "text")
     chained = base.repartition("part").withColumn("sketch", of("text"))

@@ -73,5 +73,13 @@ def test_sketches_merge_and_estimate_containment(spark):
     assert found["merged"] > 0.98
 
 
+def test_links_between_parts_order_numbers_only(spark):
+    rows = [(p, 10 * p + k, f"text {p} {k}") for p in (0, 2, 3, 7) for k in (2, 1)]
+    links = sketch.links_of(spark.createDataFrame(rows, "part int, key long, text string"))
+    assert {r["part"]: r["link"] for r in links.collect()} == {0: "text 2 1", 2: "text 3 1", 3: "text 7 1", 7: "text 0 1"}
+    windows = [x for x in links._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and not any("text" in x for x in windows)
+
+
 def test_empty(empty):
     assert sketch.fingerprints(empty).count() == 0
