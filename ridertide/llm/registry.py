@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ridertide.llm import cascade, grammar, importance, langid, lines, minhash, mixing, oracle, packing, sketch, suffix
+from ridertide.llm import cascade, grammar, importance, langid, lines, minhash, mixing, oracle, packing, sketch, suffix, whitening
 from ridertide.llm.tables import documents, shared_path, table
 
 
@@ -56,6 +56,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_importance": op2_importance,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_lines": op8_site_lines,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
