@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ridertide.llm import cascade, grammar, importance, langid, lines, minhash, mixing, oracle, packing, sketch, suffix, whitening
+from ridertide.llm import cascade, grammar, importance, langid, lines, minhash, mixing, oracle, packing, repair, sketch, suffix, whitening
 from ridertide.llm.tables import documents, shared_path, table
 
 
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components_of(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_importance": op2_importance,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_language_id": op10_language_id,
     "op11_whitening": op11_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
