@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ridertide.llm import cascade, grammar, importance, langid, lines, minhash, mixing, oracle, packing, repair, sketch, suffix, whitening
+from ridertide.llm import cascade, grammar, importance, langid, lines, minhash, mixing, oracle, packing, pst, repair, sketch, suffix, whitening
 from ridertide.llm.tables import documents, shared_path, table
 
 
@@ -64,6 +64,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(table(spark, sf_dir, "conversations"))
 
 
+def op13_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.scored(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_importance": op2_importance,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_whitening": op11_whitening,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_suffix_tree_scores": op13_suffix_tree_scores,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
