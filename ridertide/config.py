@@ -26,6 +26,8 @@ class TreeParams:
     min_rows: int = 1
     #: Split candidates per feature; at least the number of distinct station codes that should stay apart.
     bins: int = 256
+    #: One-level trees by a search over all values of all features, in place of binned trees.
+    exhaustive: bool = False
 
 
 # Candidate grids and meta-layer boosters.
@@ -57,6 +59,8 @@ class SeriesConfig:
     top_k: int = 3
     # Window operators run on slices of this many days, so one long series spreads over many tasks.
     slice_days: int = 28
+    # Candidates that are fitted at the same time; each fit is a row of small jobs.
+    fit_threads: int = 6
 
     def __post_init__(self):
         if MINUTES_PER_DAY % self.bucket_minutes:
@@ -112,6 +116,7 @@ class NetworkConfig(SeriesConfig):
 
     @property
     def lags(self) -> tuple[int, ...]:
+        # Lags and windows in buckets.
         day = self.day_lag
         return tuple(sorted({1, 2, 3, 4, 8, 12, 16, 24, day, day + 1, 2 * day}))
 
@@ -153,6 +158,8 @@ class StationConfig(SeriesConfig):
     ridge_alpha: float = 10.0
     ridge_clip: tuple[float, float] = (0.05, 0.95)
     trees_clip: tuple[float, float] = (0.10, 0.90)
+    #: Table that goes with a run's results, by suffix .csv, .parquet or .pq.
+    station_metadata_path: str | None = None
 
     def _steps(self, minutes, least: int) -> tuple[int, ...]:
         return tuple(sorted({max(least, round(m / self.bucket_minutes)) for m in minutes}))
@@ -192,6 +199,7 @@ RICH_CONTEXT = (
 
 def station_presets() -> dict[str, StationConfig]:
     """The named single-station set-ups."""
+    # Names, sizes, lags and windows of the presets.
     base = StationConfig()
     rich = base.but(context_features=RICH_CONTEXT)
     presets = [

@@ -20,6 +20,7 @@ from ridertide.functions.numeric import clip, finite, row_max, row_mean, row_min
 from ridertide.operators.boosting import STATIC_FEATURES, STATISTIC_FEATURES, FittedTrees, fit_trees
 from ridertide.operators.metrics import leaderboard
 from ridertide.operators.ranking import exact_quantiles
+from ridertide.operators.stumps import FittedStumps
 from ridertide.sources.weather import WEATHER_FEATURES
 
 CONTEXT = "hl_daylag"
@@ -227,7 +228,7 @@ def with_residual(table: DataFrame, primary: str) -> DataFrame:
 
 def fit_residual_trees(
     table: DataFrame, features: list[str], params: TreeParams, seed: int, weight: str | None = None
-) -> FittedTrees:
+) -> FittedTrees | FittedStumps:
     return fit_trees(table, features, "residual", params, seed, weight)
 
 
@@ -238,11 +239,6 @@ def direct_blend(
     return fit_trees(validation, features, "y_true", params, seed).add_prediction(test, name)
 
 
-def importance_terms(trees: FittedTrees, spark) -> DataFrame:
-    """Importance per feature; a feature and its missing flag count together."""
-    weights = trees.model.featureImportances.toArray()
-    summed: dict[str, float] = {}
-    for name, value in zip(trees.input_names(), weights):
-        feature = name.split("_", 1)[1]
-        summed[feature] = summed.get(feature, 0.0) + float(value)
-    return spark.createDataFrame(list(summed.items()), "feature string, importance double")
+def importance_terms(trees: FittedTrees | FittedStumps, spark) -> DataFrame:
+    """Importance per feature."""
+    return spark.createDataFrame(list(trees.importances().items()), "feature string, importance double")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,7 @@ from ridertide.functions.numeric import finite, row_mean
 from ridertide.operators.context import RELATIVE_STATS, STATION_STATS, normalize_scale
 from ridertide.operators.folds import EVAL, FULL, TRAIN, TUNE
 from ridertide.operators.metrics import micro_metrics, series_metrics, top_models
+from ridertide.operators.stumps import FittedStumps, fit_stumps
 from ridertide.session import ensure_checkpoints, stage
 from ridertide.sources.weather import WEATHER_FEATURES
 
@@ -99,13 +102,15 @@ def set_columns(spec: SetSpec, cfg: StationConfig) -> tuple[str, ...]:
     columns = [f"lag_{n}" for n in cfg.lags[: spec.n_lags]]
     if spec.day:
         columns += [f"lag_{cfg.day_lag}", f"lag_{cfg.day_lag + 1}"]
-        columns += [f"hour_{wave}" for wave in ("sin", "cos") if "hour_cyclical" in context]
+        if "hour_cyclical" in context:
+            columns += ["hour_sin", "hour_cos"]  # fixed values
     for kind, window in (("sum", spec.sum_window), ("mean", spec.mean_window)):
         if window is not None:
             columns.append(f"roll_{kind}_{cfg.rolls[: window + 1][-1]}")
     if spec.regime:
         columns += [c for name, group in CONTEXT_GROUPS.items() if name in context for c in group]
-        columns += [f"roll_std_{cfg.rolls[0]}"] * ("rolling_volatility" in context)
+        if "rolling_volatility" in context:
+            columns.append(f"roll_std_{cfg.rolls[0]}")
     return tuple(dict.fromkeys(columns))
 
 
@@ -146,18 +151,53 @@ class FittedTrees:
     columns: list[str]
     scale: float
 
+    def on_features(self, df: DataFrame, name: str) -> DataFrame:
+        """The prediction, where ``df`` has the assembled features."""
+        scored = self.model.setFeaturesCol("features").setPredictionCol("tree_value").transform(df)
+        return scored.withColumn(name, F.col("tree_value") * F.lit(self.scale)).drop("tree_value")
+
     def add_prediction(self, df: DataFrame, name: str) -> DataFrame:
-        scored = self.model.setFeaturesCol("features").setPredictionCol("tree_value").transform(assembled(df, self.columns))
-        return scored.withColumn(name, F.col("tree_value") * F.lit(self.scale)).drop("features", "tree_value")
+        return self.on_features(assembled(df, self.columns), name).drop("features")
 
-    def input_names(self) -> list[str]:
-        return list(model_inputs(self.columns))
+    def importances(self) -> dict[str, float]:
+        """By feature; a feature and its missing flag count together."""
+        out: dict[str, float] = {}
+        for name, value in zip(model_inputs(self.columns), self.model.featureImportances.toArray(), strict=True):
+            feature = name.split("_", 1)[1]
+            out[feature] = out.get(feature, 0.0) + float(value)
+        return out
 
 
-def fit_trees(
-    train: DataFrame, columns: list[str], label: str, params: TreeParams, seed: int, weight: str | None = None
-) -> FittedTrees:
-    """Boosted trees on absolute error. Rows without a label are left out.
+@dataclass
+class Training:
+    """Training rows as one staged table of assembled features and scaled labels, which all fits on them share."""
+
+    data: DataFrame
+    columns: list[str]
+    scale: float
+    weight: str | None
+
+    def fit(self, params: TreeParams, seed: int) -> FittedTrees:
+        learner = GBTRegressor(
+            featuresCol="features",
+            labelCol="label",
+            lossType="absolute",
+            maxIter=params.rounds,
+            stepSize=params.step,
+            maxDepth=params.depth,
+            subsamplingRate=params.row_fraction,
+            featureSubsetStrategy=str(params.column_fraction) if params.column_fraction < 1 else "all",
+            minInstancesPerNode=params.min_rows,
+            maxBins=params.bins,
+            seed=seed,
+        )
+        if self.weight:
+            learner = learner.setWeightCol(self.weight)
+        return FittedTrees(learner.fit(self.data), self.columns, self.scale)
+
+
+def training(train: DataFrame, columns: list[str], label: str, weight: str | None = None) -> Training:
+    """Rows without a label are left out; none left is an error.
 
     The label is divided by its spread first: boosting steps on absolute error have a fixed size, and this makes
     them fit the volume of the data.
@@ -170,22 +210,16 @@ def fit_trees(
     scale = spread[1] or 1.0
     keep = ["features", "label"] + ([weight] if weight else [])
     data = assembled(labelled, columns).withColumn("label", F.col(label) / F.lit(scale)).select(*keep)
-    learner = GBTRegressor(
-        featuresCol="features",
-        labelCol="label",
-        lossType="absolute",
-        maxIter=params.rounds,
-        stepSize=params.step,
-        maxDepth=params.depth,
-        subsamplingRate=params.row_fraction,
-        featureSubsetStrategy=str(params.column_fraction) if params.column_fraction < 1 else "all",
-        minInstancesPerNode=params.min_rows,
-        maxBins=params.bins,
-        seed=seed,
-    )
-    if weight:
-        learner = learner.setWeightCol(weight)
-    return FittedTrees(learner.fit(data), columns, scale)
+    return Training(stage(data), columns, scale, weight)
+
+
+def fit_trees(
+    train: DataFrame, columns: list[str], label: str, params: TreeParams, seed: int, weight: str | None = None
+) -> FittedTrees | FittedStumps:
+    """Boosted trees on absolute error, binned or with one level by exhaustive search."""
+    if params.exhaustive:
+        return fit_stumps(train, columns, label, params.rounds, params.step, params.min_rows, weight)
+    return training(train, columns, label, weight).fit(params, seed)
 
 
 def _fold(folds: DataFrame, fold: str, role: str) -> DataFrame:
@@ -219,21 +253,47 @@ def tree_expert(
 ) -> Expert:
     """Fit every (feature set, parameters) candidate on the tune fold, average the best ``top_k`` and refit those.
 
-    Candidates are a driver-side list; each fit and each scoring pass is a Spark job over the fold table.
+    Candidates are a driver-side list. Those of one feature set share a staged table of assembled features, and
+    ``fit_threads`` of them are fitted at a time, so that the cluster is not idle between the small jobs of one fit.
     """
     candidates = {
-        f"{name}__cfg{i}": (columns, params, cfg.seed + seed_step * i)
-        for name, columns in sets.items()
+        f"{name}__cfg{i}": (name, params, cfg.seed + seed_step * i)
+        for name in sets
         for i, params in enumerate(grid, start=1)
     }
 
+    def fitted(fold: str, names: list[str]) -> dict[str, FittedTrees | FittedStumps]:
+        train = _fold(folds, fold, TRAIN)
+        binned = dict.fromkeys(candidates[n][0] for n in names if not candidates[n][1].exhaustive)
+
+        def prepare(set_name: str) -> Training:
+            return training(train, sets[set_name], label)
+
+        def fit(name: str) -> FittedTrees | FittedStumps:
+            set_name, params, seed = candidates[name]
+            if params.exhaustive:
+                return fit_trees(train, sets[set_name], label, params, seed)
+            return shared[set_name].fit(params, seed)
+
+        with ThreadPoolExecutor(max(1, cfg.fit_threads)) as pool:
+            inherited = inheritable_thread_target(folds.sparkSession)
+            shared = dict(zip(binned, pool.map(inherited(prepare), binned), strict=True))
+            return dict(zip(names, pool.map(inherited(fit), names), strict=True))
+
     def predict(fold: str, names: list[str]) -> DataFrame:
-        train, rows = _fold(folds, fold, TRAIN), _fold(folds, fold, EVAL)
-        for name in names:
-            columns, params, seed = candidates[name]
-            rows = fit_trees(train, columns, label, params, seed).add_prediction(rows, name)
-            if scale_back is not None:
-                rows = rows.withColumn(name, F.greatest(F.col(name) * scale_back, F.lit(0.0)))
+        rows, models = _fold(folds, fold, EVAL), fitted(fold, names)
+        for set_name, columns in sets.items():
+            own = [n for n in names if candidates[n][0] == set_name]
+            trees = [n for n in own if isinstance(models[n], FittedTrees)]
+            if trees:
+                rows = assembled(rows, columns)
+                for name in trees:
+                    rows = models[name].on_features(rows, name)
+                rows = rows.drop("features")
+            for name in (n for n in own if n not in trees):
+                rows = models[name].add_prediction(rows, name)
+        if scale_back is not None:
+            rows = rows.withColumns({n: F.greatest(F.col(n) * scale_back, F.lit(0.0)) for n in names})
         return rows
 
     validation = stage(predict(TUNE, list(candidates)))

@@ -191,10 +191,25 @@ def station_frame(counts: DataFrame, cfg: StationConfig, within: tuple[int, int]
 
 
 def sequence_windows(counts: DataFrame, cfg: SeriesConfig, window: int, keys: tuple[str, ...] = SERIES_KEY) -> DataFrame:
-    """Per anchor, the last ``window`` counts as an array and the sum of the next horizon."""
-    w = slice_window(keys)
-    sliced = with_running(sliced_series(counts, keys, cfg.slice_steps, window - 1, cfg.horizon_steps), w)
-    history = F.collect_list("count").over(w.rowsBetween(1 - window, 0))
-    wide = sliced.select("*", history.alias("history"), horizon_target(w, cfg.horizon_steps).alias("target_h"))
-    complete = (F.size("history") == window) & F.col("target_h").isNotNull()
-    return own_rows(wide, cfg.slice_steps).filter(complete).drop(*RUNNING)
+    """Per anchor, the last ``window`` counts as an array and the sum of the next horizon.
+
+    A slice of a series, with its halo, is one ordered array; windows and targets are cuts of it, so no window operator
+    keeps a buffer for each row.
+    """
+    span, horizon = cfg.slice_steps, cfg.horizon_steps
+    sliced = sliced_series(counts, keys, span, window - 1, horizon)
+    ordered = F.sort_array(F.collect_list(F.struct("step", "count")))
+    arrays = sliced.groupBy(*keys, "slice").agg(ordered.alias("rows"))
+    arrays = arrays.select(
+        *keys, "slice", F.transform("rows", lambda x: x["count"]).alias("counts"), F.transform("rows", lambda x: x["step"]).alias("steps")
+    )
+    each = arrays.select("*", F.posexplode("steps").alias("place", "step")).filter(F.col("slice") == F.floor(F.col("step") / span))
+    complete = each.filter((F.col("place") >= window - 1) & (F.col("place") + horizon < F.size("counts")))
+    ahead = F.slice("counts", F.col("place") + 2, F.lit(horizon))
+    return complete.select(
+        *keys,
+        "step",
+        F.element_at("counts", F.col("place") + 1).alias("count"),
+        F.slice("counts", F.col("place") + 2 - window, F.lit(window)).alias("history"),
+        F.aggregate(ahead, F.lit(0.0), lambda a, x: a + x).alias("target_h"),
+    )

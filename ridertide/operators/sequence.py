@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridertide.config import SeriesConfig
-from ridertide.operators.folds import EVAL, FULL, TRAIN, TUNE
+from ridertide.operators.folds import EVAL, TRAIN
+from ridertide.session import stage
 
 SPREAD_FLOOR = 1e-8
 # A little shrinkage keeps the fit unique where a series has fewer windows than steps in a window.
@@ -21,38 +23,36 @@ def scaled_windows(
     """Per anchor and fold, the standardized history and target.
 
     Standardized by mean and population deviation of the station's train days. Train windows lie wholly inside the
-    train days; evaluation windows may reach back into them. A (fold, station) group is at most four days long.
+    train days; evaluation windows may reach back into them. A (fold, station) group is one array of at most four days;
+    windows are cuts of it.
     """
     horizon = cfg.horizon_steps
-    whole = Window.partitionBy("fold", *keys)
-    w = whole.orderBy("step")
-    trained = F.col("role") == TRAIN
-    train_count = F.when(trained, F.col("count"))
-    placed = folds.select(
-        "fold",
-        "role",
-        *keys,
-        "step",
-        F.collect_list("count").over(w.rowsBetween(1 - window, 0)).alias("history"),
-        F.sum("count").over(w.rowsBetween(1, horizon)).alias("future"),
-        F.count(F.lit(1)).over(w.rowsBetween(1, horizon)).alias("n_future"),
-        F.count(train_count).over(w.rowsBetween(1, horizon)).alias("n_future_train"),
-        F.avg(train_count).over(whole).alias("series_mean"),
-        (F.stddev_pop(train_count).over(whole) + F.lit(SPREAD_FLOOR)).alias("series_std"),
-        F.count(train_count).over(whole).alias("n_train"),
-        F.count(F.when(~trained, F.col("count"))).over(whole).alias("n_eval"),
+    count, trained = F.col("count").cast("double"), F.col("role") == TRAIN
+    train_count = F.when(trained, count)
+    ordered = F.sort_array(F.collect_list(F.struct("step", "role", count.alias("count"))))
+    series = folds.groupBy("fold", *keys).agg(
+        ordered.alias("rows"),
+        F.avg(train_count).alias("series_mean"),
+        (F.stddev_pop(train_count) + F.lit(SPREAD_FLOOR)).alias("series_std"),
+        F.count(train_count).alias("n_train"),
+        F.count(F.when(~trained, count)).alias("n_eval"),
     )
-    long_enough = (F.col("n_train") >= window + horizon + 1) & (F.col("n_eval") >= horizon + 1)
-    reached = F.when(trained, F.col("n_future_train")).otherwise(F.col("n_future")) == horizon
-    usable = placed.filter(long_enough & reached & (F.size("history") == window))
+    series = series.filter((F.col("n_train") >= window + horizon + 1) & (F.col("n_eval") >= horizon + 1))
+    counts = F.transform("rows", lambda x: x["count"]).alias("counts")
+    each = series.select("fold", *keys, "series_mean", "series_std", "n_train", counts, F.posexplode("rows").alias("place", "row"))
+    # Train days come before the evaluation day, so a train row's target must end with them.
+    limit = F.when(F.col("row.role") == TRAIN, F.col("n_train")).otherwise(F.size("counts"))
+    usable = each.filter((F.col("place") >= window - 1) & (F.col("place") + horizon < limit))
     mean, std = F.col("series_mean"), F.col("series_std")
+    history = F.slice("counts", F.col("place") + 2 - window, F.lit(window))
+    future = F.aggregate(F.slice("counts", F.col("place") + 2, F.lit(horizon)), F.lit(0.0), lambda a, x: a + x)
     return usable.select(
         "fold",
-        "role",
+        F.col("row.role").alias("role"),
         *keys,
-        "step",
-        F.transform("history", lambda x: (x - mean) / std).alias("history"),
-        ((F.col("future") - horizon * mean) / std).alias("target_scaled"),
+        F.col("row.step").alias("step"),
+        F.transform(history, lambda x: (x - mean) / std).alias("history"),
+        ((future - horizon * mean) / std).alias("target_scaled"),
         "series_mean",
         "series_std",
     )
@@ -64,24 +64,70 @@ def unscaled(prediction, cfg: SeriesConfig):
     return F.greatest(value, F.lit(0.0))
 
 
+@dataclass
+class Autoregression:
+    """Weights of the window's values, oldest first, and the constant."""
+
+    weights: np.ndarray
+    constant: float
+
+    def value(self) -> Column:
+        weights = F.array(*[F.lit(float(w)) for w in self.weights])
+        products = F.zip_with("history", weights, lambda x, w: x * w)
+        return F.aggregate(products, F.lit(self.constant), lambda a, x: a + x)
+
+
+def window_sums(windows: DataFrame, window: int) -> dict[str, np.ndarray]:
+    """By fold, the products summed over all windows: of the values with each other, the target and 1.
+
+    A window gives one row for each of its values; the row's products with all others are summed in the same aggregate,
+    so only (window + 2) x (window + 2) sums per fold and task are shuffled and reach the driver.
+    """
+    y = F.col("target_scaled")
+    extended = F.concat("history", F.array(y, F.lit(1.0)))
+    rows = windows.select("fold", extended.alias("values"))
+    rows = rows.select("fold", "values", F.posexplode("values").alias("place", "value"))
+    sums = [F.sum(F.col("value") * F.col("values")[j]).alias(f"s{j}") for j in range(window + 2)]
+    out: dict[str, np.ndarray] = {}
+    for r in rows.groupBy("fold", "place").agg(*sums).collect():
+        out.setdefault(r["fold"], np.zeros((window + 2, window + 2)))[r["place"]] = [r[f"s{j}"] for j in range(window + 2)]
+    return out
+
+
+def solved(sums: np.ndarray, shrinkage: float = SHRINKAGE) -> Autoregression:
+    """Least squares with a free constant and a penalty on the weights, from the summed products.
+
+    The penalty is in units of the target's spread: shrinkage times rows times spread. A window value that never
+    changes takes no weight.
+    """
+    k = len(sums) - 2
+    n = sums[-1, -1]
+    means = sums[-1, : k + 1] / n
+    centred = sums[: k + 1, : k + 1] - n * np.outer(means, means)
+    spread = np.sqrt(max(centred[k, k] / n, 0.0))
+    gram = centred[:k, :k] + np.eye(k) * max(shrinkage * n / spread if spread else 0.0, 0.0)
+    varying = np.flatnonzero(np.diag(centred)[:k] > 0)
+    weights = np.zeros(k)
+    if spread and len(varying):
+        part = np.ix_(varying, varying)
+        weights[varying] = np.linalg.lstsq(gram[part], centred[varying, k], rcond=None)[0]
+    return Autoregression(weights, float(means[k] - weights @ means[:k]))
+
+
+def fit_autoregression(windows: DataFrame, window: int) -> dict[str, Autoregression]:
+    """One fit per fold, from the train windows."""
+    return {fold: solved(sums) for fold, sums in window_sums(windows.filter(F.col("role") == TRAIN), window).items()}
+
+
 def pooled_autoregression(
     folds: DataFrame, cfg: SeriesConfig, window: int, keys: tuple[str, ...] = ("station_key",)
 ) -> DataFrame:
-    """Forecasts of the evaluation anchors of both folds: (fold, keys..., step, pred)."""
-    windows = scaled_windows(folds, cfg, window, keys)
-    vectors = windows.withColumn("features", array_to_vector(F.col("history")))
-    learner = LinearRegression(
-        featuresCol="features",
-        labelCol="target_scaled",
-        solver="normal",
-        standardization=False,
-        elasticNetParam=0.0,
-        regParam=SHRINKAGE,
-    )
-    parts = []
-    for fold in (TUNE, FULL):
-        train = vectors.filter((F.col("fold") == fold) & (F.col("role") == TRAIN))
-        model = learner.fit(train)
-        scored = model.transform(vectors.filter((F.col("fold") == fold) & (F.col("role") == EVAL)))
-        parts.append(scored.select("fold", *keys, "step", unscaled(F.col("prediction"), cfg).alias("pred")))
-    return parts[0].unionByName(parts[1])
+    """Forecasts of the evaluation anchors of both folds: (fold, keys..., step, pred). A fold without a train window
+    has no forecasts."""
+    windows = stage(scaled_windows(folds, cfg, window, keys))
+    fits = fit_autoregression(windows, window)
+    value = F.lit(None).cast("double")
+    for fold, fit in fits.items():
+        value = F.when(F.col("fold") == fold, fit.value()).otherwise(value)
+    ahead = windows.filter((F.col("role") == EVAL) & F.col("fold").isin(*fits))
+    return ahead.select("fold", *keys, "step", unscaled(value, cfg).alias("pred"))

@@ -101,7 +101,7 @@ def expert_table(
     """(evaluation anchors with one column per expert, candidate scores, anchors that took the fallback)."""
     table = forecasts.anchors(attached).withColumn("seasonal", forecasts.seasonal_naive(cfg))
     found: dict[str, DataFrame] = {}
-    candidates, missed = None, []
+    candidates = None
     if cfg.run_smoothing:
         found["smoothing"] = holt_winters(rows, cfg)
     if cfg.run_trees:
@@ -116,15 +116,15 @@ def expert_table(
         candidates = union_all([fit.candidates(name) for name, fit in fits.items()])
     if cfg.run_sequence:
         found["sequence"] = pooled_autoregression(rows, cfg, cfg.seq_window)
-    for name, df in found.items():
-        fallback = None if name.startswith("trees") else F.col("seasonal")
-        if fallback is not None:
-            missed.append(forecasts.unreached(table, df, KEYS).withColumn("expert", F.lit(name)))
-        table = forecasts.add_expert(table, df, name, KEYS, fallback)
-    fallbacks = None
-    if missed:
-        fallbacks = union_all(missed).groupBy("expert", "fold", "station_key").agg(F.count(F.lit(1)).alias("anchors"))
-    return stage(table), candidates, fallbacks
+    # Trees reach every anchor; a gap in them stops the run later.
+    fallbacks = {name: None if name.startswith("trees") else F.col("seasonal") for name in found}
+    if not found:
+        return stage(table), None, None
+    table = stage(forecasts.aligned(table, found, KEYS, fallbacks))
+    filled = [name for name, value in fallbacks.items() if value is not None]
+    missed = table.select("fold", "station_key", F.explode("without").alias("expert")).filter(F.col("expert").isin(*filled))
+    missed = missed.groupBy("expert", "fold", "station_key").agg(F.count(F.lit(1)).alias("anchors")) if filled else None
+    return table.drop("without"), candidates, missed
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:

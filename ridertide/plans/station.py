@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import gcd
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from ridertide.operators.features import station_frame
 from ridertide.operators.sequence import pooled_autoregression
 from ridertide.operators.smoothing import holt_winters
 from ridertide.session import stage
-from ridertide.sources.events import filter_events, filter_terms, read_events_csv, timed_events
-from ridertide.sources.tables import write_csv_tables
+from ridertide.sources.events import filter_events, filter_terms, read_events_csv, read_events_parquet, timed_events
+from ridertide.sources.tables import read_station_metadata, write_csv_tables, write_parquet
 
 EXPERTS = ("smoothing", "trees", "sequence")
 BLENDS = ("meta_static", "meta_context", "residual_linear", "residual_trees", "direct_static", "direct_context")
@@ -36,6 +37,7 @@ class StationResult:
     profile: DataFrame
     blend_deltas: DataFrame
     candidates: DataFrame
+    station_metadata: DataFrame | None = None
     terms: dict[str, DataFrame] = field(default_factory=dict)
 
     def validation(self) -> DataFrame:
@@ -51,6 +53,26 @@ def station_taps(spark: SparkSession, events_csv: str, cfg: StationConfig) -> Da
     return timed_events(filter_events(read_events_csv(spark, events_csv), terms))
 
 
+def layered_events(spark: SparkSession, events_csv: str, cfg: StationConfig, folder: str) -> DataFrame:
+    """The line's timed events by way of two stored layers: all events with all columns, then the filtered rows with the
+    known columns. Later runs read the second, which is as small as the line."""
+    full, slim = f"{folder.rstrip('/')}/full", f"{folder.rstrip('/')}/filtered"
+    write_parquet(read_events_csv(spark, events_csv), full)
+    terms = filter_terms(cfg.transport_type_id, cfg.place_ids, cfg.validation_modes)
+    write_parquet(filter_events(read_events_parquet(spark, full), terms), slim)
+    return timed_events(read_events_parquet(spark, slim))
+
+
+def station_metadata_of(spark: SparkSession, cfg: StationConfig) -> DataFrame | None:
+    """The metadata that goes with a run; None without a path or a file."""
+    try:
+        return read_station_metadata(spark, cfg.station_metadata_path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def run_station_events(events: DataFrame, cfg: StationConfig) -> StationResult:
     return run_station(series_counts(events, cfg), cfg)
 
@@ -69,9 +91,7 @@ def run_station(counts: DataFrame, cfg: StationConfig) -> StationResult:
     found = {"smoothing": holt_winters(rows, cfg, (), floor=False), "trees": trees.forecasts}
     if cfg.run_sequence:
         found["sequence"] = pooled_autoregression(rows, cfg, cfg.seq_window, ())
-    for name, df in found.items():
-        table = forecasts.add_expert(table, df, name, keys, None)
-    table = stage(table)
+    table = stage(forecasts.aligned(table, found, keys, {}).drop("without"))
     experts = [m for m in EXPERTS if m in table.columns]
     blending.require_forecasts(table, experts)
     validation, test = (table.filter(F.col("fold") == f) for f in (folds.TUNE, folds.FULL))
@@ -116,6 +136,7 @@ def run_station(counts: DataFrame, cfg: StationConfig) -> StationResult:
         profile=folds.split_profile(attached, cfg.time_col, None),
         blend_deltas=metrics.blend_deltas(summary, experts, [m for m in BLENDS if m in models]),
         candidates=trees.candidates("trees"),
+        station_metadata=station_metadata_of(spark, cfg),
         terms=terms,
     )
 
@@ -152,6 +173,8 @@ def save_station(result: StationResult, folder: str) -> dict[str, str]:
         "blend_deltas": result.blend_deltas,
         "candidate_scores": result.candidates,
     }
+    if result.station_metadata is not None:
+        tables["station_metadata"] = result.station_metadata
     tables.update({name: metrics.top_terms(t, t.columns[1], 20, name.endswith("coef")) for name, t in result.terms.items()})
     return write_csv_tables(tables, folder)
 

@@ -25,9 +25,14 @@ def read_station_metadata(spark: SparkSession, path: str | None) -> DataFrame |
     raise ValueError(f"unsupported station metadata format: {path}")
 
 
-def write_buckets(buckets: DataFrame, path: str, order: list[str]) -> None:
-    """Bucket table with rows in order inside each file, so row groups prune well on the leading columns."""
-    buckets.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+def write_buckets(buckets: DataFrame, path: str, order: list[str], files: int | None = None) -> None:
+    """Bucket table in the order of the given columns, over all files: each file holds one range of them.
+
+    The ranges show in the files' statistics, so a filter on the leading columns skips the files of other ranges.
+    ``files`` is the number of ranges; without it the session's number of shuffle partitions.
+    """
+    ranged = buckets.repartitionByRange(files, *order) if files else buckets.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

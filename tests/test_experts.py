@@ -4,7 +4,7 @@ from helpers import step
 from pyspark.sql import functions as F
 
 from ridertide.config import RICH_CONTEXT, NetworkConfig, StationConfig, TreeParams
-from ridertide.operators import boosting, context, folds, features, sequence, smoothing
+from ridertide.operators import boosting, context, features, folds, forecasts, sequence, smoothing
 from ridertide.operators.metrics import micro_metrics
 
 CFG = NetworkConfig(bucket_minutes=240, horizon_minutes=480, line_codes=None, seq_window=4)
@@ -80,6 +80,88 @@ def test_pooled_autoregression_learns_a_shared_shape(spark):
         assert r["pred"] == pytest.approx(future.sum(), rel=0.06)
 
 
+def loop_holt_winters(train, ahead, floor):
+    """All constants by a loop; the first of those with the least squared error."""
+    first, second = train[:DAY].mean(), train[DAY : 2 * DAY].mean()
+    best = None
+    for a, b, c in smoothing.CONSTANTS:
+        level, trend, season, cost = first, (second - first) / DAY, list(train[:DAY] - first), 0.0
+        for i, y in enumerate(train):
+            s = season[i % DAY]
+            cost += (y - level - trend - s) ** 2
+            raised = a * (y - s) + (1 - a) * (level + trend)
+            trend = b * (raised - level) + (1 - b) * trend
+            season[i % DAY] = c * (y - raised) + (1 - c) * s
+            level = raised
+        if best is None or round(cost, smoothing.DIGITS) < best[0]:
+            best = (round(cost, smoothing.DIGITS), level, trend, season)
+    _, level, trend, season = best
+    path = [level + k * trend + season[(len(train) + k - 1) % DAY] for k in range(1, ahead + 1)]
+    path = np.maximum(path, 0) if floor else np.array(path)
+    return [path[i + 1 : i + 3].sum() for i in range(ahead - 2)]
+
+
+@pytest.mark.parametrize("floor", [True, False])
+def test_holt_winters_against_a_loop(spark, floor):
+    rng = np.random.default_rng(6)
+    rows, want = None, {}
+    for key, days in (("a", 2), ("b", 3), ("c", 3)):
+        train = rng.poisson(rng.integers(1, 30), days * DAY + 1).astype(float)
+        part = fold_rows(spark, train, np.ones(DAY), key)
+        rows = part if rows is None else rows.unionByName(part)
+        want.update({(key, len(train) + i): v for i, v in enumerate(loop_holt_winters(train, DAY, floor))})
+    got = {(r["station_key"], r["step"]): r["pred"] for r in smoothing.holt_winters(rows, CFG, floor=floor).collect()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v)
+
+
+def test_holt_winters_needs_no_python_worker(spark):
+    plan = smoothing.holt_winters(fold_rows(spark, np.ones(2 * DAY), np.ones(DAY)), CFG)._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_holt_winters_skips_missing_counts(spark):
+    rows = fold_rows(spark, np.ones(2 * DAY), np.ones(DAY))
+    assert smoothing.holt_winters(rows.withColumn("count", F.when(F.col("step") != 3, F.col("count"))), CFG).count() == 0
+
+
+def test_autoregression_equals_least_squares(spark):
+    """The sums of products give the fit of the iterative learner on the same windows."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(7)
+    rows = fold_rows(spark, rng.poisson(9, 3 * DAY).astype(float), rng.poisson(9, DAY).astype(float))
+    windows = sequence.scaled_windows(rows, CFG, 4).cache()
+    fit = sequence.fit_autoregression(windows, 4)["tune"]
+    learner = LinearRegression(
+        featuresCol="x", labelCol="target_scaled", solver="normal", standardization=False, regParam=sequence.SHRINKAGE
+    )
+    model = learner.fit(windows.filter("role = 'train'").withColumn("x", array_to_vector("history")))
+    np.testing.assert_allclose(fit.weights, model.coefficients.toArray(), atol=1e-8)
+    assert fit.constant == pytest.approx(model.intercept, abs=1e-8)
+
+
+def test_autoregression_of_constant_windows():
+    sums = np.array([[9.0, 0, 3, 9], [0, 0, 0, 0], [3, 0, 2, 3], [9, 0, 3, 9]])
+    fit = sequence.solved(sums)
+    assert fit.weights.tolist() == [0.0, 0.0] and fit.constant == pytest.approx(1 / 3)
+
+
+def test_aligned_forecasts(spark):
+    anchors = spark.createDataFrame([("tune", "a", 1, 5.0), ("tune", "b", 1, None), ("full", "a", 2, 7.0)], "fold string, station_key string, step int, seasonal double")
+    first = spark.createDataFrame([("tune", "a", 1, 1.5), ("full", "a", 2, 2.5), ("full", "z", 9, 9.0)], "fold string, station_key string, step int, pred double")
+    second = spark.createDataFrame([("tune", "b", 1, 3)], "fold string, station_key string, step int, pred int")
+    keys = ["fold", "station_key", "step"]
+    out = forecasts.aligned(anchors, {"one": first, "two": second}, keys, {"two": F.col("seasonal"), "one": None})
+    assert out.columns == [*keys, "seasonal", "one", "two", "without"]
+    got = {tuple(r)[:3]: (r["one"], r["two"], r["without"]) for r in out.collect()}
+    assert got == {("tune", "a", 1): (1.5, 5.0, ["two"]), ("tune", "b", 1): (None, 3.0, ["one"]), ("full", "a", 2): (2.5, 7.0, ["two"])}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_feature_sets():
     sets = boosting.feature_sets(StationConfig())
     assert list(sets) == ["lags_short", "lags_hour", "lags_day_time", "lags_day_time_ctx", "lags_extended", "lags_extended_ctx"]

@@ -16,7 +16,6 @@ SQL = oracle.statements()
 QUERIES = REGISTRY
 # Queries without a SQL counterpart, and the smallest number of rows each must give.
 TRAINED = {
-    "holt_winters",
     "pooled_autoregression",
     "boosted_grid",
     "boosted_normalized",

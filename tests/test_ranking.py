@@ -40,5 +40,29 @@ def test_exact_quantiles(spark, kind, last, monkeypatch):
     np.testing.assert_allclose(got, np.quantile(values, probs), rtol=1e-12, atol=1e-12)
 
 
+def test_passes_do_not_depend_on_the_number_of_probabilities(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "LAST_VALUES", 40)
+    df = spark.range(30_000).select((F.xxhash64("id") / 2**40).alias("v"))
+    values = np.array([r["v"] for r in df.collect()])
+    jobs = []
+    real = ranking.described
+    monkeypatch.setattr(ranking, "described", lambda grouped: jobs.append(1) or real(grouped))
+    taken = []
+    for probs in ([0.5], [i / 20 for i in range(21)]):
+        jobs.clear()
+        np.testing.assert_allclose(ranking.exact_quantiles(df, "v", probs), np.quantile(values, probs), rtol=1e-12)
+        taken.append(len(jobs))
+    assert taken[1] <= taken[0] + 1 <= 4
+
+
+def test_codes_of_columns_of_several_types(spark):
+    rows = [(3, "b", 0.5), (1, None, 2.0), (None, "a", 0.5), (10, "b", None), (1, "a", -1.0)]
+    df = spark.createDataFrame(rows, "k long, g string, x double").repartition(3)
+    got = {tuple(r) for r in ranking.add_codes(df, {"k": "ck", "g": "cg", "x": "cx"}).select("k", "g", "x", "ck", "cg", "cx").collect()}
+    order = [sorted({r[i] for r in rows}, key=lambda v: (v is None, v if v is not None else 0)) for i in (0, 2)]
+    names = ["a", "b", None]
+    assert got == {(*r, order[0].index(r[0]), names.index(r[1]), order[1].index(r[2])) for r in rows}
+
+
 def test_quantiles_of_nothing(spark):
     assert ranking.exact_quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]

@@ -3,9 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ridertide.config import NetworkConfig
+from ridertide.config import NetworkConfig, StationConfig
 from ridertide.operators.buckets import bucket_table, counts_of, require_counts, series_counts, station_counts
 from ridertide.operators.stations import station_maps
+from ridertide.plans import station
 from ridertide.sources import events, places, tables, weather
 
 EVENTS = """APP_ID;PLACE_ID;TRAN_DATE;TRANSPORT_TYPE_ID;VALIDATION_MODE;EXTRA
@@ -132,3 +133,36 @@ def test_buckets_round_trip(spark, tmp_path, tap_file):
 def test_csv_sink(spark, tmp_path):
     paths = tables.write_csv_tables({"one": spark.range(2), "two": spark.range(3)}, str(tmp_path))
     assert spark.read.option("header", True).csv(paths["two"]).count() == 3
+
+
+def test_buckets_lie_in_ranges_over_the_files(spark, tmp_path):
+    """A filter on one line reads a share of the files."""
+    rows = [(line, station, i, 1.0) for line in range(8) for station in range(5) for i in range(40)]
+    table = spark.createDataFrame(rows, "LN_CODE long, ST_CODE long, bucket_60m long, count double").repartition(6)
+    path = str(tmp_path / "buckets")
+    tables.write_buckets(table, path, ["LN_CODE", "ST_CODE", "bucket_60m"], files=16)
+    read = spark.read.parquet(path)
+    files = {r[0] for r in read.select(F.input_file_name()).distinct().collect()}
+    assert len(files) > 8 and read.count() == len(rows)
+    spans = read.groupBy(F.input_file_name().alias("f")).agg(F.min("LN_CODE").alias("lo"), F.max("LN_CODE").alias("hi")).collect()
+    assert sum(r["lo"] <= 3 <= r["hi"] for r in spans) <= 4
+
+
+def test_event_layers(spark, tmp_path):
+    rows = [("2024-01-01 00:00:01", 1, 5, 1, "x", "more"), ("no time", 1, 5, 1, "y", "more"), ("2024-01-01 00:00:02", 2, 5, 1, "z", "more"), ("2024-01-01 00:00:03", 1, 6, 1, "w", "more")]
+    raw = str(tmp_path / "raw")
+    columns = "TRAN_DATE string, TRANSPORT_TYPE_ID int, PLACE_ID int, VALIDATION_MODE int, APP_ID string, OTHER string"
+    spark.createDataFrame(rows, columns).write.option("header", True).option("sep", ";").csv(raw)
+    cfg = StationConfig(place_ids=(5,))
+    got = station.layered_events(spark, raw, cfg, str(tmp_path / "layers"))
+    assert [(r["APP_ID"], r["PLACE_ID"]) for r in got.collect()] == [("x", 5)] and "OTHER" not in got.columns
+    assert spark.read.parquet(str(tmp_path / "layers" / "full")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "layers" / "filtered")).count() == 2
+
+
+def test_station_metadata_of_a_run(spark, tmp_path):
+    path = str(tmp_path / "meta.parquet")
+    spark.createDataFrame([(1, "a")], "id int, name string").write.parquet(path)
+    assert station.station_metadata_of(spark, StationConfig(station_metadata_path=path)).collect()[0]["name"] == "a"
+    assert station.station_metadata_of(spark, StationConfig()) is None
+    assert station.station_metadata_of(spark, StationConfig(station_metadata_path=str(tmp_path / "none.csv"))) is None

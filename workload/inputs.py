@@ -13,6 +13,7 @@ from ridertide.operators.folds import clip_per_day, clip_per_segment, day_folds,
 from ridertide.operators.forecasts import anchors, seasonal_naive
 from ridertide.operators.stations import place_map, station_maps
 from ridertide.session import stage
+from ridertide.sources.weather import hourly_weather
 
 # Three candidates as in the default grids, with few rounds: the defaults take hours in one process.
 FEW_TREES = (TreeParams(8, 0.1, 3), TreeParams(12, 0.1, 4), TreeParams(16, 0.1, 4))
@@ -25,6 +26,10 @@ NETWORK = NetworkConfig(
     tree_grid=FEW_TREES,
     top_k=2,
 )
+# One-level trees in one round: the splits and leaf values that SQL can repeat. Candidates differ in rows per leaf.
+STUMPS = tuple(TreeParams(1, 0.1, 1, min_rows=n, exhaustive=True) for n in (1, 40, 150))
+NETWORK_STUMPS = NETWORK.but(tree_grid=STUMPS)
+STUMP_ROWS = 3
 STATION = StationConfig(
     name="series_60m_180m",
     bucket_minutes=60,
@@ -37,6 +42,8 @@ STATION = StationConfig(
     tree_grid=FEW_TREES,
 )
 
+STATION_STUMPS = STATION.but(tree_grid=(TreeParams(1, 0.1, 1, min_rows=STUMP_ROWS, exhaustive=True),))
+
 # A sequence window that stations starting after the first fold day are too short for.
 LONG_WINDOW = 44
 
@@ -112,19 +119,35 @@ def total_counts(spark: SparkSession, folder: str, cfg: StationConfig = STATION)
     return series_counts(taps(spark, folder), cfg)
 
 
-def network_folds(spark: SparkSession, folder: str, static: bool = False) -> DataFrame:
+def hourly_stand_in(spark: SparkSession, folder: str) -> DataFrame:
+    """Stand-in weather: event values by time, as temperature and wind."""
+    raw = table(spark, folder, "events").select(
+        F.col("ts").alias("time"),
+        F.col("value").alias("temperature_2m"),
+        F.length("props").cast("string").alias("wind_speed_10m"),
+        F.struct("ts", "event_id").alias("file_order"),
+    )
+    return hourly_weather(raw, F.col("file_order"))
+
+
+def patchy_weather(spark: SparkSession, folder: str) -> DataFrame:
+    """The stand-in without every fifth hour."""
+    return hourly_stand_in(spark, folder).filter(F.hour("weather_hour") % 5 != 0)
+
+
+def network_folds(spark: SparkSession, folder: str, static: bool = False, weather: DataFrame | None = None) -> DataFrame:
     """Fold rows before the horizon clip. Counts are staged: the fold days come from their bounds, and the frame is
     then built from the few days it needs."""
     stations = maps(spark, folder)[0] if static else None
     counted = stage(counts(spark, folder))
     dates = fold_dates(counted, NETWORK)
     within = fold_range(dates, NETWORK)
-    return day_folds(network_frame(counted, stations, NETWORK, within=within), dates, NETWORK)
+    return day_folds(network_frame(counted, stations, NETWORK, weather, within), dates, NETWORK)
 
 
-def network_context(spark: SparkSession, folder: str, static: bool = False) -> DataFrame:
+def network_context(spark: SparkSession, folder: str, static: bool = False, weather: DataFrame | None = None) -> DataFrame:
     """Clipped fold rows with load context. Staged, since the statistics and the rows both read them."""
-    clipped = stage(clip_per_day(network_folds(spark, folder, static), NETWORK))
+    clipped = stage(clip_per_day(network_folds(spark, folder, static, weather), NETWORK))
     return attach_context(clipped, NETWORK)
 
 

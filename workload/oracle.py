@@ -9,7 +9,10 @@ from __future__ import annotations
 import re
 
 from ridertide.functions.draws import draw_sql
-from workload.inputs import LONG_WINDOW, NETWORK, STATION
+from ridertide.operators.boosting import feature_sets, rich_features
+from ridertide.operators.context import is_magnitude
+from ridertide.operators.smoothing import CONSTANTS
+from workload.inputs import LONG_WINDOW, NETWORK, STATION, STUMP_ROWS, STUMPS
 
 LAGS = NETWORK.lags
 ROLLS = NETWORK.rolls
@@ -347,18 +350,160 @@ def _sequence(window: int) -> str:
 
 CTES["seq"] = _sequence(W)
 CTES["seq_long"] = _sequence(LONG_WINDOW)
+CTES["seq_two"] = _sequence(2)
+CTES["two_lags"] = """
+    SELECT *, (oldest_count - series_mean) / series_std AS x1, (cnt - series_mean) / series_std AS x2,
+           (future - 3 * series_mean) / series_std AS y FROM seq_two"""
+CTES["two_fit"] = """
+    SELECT fold, m1, m2, my, (s22 * c1 - s12 * c2) / (s11 * s22 - s12 * s12) AS b1,
+           (s11 * c2 - s12 * c1) / (s11 * s22 - s12 * s12) AS b2
+    FROM (SELECT fold, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS c1,
+                 covar_pop(x2, y) AS c2, var_pop(x1) + 0.01 / stddev_pop(y) AS s11,
+                 var_pop(x2) + 0.01 / stddev_pop(y) AS s22
+          FROM two_lags WHERE role = 'train' GROUP BY fold)"""
+
+# Holt-Winters as a recursion over the counts, for all constants at once.
+CTES["hw_grid"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in enumerate(CONSTANTS)) + ") g(place, a, b, c)"
+CTES["hw_series"] = """
+    SELECT *, list_sum(ys[1:24]) / 24 AS first_day, list_sum(ys[25:48]) / 24 AS second_day
+    FROM (SELECT fold, station_key, list(cnt ORDER BY t) FILTER (role = 'train') AS ys,
+                 list(t ORDER BY t) FILTER (role = 'eval') AS ahead FROM split GROUP BY ALL)
+    WHERE len(ys) >= 48 AND len(ahead) > 3"""
+CTES["hw_state"] = """
+    SELECT fold, station_key, place, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, 0 AS i, first_day AS level,
+           (second_day - first_day) / 24 AS trend, list_transform(ys[1:24], lambda x: x - first_day) AS seasons,
+           0.0::DOUBLE AS cost
+    FROM hw_series CROSS JOIN hw_grid
+    UNION ALL
+    SELECT fold, station_key, place, a, b, c, i + 1, raised, b * (raised - level) + (1 - b) * trend,
+           list_append(seasons[2:], c * (y - raised) + (1 - c) * season), cost + error * error
+    FROM (SELECT s.*, ys[i + 1] AS y, seasons[1] AS season,
+                 a * (ys[i + 1] - seasons[1]) + (1 - a) * (level + trend) AS raised,
+                 ys[i + 1] - level - trend - seasons[1] AS error
+          FROM hw_state s JOIN hw_series USING (fold, station_key) WHERE i < len(ys))"""
+CTES["hw_path"] = """
+    SELECT fold, station_key, ahead, list_transform(range(1, len(ahead) + 1),
+           lambda k: greatest(level + k * trend + seasons[(k - 1) % 24 + 1], 0)) AS path
+    FROM hw_state JOIN hw_series USING (fold, station_key) WHERE i = len(ys)
+    QUALIFY row_number() OVER (PARTITION BY fold, station_key ORDER BY round(cost, 9), place) = 1"""
+
+
+# One-level trees: every threshold of every feature, missing values on either side.
+
+
+def _listed(columns: dict[str, str]) -> str:
+    return f"[{', '.join(f'round(({c})::DOUBLE, 9)' for c in columns.values())}]"
+
+
+def _stumps(name: str, train: str, ahead: str, columns: dict[str, str], label: str, least: list[int]) -> None:
+    """CTEs that fit and apply the stumps with ``least`` rows on each side: <name>_best and <name>_pred. ``train`` and
+    ``ahead`` have a fold column."""
+    CTES[f"{name}_long"] = f"""
+        SELECT fold, unnest(range(1, {len(columns) + 1})) AS idx, unnest({_listed(columns)}) AS v, ({label})::DOUBLE AS y
+        FROM {train} WHERE ({label}) IS NOT NULL"""
+    CTES[f"{name}_tally"] = f"SELECT fold, idx, v, count(*) AS n, sum(y) AS s FROM {name}_long GROUP BY ALL"
+    CTES[f"{name}_runs"] = f"""
+        SELECT *, sum(n) OVER upto AS left_n, sum(s) OVER upto AS left_s, sum(n) OVER whole AS all_n,
+               sum(s) OVER whole AS all_s, coalesce(sum(n) FILTER (v IS NULL) OVER whole, 0) AS missing_n,
+               coalesce(sum(s) FILTER (v IS NULL) OVER whole, 0) AS missing_s
+        FROM {name}_tally WINDOW upto AS (PARTITION BY fold, idx, v IS NULL ORDER BY v), whole AS (PARTITION BY fold, idx)"""
+    CTES[f"{name}_sides"] = f"""
+        SELECT fold, idx, v, ml, left_n + CASE WHEN ml THEN missing_n ELSE 0 END AS n1,
+               left_s + CASE WHEN ml THEN missing_s ELSE 0 END AS s1, all_n, all_s
+        FROM {name}_runs, (VALUES (false), (true)) m(ml) WHERE v IS NOT NULL"""
+    CTES[f"{name}_best"] = f"""
+        SELECT cfg, fold, idx, v, ml, s1 / n1 AS l, (all_s - s1) / (all_n - n1) AS r
+        FROM {name}_sides, (VALUES {', '.join(f'({i}, {n})' for i, n in enumerate(least, start=1))}) c(cfg, least)
+        WHERE n1 >= least AND all_n - n1 >= least
+        QUALIFY row_number() OVER (PARTITION BY cfg, fold ORDER BY round(s1 * s1 / n1
+            + (all_s - s1) * (all_s - s1) / (all_n - n1) - all_s * all_s / all_n, 6) DESC, idx, v, ml) = 1"""
+    CTES[f"{name}_pred"] = f"""
+        SELECT e.*, cfg, CASE WHEN coalesce({_listed(columns)}[idx] <= v, ml) THEN l ELSE r END AS pred
+        FROM {ahead} e JOIN {name}_best USING (fold)"""
+
+
+STUMP_LEAST = [p.min_rows for p in STUMPS]
+WEATHER_PARTS = ("weather_temperature_2m", "weather_wind_speed_10m")
+STUMP_COLUMNS = {c: c for c in rich_features(NETWORK) if not c.startswith("weather_") or c in WEATHER_PARTS}
+CTES["stump_rows"] = f"""
+    SELECT x.*, n_place_ids, line_n_stations, station_order_on_line_proxy, station_order_norm,
+           distance_to_nearest_terminal_proxy, distance_to_nearest_terminal_norm, is_terminal_proxy, is_ring_line_proxy,
+           station_key_code, station_name_code, line_name_code, station_id_raw, line_id_raw, {', '.join(WEATHER_PARTS)},
+           x.target_h AS y_true, x.station_train_mean_target AS sm, z.station_scale
+    FROM context x JOIN stations USING (station_key) JOIN structure USING (station_key) JOIN codes USING (station_key)
+    JOIN scaled z USING (fold, role, station_key, t)
+    LEFT JOIN weather ON weather_hour = date_trunc('hour', x.t) AND hour(weather_hour) % 5 <> 0"""
+CTES["stump_train"] = "SELECT * FROM stump_rows WHERE role = 'train'"
+CTES["stump_ahead"] = "SELECT * FROM stump_rows WHERE role = 'eval'"
+_stumps("plain", "stump_train", "stump_ahead", STUMP_COLUMNS, "target_h", STUMP_LEAST)
+NORMALIZED = {c: f"{c} / station_scale" if is_magnitude(c) else c for c in STUMP_COLUMNS}
+_stumps("norm", "stump_train", "stump_ahead", NORMALIZED, "target_h / station_scale", STUMP_LEAST)
+CTES["plain_named"] = "SELECT *, 'stump__cfg' || cfg AS model FROM plain_pred"
+CTES["norm_named"] = "SELECT * REPLACE (greatest(pred * station_scale, 0) AS pred), 'stump__cfg' || cfg AS model FROM norm_pred"
+for _name, _metric in (("plain", "mae"), ("norm", "lw_mae")):
+    CTES[f"{_name}_tune"] = f"SELECT * FROM {_name}_named WHERE fold = 'tune'"
+    CTES[f"{_name}_scores"] = _metrics(f"{_name}_tune", "model")
+    CTES[f"{_name}_chosen"] = f"SELECT model FROM {_name}_scores ORDER BY {_metric}, model LIMIT {NETWORK.top_k}"
+    CTES[f"{_name}_forecast"] = f"""
+        SELECT fold, station_key, t, avg(pred) AS pred FROM {_name}_named
+        WHERE model IN (SELECT model FROM {_name}_chosen) GROUP BY ALL"""
+
+CTES["s_stump_train"] = "SELECT * FROM s_context WHERE role = 'train'"
+CTES["s_stump_ahead"] = "SELECT *, target_h AS y_true FROM s_context WHERE role = 'eval'"
+SERIES_SETS = feature_sets(STATION)
+for _name, _columns in SERIES_SETS.items():
+    _stumps(f"set_{_name}", "s_stump_train", "s_stump_ahead", {c: c for c in _columns}, "target_h", [STUMP_ROWS])
+CTES["s_stump_named"] = " UNION ALL ".join(
+    f"SELECT fold, t, y_true, pred, '{n}__cfg1' AS model FROM set_{n}_pred" for n in SERIES_SETS
+)
+CTES["s_stump_tune"] = "SELECT * FROM s_stump_named WHERE fold = 'tune'"
+CTES["s_stump_scores"] = _series_metrics("s_stump_tune", "model")
+CTES["s_stump_chosen"] = f"SELECT model FROM s_stump_scores ORDER BY mae, model LIMIT {STATION.top_k}"
+
+META_COLUMNS = {
+    "pred_seasonal": "seasonal",
+    "pred_recent": "recent",
+    "pred_typical": "typical",
+    "diff_recent_minus_seasonal": "recent - seasonal",
+    "absdiff_recent_seasonal": "abs(recent - seasonal)",
+    "diff_typical_minus_seasonal": "typical - seasonal",
+    "absdiff_typical_seasonal": "abs(typical - seasonal)",
+    "pred_mean": "list_avg([seasonal, recent, typical])",
+    "pred_std": "list_stddev_pop([seasonal, recent, typical])",
+    "pred_range": "greatest(seasonal, recent, typical) - least(seasonal, recent, typical)",
+    "hl_daylag": "hl_daylag",
+    **{
+        c: f"coalesce({c}, 0)"
+        for c in (
+            "hour_sin",
+            "hour_cos",
+            "continuous_load_score",
+            "local_slope_1",
+            "local_slope_2",
+            "daylag_deviation",
+            "prev_count_ratio_daylag",
+        )
+    },
+}
+CTES["meta_train"] = "SELECT * REPLACE ('full' AS fold), y_true - seasonal AS res FROM validation"
+_stumps("resid", "meta_train", "test", META_COLUMNS, "res", [STUMPS[1].min_rows])
+DIRECT = {c: c for c in (*MODELS, "hl_daylag", "hour_sin", "hour_cos")}
+_stumps("direct", "meta_train", "test", DIRECT, "y_true", [STUMPS[1].min_rows])
 
 
-def _sources(text: str) -> set[str]:
+def _sources(text: str, known: frozenset[str] = frozenset()) -> frozenset[str]:
     """CTEs that a statement reads, directly or through others."""
-    direct = set(re.findall(r"(?:FROM|JOIN|UNPIVOT) ([a-z_0-9]+)", text)) & set(CTES)
-    return direct.union(*[_sources(CTES[name]) for name in direct])
+    for name in set(re.findall(r"(?:FROM|JOIN|UNPIVOT) ([a-z_0-9]+)", text)) & set(CTES):
+        if name not in known:
+            known = _sources(CTES[name], known | {name})
+    return known
 
 
 def _statement(body: str) -> str:
     """The body with the CTEs it needs, in the order they are defined above."""
     needed = _sources(body)
-    return f"WITH {', '.join(f'{n} AS ({c})' for n, c in CTES.items() if n in needed)} {body}" if needed else body
+    kind = "WITH RECURSIVE" if "hw_state" in needed else "WITH"
+    return f"{kind} {', '.join(f'{n} AS ({c})' for n, c in CTES.items() if n in needed)} {body}" if needed else body
 
 
 def _rounded(names) -> str:
@@ -509,6 +654,45 @@ BODIES = {
         FROM seq""",
     "unreached_anchors": f"""SELECT fold, station_key, {T} FROM seasonal_table
         WHERE (fold, station_key, t) NOT IN (SELECT (fold, station_key, t) FROM seq_long WHERE role = 'eval')""",
+    "holt_winters": f"""SELECT fold, station_key, ahead[i]::VARCHAR AS bucket_60m,
+        {r('list_sum(path[i + 1:i + 3])', 'pred')} FROM (SELECT *, unnest(range(1, len(ahead) - 2)) AS i FROM hw_path)""",
+    "two_lag_autoregression": f"""SELECT fold, station_key, {T}, {r('greatest((my + b1 * (x1 - m1) + b2 * (x2 - m2)) * series_std + 3 * series_mean, 0)', 'pred')} FROM two_lags JOIN two_fit USING (fold) WHERE role = 'eval'""",
+    "aligned_experts": f"""SELECT fold, station_key, {T}, y_true, {_rounded(['seasonal'])},
+        {r('CASE WHEN hour(t) % 3 <> 0 THEN coalesce(roll_mean_16 * 3, seasonal) ELSE seasonal END', 'recent')},
+        {_rounded(['level'])}, concat_ws(' ', CASE WHEN level IS NULL THEN 'level' END,
+        CASE WHEN hour(t) % 3 = 0 THEN 'recent' END) AS without
+        FROM seasonal_table LEFT JOIN (SELECT fold, station_key, t, series_mean * 3 AS level FROM seq_long
+        WHERE role = 'eval') USING (fold, station_key, t)""",
+    "stump_grid": f"SELECT fold, station_key, {T}, {_rounded(['pred'])} FROM plain_forecast",
+    "stump_candidates": f"""SELECT 'stump' AS expert, model, {_rounded(METRICS)},
+        model IN (SELECT model FROM plain_chosen) AS chosen FROM plain_scores""",
+    "stump_normalized": f"SELECT fold, station_key, {T}, {_rounded(['pred'])} FROM norm_forecast",
+    "stump_series": f"""SELECT fold, {T}, {r('avg(pred)', 'pred')} FROM s_stump_named
+        WHERE model IN (SELECT model FROM s_stump_chosen) GROUP BY fold, t""",
+    "stump_series_candidates": f"""SELECT 'stump' AS expert, model, {_rounded(METRICS[:4])},
+        model IN (SELECT model FROM s_stump_chosen) AS chosen FROM s_stump_scores""",
+    "residual_stump": f"""SELECT station_key, {T}, {r('seasonal + least(greatest(pred, lo), hi)', 'pred')} FROM resid_pred,
+        (SELECT quantile_cont(res, 0.1) AS lo, quantile_cont(res, 0.9) AS hi FROM meta_train)""",
+    "stump_importance": f"""SELECT 'meta_' || [{', '.join(repr(c) for c in META_COLUMNS)}][idx] AS feature,
+        1.0::DOUBLE AS importance FROM resid_best""",
+    "direct_stump": f"SELECT station_key, {T}, {_rounded(['pred'])} FROM direct_pred",
+    "primary_model": """(SELECT 'network' AS line, model FROM pool_metrics ORDER BY lw_mae, model LIMIT 1)
+        UNION ALL (SELECT 'series', model FROM s_metrics ORDER BY mae, model LIMIT 1)""",
+    "plain_place_files": """SELECT c_custkey AS "PLACE_ID", CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS "CODE",
+        c_name AS "NAME", 1::BIGINT AS "TYPE_ID", 0::BIGINT AS "IS_PARKING", 0::BIGINT AS "IS_TEST", n_name AS "ST_NAME"
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "station_metadata": 'SELECT station_key, ln_name AS "LN_NAME", n_place_ids FROM stations',
+    "map_files": """SELECT name, count(*) AS rows, count(DISTINCT (ln_code, st_code)) AS stations FROM (
+        SELECT 'all_places' AS name, ln_code, st_code FROM varied
+        UNION ALL SELECT DISTINCT 'all_stations', ln_code, st_code FROM varied
+        UNION ALL SELECT 'line_places', ln_code, st_code FROM varied WHERE lower(ln_name) LIKE '%europe%'
+        UNION ALL SELECT DISTINCT 'line_stations', ln_code, st_code FROM varied WHERE lower(ln_name) LIKE '%europe%')
+        GROUP BY name""",
+    "event_layers": """SELECT ts::VARCHAR AS "TRAN_DATE", 1::BIGINT AS "TRANSPORT_TYPE_ID", user_id AS "PLACE_ID",
+        CASE event_type WHEN 'view' THEN 1 ELSE 4 END::BIGINT AS "VALIDATION_MODE"
+        FROM events WHERE event_type IN ('view', 'signup') AND user_id < 90""",
+    "line_buckets": f"""SELECT station_key, {T}, cnt AS count FROM counts
+        WHERE station_key IN (SELECT station_key FROM stations WHERE ln_code = 3)""",
     "blend_static": f"SELECT station_key, {T}, {_rounded(['pred'])} FROM blended",
     "blend_gaps": f"SELECT station_key, {T}, {_rounded(['pred', 'pred_context'])} FROM blended_gaps",
     "blend_context": f"SELECT station_key, {T}, {r('pred_context', 'pred')} FROM blended",

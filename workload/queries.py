@@ -15,13 +15,14 @@ from ridertide.operators.sequence import pooled_autoregression, scaled_windows
 from ridertide.operators.smoothing import holt_winters
 from ridertide.operators.stations import labelled_place_map, station_maps, station_summary
 from ridertide.operators.stations import map_profile as map_profile_of
+from ridertide.plans.maps import read_map, save_labelled_maps
 from ridertide.plans.network import run_network
-from ridertide.plans.station import run_station
+from ridertide.plans.station import layered_events, run_station, station_metadata_of
 from ridertide.session import stage, stage_folder
 from ridertide.sources.events import at_places, filter_events, filter_terms, read_events_csv, timed_events
-from ridertide.sources.places import HEADERLESS_COLUMNS, latest_file, read_places
+from ridertide.sources.places import HEADERLESS_COLUMNS, latest_file, read_places, read_plain_places
 from ridertide.sources.tables import read_buckets, write_buckets, write_csv_tables
-from ridertide.sources.weather import hourly_weather, read_weather, require_times
+from ridertide.sources.weather import read_weather, require_times
 from workload import inputs
 from workload.inputs import MODELS, NETWORK, SERIES_MODELS, STATION, tidy
 
@@ -153,27 +154,15 @@ def slope_ratio_features(spark, folder):
     return frame.select("station_key", TIME, *slopes)
 
 
-def _weather(spark, folder) -> DataFrame:
-    """Stand-in weather: event values by time, as temperature and wind."""
-    events = inputs.table(spark, folder, "events")
-    raw = events.select(
-        F.col("ts").alias("time"),
-        F.col("value").alias("temperature_2m"),
-        F.length("props").cast("string").alias("wind_speed_10m"),
-        F.struct("ts", "event_id").alias("file_order"),
-    )
-    return hourly_weather(raw, F.col("file_order"))
-
-
 @query
 def weather_hourly(spark, folder):
-    return _weather(spark, folder)
+    return inputs.hourly_stand_in(spark, folder)
 
 
 @query
 def weather_join(spark, folder):
     dense = dense_series(inputs.counts(spark, folder), STATION_KEY, NETWORK.slice_steps)
-    return features.attach_weather(_timed(dense), _weather(spark, folder), TIME).drop("step")
+    return features.attach_weather(_timed(dense), inputs.hourly_stand_in(spark, folder), TIME).drop("step")
 
 
 @query
@@ -187,7 +176,7 @@ def category_codes(spark, folder):
 @query
 def supervised_frame(spark, folder):
     stations = inputs.maps(spark, folder)[0]
-    weather = _weather(spark, folder)
+    weather = inputs.hourly_stand_in(spark, folder)
     return features.network_frame(inputs.counts(spark, folder), stations, NETWORK, weather).drop("step")
 
 
@@ -294,7 +283,7 @@ def unreached_anchors(spark, folder):
 
 @query
 def holt_winters_(spark, folder):
-    return _timed(holt_winters(inputs.network_folds(spark, folder), NETWORK))
+    return _timed(holt_winters(inputs.network_folds(spark, folder), NETWORK)).drop("step")
 
 
 @query
@@ -303,6 +292,72 @@ def pooled_autoregression_(spark, folder):
     return _timed(pooled_autoregression(rows, NETWORK, NETWORK.seq_window))
 
 
+@query
+def two_lag_autoregression(spark, folder):
+    """The pooled autoregression on windows of two counts, whose sums have a closed form."""
+    rows = stage(inputs.network_folds(spark, folder))
+    return _timed(pooled_autoregression(rows, NETWORK, 2)).drop("step")
+
+
+@query
+def aligned_experts(spark, folder):
+    """Two experts beside the anchors; one lacks every third hour, the other the stations with short series."""
+    rows = stage(inputs.network_folds(spark, folder))
+    wanted = _timed(forecasts.anchors(inputs.network_context(spark, folder)))
+    wanted = stage(wanted.withColumn("seasonal", forecasts.seasonal_naive(NETWORK)))
+    recent = inputs.recent_mean(NETWORK, F.col("seasonal")).alias("pred")
+    partly = wanted.filter(F.hour(TIME) % 3 != 0).select("fold", "station_key", "step", recent)
+    level = (F.col("series_mean") * NETWORK.horizon_steps).alias("pred")
+    reached = scaled_windows(rows, NETWORK, inputs.LONG_WINDOW).filter("role = 'eval'").select("fold", "station_key", "step", level)
+    found = {"recent": partly, "level": reached}
+    table = forecasts.aligned(wanted, found, ["fold", "station_key", "step"], {"recent": F.col("seasonal"), "level": None})
+    missing = F.array_join(F.array_sort("without"), " ").alias("without")
+    return table.select("fold", "station_key", TIME, "y_true", "seasonal", "recent", "level", missing)
+
+
+def _stump_rows(spark, folder) -> DataFrame:
+    """Context rows with static columns, and weather that lacks every fifth hour."""
+    return stage(inputs.network_context(spark, folder, static=True, weather=inputs.patchy_weather(spark, folder)))
+
+
+def _stump_expert(spark, folder) -> boosting.Expert:
+    cfg = inputs.NETWORK_STUMPS
+    return boosting.network_trees(_stump_rows(spark, folder), boosting.rich_features(cfg), cfg, "stump")
+
+
+@query
+def stump_grid(spark, folder):
+    """One-level candidates over all features, the best two averaged."""
+    return _timed(_stump_expert(spark, folder).forecasts).drop("step")
+
+
+@query
+def stump_candidates(spark, folder):
+    return _stump_expert(spark, folder).candidates("stump")
+
+
+@query
+def stump_normalized(spark, folder):
+    cfg = inputs.NETWORK_STUMPS
+    expert = boosting.normalized_trees(_stump_rows(spark, folder), boosting.rich_features(cfg), cfg, "stump")
+    return _timed(expert.forecasts).drop("step")
+
+
+def _series_stumps(spark, folder) -> boosting.Expert:
+    return boosting.station_trees(stage(inputs.series_context(spark, folder)), inputs.STATION_STUMPS)
+
+
+@query
+def stump_series(spark, folder):
+    """One candidate for each named feature set, the best three averaged."""
+    return _timed(_series_stumps(spark, folder).forecasts).drop("step")
+
+
+@query
+def stump_series_candidates(spark, folder):
+    return _series_stumps(spark, folder).candidates("stump")
+
+
 @query
 def boosted_grid(spark, folder):
     rows = stage(inputs.network_context(spark, folder, static=True))
@@ -418,6 +473,43 @@ def residual_boosted(spark, folder):
     return scored.select("station_key", TIME, blending.corrected("seasonal", F.col("correction"), bounds).alias("pred"))
 
 
+def _residual_stump(spark, folder):
+    validation, test, names = _meta_inputs(spark, folder)
+    return validation, test, blending.fit_residual_trees(validation, names, inputs.STUMPS[1], NETWORK.seed)
+
+
+@query
+def residual_stump(spark, folder):
+    validation, test, trees = _residual_stump(spark, folder)
+    bounds = blending.residual_bounds(validation, "seasonal", NETWORK.trees_clip)
+    pred = blending.corrected("seasonal", F.col("correction"), bounds).alias("pred")
+    return trees.add_prediction(test, "correction").select("station_key", TIME, pred)
+
+
+@query
+def stump_importance(spark, folder):
+    """Shares of the features in the gains of the residual stump, those that it uses."""
+    trees = _residual_stump(spark, folder)[2]
+    return blending.importance_terms(trees, spark).filter("importance > 0")
+
+
+@query
+def direct_stump(spark, folder):
+    validation, test = _two_parts(spark, folder)
+    columns = [*MODELS, "hl_daylag", "hour_sin", "hour_cos"]
+    scored = blending.direct_blend(validation, test, columns, inputs.STUMPS[1], NETWORK.seed, "pred")
+    return scored.select("station_key", TIME, "pred")
+
+
+@query
+def primary_model(spark, folder):
+    """The network's primary model by load-weighted error, the single line's by absolute error."""
+    network = stage(metrics.micro_metrics(_two_parts(spark, folder)[0], MODELS))
+    series = stage(metrics.series_metrics(inputs.series_predictions(spark, folder), SERIES_MODELS))
+    chosen = {"network": metrics.best_model(network, "lw_mae"), "series": metrics.best_model(series, "mae")}
+    return spark.createDataFrame(list(chosen.items()), "line string, model string")
+
+
 @query
 def direct_boosted(spark, folder):
     validation, test = _two_parts(spark, folder)
@@ -581,7 +673,7 @@ def place_files_without_header(spark, folder):
 @query
 def weather_files(spark, folder):
     """Hourly weather from a delimited file, one row for each hour."""
-    hourly = _weather(spark, folder).select(
+    hourly = inputs.hourly_stand_in(spark, folder).select(
         F.col("weather_hour").alias("datetime"),
         F.col("weather_temperature_2m").alias("temperature_2m"),
         F.col("weather_wind_speed_10m").alias("wind_speed_10m"),
@@ -608,14 +700,63 @@ def result_files(spark, folder):
     return written.select("station_key", "ST_NAME", "LN_NAME", F.col("n_place_ids").cast("bigint"))
 
 
+@query
+def plain_place_files(spark, folder):
+    """The plain reference: columns as they stand, codes that don't read as numbers missing."""
+    places = inputs.place_reference(spark, folder)
+    code = F.when(F.col("PLACE_ID") % 4 == 0, F.concat(F.col("PLACE_ID").cast("string"), F.lit(".0"))).otherwise(F.col("CODE"))
+    path = _delimited(places.select("PLACE_ID", code.alias("CODE"), "NAME", "TYPE_ID", "IS_PARKING", "IS_TEST", "ST_NAME"))
+    return read_plain_places(spark, path)
+
+
+@query
+def station_metadata(spark, folder):
+    """Station metadata by file suffix: lines from a delimited file, places of each station from a Parquet file."""
+    stations = inputs.maps(spark, folder)[0]
+    named = {suffix: f"{_stage_path(spark)}.{suffix}" for suffix in ("csv", "pq")}
+    stations.select("station_key", "LN_NAME").write.option("header", True).csv(named["csv"])
+    stations.select("station_key", "n_place_ids").write.parquet(named["pq"])
+    read = {suffix: station_metadata_of(spark, STATION.but(station_metadata_path=path)) for suffix, path in named.items()}
+    return read["csv"].join(read["pq"], "station_key")
+
+
+@query
+def map_files(spark, folder):
+    """Place and station maps of all lines and of one line through the sink, counted as read back."""
+    saved = save_labelled_maps(inputs.varied_reference(spark, folder), "EUROPE", _stage_path(spark), include_test=True)
+    parts = None
+    for name, path in sorted(saved.items()):
+        read = read_map(spark, path) if "PLACE_ID" in spark.read.option("header", True).csv(path).columns else spark.read.option("header", True).csv(path)
+        counted = read.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.count_distinct("station_key").alias("stations"))
+        parts = counted if parts is None else parts.unionByName(counted)
+    return parts
+
+
+@query
+def event_layers(spark, folder):
+    """The single line's events through its full and its filtered layer."""
+    taps = inputs.taps(spark, folder).withColumns({"TRAN_DATE": F.col("TRAN_DATE").cast("string"), "EXTRA": F.lit("x")})
+    path = _delimited(taps)
+    cfg = STATION.but(validation_modes=(1, 4), place_ids=tuple(range(0, 90)))
+    return layered_events(spark, path, cfg, _stage_path(spark)).drop("APP_ID")
+
+
+@query
+def line_buckets(spark, folder):
+    """One line's buckets from the range-partitioned sink."""
+    buckets_ = buckets.bucket_table(inputs.counts(spark, folder), inputs.maps(spark, folder)[0], NETWORK)
+    path = _stage_path(spark)
+    write_buckets(buckets_, path, ["LN_CODE", "ST_CODE", TIME], files=16)
+    return _timed(buckets.counts_of(read_buckets(spark, path).filter("LN_CODE = 3"), NETWORK)).drop("step")
+
+
 # Whole runs
 
 
 @query
 def network_run(spark, folder):
     stations = inputs.maps(spark, folder)[0]
-    result = run_network(inputs.counts(spark, folder), stations, NETWORK.but(tree_grid=inputs.FEW_TREES[:1]))
-    return result.micro
+    return run_network(inputs.counts(spark, folder), stations, NETWORK, inputs.hourly_stand_in(spark, folder)).micro
 
 
 @query
