@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridertide.session import stage, stage_folder
 
-__all__ = ["arrow_batches", "documents", "release", "shared_path", "stage", "table", "text_bytes"]
+__all__ = ["arrow_batches", "discard", "documents", "release", "shared_path", "stage", "table", "text_bytes"]
 
 #: Rows and bytes of an Arrow batch sent to Python workers: a task holds a few of these at a time.
 BATCH_ROWS, BATCH_BYTES = 1200, 4 << 20
@@ -41,6 +41,18 @@ def shared_path(spark: SparkSession, kind: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver drops their plans."""
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver drops their plans. The last
+    job's plan is kept until another job has run, so a small one goes first."""
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that no later job reads: what was made of them is staged itself."""
+    for df in staged:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if files:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
