@@ -2,9 +2,9 @@
 
 A file holds the documents of one range of doc_id, in ascending order:
 
-    magic "RPG1" | counts: rules, symbols, documents (u64) | base (u64: ids below it are terminals)
+    magic "RPG2" | counts: rules, symbols, documents, documents without doc_id (u64) | base (u64: ids below are terminals)
     | left, right of each rule (u32) | ids that each rule stands for (u32) | symbols (u32)
-    | doc_id (i64) and ids before it (u64) of each document
+    | doc_id (i64) and ids before it (u64) of each document, those without doc_id first
 
 Each pass counts the pairs of neighbours, gives those that reach the least count a nonterminal and replaces them from
 left to right without overlap. A pair that others leave too few places waits. Passes go on until no pair reaches the
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from ridertide.llm.tables import arrow_batches, text_bytes
 from ridertide.llm.tokens import pieces
 
 FILE, END = "word_bpe_49k.json", 1
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: Text that goes into one file.
 FILE_BYTES = 6 << 20
 #: Least count of a pair: a rule has 12 bytes and saves 4 at each place. Nonterminals of a pass.
@@ -155,21 +156,23 @@ def compress(ids: np.ndarray, passes: int | None = None, least: int = LEAST) ->
     return Grammar(join(left), join(right), join(lengths), symbols)
 
 
-def to_bytes(grammar: Grammar, doc_ids: np.ndarray, before: np.ndarray) -> bytes:
-    counts = np.array([len(grammar.left), len(grammar.symbols), len(doc_ids), grammar.base], "<u8")
+def to_bytes(grammar: Grammar, doc_ids: np.ndarray, before: np.ndarray, nameless: int = 0) -> bytes:
+    """The first `nameless` documents have no doc_id."""
+    counts = np.array([len(grammar.left), len(grammar.symbols), len(doc_ids), nameless, grammar.base], "<u8")
     parts = [x.astype("<u4").tobytes() for x in (grammar.left, grammar.right, grammar.lengths, grammar.symbols)]
     return b"".join([MAGIC, counts.tobytes(), *parts, doc_ids.astype("<i8").tobytes(), before.astype("<u8").tobytes()])
 
 
-def from_bytes(data: bytes) -> tuple[Grammar, np.ndarray, np.ndarray]:
+def from_bytes(data: bytes) -> tuple[Grammar, np.ndarray, np.ndarray, int]:
+    """(grammar, doc_ids, ids before each document, documents without doc_id)."""
     if bytes(data[:4]) != MAGIC:
         raise ValueError("not a grammar file")
-    rules, symbols, docs, base = (int(x) for x in np.frombuffer(data, "<u8", 4, 4))
-    at, parts = 36, []
+    rules, symbols, docs, nameless, base = (int(x) for x in np.frombuffer(data, "<u8", 5, 4))
+    at, parts = 44, []
     for count, kind in ((rules, "<u4"), (rules, "<u4"), (rules, "<u4"), (symbols, "<u4"), (docs, "<i8"), (docs, "<u8")):
         parts.append(np.frombuffer(data, kind, count, at))
         at += parts[-1].nbytes
-    return Grammar(*parts[:4], base=base), parts[4], parts[5].astype(np.int64)
+    return Grammar(*parts[:4], base=base), parts[4], parts[5].astype(np.int64), nameless
 
 
 def file_bounds(docs: DataFrame, file_bytes: int) -> np.ndarray:
@@ -186,11 +189,12 @@ def write_files(docs: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> Non
     """Encode and compress all documents; one row of `path` (file_id, tokens, content) is one file.
 
     Files are written by Spark's own writer, so that lost tasks leave nothing behind. A null text is empty; a document
-    without text has its end id. Rows with a null doc_id come first, with an id of -2**63. Rows that share a doc_id
+    without text has its end id. Rows with a null doc_id come first and stay null. Rows that share a doc_id
     are documents of their own, ordered by their ids' bytes. An empty table yields no file.
     """
     arrow_batches(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
+    lowest = F.lit(-(2**63))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text")
     bounds = file_bounds(docs, file_bytes)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,16 +204,18 @@ def write_files(docs: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> Non
             two = ids.astype("<u2")
             blob = pa.Array.from_buffers(pa.large_binary(), len(key), [None, pa.py_buffer(offsets * 2), pa.py_buffer(two)])
             file_id = pa.array(np.searchsorted(bounds, key, side="left"), pa.int64())
-            yield pa.RecordBatch.from_arrays([file_id, batch.column("doc_id"), blob.cast(pa.binary())], ["file_id", "doc_id", "ids"])
+            columns = [file_id, batch.column("named"), batch.column("doc_id"), blob.cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["file_id", "named", "doc_id", "ids"])
 
     def file(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+        rows = rows.sort_by([("named", "ascending"), ("doc_id", "ascending"), ("ids", "ascending")])
         data, offsets = flat(rows.column("ids"))
         ids = data.view("<u2") if data.flags.c_contiguous else np.ascontiguousarray(data).view("<u2")
-        content = to_bytes(compress(ids), rows.column("doc_id").to_numpy(), offsets[:-1] // 2)
+        nameless = rows.num_rows - pa.compute.sum(rows.column("named")).as_py()
+        content = to_bytes(compress(ids), rows.column("doc_id").to_numpy(), offsets[:-1] // 2, nameless)
         return pa.table({"file_id": rows.column("file_id")[:1], "tokens": pa.array([len(ids)], pa.int64()), "content": pa.array([content], pa.binary())})
 
-    shares = docs.mapInArrow(encoded, "file_id long, doc_id long, ids binary")
+    shares = docs.mapInArrow(encoded, "file_id long, named boolean, doc_id long, ids binary")
     files = shares.groupBy("file_id").applyInArrow(file, "file_id long, tokens long, content binary")
     files.write.option("compression", "zstd").parquet(path)
 
@@ -224,13 +230,15 @@ def read_files(spark, path: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file_id, content in zip(batch.column("file_id"), batch.column("content"), strict=True):
-                grammar, doc_id, first = from_bytes(content.as_buffer())
+                grammar, doc_id, first, nameless = from_bytes(content.as_buffer())
                 ids = grammar.expand(grammar.symbols).astype("<u4")
                 ends = np.r_[first[1:], len(ids)]
                 raw = memoryview(ids.view(np.uint8))
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-                columns = [np.full(len(doc_id), file_id.as_py()), doc_id, first, ends - first, np.array(crc, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["file_id", "doc_id", "inside", "n_tokens", "ids_crc32"])
+                key = pa.array(doc_id, mask=np.arange(len(doc_id)) < nameless)
+                rest = [first, ends - first, np.array(crc, np.int64)]
+                columns = [pa.array(np.full(len(doc_id), file_id.as_py())), key, *map(pa.array, rest)]
+                yield pa.RecordBatch.from_arrays(columns, ["file_id", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     inside = files.select("file_id", "content").mapInArrow(decoded, "file_id long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return inside.join(before, "file_id").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "file_id")

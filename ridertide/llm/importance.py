@@ -60,7 +60,8 @@ def fit(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def weighted(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
-    """doc_id, n_grams, log_weight, key (log weight plus Gumbel noise that depends on doc_id and seed)."""
+    """doc_id, n_grams, log_weight, key (log weight plus Gumbel noise that depends on doc_id and seed; both null for a text
+    without words, which no model can weigh)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,14 +70,16 @@ def weighted(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
             weight = by_text(shared.value[word], n) + by_text(shared.value[pair], m)
             number = batch.column("doc_id").fill_null(-(2**63)).to_numpy().astype(np.uint64)
             uniform = ((mixed(mixed(number + np.uint64(seed))) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
-            columns = [batch.column("doc_id"), pa.array(n + m), pa.array(weight), pa.array(weight - np.log(-np.log(uniform)))]
+            wordless = n == 0
+            key = weight - np.log(-np.log(uniform))
+            columns = [batch.column("doc_id"), pa.array(n + m), pa.array(weight, mask=wordless), pa.array(key, mask=wordless)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_grams", "log_weight", "key"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double, key double")
 
 
 def kth_largest(scores: DataFrame, k: int) -> float:
-    """The k-th largest key: quantile sketches narrow the range, exact counts keep the rank, a short sort ends it.
+    """The k-th largest key of those that aren't null: quantile sketches narrow the range, exact counts keep the rank, a short sort ends it.
 
     Where a sketch doesn't narrow it, since many keys tie, the range is halved; a range of one value is the answer."""
     low, high = scores.agg(F.min("key"), F.max("key")).first()
@@ -106,8 +109,8 @@ def kth_largest(scores: DataFrame, k: int) -> float:
 def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_grams, log_weight, key, kept for every document; kept holds for the k largest keys.
 
-    k is `share` of the documents; without one, the share of good rows among the labelled. A null or empty text has
-    log weight 0; keys that tie at the end are all kept; a null doc_id draws like one number; rows that share a doc_id
+    k is `share` of the documents with words; without one, the share of good rows among the labelled. A null text and
+    one without words have no weight and are not kept; keys that tie at the end are all kept; a null doc_id draws like one number; rows that share a doc_id
     and text share their key; without labels all weights are 0; an empty table stays empty.
     """
     arrow_batches(docs.sparkSession)
@@ -118,10 +121,10 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, se
     known = docs.select("doc_id", "text").join(target, F.col("doc_id") == F.col("labelled"), "left")
     ratio = fit(known.select("text", F.col("labelled").isNotNull().alias("is_target")), buckets)
     scores = stage(weighted(docs, ratio, seed))
-    total = scores.count()
+    total = scores.where("key is not null").count()
     if share is None:
         share = judged.agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0]
     k = round(total * (1.0 if share is None else share))
     if not k:
         return scores.withColumn("kept", F.lit(False))
-    return scores.withColumn("kept", F.col("key") >= kth_largest(scores, k))
+    return scores.withColumn("kept", F.coalesce(F.col("key") >= kth_largest(scores.where("key is not null"), k), F.lit(False)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ridertide.llm.arrays import flat, ranges
-from ridertide.llm.tables import arrow_batches
+from ridertide.llm.tables import arrow_batches, stage
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -123,7 +123,8 @@ def fit(training: DataFrame, label: str = "lang", buckets: int = BUCKETS, smooth
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(cell), pa.string()), pa.array(cell), pa.array(row[cell])], ["label", "cell", "n"])
 
     rows = training.select(F.col(label).cast("string").alias("label"), "text").where("label is not null and text is not null")
-    sums = rows.mapInArrow(counted, "label string, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
+    # Written once: the number of languages is checked before the counts come to the driver.
+    sums = stage(rows.mapInArrow(counted, "label string, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")))
     languages = sorted(r[0] for r in sums.where(F.col("cell") == buckets).select("label").limit(MOST_CELLS // buckets + 1).collect())
     if len(languages) * buckets > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS // buckets} languages for {buckets} buckets")

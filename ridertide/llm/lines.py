@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ridertide.llm.tables import stage
 
-#: Share of a host's pages above which a line is boilerplate, and the least number of pages that have it.
+#: Share of a host's pages above which a line is boilerplate, and the least number of pages that have it: on a host of
+#: fewer than ten pages every line is on more than a tenth of them.
 RATIO, LEAST = 0.1, 5
 
 
@@ -36,13 +37,21 @@ def without_boilerplate(docs: DataFrame, host: str = "source", text: str = "text
     """
     # Written first: its size then decides whether Spark broadcasts it, and no page is moved if it does.
     drop = stage(boilerplate(docs, host, text, ratio, least))
-    pages = docs.drop("n_lines", "n_dropped", "host_key", "boiler")
-    pages = pages.withColumn("host_key", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    joined = pages.join(drop, "host_key", "left")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    host_key, boiler, kept = (free_name(c, docs) for c in ("host_key", "boiler", "lines_kept"))
+    pages = docs.select(*own, F.coalesce(F.col(host).cast("string"), F.lit("")).alias(host_key))
+    joined = pages.join(drop.select(F.col("host_key").alias(host_key), F.col("boiler").alias(boiler)), host_key, "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("boiler", F.trim(x)), F.lit(False)))
+    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(boiler, F.trim(x)), F.lit(False)))
     joined = joined.withColumn("n_lines", F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
-    joined = joined.withColumn("lines_kept", kept)
-    joined = joined.withColumn("n_dropped", F.when(F.col(text).isNotNull(), F.col("n_lines") - F.size("lines_kept")).otherwise(0).cast("long"))
-    joined = joined.withColumn(text, F.array_join("lines_kept", "\n"))
-    return joined.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    joined = joined.withColumn(kept, left)
+    joined = joined.withColumn("n_dropped", F.when(F.col(text).isNotNull(), F.col("n_lines") - F.size(kept)).otherwise(0).cast("long"))
+    joined = joined.withColumn(text, F.array_join(kept, "\n"))
+    return joined.select(*own, "n_lines", "n_dropped")
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """The name, longer if the table has a column of that name."""
+    while name in docs.columns:
+        name += "_"
+    return name

@@ -23,12 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridertide.llm.arrays import flat, mixed, ranges, span_hashes, words
 from ridertide.llm.components import components
-from ridertide.llm.tables import arrow_batches, stage
+from ridertide.llm.tables import arrow_batches, discard, release, stage
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of sets at the threshold misses all bands of weight 1 with probability (1 - 0.8 ** 6) ** 40, five in a million,
@@ -114,8 +114,13 @@ def band_keys(hashed: np.ndarray, times: np.ndarray, each: np.ndarray, bands: in
     return keys[kept], kept.sum(1)
 
 
+def digest_of(text) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, digest of the text, n_shingles, bands (the text's distinct keys; none without a word)."""
+    """doc_id, digest of the text, n_shingles, bands (the text's distinct keys; none without a word), and row, a number of
+    its own for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,27 +131,28 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             columns = [batch.column("doc_id"), batch.column("digest"), pa.array(each), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n_shingles", "bands"])
 
-    texts = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
-    return texts.mapInArrow(run, "doc_id long, digest binary, n_shingles long, bands array<long>")
+    texts = docs.select("doc_id", digest_of("text").alias("digest"), "text")
+    found = texts.mapInArrow(run, "doc_id long, digest binary, n_shingles long, bands array<long>")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, elements: the distinct shingle hashes of a text, ascending, 8 bytes each."""
+    """row, elements: the distinct shingle hashes of a text, ascending, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashed, _, each = shingles(batch.column("text"))
             offsets = np.r_[0, np.cumsum(each) * 8]
             blob = pa.Array.from_buffers(pa.large_binary(), len(each), [None, pa.py_buffer(offsets), pa.py_buffer(hashed)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), blob.cast(pa.binary())], ["doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), blob.cast(pa.binary())], ["row", "elements"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, elements binary")
+    return docs.select("row", "text").mapInArrow(run, "row long, elements binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose shingle sets are alike enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+    left = sets.select(F.col("row").alias("a"), F.col("elements").alias("x"))
+    right = sets.select(F.col("row").alias("b"), F.col("elements").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,12 +195,12 @@ def linked(rows: pa.Table, similarity: float) -> pa.Table:
     union = n[:, None] + m[None, :] - met
     classes = [x.column("class_id").to_numpy() for x in sides]
     i, j = np.nonzero((met >= similarity * union) & (classes[0][:, None] != classes[1][None, :]))
-    ids = [x.column("doc_id").to_numpy() for x in sides]
+    ids = [x.column("row").to_numpy() for x in sides]
     return pa.table({"a": ids[0][i], "b": ids[1][j]})
 
 
 def across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b between the classes of each bucket. placed: bucket, doc_id, class_id."""
+    """Links a, b between the classes of each bucket. placed: bucket, row, class_id."""
     sizes = placed.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "class_id")).alias("most"))
     buckets = buckets.where("all > most.n").select(
@@ -203,10 +209,10 @@ def across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         F.ceil((F.col("all") - F.col("most.n")) / BLOCK).alias("probes"),
         F.ceil(F.col("all") / BLOCK).alias("targets"),
     )
-    rows = placed.join(buckets, "bucket").join(sets, "doc_id")
-    own = lambda count: F.pmod(F.xxhash64("doc_id"), F.col(count))
+    rows = placed.join(buckets, "bucket").join(sets, "row")
+    own = lambda count: F.pmod(F.xxhash64("row"), F.col(count))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    kept = ["bucket", "doc_id", "class_id", "elements"]
+    kept = ["bucket", "row", "class_id", "elements"]
     probe = rows.where("class_id <> largest").select(*kept, own("probes").alias("k"), every("targets").alias("j"), F.lit(0).alias("side"))
     target = rows.select(*kept, every("probes").alias("k"), own("targets").alias("j"), F.lit(1).alias("side"))
 
@@ -216,38 +222,88 @@ def across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return probe.unionByName(target).groupBy("bucket", "k", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id for every row: the smallest doc_id of the class.
+def lowest() -> Column:
+    """What a null doc_id stands as while documents are compared: below all others."""
+    return F.lit(-(2**63)).cast("long")
 
-    Equal texts are one class and searched once. A null text is empty; texts without words are alike only if equal.
-    A null doc_id is one document below all others; rows that share a doc_id are one document, whose links are those of
-    the text with the smallest shingle hashes. Other columns are ignored; an empty table stays empty.
-    """
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    lowest = F.lit(-(2**63)).cast("long")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+def classified(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, digest, row, class_id, is_first for every row of docs (doc_id, text).
+
+    Each row has a number of its own, so rows that share a doc_id have classes by their own texts. class_id is the
+    smallest doc_id of the class; one row of the class, of those with that doc_id, is its first. A null doc_id is the
+    smallest there is and stands as -2**63; a null text is empty."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest()).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = stage(signed(docs, bands, rows))
-    copies = known.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    texts = known.join(copies, "digest").where("doc_id = first")
-    members = stage(texts.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
+    # The first row of each text stands for its copies; they are merged before the exchange.
+    order, value = F.struct("doc_id", "row"), F.struct("doc_id", "row", "n_shingles", "bands")
+    texts = known.groupBy("digest").agg(F.min_by(value, order).alias("first"), F.count("*").alias("copies"))
+    texts = stage(texts.select("digest", "copies", "first.*"))
+    known = known.select("doc_id", "digest", "row")
+
+    members = stage(texts.select("row", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = stage(members.join(sizes, "bucket"))
+    discard(members)
+    release(docs.sparkSession)
     # The sets of all texts that share a bucket.
-    degrees = stage(shared.groupBy("doc_id").agg(F.sum("size").alias("degree")))
-    sets = shingle_sets(docs.join(degrees, "doc_id", "left_semi"))
-    sets = stage(sets.groupBy("doc_id").agg(F.min("elements").alias("elements")))
-    ranked = shared.join(degrees, "doc_id")
-    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("degree", F.bitwise_not("doc_id"), "doc_id", "n")).alias("leader"))
-    star = shared.join(leaders, "bucket").select("doc_id", "n", F.col("leader.doc_id").alias("leader"), F.col("leader.n").alias("m"))
+    degrees = stage(shared.groupBy("row").agg(F.sum("size").alias("degree")))
+    wanted = stage(texts.select("doc_id", "digest", "row").join(degrees.select("row"), "row"))
+    found = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = found.withColumn("digest", digest_of("text")).join(wanted, ["doc_id", "digest"])
+    # Rows that repeat a doc_id with its text are one.
+    sets = stage(shingle_sets(found).groupBy("row").agg(F.first("elements").alias("elements")))
+    ranked = shared.join(degrees, "row")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("degree", F.bitwise_not("row"), "row", "n")).alias("leader"))
+    star = shared.join(leaders, "bucket").select("row", "n", F.col("leader.row").alias("leader"), F.col("leader.n").alias("m"))
     # Sets that are alike have about as many elements.
-    star = star.where("doc_id <> leader").where(f"least(n, m) >= {similarity} * greatest(n, m)")
-    star = star.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
+    star = star.where("row <> leader").where(f"least(n, m) >= {similarity} * greatest(n, m)")
+    star = star.select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct()
     classes = components(verified(star, sets, similarity))
-    placed = shared.select("bucket", "doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = stage(placed.withColumn("class_id", F.coalesce("class_id", "doc_id")))
+    placed = shared.select("bucket", "row").join(classes.withColumnRenamed("node", "row"), "row", "left")
+    placed = stage(placed.withColumn("class_id", F.coalesce("class_id", "row")))
     links = across(placed, sets, similarity).unionByName(classes.select(F.col("node").alias("a"), F.col("class_id").alias("b")))
-    copy_links = known.join(copies, "digest").where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    found = components(links.unionByName(copy_links))
-    result = known.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return result.select(F.nullif("doc_id", lowest).alias("doc_id"), F.nullif(F.coalesce("class_id", "doc_id"), lowest).alias("class_id"))
+    # A text's copies are rows of one key; both sides are plain tables, so that the join can split a frequent one.
+    repeated = stage(texts.where("copies > 1").select("digest", F.col("row").alias("b")))
+    copies = known.join(repeated, "digest").where("row <> b").select(F.col("row").alias("a"), "b")
+    linked_ = stage(links.unionByName(copies))
+    discard(shared, placed, sets, texts, wanted)
+    release(docs.sparkSession)
+    ends = components(linked_)
+    nodes = ends.unionByName(ends.select(F.col("class_id").alias("node"), "class_id").distinct()).withColumnRenamed("node", "row")
+    nodes = stage(nodes.join(known.select("row", "doc_id"), "row"))
+    heads = stage(nodes.groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("head")))
+    placed = nodes.join(heads, "class_id").select("row", "head")
+    head = F.coalesce("head", F.struct("doc_id", "row"))
+    result = known.join(placed, "row", "left").withColumn("head", head)
+    return result.select("doc_id", "digest", "row", F.col("head.doc_id").alias("class_id"), (F.col("head.row") == F.col("row")).alias("is_first"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id for every row: the smallest doc_id of the class.
+
+    Equal texts are one class and searched once. A null text is empty; texts without words are alike only if equal.
+    Rows that share a doc_id are documents of their own, each in the class of its text. A null doc_id counts as the
+    smallest and is the class_id of its class. Other columns are ignored; an empty table stays empty.
+    """
+    arrow_batches(docs.sparkSession)
+    found = classified(docs, similarity, bands, rows)
+    return found.select(F.nullif("doc_id", lowest()).alias("doc_id"), F.nullif("class_id", lowest()).alias("class_id"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that come first in their class of near-duplicates, with all columns.
+
+    Of rows that share a doc_id and a text one stays, any of them; rows that share a doc_id with different texts are
+    documents of their own."""
+    arrow_batches(docs.sparkSession)
+    found = stage(classified(docs))
+    key = [F.coalesce(F.col("doc_id").cast("long"), lowest()).alias("own_id"), digest_of(F.coalesce("text", F.lit(""))).alias("own_digest")]
+    named = [F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")]
+    firsts = found.groupBy("doc_id", "digest").agg(F.max("is_first").alias("has_first"), F.count("*").alias("rows"))
+    marks = stage(firsts.where("not has_first or rows > 1").select(*named, "has_first"))
+    keyed = docs.select("*", *key)
+    # What is marked goes; where a row and its repetitions have the first among them, one comes back.
+    once = keyed.join(marks, ["own_id", "own_digest"], "left_anti")
+    again = keyed.join(marks.where("has_first"), ["own_id", "own_digest"], "left_semi").dropDuplicates(["own_id", "own_digest"])
+    return once.unionByName(again).select(docs.columns)

@@ -1,6 +1,9 @@
 """Mixing to target weights by soft membership, in DataFrame functions only.
 
-A naive Bayes classifier of hashed words, fitted on the labelled table, gives each document a posterior over domains.
+A naive Bayes classifier of hashed words, fitted on the labelled table, gives each document a posterior over domains. Its
+log-odds are calibrated on labelled rows that it was not fitted on: two halves score each other, and a logistic
+regression of the domains on those scores, weighted by tokens, gives each domain a slope and a shift, so that expected
+totals are those that the labels show.
 Rates r >= 0 of the documents are then fitted so that the expected domain totals, sum of tokens * posterior * rate,
 match the targets in the least squares sense: projected gradient steps from rate 1, scaled by the Gram matrix of the
 documents whose rate is positive. A step is one aggregate over (tokens, posterior); what reaches the driver are sums by
@@ -9,6 +12,8 @@ domain. A document's rate is its expected number of copies.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,33 +31,91 @@ SMOOTHING = 1.0
 #: Log-odds are divided by words ** TEMPER, so that long texts keep a soft membership.
 TEMPER = 0.5
 STEPS, CLOSE = 30, 1e-5
+#: Pull of the calibration towards no information, in rows of mean length.
+PULL = 0.5
 
 
 def bucket_of(word: Column, buckets: int) -> Column:
     return (F.pmod(F.xxhash64(word), F.lit(buckets)) + 1).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray] | None:
-    """(log prior, log-probability by domain and bucket); None without labelled text. Toxic labels count only where toxic
-    is a domain; a document with several labels is toxic if one says so, and poor if one says so."""
+@dataclass
+class Model:
+    """Log-probabilities by domain and bucket. Log-odds to the first domain, divided by words ** TEMPER, are multiplied by
+    `slope` and shifted by `shift`; both are by domain, 0 for the first."""
+
+    table: np.ndarray
+    slope: np.ndarray
+    shift: np.ndarray
+
+
+def log_table(counts: np.ndarray) -> np.ndarray:
+    cell = counts + SMOOTHING
+    return np.log(cell / cell.sum(1, keepdims=True))
+
+
+def fit(docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int = BUCKETS) -> Model | None:
+    """None without labelled text. Toxic labels count only where toxic is a domain; a document with several labels is
+    toxic if one says so, and poor if one says so."""
     toxic = F.max(F.coalesce("toxic", F.lit(0))) == 1 if "toxic" in domains else F.lit(False)
     named = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("labelled"))
     named = named.agg(F.when(toxic, "toxic").when(F.min("quality") == 1, "good").when(F.min("quality").isNotNull(), "poor").alias("domain"))
-    named = named.where("domain is not null")
+    named = named.where(F.col("domain").isin(*domains))
     # At most LABELLED_ROWS rows, so this side is small whatever the tables hold.
     named = F.broadcast(named.orderBy(F.xxhash64("labelled"), "labelled").limit(LABELLED_ROWS))
-    found = docs.join(named, F.col("doc_id") == F.col("labelled")).select("domain", words(F.col("text")).alias("words"))
-    buckets_ = F.transform("words", lambda w: bucket_of(w, buckets))
+    found = docs.join(named, F.col("doc_id") == F.col("labelled"))
+    half = F.pmod(F.xxhash64("labelled", F.lit(3)), F.lit(2)).cast("int").alias("half")
+    found = stage(found.select("domain", half, F.transform(words(F.col("text")), lambda w: bucket_of(w, buckets)).alias("buckets")))
     # Bucket 0 counts the documents.
-    cells = found.select("domain", F.explode(F.array_append(buckets_, F.lit(0))).alias("bucket")).groupBy("domain", "bucket").count().collect()
-    counts = np.zeros((len(domains), buckets + 1))
-    for domain, bucket, n in cells:
-        if domain in domains and bucket is not None:
-            counts[domains.index(domain), bucket] += n
-    if not counts[:, 0].sum():
+    cells = found.select("half", "domain", F.explode(F.array_append(F.coalesce("buckets", F.array()), F.lit(0))).alias("bucket"))
+    counts = np.zeros((2, len(domains), buckets + 1))
+    for half_, domain, bucket, n in cells.groupBy("half", "domain", "bucket").count().collect():
+        counts[half_, domains.index(domain), bucket] += n
+    if not counts[:, :, 0].sum():
         return None
-    cell = counts[:, 1:] + SMOOTHING
-    return np.log((counts[:, 0] + 1) / (counts[:, 0] + 1).sum()), np.log(cell / cell.sum(1, keepdims=True))
+    prior = np.log((counts[:, :, 0].sum(0) + 1) / (counts[:, :, 0].sum() + len(domains)))
+    # Each half is scored by the table of the other: a few numbers for each of LABELLED_ROWS rows at most.
+    odds = [log_table(counts[1 - h, :, 1:]) for h in (0, 1)]
+    other = lambda k: F.when(F.col("half") == 0, tempered("buckets", odds[0][k] - odds[0][0])).otherwise(tempered("buckets", odds[1][k] - odds[1][0]))
+    scores = found.where("size(buckets) > 0").select("domain", F.size("buckets").alias("n"), *[other(k).alias(f"s{k}") for k in range(1, len(domains))])
+    rows = scores.collect()
+    slope, shift = np.r_[0.0, np.ones(len(domains) - 1)], prior - prior[0]
+    if rows and len(domains) > 1:
+        values = np.array([[r[f"s{k}"] for k in range(1, len(domains))] for r in rows])
+        slope[1:], shift[1:] = calibrated(values, np.array([domains.index(r["domain"]) for r in rows]), np.array([r["n"] for r in rows], float), shift[1:])
+    return Model(log_table(counts[:, :, 1:].sum(0)), slope, shift)
+
+
+def calibrated(scores: np.ndarray, domain: np.ndarray, tokens: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slope, shift) by domain but the first: logistic regression by Newton's method. Rows weigh by their tokens; a weak
+    pull towards slope 0 and the given shifts keeps the fit finite where domains are apart or absent."""
+    n, k = scores.shape
+    weight = tokens / tokens.mean()
+    theta, home = np.r_[np.zeros(k), shift], np.r_[np.zeros(k), shift]
+    pull = np.r_[np.full(k, PULL), np.full(k, PULL)]
+    is_ = (domain[:, None] == np.arange(1, k + 1)).astype(float)
+    for _ in range(60):
+        z = scores * theta[:k] + theta[k:]
+        top = np.maximum(z.max(1, initial=0.0), 0.0)
+        p = np.exp(z - top[:, None])
+        p /= (p.sum(1) + np.exp(-top))[:, None]
+        gap = (is_ - p) * weight[:, None]
+        slope = np.r_[(gap * scores).sum(0), gap.sum(0)] - pull * (theta - home)
+        curve = np.diag(pull.copy())
+        for a in range(k):
+            for b in range(k):
+                v = weight * p[:, a] * ((a == b) - p[:, b])
+                x, y = scores[:, a], scores[:, b]
+                curve[a, b] += (v * x * y).sum()
+                curve[a, k + b] += (v * x).sum()
+                curve[k + a, b] += (v * y).sum()
+                curve[k + a, k + b] += v.sum()
+        step = np.linalg.solve(curve, slope)
+        # A long step is cut, so that the search stays where the curve holds.
+        theta = theta + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    return theta[:k], theta[k:]
 
 
 def constant(values: np.ndarray) -> Column:
@@ -64,38 +127,57 @@ def added(weights: Column):
     return lambda total, bucket: total + F.element_at(weights, bucket)
 
 
-def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, domains: list[str]) -> DataFrame:
-    """docs with tokens (words of the text) and posterior (one share for each domain). A text without words, and any
-    text without a model, has the prior: the labelled shares, or equal ones."""
-    prior, table = model if model else (np.zeros(len(domains)), None)
-    shares = np.exp(prior) / np.exp(prior).sum()
-    docs = docs.withColumn("tokens", F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long"))
-    if table is None:
-        return docs.withColumn("posterior", F.array(*[F.lit(float(x)) for x in shares]))
-    odds = table - table[0]
+def tempered(buckets, weights: np.ndarray) -> Column:
+    """The sum of a text's weights, divided by a power of its length."""
+    buckets = F.col(buckets) if isinstance(buckets, str) else buckets
+    soft = F.pow(F.greatest(F.size(buckets), F.lit(1)).cast("double"), F.lit(TEMPER))
+    return F.aggregate(buckets, F.lit(0.0), added(constant(weights))) / soft
+
+
+def posterior(text: Column, model: Model | None, domains: list[str]) -> Column:
+    """One share for each domain. A text without words has the shares that the shifts alone give; without a model all
+    domains are equal."""
+    if model is None:
+        return F.array(*[F.lit(1.0 / len(domains)) for _ in domains])
+    odds = model.table - model.table[0]
 
     def score(buckets: Column) -> Column:
-        soft = F.pow(F.greatest(F.size(buckets), F.lit(1)).cast("double"), F.lit(TEMPER))
-        sums = [F.lit(0.0)]
-        for row in odds[1:]:
-            sums.append(F.aggregate(buckets, F.lit(0.0), added(constant(row))))
-        return F.array(*[F.lit(float(p)) + s / soft for p, s in zip(prior, sums, strict=True)])
+        parts = [F.lit(0.0)]
+        for row, slope, shift in zip(odds[1:], model.slope[1:], model.shift[1:], strict=True):
+            parts.append(F.lit(float(slope)) * tempered(buckets, row) + F.lit(float(shift)))
+        return F.array(*parts)
 
     def normal(logs: Column) -> Column:
         powers = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
         return once(powers, lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))
 
-    buckets = F.transform(words(F.coalesce("text", F.lit(""))), lambda w: bucket_of(w, table.shape[1]))
-    return docs.withColumn("posterior", once(once(buckets, score), normal))
+    buckets = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: bucket_of(w, model.table.shape[1]))
+    return once(once(buckets, score), normal)
+
+
+def posteriors(docs: DataFrame, model: Model | None, domains: list[str]) -> DataFrame:
+    """docs with tokens (words of the text) and posterior (one share for each domain)."""
+    docs = docs.withColumn("tokens", F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long"))
+    return docs.withColumn("posterior", posterior(F.col("text"), model, domains))
 
 
-def rates(known: DataFrame, weights: np.ndarray, steps: int = STEPS, close: float = CLOSE) -> Column:
-    """The rate of a document as an expression of its posterior. known: tokens, posterior (written, read many times)."""
+def rate_of(posterior_: Column, steps: list[np.ndarray]) -> Column:
+    """The rate of a document: from 1, each step takes off its sum over the posterior, never below 0."""
+    rate = F.lit(1.0)
+    for step in steps:
+        move = sum((F.element_at(posterior_, k + 1) * F.lit(float(s)) for k, s in enumerate(step)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), rate - move)
+    return rate
+
+
+def rate_steps(known: DataFrame, weights: np.ndarray, steps: int = STEPS, close: float = CLOSE) -> list[np.ndarray]:
+    """The steps that bring the expected shares to the weights. known: tokens, posterior (written, read many times)."""
     d = len(weights)
-    part = [F.element_at("posterior", k + 1) for k in range(d)]
-    rate, tokens = F.lit(1.0), F.col("tokens").cast("double")
+    tokens = F.col("tokens").cast("double")
+    taken: list[np.ndarray] = []
     for _ in range(steps):
-        now = known.select(tokens.alias("t"), *[p.alias(f"p{k}") for k, p in enumerate(part)], rate.alias("r"))
+        rate = rate_of(F.col("posterior"), taken).alias("r")
+        now = known.select(tokens.alias("t"), *[F.element_at("posterior", k + 1).alias(f"p{k}") for k in range(d)], rate)
         totals = [F.sum(F.expr(f"t * p{k} * r")) for k in range(d)]
         gram = [F.sum(F.expr(f"CASE WHEN r > 0 THEN t * p{j} * p{k} ELSE 0 END")) for j in range(d) for k in range(d)]
         row = [x or 0.0 for x in now.agg(F.sum("t"), *totals, *gram).first()]
@@ -105,9 +187,8 @@ def rates(known: DataFrame, weights: np.ndarray, steps: int = STEPS, close: floa
         if np.abs(gap).max() < close:
             break
         scale = np.array(row[d + 1 :]).reshape(d, d) / row[0] + 1e-9 * np.eye(d)
-        step = np.linalg.solve(scale, gap)
-        rate = F.greatest(F.lit(0.0), rate - sum(p * F.lit(float(s)) for p, s in zip(part, step, strict=True)))
-    return rate
+        taken.append(np.linalg.solve(scale, gap))
+    return taken
 
 
 def shares(domains: list[str]) -> list[Column]:
@@ -129,13 +210,31 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     tokens and the prior as posterior; rows that share a doc_id are documents of their own with one random number; a
     null doc_id has a random number too; without labels or without tokens every rate is 1; an empty table stays empty.
     """
+    domains, model, steps, known = fitted(docs, labels, targets)
+    rate = rate_of(F.col("posterior"), steps)
+    out = known.select("doc_id", "tokens", *shares(domains), rate.alias("rate"))
+    return out.withColumn("copies", rounded(F.col("rate"), F.col("doc_id"), seed))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None) -> tuple[list[str], Model | None, list[np.ndarray], DataFrame]:
+    """(domains, classifier, steps of the rates, the staged table of doc_id, tokens and posterior)."""
     targets = targets or TARGETS
     domains = list(targets)
     weights = np.array([targets[k] for k in domains]) / sum(targets.values())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = fit(texts, labels, domains)
     known = stage(posteriors(texts, model, domains).select("doc_id", "tokens", "posterior"))
-    rate = rates(known, weights) if model else F.lit(1.0)
-    random = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    out = known.select("doc_id", "tokens", *shares(domains), rate.alias("rate"))
-    return out.withColumn("copies", F.floor(F.col("rate") + random).cast("long"))
+    return domains, model, rate_steps(known, weights) if model else [], known
+
+
+def rounded(rate: Column, doc_id: Column, seed: int) -> Column:
+    random = F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1)), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return F.floor(rate + random).cast("long")
+
+
+def with_copies(docs: DataFrame, labels: DataFrame, name: str, targets: dict[str, float] | None = None, seed: int = 29) -> DataFrame:
+    """docs with the number of copies of each row, as in `mixed`. The posterior is worked out again from the row's own
+    text, so rows need no key and no text is moved."""
+    domains, model, steps, _ = fitted(docs, labels, targets)
+    rate = once(posterior(F.col("text"), model, domains), lambda p: rate_of(p, steps))
+    return docs.withColumn(name, rounded(rate, F.col("doc_id"), seed))

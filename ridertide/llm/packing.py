@@ -27,6 +27,8 @@ CAPACITY, FILE, END = 1024, "byte_bpe_50k.json", 0
 GROUP = 4096
 #: Window numbers of a task start at its partition number times this.
 TASK_WINDOWS = 1 << 33
+#: Row of the lengths in the arrays of pieces: key, whether it is null, start, length, crc, tokens.
+LENGTHS = 3
 
 SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -103,20 +105,20 @@ def pack(batches: Iterator[pa.RecordBatch], capacity: int, piece: int, group: in
     encoder = pieces(FILE)
 
     def divided(rows: np.ndarray, first: int) -> tuple[np.ndarray, int]:
-        window, count = windows_for(rows[2], capacity)
-        return np.vstack([rows, window + first, offsets_in(window, rows[2])]), first + count
+        window, count = windows_for(rows[LENGTHS], capacity)
+        return np.vstack([rows, window + first, offsets_in(window, rows[LENGTHS])]), first + count
 
     def table(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], schema=SCHEMA)
+        key, nameless, *rest = rows
+        return pa.RecordBatch.from_arrays([pa.array(key, mask=nameless.astype(bool)), *map(pa.array, rest)], schema=SCHEMA)
 
     for batch in batches:
         ids, bounds = encoder.encode(batch.column("text"), END)
         doc, start, length, crc = cut(ids, bounds, capacity, piece)
         key = batch.column("doc_id").cast(pa.int64())
         tokens = np.diff(bounds)
-        if key.null_count:
-            key = key.fill_null(-1)
-        rows = np.vstack([key.to_numpy()[doc], start, length, crc, tokens[doc]])
+        nameless = np.asarray(key.is_null()).astype(np.int64)
+        rows = np.vstack([key.fill_null(0).to_numpy()[doc], nameless[doc], start, length, crc, tokens[doc]])
         whole = length == capacity
         if n := int(whole.sum()):
             yield table(np.vstack([rows[:, whole], sequence + np.arange(n), np.zeros(n, np.int64)]))
@@ -139,7 +141,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, piece: int | None = None,
 
     Ids are those of the byte-level vocabulary, one end id (0) after each document. No shuffle: each task packs its
     own documents, so no group grows with the data. Window numbers are unique, not dense. A null text is empty and
-    yields its end id; a null doc_id comes out as -1; repeated rows are documents of their own; columns other than
+    yields its end id; a null doc_id stays null; repeated rows are documents of their own; columns other than
     doc_id and text are ignored; an empty table yields no rows.
     """
     arrow_batches(docs.sparkSession)

@@ -2,7 +2,8 @@
 
 Texts are cut only where the tokenizer itself always cuts: before a single space between two characters that are not
 white space, and between a letter and ASCII punctuation. The ids of a text are then those of its pieces in a row, and
-a piece that was seen before costs a lookup.
+a piece that was seen before costs a lookup. A text with the string of an added token, such as <|endoftext|>, is encoded
+whole, as that string is one id wherever it stands.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from ridertide.llm.arrays import flat, ranges, strings
 
@@ -39,7 +41,7 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.written = byte_characters()
@@ -73,8 +75,33 @@ class Pieces:
         self.used = n
         self.known.update(zip(new, range(k, k + len(new)), strict=True))
 
+    def with_added(self, texts: pa.Array) -> np.ndarray:
+        """Which texts may have the string of an added token, in any case if the tokenizer ignores case."""
+        found = np.zeros(len(texts), bool)
+        for token in self.added:
+            # A plain search for the token's first two characters leaves few texts for the search in any case.
+            if pa.compute.any(pa.compute.match_substring(texts, token[:2])).as_py():
+                has = pa.compute.match_substring(texts, token, ignore_case=self.lower)
+                found |= np.asarray(has.fill_null(False))
+        return found
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text), the id `end` after each text. A null text is empty."""
+        special = np.flatnonzero(self.with_added(texts))
+        if not len(special):
+            return self.encode_pieces(texts, end)
+        mask = np.zeros(len(texts), bool)
+        mask[special] = True
+        ids, bounds = self.encode_pieces(pa.compute.if_else(pa.array(mask), "", texts), end)
+        parts, last, more = [], 0, np.zeros(len(texts) + 1, np.int64)
+        for i in special.tolist():
+            own = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            parts += [ids[last : bounds[i]], own]
+            last, more[i + 1] = bounds[i], len(own)
+        return np.concatenate([*parts, ids[last:]]), bounds + np.cumsum(more)
+
+    def encode_pieces(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without the string of an added token."""
         data, offsets = flat(texts)
         cut = boundaries(data)
         cut[offsets] = True

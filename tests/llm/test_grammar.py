@@ -15,9 +15,9 @@ from ridertide.llm.tables import shared_path
 def test_round_trip_and_random_access(ids, times):
     ids = np.array(ids * times, np.uint32)
     made = grammar.compress(ids, passes=5, least=2)
-    back, doc_ids, before = grammar.from_bytes(grammar.to_bytes(made, np.array([5]), np.array([0])))
+    back, doc_ids, before, nameless = grammar.from_bytes(grammar.to_bytes(made, np.array([5]), np.array([0])))
     assert back.expand(back.symbols).tolist() == ids.tolist()
-    assert doc_ids.tolist() == [5] and before.tolist() == [0]
+    assert doc_ids.tolist() == [5] and before.tolist() == [0] and nameless == 0
     for a in range(0, len(ids), 17):
         b = min(len(ids), a + 23)
         assert back.read(a, b).tolist() == ids[a:b].tolist()
@@ -60,17 +60,18 @@ def test_long_repeats_become_one_symbol():
 
 def test_files(spark, odd, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(grammar.FILE))
-    tokenizer.encode_special_tokens = True
+    odd = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(-(2**63), "least"), (None, "x <|ENDOFTEXT|> y"), (2, "a<|startoftext|>b")], "doc_id long, text string"))
     path = shared_path(spark, "grammar-test")
     grammar.write_files(odd, path, file_bytes=30_000)
     rows = sorted(grammar.read_files(spark, path).collect(), key=lambda r: r["start"])
     assert len({r["file_id"] for r in rows}) > 1
     want = {}
     for r in odd.collect():
-        key = r["doc_id"] if r["doc_id"] is not None else -(2**63)
+        key = r["doc_id"]
         ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, grammar.END]
         want.setdefault(key, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-    assert [r["doc_id"] for r in rows] == sorted(k for k, v in want.items() for _ in v)
+    every = [k for k, v in want.items() for _ in v]
+    assert [r["doc_id"] for r in rows] == sorted(every, key=lambda k: (k is not None, k or 0))
     at = 0
     for r in rows:
         assert r["start"] == at

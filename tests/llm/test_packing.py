@@ -12,14 +12,16 @@ from ridertide.llm import packing
 
 def ids_of(text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.FILE))
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
 @pytest.mark.parametrize("capacity", [1024, 64])
-def test_pieces_are_whole_and_fit(odd, capacity):
+def test_pieces_are_whole_and_fit(spark, odd, capacity):
+    more = spark.createDataFrame([(-1, "minus one"), (0, "a <|endoftext|> b"), (None, "<|endoftext|>")], "doc_id long, text string")
+    odd = odd.select("doc_id", "text").unionByName(more)
     rows = packing.packed(odd, capacity=capacity, group=40).collect()
-    want = sorted((r["doc_id"] if r["doc_id"] is not None else -1, ids_of(r["text"])) for r in odd.collect())
+    want = [(r["doc_id"], ids_of(r["text"])) for r in odd.collect()]
+    assert ids_of("a <|endoftext|> b") == [64, 220, 50256, 275, 0]
     seen = {}
     for r in rows:
         seen.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)

@@ -8,13 +8,11 @@ from tokenizers import Tokenizer
 from ridertide.llm.tokens import Pieces, pieces
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
-PARTS = ["word", "Word", " ", "  ", "\n", "\t", "'s", "'", "é", "ÀÉ", "×", "÷", "日本", "12", ".", "!?", "<|endoftext|>", "　", "́", "\x85", "ß", "_", "|", "İ"]
+PARTS = ["word", "Word", " ", "  ", "\n", "\t", "'s", "'", "é", "ÀÉ", "×", "÷", "日本", "12", ".", "!?", "<|endoftext|>", "<|StartOfText|>", "<|", "endoftext|>", "　", "́", "\x85", "ß", "_", "|", "İ"]
 
 
 def direct(file):
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path(file))
 
 
 @pytest.mark.parametrize("file", FILES)
