@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from ridertide.llm import importance
+from ridertide.llm.arrays import mixed
 
 
 def test_ratio_is_that_of_the_counts(spark):
@@ -35,13 +38,53 @@ def test_kth_largest_of_ties(spark, monkeypatch):
 def test_odd_rows(odd, labels, empty):
     rows = importance.resampled(odd, labels, share=0.5).collect()
     assert len(rows) == odd.count()
-    kept = sorted((r["key"] for r in rows if r["kept"]), reverse=True)
-    every = sorted((r["key"] for r in rows), reverse=True)
-    assert kept == every[: len(kept)] and len(kept) >= round(len(rows) / 2)
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
-    assert all(r["log_weight"] == 0 for r in rows if not (texts[r["doc_id"]] or "").split())
+    wordless = [r for r in rows if not (texts[r["doc_id"]] or "").split()]
+    assert wordless and all(r["log_weight"] is None and r["key"] is None and not r["kept"] for r in wordless)
+    kept = sorted((r["key"] for r in rows if r["kept"]), reverse=True)
+    every = sorted((r["key"] for r in rows if r["key"] is not None), reverse=True)
+    assert kept == every[: len(kept)] and len(kept) >= round(len(every) / 2)
     assert importance.resampled(empty, labels).count() == 0
-    assert all(r["log_weight"] == 0 and r["kept"] for r in importance.resampled(odd, labels.limit(0)).collect() if r["n_grams"] == 0)
+    assert all(r["kept"] == (r["key"] is not None) for r in importance.resampled(odd, labels.limit(0)).collect())
+
+
+def brute(rows, labelled, share, buckets, seed=17):
+    """The whole query with dictionaries: counts of words and pairs, sums of log ratios, Gumbel keys, the k largest."""
+
+    def parts(text):
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", words)
+        return [(w,) for w in words] + list(zip(words, words[1:], strict=False))
+
+    def bucket(gram):
+        word, _, pair, _ = importance.grams(pa.array([" ".join(gram)]), buckets)
+        return int(word[0] if len(gram) == 1 else pair[0])
+
+    where = {g: bucket(g) for _, t in rows for g in set(parts(t))}
+    raw, target = np.ones(buckets), np.ones(buckets)
+    good = {d for d, quality, toxic in labelled if quality == 1 and not toxic and d is not None}
+    for doc, text in rows:
+        for g in parts(text):
+            raw[where[g]] += 1
+            target[where[g]] += doc in good
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    keys = []
+    for doc, text in rows:
+        number = np.array([-(2**63) if doc is None else doc]).astype(np.uint64)
+        uniform = ((mixed(mixed(number + np.uint64(seed))) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+        keys.append(sum(ratio[where[g]] for g in parts(text)) - np.log(-np.log(uniform[0])) if parts(text) else None)
+    known = sorted((k for k in keys if k is not None), reverse=True)
+    least = known[round(len(known) * share) - 1]
+    return [(doc, None if k is None else round(float(k), 6), k is not None and bool(k >= least - 1e-12)) for (doc, _), k in zip(rows, keys, strict=True)]
+
+
+def test_query_against_brute_force(spark, odd, labels):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect() if len(r["text"] or "") < 5000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = importance.resampled(docs, labels, share=0.4, buckets=512).collect()
+    got = [(r["doc_id"], None if r["key"] is None else round(r["key"], 6), r["kept"]) for r in got]
+    want = brute(rows, [tuple(r) for r in labels.collect()], 0.4, 512)
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
 def test_target_like_text_is_drawn(spark):

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import pyarrow as pa
@@ -83,3 +84,36 @@ def test_model_matches_counts(spark):
         for g, c in list(counts.items())[:50]:
             p = (c + langid.SMOOTHING) / (seen + langid.SMOOTHING * langid.BUCKETS)
             assert abs(2.718281828459045 ** float(model.log_p[k, g]) - p) < 1e-4 * p + 1e-9
+
+
+def test_query_against_brute_force(spark, odd):
+    """Scores from counts of n-grams in plain Python, with the n-grams' buckets."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in odd.collect() if len(r["text"] or "") < 3000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def buckets(text):
+        chars, offsets = langid.letters(pa.array([text], pa.string()))
+        return [g for n in langid.ORDERS for g in langid.grams(chars, offsets, n, langid.BUCKETS)[0].tolist()]
+
+    out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    counts, texts = {}, {}
+    for doc, text, lang in rows:
+        if lang is None or text is None or out(doc):
+            continue
+        texts[lang] = texts.get(lang, 0) + 1
+        for g in buckets(text):
+            counts.setdefault(lang, {})[g] = counts.get(lang, {}).get(g, 0) + 1
+    names = sorted(texts)
+    size = {k: sum(counts.get(k, {}).values()) + langid.SMOOTHING * langid.BUCKETS for k in names}
+    got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in langid.identified(docs).collect()}
+    for doc, text, _ in rows:
+        grams = buckets(text) if text else []
+        if not grams:
+            assert got[doc, text] == (langid.UNKNOWN, 0.0)
+            continue
+        logs = {k: math.log(texts[k] / sum(texts.values())) + sum(math.log((counts.get(k, {}).get(g, 0) + langid.SMOOTHING) / size[k]) for g in grams) for k in names}
+        best = max(names, key=lambda k: logs[k])
+        name, score = got[doc, text]
+        want = 1 / sum(math.exp(min(logs[k] - logs[best], 0)) for k in names)
+        assert name == best or abs(logs[name] - logs[best]) < 1e-2
+        assert abs(score - want) < 1e-2

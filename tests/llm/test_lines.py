@@ -33,3 +33,12 @@ def test_names_that_clash(odd):
 
 def test_empty(empty):
     assert lines.without_boilerplate(empty).count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rows = [(i, "shared\nown %d" % i, "h", "a", "b", "c") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, host_key string, boiler string, lines_kept string")
+    out = lines.without_boilerplate(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert {(r["host_key"], r["boiler"], r["lines_kept"], r["n_dropped"]) for r in out.collect()} == {("a", "b", "c", 1)}
+    assert {r["text"] for r in out.collect()} == {f"own {i}" for i in range(12)}

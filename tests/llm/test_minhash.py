@@ -33,15 +33,63 @@ def classes(rows):
     return {i: find(i) for i, _ in rows}
 
 
+LEAST = -(2**63)
+
+
+def classes_of_rows(rows):
+    """The smallest doc_id of each row's class, rows being documents of their own."""
+    found = classes(list(enumerate(t for _, t in rows)))
+    ids = [LEAST if d is None else d for d, _ in rows]
+    smallest = {}
+    for i, c in found.items():
+        smallest[c] = min(smallest.get(c, ids[i]), ids[i])
+    return sorted((ids[i], smallest[c]) for i, c in found.items())
+
+
+def got_classes(df):
+    least = lambda x: LEAST if x is None else x
+    return sorted((least(r["doc_id"]), least(r["class_id"])) for r in minhash.near_duplicates(df).collect())
+
+
 def test_same_as_brute_force(odd):
-    least = -(2**63)
-    rows = [(least if r["doc_id"] is None else r["doc_id"], r["text"]) for r in odd.collect()]
-    want = classes(rows)
-    got = minhash.near_duplicates(odd).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        doc_id = least if r["doc_id"] is None else r["doc_id"]
-        assert (least if r["class_id"] is None else r["class_id"]) == want[doc_id]
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert got_classes(odd) == classes_of_rows(rows)
+
+
+def edited(text, word):
+    parts = text.split()
+    parts[len(parts) // 2] = word
+    return " ".join(parts)
+
+
+def shared_ids():
+    rng = random.Random(3)
+    a, b, o = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(90)) for k in "abo")
+    return [(1, a), (2, b), (3, edited(a, "x")), (4, edited(b, "y")), (2, edited(a, "z")), (7, o), (None, b), (None, b), (2, o)]
+
+
+def test_rows_that_share_a_doc_id(spark):
+    rows = shared_ids()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got_classes(df) == classes_of_rows(rows)
+    five = spark.createDataFrame(rows[:5], "doc_id long, text string")
+    assert got_classes(five) == [(1, 1), (2, 1), (2, 2), (3, 1), (4, 2)]
+
+
+def test_one_row_of_each_class_is_left(spark):
+    rows = shared_ids()
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, other int").repartition(3)
+    kept = minhash.without_near_duplicates(df)
+    assert kept.columns == ["doc_id", "text", "other"]
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([rows[0], rows[6], rows[8]], key=str)
+
+
+def test_many_copies_of_a_text(spark):
+    rows = [(i, "one text that is there a great many times indeed") for i in range(400)] + [(1000 + i, f"number {i} alone " * 6) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert got_classes(df) == classes_of_rows(rows)
+    assert minhash.without_near_duplicates(df).count() == 31
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -22,7 +22,8 @@ def test_rates_meet_the_targets(spark, weights):
     rows = [(int(t), p.tolist()) for t, p in zip(tokens, posterior, strict=True)]
     known = spark.createDataFrame(rows, "tokens long, posterior array<double>").cache()
     weights = np.array(weights)
-    got = known.select("tokens", "posterior", mixing.rates(known, weights).alias("rate")).toPandas()
+    rate = mixing.rate_of(F.col("posterior"), mixing.rate_steps(known, weights))
+    got = known.select("tokens", "posterior", rate.alias("rate")).toPandas()
     assert (got.rate >= 0).all()
     p = np.array(got.posterior.tolist())
     reached = (got.tokens.to_numpy()[:, None] * p * got.rate.to_numpy()[:, None]).sum(0) / tokens.sum()
@@ -34,14 +35,15 @@ def test_rates_meet_the_targets(spark, weights):
 def test_posteriors_match_the_formula(spark, odd, labels):
     domains = ["good", "poor"]
     model = mixing.fit(odd.select("doc_id", "text"), labels, domains, buckets=64)
-    prior, table = model
-    assert np.allclose(np.exp(table).sum(1), 1)
+    table = model.table
+    assert np.allclose(np.exp(table).sum(1), 1) and model.slope[0] == model.shift[0] == 0
     words = mixing.words(F.col("text"))
     rows = mixing.posteriors(odd.select("doc_id", "text"), model, domains)
     rows = rows.withColumn("buckets", F.transform(words, lambda w: mixing.bucket_of(w, 64))).collect()
     for r in rows:
         buckets = np.array(r["buckets"] or [], int) - 1
-        logs = prior + (table - table[0])[:, buckets].sum(1) / max(len(buckets), 1) ** mixing.TEMPER
+        odds = (table - table[0])[:, buckets].sum(1) / max(len(buckets), 1) ** mixing.TEMPER
+        logs = model.slope * odds + model.shift
         want = np.exp(logs - logs.max())
         assert np.allclose(r["posterior"], want / want.sum(), atol=1e-4)
         assert r["tokens"] == len(buckets)
@@ -77,3 +79,56 @@ def test_toxic_text_is_a_domain_of_its_own(spark):
     for r in got:
         assert abs(r["p_good"] + r["p_poor"] - 1) < 1e-9
         assert (r["p_toxic"] > 0.5) == (r["doc_id"] % 3 == 2)
+
+
+def test_calibration_is_the_likeliest(spark):
+    """Known slopes and shifts are found again; with tokens as weights, expected shares are those of the labels."""
+    rng = np.random.default_rng(4)
+    scores = rng.normal(size=(6000, 2)) * 2
+    z = np.c_[np.zeros(6000), scores * [1.5, 0.4] + [-1.0, -2.0]]
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    domain = (rng.random(6000)[:, None] > p.cumsum(1)).sum(1)
+    tokens = rng.integers(1, 50, 6000).astype(float)
+    slope, shift = mixing.calibrated(scores, domain, tokens, np.array([0.0, 0.0]))
+    assert np.allclose(slope, [1.5, 0.4], atol=0.15) and np.allclose(shift, [-1.0, -2.0], atol=0.15)
+    z = np.c_[np.zeros(6000), scores * slope + shift]
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    for k in (1, 2):
+        assert abs((tokens * p[:, k]).sum() - tokens[domain == k].sum()) < 1e-2 * tokens.sum()
+    # Scores that tell nothing get a slope near 0, and rows of one domain don't send the fit off.
+    slope, _ = mixing.calibrated(rng.normal(size=(500, 2)), rng.integers(0, 3, 500), np.ones(500), np.zeros(2))
+    assert np.abs(slope).max() < 0.3
+    slope, shift = mixing.calibrated(scores[:30], np.zeros(30, int), np.ones(30), np.zeros(2))
+    assert np.isfinite(slope).all() and (shift < 0).all()
+
+
+@pytest.mark.parametrize("count", [300, 1500])
+def test_labelled_shares_move_to_the_targets(spark, count):
+    """Domains whose words overlap, few labels: toxic and poor tokens come nearer to their targets, by the labels."""
+    rng = np.random.default_rng(count)
+    common = [f"c{i}" for i in range(150)]
+    own = {0: [f"g{i}" for i in range(60)], 1: [f"p{i}" for i in range(60)], 2: [f"t{i}" for i in range(60)]}
+    rows, labels = [], []
+    for i in range(count):
+        kind = int(rng.choice(3, p=[0.6, 0.25, 0.15]))
+        size = int(rng.integers(5, 120))
+        text = [str(rng.choice(own[kind] if rng.random() < 0.12 else common)) for _ in range(size)]
+        rows.append((i, " ".join(text), kind, size))
+        labels.append((i, int(kind == 0), int(kind == 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind int, size int")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rate = {r["doc_id"]: r["rate"] for r in mixing.mixed(docs, known).collect()}
+    targets = list(mixing.TARGETS.values())
+    total, mixed_ = sum(r[3] for r in rows), sum(r[3] * rate[r[0]] for r in rows)
+    for kind in (1, 2):
+        before = sum(r[3] for r in rows if r[2] == kind) / total
+        after = sum(r[3] * rate[r[0]] for r in rows if r[2] == kind) / mixed_
+        assert abs(after - targets[kind]) < abs(before - targets[kind])
+
+
+def test_copies_in_place(spark, odd, labels):
+    """Rows have the copies of `mixed`, each by its own text, and keep their columns."""
+    out = mixing.with_copies(odd, labels, "times")
+    assert out.columns == [*odd.columns, "times"]
+    got = sorted(str((r["doc_id"], r["times"])) for r in out.collect())
+    assert got == sorted(str((r["doc_id"], r["copies"])) for r in mixing.mixed(odd, labels).collect())
