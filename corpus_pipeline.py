@@ -36,26 +36,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class of near-duplicates stays."""
-    classes = stage(minhash.near_duplicates(docs))
-    drop = classes.where("not (doc_id <=> class_id)").select("doc_id").distinct()
-    again = classes.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    kept = docs.join(stage(drop), "doc_id", "left_anti")
-    # Rows that share a doc_id are one document.
-    again = stage(again)
-    once = kept.join(again, "doc_id", "left_anti")
-    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(first).select(docs.columns)
+    """The first document of each class of near-duplicates stays, that with the smallest doc_id (null before all). Rows
+    that share a doc_id are documents of their own unless their texts are alike."""
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    kept = minhash.without_near_duplicates(docs.withColumnsRenamed(own))
+    return kept.withColumnsRenamed({new: old for old, new in own.items()}).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out by their rate in the mix of good, poor and toxic text."""
-    copies = mixing.mixed(docs, table(spark, sf_dir, "labels")).select(F.col("doc_id").alias("mixed_id"), "copies").distinct()
-    copies = stage(copies.where("copies > 0"))
+    """Documents are repeated or left out by their rate in the mix of good, poor and toxic text. Every row has copies of
+    its own, whatever its doc_id."""
 
     def repeated(d: DataFrame) -> DataFrame:
-        joined = d.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-        return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        counted = mixing.with_copies(d, table(spark, sf_dir, "labels"), "mix_copies").where("mix_copies > 0")
+        return counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
 
     return with_own_columns(docs, repeated)
 
