@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridertide.llm.arrays import flat, mixed, ranges
-from ridertide.llm.tables import arrow_batches, release, shared_path, stage, text_bytes
+from ridertide.llm.tables import arrow_batches, discard, discard_folder, release, shared_path, stage, text_bytes
 
 LENGTH, PROBE = 50, 32
 #: Text for each shard and for each range of hashes: what a task holds.
@@ -610,8 +610,7 @@ def removed(docs: DataFrame, shard_bytes: int = SHARD_BYTES, range_bytes: int =
     def dropped(left: pa.Table, right: pa.Table) -> pa.Table:
         return cleaned(left, right, count)
 
-    def written(found: DataFrame) -> DataFrame:
-        path = shared_path(spark, "strings")
+    def written(found: DataFrame, path: str) -> DataFrame:
         found.write.option("compression", "zstd").partitionBy("kind").parquet(path)
         release(spark)
         return spark.read.schema(STAGED).parquet(path)
@@ -619,6 +618,14 @@ def removed(docs: DataFrame, shard_bytes: int = SHARD_BYTES, range_bytes: int =
     def of_kind(found: DataFrame, kind: int) -> DataFrame:
         return found.where(F.col("kind") == kind).drop("kind")
 
+    def done_with(path: str, *kinds: int) -> None:
+        """Nothing reads these kinds any more: each is a folder of its own."""
+        for kind in kinds:
+            discard_folder(spark, f"{path}/kind={kind}")
+        release(spark)
+
+    by_context, by_string = shared_path(spark, "contexts"), shared_path(spark, "strings")
+
     arrays = texts.groupBy("shard").cogroup(copies.groupBy("shard")).applyInArrow(probed, ROW)
     met = stage(arrays.groupBy("part").applyInArrow(met_elsewhere, ROW))
     del arrays
@@ -626,11 +633,15 @@ def removed(docs: DataFrame, shard_bytes: int = SHARD_BYTES, range_bytes: int =
     told = met.select("shard", "part", "body", F.lit(None).cast("long").alias("doc_id")).unionByName(
         copies.select("shard", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("body"), "doc_id")
     )
-    found = written(texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(grouped, STAGED))
+    found = written(texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(grouped, STAGED), by_context)
+    discard(met)
     known = stage(of_kind(found, 0).groupBy("part").applyInArrow(settled, ROW))
     open_ = of_kind(found, 1).groupBy("shard").cogroup(known.groupBy("shard"))
-    strings = written(open_.applyInArrow(sorted_, STAGED))
+    strings = written(open_.applyInArrow(sorted_, STAGED), by_string)
+    discard(known)
+    done_with(by_context, 0, 1)
     decided = stage(of_kind(strings, 0).groupBy("part").applyInArrow(smaller_elsewhere, ROW))
+    done_with(by_string, 0)
     closed = of_kind(strings, 1).groupBy("shard").cogroup(decided.groupBy("shard")).applyInArrow(dropped, DONE)
     columns = [F.col("part").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     done_ = of_kind(found, 2).select(columns).unionByName(of_kind(strings, 2).select(columns))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridertide.session import stage, stage_folder
 
-__all__ = ["arrow_batches", "discard", "documents", "release", "shared_path", "stage", "table", "text_bytes"]
+__all__ = ["arrow_batches", "discard", "discard_folder", "documents", "release", "shared_path", "stage", "table", "text_bytes"]
 
 #: Rows and bytes of an Arrow batch sent to Python workers: a task holds a few of these at a time.
 BATCH_ROWS, BATCH_BYTES = 1200, 4 << 20
@@ -51,8 +51,10 @@ def release(spark: SparkSession) -> None:
 def discard(*staged: DataFrame) -> None:
     """Delete staged tables that no later job reads: what was made of them is staged itself."""
     for df in staged:
-        spark = df.sparkSession
-        files = df.inputFiles()
-        if files:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if files := df.inputFiles():
+            discard_folder(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def discard_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
