@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridertide.llm.arrays import flat
+from ridertide.llm.arrays import flat, ranges
 from ridertide.llm.tables import arrow_batches, text_bytes
 from ridertide.llm.tokens import pieces
 
@@ -49,19 +50,32 @@ class Grammar:
     def spans(self, symbols: np.ndarray) -> np.ndarray:
         """Ids that each symbol stands for."""
         out = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.base
+        rule = np.flatnonzero(symbols >= self.base)
         out[rule] = self.lengths[symbols[rule] - self.base]
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(at := np.flatnonzero(symbols >= self.base)):
-            counts = np.ones(len(symbols), np.int64)
-            counts[at] = 2
-            first = np.cumsum(counts) - counts
-            rule = symbols[at] - self.base
-            symbols = np.repeat(symbols, counts)
-            symbols[first[at]], symbols[first[at] + 1] = self.left[rule], self.right[rule]
-        return symbols
+        """The ids behind the symbols: each rule is written out once, then all symbols are looked up together."""
+        ids, starts = self.written
+        return ids[ranges(starts[symbols], self.spans(symbols))]
+
+    @cached_property
+    def written(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the terminals and of all rules one after another, place of each symbol's first id)."""
+        lengths = self.lengths.astype(np.int64)
+        starts = np.concatenate([np.arange(self.base), self.base + np.cumsum(lengths) - lengths])
+        ids = np.empty(self.base + int(lengths.sum()), np.uint32)
+        ids[: self.base] = np.arange(self.base)
+        size = np.concatenate([np.ones(self.base, np.int64), lengths])
+        # A rule is longer than its parts: by length, the parts of each are there before it.
+        order = np.argsort(lengths, kind="stable")
+        edges = np.flatnonzero(np.diff(lengths[order], prepend=0, append=-1))
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            rule = order[i:j]
+            left, right, to = self.left[rule].astype(np.int64), self.right[rule].astype(np.int64), starts[self.base + rule]
+            ids[ranges(to, size[left])] = ids[ranges(starts[left], size[left])]
+            ids[ranges(to + size[left], size[right])] = ids[ranges(starts[right], size[right])]
+        return ids, starts
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """The ids start .. stop - 1: only the symbols that cover them are expanded."""
@@ -75,20 +89,13 @@ def slots(keys: np.ndarray) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def alternating(place: np.ndarray) -> np.ndarray:
-    """Every second one of places that follow each other, from the left."""
-    run = np.flatnonzero(np.r_[True, np.diff(place) > 1])
-    nth = np.arange(len(place)) - np.repeat(run, np.diff(np.r_[run, len(place)]))
-    return place[nth % 2 == 0]
-
-
-def frequent(keys: np.ndarray, live: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, counts) of those at `least` of the live places, ascending by count. Places that overlap in a run of one
-    symbol count once."""
-    own = keys[live]
+def frequent(own: np.ndarray, after: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of those at `least` of the live places, ascending by count. own: the pairs at the live places, in
+    order; after: is the next live place its neighbour? Places that overlap in a run of one symbol count once."""
     same = (own >> np.uint64(32)) == (own & np.uint64(0xFFFFFFFF))
     if same.any():
-        own = np.concatenate([own[~same], keys[alternating(live[same])]])
+        at = np.flatnonzero(same)
+        own = np.concatenate([own[~same], own[alternating(at, after)]])
     ordered = np.sort(own)
     first = np.flatnonzero(np.r_[len(ordered) > 0, ordered[1:] != ordered[:-1]])
     counts = np.diff(np.r_[first, len(ordered)])
@@ -97,46 +104,60 @@ def frequent(keys: np.ndarray, live: np.ndarray, least: int) -> tuple[np.ndarray
     return ordered[first[often]], counts[often]
 
 
-def paying(place: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+def alternating(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Every second one of live places that are neighbours in turn, from the left. at: some of the live places' numbers."""
+    if not len(at):
+        return at
+    joined = (np.diff(at) == 1) & after[at[:-1]]
+    run = np.flatnonzero(np.r_[True, ~joined])
+    nth = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+    return at[nth % 2 == 0]
+
+
+def paying(at: np.ndarray, slot: np.ndarray, least: int) -> np.ndarray:
     """The places of pairs that have at least `least` of them."""
-    return place[np.bincount(at[place], minlength=1 << SLOT_BITS)[at[place]] >= least]
+    return at[np.bincount(slot[at], minlength=1 << SLOT_BITS)[slot[at]] >= least]
 
 
-def places(keys: np.ndarray, live: np.ndarray, chosen: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places to replace, slot of each live place, pair of each slot). The most frequent pair of a slot has it."""
+def places(own: np.ndarray, after: np.ndarray, chosen: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(live places to replace, slot of each live place, pair of each slot). The most frequent pair of a slot has it."""
     table = np.full(1 << SLOT_BITS, NO_PAIR)
     table[slots(chosen)] = chosen
-    at = np.zeros(len(keys), np.int64)
-    at[live] = slots(keys[live])
-    hit = live[table[at[live]] == keys[live]]
-    place = paying(alternating(hit), at, least)
+    slot = slots(own)
+    hit = np.flatnonzero(table[slot] == own)
+    place = paying(alternating(hit, after), slot, least)
     if not len(place):
         # Each takes too many places of the others: places go to the more frequent pair, so the first one has all of its.
         rank = np.zeros(1 << SLOT_BITS, np.int64)
         order = np.lexsort([slots(chosen), counts])
         rank[slots(chosen[order])] = np.arange(1, len(order) + 1)
-        score = np.zeros(len(keys) + 2, np.int64)
-        score[hit + 1] = rank[at[hit]]
-        beaten = np.maximum(score[hit], score[hit + 2]) > score[hit + 1]
-        place = paying(alternating(hit[~beaten]), at, least)
-    return place, at, table
+        score = np.zeros(len(own) + 2, np.int64)
+        score[hit + 1] = rank[slot[hit]]
+        near = np.r_[False, after]
+        before = np.where(near[hit], score[hit], 0)
+        behind = np.where(near[hit + 1], score[hit + 2], 0)
+        beaten = np.maximum(before, behind) > score[hit + 1]
+        place = paying(alternating(hit[~beaten], after), slot, least)
+    return place, slot, table
 
 
 def compress(ids: np.ndarray, passes: int | None = None, least: int = LEAST) -> Grammar:
-    """passes: at most so many; by default as many as there are pairs for."""
+    """passes: at most so many; by default as many as there are pairs for.
+
+    A pair never gains places: after the first pass only the pairs that were frequent and those with a new symbol are
+    looked at, so a pass sorts no more than these."""
     symbols, next_rule = ids.astype(np.uint32), BASE
     left, right, lengths = [], [], []
     length_of = np.ones(0, np.int64)
-    again = fresh = None
-    while len(symbols) > 1 and (passes is None or len(left) < passes):
-        keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        # A pair never gains places: only those that were frequent and those with a new symbol are counted again.
-        live = np.arange(len(keys)) if again is None else np.flatnonzero(again[:-1] | fresh[:-1] | fresh[1:])
-        chosen, counts = frequent(keys, live, least)
+    live = np.arange(max(len(symbols) - 1, 0), dtype=np.int32)
+    while len(live) and (passes is None or len(left) < passes):
+        own = (symbols[live].astype(np.uint64) << np.uint64(32)) | symbols[live + 1]
+        after = np.append(live[1:] - live[:-1] == 1, False)
+        chosen, counts = frequent(own, after, least)
         if not len(chosen):
             break
-        place, at, table = places(keys, live, chosen, counts, least)
-        used, rule = np.unique(at[place], return_inverse=True)
+        place, slot, table = places(own, after, chosen, counts, least)
+        used, rule = np.unique(slot[place], return_inverse=True)
         pairs = table[used]
         new_left, new_right = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         grown = sum(np.where(x >= BASE, length_of[np.maximum(x.astype(np.int64) - BASE, 0)] if len(length_of) else 1, 1) for x in (new_left, new_right))
@@ -144,13 +165,18 @@ def compress(ids: np.ndarray, passes: int | None = None, least: int = LEAST) ->
         right.append(new_right)
         lengths.append(grown.astype(np.uint32))
         length_of = np.concatenate([length_of, grown])
-        symbols[place] = next_rule + rule
+        here = live[place]
+        symbols[here] = next_rule + rule
         keep = np.ones(len(symbols), bool)
-        keep[place + 1] = False
+        keep[here + 1] = False
+        # Counted again: what was frequent, and the new symbols with the symbols before them.
         again = np.zeros(len(symbols), bool)
-        again[live] = table[at[live]] != NO_PAIR
+        again[live[table[slot] != NO_PAIR]] = True
+        again[here] = True
         symbols, again = symbols[keep], again[keep]
         fresh = symbols >= next_rule
+        again[:-1] |= fresh[1:]
+        live = np.flatnonzero(again[:-1]).astype(np.int32)
         next_rule += len(used)
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.uint32)
     return Grammar(join(left), join(right), join(lengths), symbols)

@@ -8,7 +8,6 @@ whole, as that string is one id wherever it stands.
 
 from __future__ import annotations
 
-import re
 from functools import cache
 from itertools import chain
 
@@ -19,11 +18,11 @@ import pyarrow.compute  # noqa: F401
 from ridertide.llm.arrays import flat, ranges, strings
 
 #: A worker forgets its pieces when it holds so many; they are then encoded again.
-MOST_PIECES = 500_000
+MOST_PIECES = 800_000
 #: How byte-level vocabularies write the space before a word.
 SPACE = "\u0120"
 
-LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LETTERS = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
 
 def byte_characters() -> dict[int, str]:
@@ -53,17 +52,23 @@ class Pieces:
 
     def learn(self, new: list[str]) -> None:
         """Encode new pieces. A run of letters is one word to the tokenizer and goes straight to its merges."""
-        merges, whole, lower, written = self.model.tokenize, self.tokenizer.encode, self.lower, self.written
-        found = []
-        for piece in new:
-            word = (piece.lstrip(" ").lower() if lower else piece.replace(" ", SPACE, 1)) if piece.isascii() else None
-            if word is not None and word[-1:].isalpha() and word.removeprefix(SPACE).isalpha():
-                found.append([x.id for x in merges(word)])
-            elif LETTERS.fullmatch(piece):
-                word = piece.lstrip(" ").lower() if lower else piece
-                found.append([x.id for x in merges(word.encode().decode("latin-1").translate(written))])
-            else:
-                found.append(whole(piece, add_special_tokens=False).ids)
+        merges, whole = self.model.tokenize, self.tokenizer.encode
+        pieces_ = pa.array(new, pa.string())
+        letters = np.asarray(pa.compute.match_substring_regex(pieces_, LETTERS))
+        ascii_ = np.asarray(pa.compute.string_is_ascii(pieces_))
+        if self.lower:
+            written = pa.compute.utf8_lower(pa.compute.utf8_ltrim(pieces_, " "))
+        else:
+            written = pa.compute.replace_substring(pieces_, " ", SPACE, max_replacements=1)
+        found: list[list[int]] = [[]] * len(new)
+        plain = np.flatnonzero(letters & ascii_)
+        for i, word in zip(plain.tolist(), written.take(pa.array(plain)).to_pylist(), strict=True):
+            found[i] = [x.id for x in merges(word)]
+        for i in np.flatnonzero(letters & ~ascii_).tolist():
+            word = new[i].lstrip(" ").lower() if self.lower else new[i]
+            found[i] = [x.id for x in merges(word.encode().decode("latin-1").translate(self.written))]
+        for i in np.flatnonzero(~letters).tolist():
+            found[i] = whole(new[i], add_special_tokens=False).ids
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         k, n = len(self.known), self.used + int(lengths.sum())
         while n > len(self.ids):
