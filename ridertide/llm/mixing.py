@@ -1,13 +1,12 @@
 """Mixing to target weights by soft membership, in DataFrame functions only.
 
-A naive Bayes classifier of hashed words, fitted on the labelled table, gives each document a posterior over domains. Its
-log-odds are calibrated on labelled rows that it was not fitted on: two halves score each other, and a logistic
-regression of the domains on those scores, weighted by tokens, gives each domain a slope and a shift, so that expected
-totals are those that the labels show.
-Rates r >= 0 of the documents are then fitted so that the expected domain totals, sum of tokens * posterior * rate,
-match the targets in the least squares sense: projected gradient steps from rate 1, scaled by the Gram matrix of the
-documents whose rate is positive. A step is one aggregate over (tokens, posterior); what reaches the driver are sums by
-domain. A document's rate is its expected number of copies.
+A naive Bayes classifier of hashed words, fitted on the labelled table, gives each document a posterior over domains. Of
+the buckets of words only those count in which the documents of some domain differ from all others by more than chance;
+in a text a bucket counts once. The log-odds are calibrated on labelled rows that they were not fitted on: two halves
+score each other, and a logistic regression of the domains on those scores, weighted by tokens, makes expected totals
+those that the labels show. Rates r >= 0 of the documents are then fitted so that the expected domain totals, sum of tokens * posterior * rate,
+match the targets in the least squares sense, with a weak pull to rate 1. A step is one aggregate over (tokens,
+posterior); what reaches the driver are sums by domain. A document's rate is its expected number of copies.
 """
 
 from __future__ import annotations
@@ -26,13 +25,13 @@ from ridertide.llm.tables import stage
 #: Soft membership gives clean text some share of toxic; a target near 0 would leave out most of it.
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
 #: Labelled rows that the classifier is fitted on at most, those with the smallest hash first; buckets of words.
-LABELLED_ROWS, BUCKETS = 10_000, 1 << 12
-SMOOTHING = 1.0
-#: Log-odds are divided by words ** TEMPER, so that long texts keep a soft membership.
-TEMPER = 0.5
+LABELLED_ROWS, BUCKETS = 10_000, 1 << 15
+#: Added to the documents of a domain that have a bucket; standard errors by which a domain must differ from the others.
+SMOOTHING, APART = 0.5, 3.5
 STEPS, CLOSE = 30, 1e-5
-#: Pull of the calibration towards no information, in rows of mean length.
-PULL = 0.5
+#: Pull of the calibration towards no information, in rows of mean length, and of the rates towards 1: a weaker one comes
+#: nearer to the targets and leaves out more documents that are hard to tell apart.
+PULL, PULL_TO_ONE = 0.5, 0.01
 
 
 def bucket_of(word: Column, buckets: int) -> Column:
@@ -41,17 +40,22 @@ def bucket_of(word: Column, buckets: int) -> Column:
 
 @dataclass
 class Model:
-    """Log-probabilities by domain and bucket. Log-odds to the first domain, divided by words ** TEMPER, are multiplied by
-    `slope` and shifted by `shift`; both are by domain, 0 for the first."""
+    """Log-odds of each domain to the first by bucket, 0 for a bucket that tells nothing. A text's sums of them, one for
+    each domain but the first, times `slope` and plus `shift`, are its log-odds."""
 
-    table: np.ndarray
+    odds: np.ndarray
     slope: np.ndarray
     shift: np.ndarray
 
 
-def log_table(counts: np.ndarray) -> np.ndarray:
-    cell = counts + SMOOTHING
-    return np.log(cell / cell.sum(1, keepdims=True))
+def log_odds(having: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """By domain and bucket, from the documents that have a bucket and all documents of the domains."""
+    share = (having + SMOOTHING) / (documents[:, None] + 2 * SMOOTHING)
+    rest_n = documents.sum() - documents
+    rest = (having.sum(0) - having + SMOOTHING) / (rest_n[:, None] + 2 * SMOOTHING)
+    error = np.sqrt(share * (1 - share) / np.maximum(documents, 1)[:, None] + rest * (1 - rest) / np.maximum(rest_n, 1)[:, None])
+    telling = (np.abs(share - rest) > APART * error).any(0)
+    return np.where(telling, np.log(share) - np.log(share[0]), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int = BUCKETS) -> Model | None:
@@ -65,57 +69,65 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int = B
     named = F.broadcast(named.orderBy(F.xxhash64("labelled"), "labelled").limit(LABELLED_ROWS))
     found = docs.join(named, F.col("doc_id") == F.col("labelled"))
     half = F.pmod(F.xxhash64("labelled", F.lit(3)), F.lit(2)).cast("int").alias("half")
-    found = stage(found.select("domain", half, F.transform(words(F.col("text")), lambda w: bucket_of(w, buckets)).alias("buckets")))
+    text = F.coalesce("text", F.lit(""))
+    found = stage(found.select("domain", half, F.size(words(text)).alias("n"), buckets_of(text, buckets).alias("buckets")))
     # Bucket 0 counts the documents.
-    cells = found.select("half", "domain", F.explode(F.array_append(F.coalesce("buckets", F.array()), F.lit(0))).alias("bucket"))
+    cells = found.select("half", "domain", F.explode(F.array_append("buckets", F.lit(0))).alias("bucket"))
     counts = np.zeros((2, len(domains), buckets + 1))
     for half_, domain, bucket, n in cells.groupBy("half", "domain", "bucket").count().collect():
         counts[half_, domains.index(domain), bucket] += n
-    if not counts[:, :, 0].sum():
+    documents = counts[:, :, 0]
+    if not documents.sum():
         return None
-    prior = np.log((counts[:, :, 0].sum(0) + 1) / (counts[:, :, 0].sum() + len(domains)))
+    k = len(domains) - 1
+    prior = np.log((documents.sum(0) + 1) / (documents.sum() + len(domains)))
+    slope, shift = np.zeros((k, k)), (prior - prior[0])[1:]
     # Each half is scored by the table of the other: a few numbers for each of LABELLED_ROWS rows at most.
-    odds = [log_table(counts[1 - h, :, 1:]) for h in (0, 1)]
-    other = lambda k: F.when(F.col("half") == 0, tempered("buckets", odds[0][k] - odds[0][0])).otherwise(tempered("buckets", odds[1][k] - odds[1][0]))
-    scores = found.where("size(buckets) > 0").select("domain", F.size("buckets").alias("n"), *[other(k).alias(f"s{k}") for k in range(1, len(domains))])
-    rows = scores.collect()
-    slope, shift = np.r_[0.0, np.ones(len(domains) - 1)], prior - prior[0]
-    if rows and len(domains) > 1:
-        values = np.array([[r[f"s{k}"] for k in range(1, len(domains))] for r in rows])
-        slope[1:], shift[1:] = calibrated(values, np.array([domains.index(r["domain"]) for r in rows]), np.array([r["n"] for r in rows], float), shift[1:])
-    return Model(log_table(counts[:, :, 1:].sum(0)), slope, shift)
+    odds = [log_odds(counts[1 - h, :, 1:], documents[1 - h]) for h in (0, 1)]
+    other = lambda d: F.when(F.col("half") == 0, summed(F.col("buckets"), odds[0][d])).otherwise(summed(F.col("buckets"), odds[1][d]))
+    rows = found.where("n > 0").select("domain", "n", *[other(d).alias(f"s{d}") for d in range(1, k + 1)]).collect()
+    if rows and k:
+        values = np.array([[r[f"s{d}"] for d in range(1, k + 1)] for r in rows])
+        slope, shift = calibrated(values, np.array([domains.index(r["domain"]) for r in rows]), np.array([r["n"] for r in rows], float), shift)
+    return Model(log_odds(counts[:, :, 1:].sum(0), documents.sum(0)), slope, shift)
 
 
 def calibrated(scores: np.ndarray, domain: np.ndarray, tokens: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slope, shift) by domain but the first: logistic regression by Newton's method. Rows weigh by their tokens; a weak
-    pull towards slope 0 and the given shifts keeps the fit finite where domains are apart or absent."""
+    """(slope, shift): logistic regression of the domains but the first on all scores, by Newton's method. Rows weigh by
+    their tokens; a weak pull towards slope 0 and the given shifts keeps the fit finite where domains are apart or absent."""
     n, k = scores.shape
+    x = np.hstack([scores, np.ones((n, 1))])
     weight = tokens / tokens.mean()
-    theta, home = np.r_[np.zeros(k), shift], np.r_[np.zeros(k), shift]
-    pull = np.r_[np.full(k, PULL), np.full(k, PULL)]
+    theta = np.hstack([np.zeros((k, k)), shift[:, None]])
+    home = theta.copy()
     is_ = (domain[:, None] == np.arange(1, k + 1)).astype(float)
-    for _ in range(60):
-        z = scores * theta[:k] + theta[k:]
+
+    def shares(t: np.ndarray) -> tuple[np.ndarray, float]:
+        z = x @ t.T
         top = np.maximum(z.max(1, initial=0.0), 0.0)
-        p = np.exp(z - top[:, None])
-        p /= (p.sum(1) + np.exp(-top))[:, None]
-        gap = (is_ - p) * weight[:, None]
-        slope = np.r_[(gap * scores).sum(0), gap.sum(0)] - pull * (theta - home)
-        curve = np.diag(pull.copy())
+        total = np.exp(z - top[:, None]).sum(1) + np.exp(-top)
+        loss = (weight * (top + np.log(total) - (z * is_).sum(1))).sum() + PULL / 2 * ((t - home) ** 2).sum()
+        return np.exp(z - top[:, None]) / total[:, None], loss
+
+    p, loss = shares(theta)
+    for _ in range(60):
+        slope = ((is_ - p) * weight[:, None]).T @ x - PULL * (theta - home)
+        curve = np.zeros((k, k + 1, k, k + 1))
         for a in range(k):
             for b in range(k):
-                v = weight * p[:, a] * ((a == b) - p[:, b])
-                x, y = scores[:, a], scores[:, b]
-                curve[a, b] += (v * x * y).sum()
-                curve[a, k + b] += (v * x).sum()
-                curve[k + a, b] += (v * y).sum()
-                curve[k + a, k + b] += v.sum()
-        step = np.linalg.solve(curve, slope)
-        # A long step is cut, so that the search stays where the curve holds.
-        theta = theta + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-9:
+                curve[a, :, b] = (x * (weight * p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x
+        size = k * (k + 1)
+        step = np.linalg.solve(curve.reshape(size, size) + PULL * np.eye(size), slope.ravel()).reshape(k, k + 1)
+        part = 1.0
+        while part > 1e-6:
+            now, after = shares(theta + part * step)
+            if after <= loss:
+                break
+            part /= 2
+        if part <= 1e-6 or loss - after < 1e-10 * abs(loss):
             break
-    return theta[:k], theta[k:]
+        theta, p, loss = theta + part * step, now, after
+    return theta[:, :k], theta[:, k]
 
 
 def constant(values: np.ndarray) -> Column:
@@ -127,11 +139,13 @@ def added(weights: Column):
     return lambda total, bucket: total + F.element_at(weights, bucket)
 
 
-def tempered(buckets, weights: np.ndarray) -> Column:
-    """The sum of a text's weights, divided by a power of its length."""
-    buckets = F.col(buckets) if isinstance(buckets, str) else buckets
-    soft = F.pow(F.greatest(F.size(buckets), F.lit(1)).cast("double"), F.lit(TEMPER))
-    return F.aggregate(buckets, F.lit(0.0), added(constant(weights))) / soft
+def buckets_of(text: Column, buckets: int) -> Column:
+    """The buckets that a text's words fall in, each once."""
+    return F.array_distinct(F.transform(words(text), lambda w: bucket_of(w, buckets)))
+
+
+def summed(buckets: Column, weights: np.ndarray) -> Column:
+    return F.aggregate(buckets, F.lit(0.0), added(constant(weights)))
 
 
 def posterior(text: Column, model: Model | None, domains: list[str]) -> Column:
@@ -139,20 +153,22 @@ def posterior(text: Column, model: Model | None, domains: list[str]) -> Column:
     domains are equal."""
     if model is None:
         return F.array(*[F.lit(1.0 / len(domains)) for _ in domains])
-    odds = model.table - model.table[0]
 
     def score(buckets: Column) -> Column:
+        return F.array(*[summed(buckets, row) for row in model.odds[1:]])
+
+    def logits(sums: Column) -> Column:
         parts = [F.lit(0.0)]
-        for row, slope, shift in zip(odds[1:], model.slope[1:], model.shift[1:], strict=True):
-            parts.append(F.lit(float(slope)) * tempered(buckets, row) + F.lit(float(shift)))
+        for row, shift in zip(model.slope, model.shift, strict=True):
+            parts.append(sum((F.lit(float(v)) * F.element_at(sums, d + 1) for d, v in enumerate(row)), F.lit(float(shift))))
         return F.array(*parts)
 
     def normal(logs: Column) -> Column:
         powers = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
         return once(powers, lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))
 
-    buckets = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: bucket_of(w, model.table.shape[1]))
-    return once(once(buckets, score), normal)
+    buckets = buckets_of(F.coalesce(text, F.lit("")), model.odds.shape[1])
+    return once(once(once(buckets, score), logits), normal)
 
 
 def posteriors(docs: DataFrame, model: Model | None, domains: list[str]) -> DataFrame:
@@ -161,34 +177,50 @@ def posteriors(docs: DataFrame, model: Model | None, domains: list[str]) -> Data
     return docs.withColumn("posterior", posterior(F.col("text"), model, domains))
 
 
-def rate_of(posterior_: Column, steps: list[np.ndarray]) -> Column:
-    """The rate of a document: from 1, each step takes off its sum over the posterior, never below 0."""
-    rate = F.lit(1.0)
-    for step in steps:
-        move = sum((F.element_at(posterior_, k + 1) * F.lit(float(s)) for k, s in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+def rate_of(posterior_: Column, away: np.ndarray) -> Column:
+    """The rate of a document: 1 less the sum of `away` over its posterior, never below 0."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.element_at(posterior_, k + 1) * F.lit(float(v)) for k, v in enumerate(away)), F.lit(0.0)))
+
 
+def fit_rates(known: DataFrame, weights: np.ndarray, pull: float = PULL_TO_ONE, steps: int = STEPS, close: float = CLOSE) -> np.ndarray:
+    """What the rates of `rate_of` take, by domain. known: tokens, posterior (written, read many times).
 
-def rate_steps(known: DataFrame, weights: np.ndarray, steps: int = STEPS, close: float = CLOSE) -> list[np.ndarray]:
-    """The steps that bring the expected shares to the weights. known: tokens, posterior (written, read many times)."""
+    The rates make least |shares - weights|^2 + pull * (mean over tokens of (rate - 1)^2) among all rates of 0 or more.
+    At the least, a document's rate is 1 less its posterior times the gap over the pull, projected to 0 or more; so
+    projected gradient steps move d numbers, not one for each document. Steps are scaled by the Gram matrix of the
+    documents whose rate is positive and halved while they lead away; each is one aggregate."""
     d = len(weights)
     tokens = F.col("tokens").cast("double")
-    taken: list[np.ndarray] = []
-    for _ in range(steps):
-        rate = rate_of(F.col("posterior"), taken).alias("r")
+
+    def looked_at(away: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(gap to the weights, Gram matrix of the documents that are left) at these rates."""
+        rate = rate_of(F.col("posterior"), away).alias("r")
         now = known.select(tokens.alias("t"), *[F.element_at("posterior", k + 1).alias(f"p{k}") for k in range(d)], rate)
         totals = [F.sum(F.expr(f"t * p{k} * r")) for k in range(d)]
         gram = [F.sum(F.expr(f"CASE WHEN r > 0 THEN t * p{j} * p{k} ELSE 0 END")) for j in range(d) for k in range(d)]
         row = [x or 0.0 for x in now.agg(F.sum("t"), *totals, *gram).first()]
         if not row[0]:
+            return None
+        return np.array(row[1 : d + 1]) / row[0] - weights, np.array(row[d + 1 :]).reshape(d, d) / row[0]
+
+    away = np.zeros(d)
+    at = looked_at(away)
+    if at is None:
+        return away
+    for _ in range(steps):
+        left = at[0] - pull * away
+        if np.abs(left).max() < close:
             break
-        gap = np.array(row[1 : d + 1]) / row[0] - weights
-        if np.abs(gap).max() < close:
+        step = np.linalg.solve(at[1] + pull * np.eye(d), left)
+        while np.abs(step).max() > close:
+            after = looked_at(away + step)
+            if np.abs(after[0] - pull * (away + step)).sum() < np.abs(left).sum():
+                break
+            step = step / 2
+        else:
             break
-        scale = np.array(row[d + 1 :]).reshape(d, d) / row[0] + 1e-9 * np.eye(d)
-        taken.append(np.linalg.solve(scale, gap))
-    return taken
+        away, at = away + step, after
+    return away
 
 
 def shares(domains: list[str]) -> list[Column]:
@@ -210,21 +242,21 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     tokens and the prior as posterior; rows that share a doc_id are documents of their own with one random number; a
     null doc_id has a random number too; without labels or without tokens every rate is 1; an empty table stays empty.
     """
-    domains, model, steps, known = fitted(docs, labels, targets)
-    rate = rate_of(F.col("posterior"), steps)
+    domains, _, away, known = fitted(docs, labels, targets)
+    rate = rate_of(F.col("posterior"), away)
     out = known.select("doc_id", "tokens", *shares(domains), rate.alias("rate"))
     return out.withColumn("copies", rounded(F.col("rate"), F.col("doc_id"), seed))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None) -> tuple[list[str], Model | None, list[np.ndarray], DataFrame]:
-    """(domains, classifier, steps of the rates, the staged table of doc_id, tokens and posterior)."""
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None) -> tuple[list[str], Model | None, np.ndarray, DataFrame]:
+    """(domains, classifier, what rates take by domain, the staged table of doc_id, tokens and posterior)."""
     targets = targets or TARGETS
     domains = list(targets)
     weights = np.array([targets[k] for k in domains]) / sum(targets.values())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = fit(texts, labels, domains)
     known = stage(posteriors(texts, model, domains).select("doc_id", "tokens", "posterior"))
-    return domains, model, rate_steps(known, weights) if model else [], known
+    return domains, model, fit_rates(known, weights) if model else np.zeros(len(domains)), known
 
 
 def rounded(rate: Column, doc_id: Column, seed: int) -> Column:
@@ -235,6 +267,6 @@ def rounded(rate: Column, doc_id: Column, seed: int) -> Column:
 def with_copies(docs: DataFrame, labels: DataFrame, name: str, targets: dict[str, float] | None = None, seed: int = 29) -> DataFrame:
     """docs with the number of copies of each row, as in `mixed`. The posterior is worked out again from the row's own
     text, so rows need no key and no text is moved."""
-    domains, model, steps, _ = fitted(docs, labels, targets)
-    rate = once(posterior(F.col("text"), model, domains), lambda p: rate_of(p, steps))
+    domains, model, away, _ = fitted(docs, labels, targets)
+    rate = once(posterior(F.col("text"), model, domains), lambda p: rate_of(p, away))
     return docs.withColumn(name, rounded(rate, F.col("doc_id"), seed))
