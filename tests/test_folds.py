@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ridertide.config import NetworkConfig, StationConfig
 from ridertide.operators import context, features, folds
-from ridertide.operators.forecasts import add_expert, anchors, seasonal_naive, unreached
+from ridertide.operators.forecasts import aligned, anchors, seasonal_naive, unreached
 
 CFG = NetworkConfig(bucket_minutes=60, horizon_minutes=180, line_codes=None)
 
@@ -111,7 +111,7 @@ def test_seasonal_fallbacks_and_expert_join(spark, built):
     assert late["seasonal"] == pytest.approx(late["global_mean_target"])
     keys = ["fold", "station_key", "step"]
     some = table.filter("station_key = 'a'").select(*keys, F.lit(7.0).alias("pred"))
-    joined = add_expert(table, some, "x", keys, F.col("seasonal"))
+    joined = aligned(table, {"x": some}, keys, {"x": F.col("seasonal")})
     assert joined.count() == table.count()
     assert joined.filter("station_key = 'a' and x <> 7").count() == 0
     assert joined.filter("station_key <> 'a' and x <> seasonal").count() == 0
