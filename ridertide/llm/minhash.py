@@ -249,7 +249,8 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     # The sets of all texts that share a bucket.
     degrees = stage(shared.groupBy("row").agg(F.sum("size").alias("degree")))
     wanted = stage(texts.select("doc_id", "digest", "row").join(degrees.select("row"), "row"))
-    found = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # The plan is that of large tables at every size: which texts are wanted grows with them.
+    found = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     found = found.withColumn("digest", digest_of("text")).join(wanted, ["doc_id", "digest"])
     # Rows that repeat a doc_id with its text are one.
     sets = stage(shingle_sets(found).groupBy("row").agg(F.first("elements").alias("elements")))
@@ -304,6 +305,6 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     marks = stage(firsts.where("not has_first or rows > 1").select(*named, "has_first"))
     keyed = docs.select("*", *key)
     # What is marked goes; where a row and its repetitions have the first among them, one comes back.
-    once = keyed.join(marks, ["own_id", "own_digest"], "left_anti")
+    once = keyed.join(marks.hint("merge"), ["own_id", "own_digest"], "left_anti")
     again = keyed.join(marks.where("has_first"), ["own_id", "own_digest"], "left_semi").dropDuplicates(["own_id", "own_digest"])
     return once.unionByName(again).select(docs.columns)
