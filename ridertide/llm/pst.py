@@ -14,7 +14,7 @@ that last word, and all places where a text has it, meet in one shard, which bui
 those places. Places travel in compact blocks, not as rows. The counts of the words come from a first exchange by word,
 where each shard asks for the words that it will meet. A word so frequent that it fills shards alone has several,
 dealt by the word before it; what all of them must know, the counts of its followers, comes from an exchange of the
-same kind, and as a context it is retained without test. Scores of places are summed by text in each shard, and by text
+same kind, and the test of the word as a context is a sum over its shards, each follower in one of them. Scores of places are summed by text in each shard, and by text
 over the shards. Blocks go in waves, each for a part of the shards, to halve the disk they need at once. A shard is as
 large as a task can hold compressed, so that a block's list of words is small beside its places and a text has few sums;
 its places lie in drawers, by context again, and only one drawer is opened at a time.
@@ -224,8 +224,8 @@ ANSWER = "shard int, kind int, keys binary, counts binary, total long, distinct
 
 
 def answers(asked: DataFrame, layout: Layout, kind: int) -> DataFrame:
-    """For each home and shard the keys that the shard asked for with their totals (kind). Beside them, with a negative
-    shard: -1 the sum of all counts and the number of keys counted, -2 frequent keys, -3 the different followers of
+    """For each home and shard the keys that the shard asked for with their totals (kind; pairs that it is the first
+    shard to ask for have kind 2). Beside them, with a negative shard: -1 the sum of all counts and the number of keys counted, -2 frequent keys, -3 the different followers of
     each hot word (total: its index)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -236,12 +236,17 @@ def answers(asked: DataFrame, layout: Layout, kind: int) -> DataFrame:
         of, shard = np.repeat(number, np.concatenate(widths)), np.concatenate(shards).astype(np.int64)
         _, pair = groups(shard * len(every) + of)
         shard, of = shard[pair], of[pair]
-        bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
-        out = [(int(shard[a]), kind, packed(every[of[a:b]]), packed(total[of[a:b]].astype(np.uint32 if total.max() < 1 << 32 else np.uint64)), 0, 8 if total.max() >= 1 << 32 else 4) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        kinds = np.full(len(of), kind)
+        if kind == 1:
+            kinds[np.unique(of, return_index=True)[1]] = 2
+            order = np.lexsort([kinds, shard])
+            shard, of, kinds = shard[order], of[order], kinds[order]
+        bounds = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (kinds[1:] != kinds[:-1]), [True]])) if len(shard) else np.zeros(1, np.int64)
+        out = [(int(shard[a]), int(kinds[a]), packed(every[of[a:b]]), packed(total[of[a:b]].astype(np.uint32 if total.max() < 1 << 32 else np.uint64)), 0, 8 if total.max() >= 1 << 32 else 4) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         if kind == 0:
             counted = (total > 0) & (every != BEGIN)
             out.append((-1, kind, b"", b"", int(total[counted].sum()), int(counted.sum())))
-            often = total > layout.settings.hot
+            often = (total > layout.settings.hot) & (every != STOP)  # nothing follows an end
             if often.any():
                 out.append((-2, kind, packed(every[often]), packed(total[often].astype(np.uint64)), 0, 8))
         else:
@@ -319,6 +324,15 @@ def dealt_places(rows: DataFrame, layout: Layout, wave: int, waves: int) -> Data
     return rows.mapInArrow(run, schema)
 
 
+def told(known: pa.Table, *kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) that the answers of these kinds hold, by key."""
+    rows = [r for r in known.to_pylist() if r["kind"] in kinds]
+    keys = np.concatenate([np.empty(0, np.uint64), *(unpacked(r["keys"], np.uint64) for r in rows)])
+    counts = np.concatenate([np.empty(0, np.int64), *(unpacked(r["counts"], np.uint32 if r["distinct"] == 4 else np.uint64).astype(np.int64) for r in rows)])
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def looked_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The counts of keys in a sorted list, 0 where they aren't in it."""
     if not len(known):
@@ -327,9 +341,27 @@ def looked_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.nda
     return np.where(known[at] == keys, counts[at], 0)
 
 
+def at_root(count: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The probability at the root of words with these counts, of n tokens and v words."""
+    return (count + 0.1) / (n + 0.1 * (v + 1))
+
+
+def apart_from_root(layout: Layout, different: np.ndarray, n: int, v: int, known: pa.Table) -> pa.Table:
+    """(index of the hot word, sum of p, sum of p log(p / root)) over the followers that one of its shards is the first
+    to have."""
+    hot = int(layout.hot_of(np.array([known.column("shard")[0].as_py()]))[0])
+    words_, counts = told(known, 0)
+    count = looked_up(followers(layout.hot[hot : hot + 1], words_), *told(known, 2))
+    seen = count > 0
+    over = at_root(counts[seen], n, v)
+    p = np.maximum(count[seen] - DISCOUNT, 0) / layout.count[hot] + DISCOUNT * different[hot] / layout.count[hot] * over
+    return pa.table({"hot": pa.array([hot], pa.int32()), "mass": [float(p.sum())], "apart": [float((p * np.log(p / over)).sum())]})
+
+
 def level(context: np.ndarray, word: np.ndarray, learn: np.ndarray, parent: np.ndarray, words_: int, threshold: float, whole: tuple | None = None):
     """(probability, whether its context is retained) of each place, given the parents' probabilities. whole: (count of
-    the context, different followers, count of each place's pair) where other shards have places of the context."""
+    the context, different followers, is it retained, count of each place's pair) where other shards have places of the
+    context."""
     number, one = groups(context * words_ + word)
     of, over = context[one], parent[one]
     if whole is None:
@@ -337,13 +369,13 @@ def level(context: np.ndarray, word: np.ndarray, learn: np.ndarray, parent: np.n
         n = np.bincount(of, count)
         t = np.bincount(of, count > 0, minlength=len(n))
     else:
-        count = whole[2][one].astype(float)
+        count = whole[3][one].astype(float)
         n, t = np.full(int(of.max(initial=0)) + 1, float(whole[0])), np.full(int(of.max(initial=0)) + 1, float(whole[1]))
     some = n > 0
     rest = np.divide(DISCOUNT * t, n, out=np.ones(len(n)), where=some)
     p = np.divide(np.maximum(count - DISCOUNT, 0), n[of], out=np.zeros(len(one)), where=some[of]) + rest[of] * over
     if whole is not None:
-        retained = some
+        retained = some & whole[2]
     else:
         seen = count > 0
         mass = np.bincount(of, np.where(seen, p, 0.0), minlength=len(n))
@@ -378,15 +410,9 @@ def portions(keys: np.ndarray) -> Iterator[np.ndarray]:
         start = stop
 
 
-def scored_shard(shard: int, layout: Layout, different: np.ndarray, n: int, v: int, places: pa.Table, known: pa.Table) -> list[dict]:
+def scored_shard(shard: int, layout: Layout, different: np.ndarray, retained: np.ndarray, n: int, v: int, places: pa.Table, known: pa.Table) -> list[dict]:
     """Sums by text of a shard's places, a row for each block."""
-    lookups = []
-    for kind in (0, 1):
-        rows = [r for r in known.to_pylist() if r["kind"] == kind]
-        keys = np.concatenate([np.empty(0, np.uint64), *(unpacked(r["keys"], np.uint64) for r in rows)])
-        counts = np.concatenate([np.empty(0, np.int64), *(unpacked(r["counts"], np.uint32 if r["distinct"] == 4 else np.uint64).astype(np.int64) for r in rows)])
-        order = np.argsort(keys)
-        lookups.append((keys[order], counts[order]))
+    lookups = told(known, 0), told(known, 1, 2)
     column = lambda c, t: [unpacked(x.as_py(), t) for x in places.column(c)]
     dictionaries = column("keys", np.uint64)
     at = 1 + np.cumsum([0, *map(len, dictionaries)])
@@ -400,7 +426,7 @@ def scored_shard(shard: int, layout: Layout, different: np.ndarray, n: int, v: i
     learned = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in places.column("learn")])
 
     count = looked_up(every, *lookups[0])
-    root_of = (count + 0.1) / (n + 0.1 * (v + 1))
+    root_of = at_root(count, n, v)
     hot = int(layout.hot_of(np.array([shard]))[0]) if shard >= layout.shards else None
     texts = int(base_of[-1])
     score, base, found, size = np.zeros(texts), np.zeros(texts), np.zeros(texts, np.int64), np.zeros(texts, np.int64)
@@ -416,7 +442,7 @@ def scored_shard(shard: int, layout: Layout, different: np.ndarray, n: int, v: i
             w, here = word[part], text[part].astype(np.int64)
             whole = None
             if hot is not None:
-                whole = (layout.count[hot], different[hot], looked_up(followers(every[last[part]], every[w]), *lookups[1]))
+                whole = (layout.count[hot], different[hot], retained[hot], looked_up(followers(every[last[part]], every[w]), *lookups[1]))
             root = root_of[w]
             learn = learned[here].astype(float)
             p = probabilities(w.astype(np.int64), last[part], before[part], learn, root, len(every), nothing, layout.settings.threshold, whole)
@@ -467,7 +493,7 @@ def scored(docs: DataFrame, key: str = "doc_id", settings: Settings | None = Non
     totals = replies.where("shard = -1").agg(F.sum("total"), F.sum("distinct")).first()
     n, v = totals[0] or 0, totals[1] or 0
     often = replies.where("shard = -2").select("keys", "counts").collect()
-    different = np.empty(0, np.int64)
+    different, retained = np.empty(0, np.int64), np.empty(0, bool)
     replies = replies.where("shard >= 0")
     if often:
         hot = np.concatenate([unpacked(r["keys"], np.uint64) for r in often])
@@ -485,6 +511,17 @@ def scored(docs: DataFrame, key: str = "doc_id", settings: Settings | None = Non
         # Written first: its size then tells Spark how to join it.
         links = stage(spark.createDataFrame([(int(s), layout.shards + i) for i, s in enumerate(source)], "shard int, own int"))
         copies = replies.join(links, "shard").select(F.col("own").alias("shard"), *replies.columns[1:])
+
+        def tested(known: pa.Table) -> pa.Table:
+            return apart_from_root(layout, different, n, v, known)
+
+        sums = copies.unionByName(pairs.where("shard >= 0 and kind = 2")).groupBy("shard").applyInArrow(tested, "hot int, mass double, apart double")
+        retained = np.zeros(len(hot), bool)
+        for r in sums.groupBy("hot").agg(F.sum("mass").alias("mass"), F.sum("apart").alias("apart")).collect():
+            count, rest = layout.count[r["hot"]], DISCOUNT * different[r["hot"]] / layout.count[r["hot"]]
+            retained[r["hot"]] = count * (r["apart"] + (1 - r["mass"]) * np.log(rest)) >= settings.threshold
+        del sums
+        release(spark)
         replies = replies.unionByName(copies).unionByName(pairs.where("shard >= 0"))
 
     key_type = rows.schema["key"].dataType.simpleString()
@@ -498,7 +535,7 @@ def scored(docs: DataFrame, key: str = "doc_id", settings: Settings | None = Non
             like = pa.schema([("block", pa.int64()), ("slots", pa.binary()), ("docs", places.schema.field("docs").type if places.num_columns else pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("learn", "score", "base", "known", "size")]])
             if not places.num_rows:
                 return like.empty_table()
-            out = scored_shard(places.column("shard")[0].as_py(), layout, different, n, v, places, known)
+            out = scored_shard(places.column("shard")[0].as_py(), layout, different, retained, n, v, places, known)
             return pa.table({c: pa.array([r[c] for r in out], like.field(c).type) if c != "docs" else places.column("docs") for c in like.names}, like)
 
         places = dealt_places(rows, layout, wave, waves).groupBy("shard")

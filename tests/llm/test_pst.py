@@ -106,6 +106,12 @@ def test_hot_words_have_shards_of_their_own(spark):
     compare(spark, prose(3, 70), 4, settings)
 
 
+def test_hot_words_are_tested_as_contexts_like_others(spark):
+    """Which words are hot is only a matter of layout: at each threshold the same contexts are kept."""
+    for threshold in (0.5, 8.0, 20.0):
+        compare(spark, prose(4, 70), 4, pst.Settings(threshold=threshold, shard_bytes=400, block_tokens=90, hot=30))
+
+
 def test_odd_tables(spark):
     compare(spark, [(5, "only one text of no one"), (5, "only one text of no one")])
     assert pst.scored(spark.createDataFrame([], SCHEMA)).count() == 0
