@@ -40,9 +40,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix of each value; distinct values stay distinct."""
     x = x + MIX[0]
-    x = (x ^ (x >> np.uint64(30))) * MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * MIX[2]
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= MIX[1]
+    x ^= x >> np.uint64(27)
+    x *= MIX[2]
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def is_space(data: np.ndarray) -> np.ndarray:

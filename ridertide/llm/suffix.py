@@ -38,7 +38,7 @@ LENGTH, PROBE = 50, 32
 #: Text for each shard and for each range of hashes: what a task holds.
 SHARD_BYTES, RANGE_BYTES = 6 << 20, 12 << 20
 #: Bytes that are sorted at once, hashed at once, and the longest part of a text in either.
-SORT_BYTES, BLOCK_BYTES, CHUNK = 1 << 20, 1 << 20, 1 << 20
+SORT_BYTES, BLOCK_BYTES, CHUNK = 1 << 20, 1 << 17, 1 << 20
 #: Strings of a context.
 SPAN = 32
 #: Between stretches of text: never part of UTF-8.
@@ -61,38 +61,41 @@ def joined(a: np.ndarray, shift: int) -> np.ndarray:
     return mixed(a * np.uint64(3) + later)
 
 
-def hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(of PROBE bytes, of LENGTH bytes) from each position; meaningless where the text ends sooner."""
-    probe = joined(joined(mixed(eights(data)), 8), 16)
-    return probe, joined(probe, LENGTH - PROBE)
+def probe_hashes(data: np.ndarray) -> np.ndarray:
+    """Of PROBE bytes from each position; meaningless where the text ends sooner."""
+    return joined(joined(mixed(eights(data)), 8), 16)
 
 
-def windowed(a: np.ndarray, width: int, take) -> np.ndarray:
-    """take (minimum or maximum) over a[i .. i + width - 1], shorter at the end."""
+def hashes(data: np.ndarray) -> np.ndarray:
+    """Of LENGTH bytes from each position; meaningless where the text ends sooner."""
+    return joined(probe_hashes(data), LENGTH - PROBE)
+
+
+def least_of(a: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of a[i .. i + width - 1], shorter at the end."""
     out, have = a, 1
     while have < width:
         step = min(have, width - have)
-        shifted = out.copy()
-        shifted[:-step] = take(out[:-step], out[step:]) if step < len(out) else out[:-step]
-        out, have = shifted, have + step
+        wider = out.copy()
+        if step < len(out):
+            np.minimum(out[:-step], out[step:], out=wider[:-step])
+        out, have = wider, have + step
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all texts."""
-    if not len(data):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    probe, _ = hashes(data)
-    far = np.uint64(2**64 - 1)
-    tail = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    probe[tail < PROBE] = far
-    span = LENGTH - PROBE + 1
-    least = windowed(probe, span, np.minimum)
-    # Windows start only where LENGTH bytes are left; a position is an anchor if it is the least of some window.
-    least[tail < LENGTH] = 0
-    back = windowed(least[::-1], span, np.maximum)[::-1]
-    at = np.flatnonzero((probe == back) & (probe != far))
-    return at, probe[at]
+def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first position, number, hash of the anchor, text) of the runs of LENGTH-byte strings with one anchor. Texts
+    aren't empty."""
+    least = least_of(probe_hashes(data), LENGTH - PROBE + 1)
+    new = np.ones(len(data), bool)
+    new[1:] = least[1:] != least[:-1]
+    new[offsets[:-1]] = True
+    first = np.flatnonzero(new)
+    text = np.searchsorted(offsets, first, side="right") - 1
+    # Strings start only where LENGTH bytes of the text are left.
+    size = np.minimum(np.r_[first[1:], len(data)], offsets[text + 1] - LENGTH + 1) - first
+    some = size > 0
+    return first[some], size[some], least[first[some]], text[some]
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,28 +213,46 @@ class Shard:
         self.chunk_size = np.minimum(CHUNK, self.offsets[1:][self.chunk_doc] - self.chunk_start)
 
     def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(bytes, offsets, place in the shard of each byte, doc of each chunk) of some chunks at a time."""
+        """(bytes, offsets, place in the shard of each chunk, doc of each chunk) of some chunks at a time."""
         group = (np.cumsum(self.chunk_size) - 1) // BLOCK_BYTES if len(self.chunk_size) else np.empty(0, np.int64)
-        for g in np.unique(group):
-            pick = group == g
-            place = ranges(self.chunk_start[pick], self.chunk_size[pick])
-            yield self.data[place], np.r_[0, np.cumsum(self.chunk_size[pick])], place, self.chunk_doc[pick]
+        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            start, size = self.chunk_start[a:b], self.chunk_size[a:b]
+            data = np.concatenate([self.data[i : i + n] for i, n in zip(start.tolist(), size.tolist(), strict=True)])
+            yield data, np.r_[0, np.cumsum(size)], start, self.chunk_doc[a:b]
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the first, number, hash of the anchor, doc) of the runs of strings with one anchor, in order."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
+        for data, offsets, start, doc in self.blocks():
+            first, size, hashed, chunk = anchored(data, offsets)
+            found.append((start[chunk] + first - offsets[chunk], size, hashed, doc[chunk]))
+        begin, size, hashed, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        return begin, size, hashed, doc
 
     def probes(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct hashes of anchors, is it in several documents of the shard), ascending."""
-        found = [np.empty(0, np.uint64)]
-        docs = [np.empty(0, np.int64)]
-        for data, offsets, _, doc in self.blocks():
-            at, hashed = anchors(data, offsets)
-            found.append(hashed)
-            docs.append(doc[np.searchsorted(offsets, at, side="right") - 1])
-        hashed, doc = np.concatenate(found), np.concatenate(docs)
-        order = np.argsort(hashed, kind="stable")
-        hashed, doc = hashed[order], doc[order]
-        first = np.flatnonzero(np.r_[True, hashed[1:] != hashed[:-1]]) if len(hashed) else np.empty(0, np.int64)
-        if not len(first):
-            return hashed, np.empty(0, bool)
-        return hashed[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        _, _, hashed, doc = self.runs()
+        return distinct_anchors(hashed, doc)[:2]
+
+
+def distinct_anchors(hashed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, is it in several documents), ascending, and which of them each hash is."""
+    if not len(hashed):
+        return hashed, np.empty(0, bool), np.empty(0, np.int64)
+    order = np.argsort(hashed)
+    ranked, doc = hashed[order], doc[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return ranked[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), which
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    ranked = np.sort(values)
+    return ranked[np.r_[True, ranked[1:] != ranked[:-1]]] if len(ranked) else ranked
 
 
 def range_of(hashed: np.ndarray, count: int) -> np.ndarray:
@@ -262,7 +283,7 @@ def table(rows: list[tuple], names: str) -> pa.Table:
 def probe_arrays(rows: pa.Table, copies: pa.Table, count: int) -> pa.Table:
     """The low halves of a shard's anchors, by range of the hash."""
     shard = rows.column("shard")[0].as_py() if len(rows) else 0
-    hashed, _ = Shard(rows, copies).probes() if len(rows) else (np.empty(0, np.uint64), None)
+    hashed = distinct(Shard(rows, copies).runs()[2]) if len(rows) else np.empty(0, np.uint64)
     low = hashed.astype("<u4")
     return table([(shard, part, low[s].tobytes(), b"", b"") for part, s in by_range(hashed, count)], ROW)
 
@@ -270,12 +291,16 @@ def probe_arrays(rows: pa.Table, copies: pa.Table, count: int) -> pa.Table:
 def met_elsewhere(rows: pa.Table) -> pa.Table:
     """For each shard's array of anchors a bit: has another shard the same?"""
     arrays = [np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("body")]
-    merged = np.sort(np.concatenate([np.unique(x) for x in arrays]))
-    twice = np.unique(merged[1:][merged[1:] == merged[:-1]])
-    bits = []
-    for x in arrays:
-        place = np.minimum(np.searchsorted(twice, x), max(len(twice) - 1, 0))
-        bits.append(np.packbits(twice[place] == x if len(twice) else np.zeros(len(x), bool)).tobytes())
+    merged, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+    order = np.argsort(merged)
+    ranked, owner = merged[order], owner[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]]
+    first = np.flatnonzero(new)
+    several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+    met = np.empty(len(merged), bool)
+    met[order] = several[np.cumsum(new) - 1]
+    edges = np.cumsum([0, *map(len, arrays)])
+    bits = [np.packbits(met[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
     shards, parts = rows.column("shard").to_pylist(), rows.column("part").to_pylist()
     return table([(s, p, b, b"", b"") for s, p, b in zip(shards, parts, bits, strict=True)], ROW)
 
@@ -290,21 +315,12 @@ def answers(hashed: np.ndarray, bits: pa.Table, count: int) -> np.ndarray:
     return out
 
 
-def candidates(shard: Shard, bits: pa.Table, count: int) -> np.ndarray:
-    """For each byte of the shard the anchor of the string that starts there, 0 unless several documents have it."""
-    hashed, local = shard.probes()
-    common = hashed[local | answers(hashed, bits, count)]
-    starts = np.zeros(len(shard.data), np.uint64)
-    if len(common):
-        for data, offsets, place, _ in shard.blocks():
-            probe, _ = hashes(data)
-            tail = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-            probe[tail < PROBE] = np.uint64(2**64 - 1)
-            least = windowed(probe, LENGTH - PROBE + 1, np.minimum)
-            i = np.minimum(np.searchsorted(common, least), len(common) - 1)
-            hit = (common[i] == least) & (tail >= LENGTH)
-            starts[place[hit]] = least[hit]
-    return starts
+def candidates(shard: Shard, bits: pa.Table, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of the shard's strings (place of the first, number, anchor, doc) whose anchor several documents have."""
+    begin, size, hashed, doc = shard.runs()
+    distinct, local, which = distinct_anchors(hashed, doc)
+    hit = (local | answers(distinct, bits, count))[which]
+    return begin[hit], size[hit], hashed[hit], doc[hit]
 
 
 def contexts(data: np.ndarray, at: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,8 +358,8 @@ def string_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     for a in range(0, len(at), BLOCK_BYTES):
         part = at[a : a + BLOCK_BYTES]
         first, last = int(part[0]), int(part[-1]) + LENGTH
-        if last - first <= 4 * BLOCK_BYTES:
-            out[a : a + len(part)] = hashes(data[first:last])[1][part - first]
+        if last - first <= 4 * len(part):
+            out[a : a + len(part)] = hashes(data[first:last])[part - first]
         else:
             eight = lambda k: np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[part + k].astype(np.uint64)  # noqa: B023, E731
             sixteen = lambda k: mixed(mixed(eight(k)) * np.uint64(3) + mixed(eight(k + 8)))  # noqa: B023, E731
@@ -395,10 +411,10 @@ def done(number: int, doc_id: int, text: bytes, removed: np.ndarray | None) -> t
 
 
 def covered(size: int, starts: np.ndarray) -> np.ndarray:
-    """Bytes under the strings that start at the given positions."""
+    """Bytes under the strings that start at the given different positions."""
     cover = np.zeros(size + 1, np.int32)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + LENGTH, -1)
+    cover[starts] += 1
+    cover[starts + LENGTH] -= 1
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -410,16 +426,15 @@ def context_arrays(rows: pa.Table, bits: pa.Table, count: int) -> pa.Table:
     number = rows.column("shard")[0].as_py()
     copies = bits.filter(pa.compute.equal(bits.column("part"), -1))
     shard = Shard(rows, pa.table({"doc_id": copies.column("doc_id")}))
-    starts = candidates(shard, bits, count)
-    at = np.flatnonzero(starts)
-    doc = np.searchsorted(shard.offsets, at, side="right") - 1
-    first, context = contexts(shard.data, at, starts[at], doc)
-    anchor, context, small, _ = distinct_contexts(starts[at][first], context, doc[first])
+    begin, size, hashed, owner = candidates(shard, bits, count)
+    at, named, doc = ranges(begin, size), np.repeat(hashed, size), np.repeat(owner, size)
+    first, context = contexts(shard.data, at, named, doc)
+    anchor, context, small, _ = distinct_contexts(named[first], context, doc[first])
     ids, out = shard.all_ids, []
     for part, s in by_range(anchor, count):
         body = np.stack([anchor[s], context[s]]).astype("<u8").tobytes()
         out.append((0, number, part, body, ids[small[s]].astype("<i8").tobytes(), b"", None, None, None, None))
-    edges = np.searchsorted(at, shard.offsets)
+    edges = np.searchsorted(begin, shard.offsets)
     for k, doc_id in enumerate(ids.tolist()):
         text = shard.data[shard.offsets[k] : shard.offsets[k + 1]].tobytes()
         a, b = edges[k], edges[k + 1]
@@ -428,11 +443,10 @@ def context_arrays(rows: pa.Table, bits: pa.Table, count: int) -> pa.Table:
         elif shard.is_copy[k] or a == b:
             out.append(done(number, doc_id, text, None))
         else:
-            here = starts[at[a:b]]
-            # Anchors by run of equal ones: each is written once.
-            turn = np.flatnonzero(np.r_[True, (np.diff(at[a:b]) != 1) | (here[1:] != here[:-1])])
-            begin, end = at[a:b][turn] - shard.offsets[k], at[a:b][np.r_[turn[1:], b - a] - 1] + 1 - shard.offsets[k]
-            out.append((1, number, doc_id, text, np.stack([begin, end]).astype("<i8").tobytes(), here[turn].astype("<u8").tobytes(), None, None, None, None))
+            # Anchors by run of strings: each is written once.
+            start = begin[a:b] - shard.offsets[k]
+            runs = np.stack([start, start + size[a:b]]).astype("<i8").tobytes()
+            out.append((1, number, doc_id, text, runs, hashed[a:b].astype("<u8").tobytes(), None, None, None, None))
     return table(out, STAGED)
 
 
