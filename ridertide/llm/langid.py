@@ -2,7 +2,8 @@
 
 Characters are folded to lower case and everything but letters becomes one separator. Counts of hashed n-grams by
 language are summed over all training texts; the matrix of log-probabilities is broadcast (languages times buckets,
-checked against MOST_CELLS) and each batch of texts is scored at once: gather the rows of its n-grams, sum by text.
+checked against MOST_CELLS) and texts are scored about PART_BYTES at a time: gather the rows of their n-grams, sum by
+text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ridertide.llm.arrays import flat, ranges
+from ridertide.llm.arrays import flat, give_back, ranges
 from ridertide.llm.tables import arrow_batches, stage
 
 UNKNOWN = "und"
@@ -26,6 +27,8 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.5
 #: Cells of the broadcast matrix (4 bytes each); more languages than fit are an error, not a cut.
 MOST_CELLS = 1 << 25
+#: Bytes of text that are worked on at once; arrays take about 40 bytes for each.
+PART_BYTES = 1 << 20
 
 
 @dataclass
@@ -46,6 +49,15 @@ def folding() -> np.ndarray:
     return table
 
 
+def parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of whole texts of PART_BYTES at most, of one text at least."""
+    offsets, start = flat(texts)[1], 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + PART_BYTES, "right")) - 1)
+        yield start, stop
+        start = stop
+
+
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(folded characters, offsets by text): letters in lower case, a single 0 for whatever is between words.
 
@@ -109,18 +121,20 @@ def fit(training: DataFrame, label: str = "lang", buckets: int = BUCKETS, smooth
         for batch in batches:
             coded = batch.column("label").dictionary_encode()
             codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            chars, offsets = letters(batch.column("text"))
             counts = np.zeros((len(names), buckets + 1), np.int64)
             counts[:, buckets] = np.bincount(codes, minlength=len(names))
-            for order in ORDERS:
-                gram, each = grams(chars, offsets, order, buckets)
-                cell = gram + np.repeat(codes.astype(np.int64) * (buckets + 1), each)
-                counts += np.bincount(cell, minlength=counts.size).reshape(counts.shape)
+            for a, b in parts(batch.column("text")):
+                chars, offsets = letters(batch.column("text").slice(a, b - a))
+                for order in ORDERS:
+                    gram, each = grams(chars, offsets, order, buckets)
+                    cell = gram + np.repeat(codes[a:b].astype(np.int64) * (buckets + 1), each)
+                    counts += np.bincount(cell, minlength=counts.size).reshape(counts.shape)
             for name, row in zip(names, counts, strict=True):
                 sums[name] = sums[name] + row if name in sums else row
         for name, row in sums.items():
             cell = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(cell), pa.string()), pa.array(cell), pa.array(row[cell])], ["label", "cell", "n"])
+        give_back()
 
     rows = training.select(F.col(label).cast("string").alias("label"), "text").where("label is not null and text is not null")
     # Written once: the number of languages is checked before the counts come to the driver.
@@ -142,6 +156,12 @@ def scored(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]
     """(language, posterior probability) of each text; UNKNOWN and 0 without a letter or a model."""
     if model is None:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    found = [scored_part(texts.slice(a, b - a), model) for a, b in parts(texts)]
+    return [name for names, _ in found for name in names], np.concatenate([np.zeros(0), *(score for _, score in found)])
+
+
+def scored_part(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
+    """The same for texts that are worked on at once."""
     chars, offsets = letters(texts)
     total = np.tile(model.prior[:, None], len(texts))
     seen = np.zeros(len(texts), np.int64)
@@ -170,6 +190,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             names, score = scored(batch.column("text"), shared.value)
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
+        give_back()
 
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))

@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridertide.llm.arrays import flat, mixed, ranges, span_hashes, words
+from ridertide.llm.arrays import flat, give_back, mixed, ranges, span_hashes, words
 from ridertide.llm.components import components
 from ridertide.llm.tables import arrow_batches, discard, release, stage
 
@@ -130,6 +130,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
             columns = [batch.column("doc_id"), batch.column("digest"), pa.array(each), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n_shingles", "bands"])
+        give_back()
 
     texts = docs.select("doc_id", digest_of("text").alias("digest"), "text")
     found = texts.mapInArrow(run, "doc_id long, digest binary, n_shingles long, bands array<long>")
@@ -145,6 +146,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             offsets = np.r_[0, np.cumsum(each) * 8]
             blob = pa.Array.from_buffers(pa.large_binary(), len(each), [None, pa.py_buffer(offsets), pa.py_buffer(hashed)])
             yield pa.RecordBatch.from_arrays([batch.column("row"), blob.cast(pa.binary())], ["row", "elements"])
+        give_back()
 
     return docs.select("row", "text").mapInArrow(run, "row long, elements binary")
 
@@ -163,6 +165,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 met = int((both[1:] == both[:-1]).sum())
                 keep.append(met >= similarity * (len(both) - met))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ridertide.llm.arrays import ranges
+from ridertide.llm.arrays import give_back, ranges
 from ridertide.llm.tables import arrow_batches
 from ridertide.llm.tokens import pieces
 
@@ -133,6 +133,8 @@ def pack(batches: Iterator[pa.RecordBatch], capacity: int, piece: int, group: in
             held = [waiting[:, stop:]]
     if held and (waiting := np.hstack(held)).shape[1]:
         yield table(divided(waiting, sequence)[0])
+    encoder.forget()
+    give_back()
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, piece: int | None = None, group: int = GROUP) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public tokenizer file, with the ids of recurring pieces kept per worker.
+"""Token ids of whole texts by a public tokenizer file, with the ids of recurring pieces kept until the caller forgets them.
 
 Texts are cut only where the tokenizer itself always cuts: before a single space between two characters that are not
 white space, and between a letter and ASCII punctuation. The ids of a text are then those of its pieces in a row, and

@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -117,3 +119,27 @@ def test_query_against_brute_force(spark, odd):
         want = 1 / sum(math.exp(min(logs[k] - logs[best], 0)) for k in names)
         assert name == best or abs(logs[name] - logs[best]) < 1e-2
         assert abs(score - want) < 1e-2
+
+
+def test_memory_does_not_grow_with_the_batch():
+    """Texts of a batch are worked on a part at a time; the parts' results are those of the texts one by one."""
+    texts = [f"{ENGLISH} {i} {GERMAN} " * 40 for i in range(800)] + ["", None, "1 2"]
+    batch = pa.array(texts, pa.string())
+    model = langid.Model(["a", "b"], np.log([0.4, 0.6]), np.random.default_rng(1).normal(size=(2, langid.BUCKETS)).astype(np.float32))
+    langid.folding()
+    tracemalloc.start()
+    names, score = langid.scored(batch, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 4 << 20 and peak < 14 * batch.nbytes
+    alone = [langid.scored(pa.array([t], pa.string()), model) for t in texts[:3] + texts[-3:]]
+    assert [n for ns, _ in alone for n in ns] == names[:3] + names[-3:]
+    assert np.concatenate([s for _, s in alone]).tolist() == [*score[:3], *score[-3:]]
+
+
+def test_parts_are_all_texts_in_order(monkeypatch):
+    monkeypatch.setattr(langid, "PART_BYTES", 10)
+    texts = pa.array(["", "", "abc", "x" * 25, None, "defgh", "ij", "", "y" * 10, ""], pa.string())
+    assert list(langid.parts(texts)) == [(0, 3), (3, 4), (4, 8), (8, 10)]
+    assert list(langid.parts(texts.slice(5))) == [(0, 3), (3, 5)]
+    assert list(langid.parts(texts.slice(0, 0))) == []

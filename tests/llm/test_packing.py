@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,3 +71,10 @@ def test_differencing_balances():
 
 def test_empty(empty):
     assert packing.packed(empty).count() == 0
+
+
+def test_a_task_leaves_no_pieces_in_its_worker():
+    texts = [f"word{i} and others{i % 7}" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    rows = pa.Table.from_batches(packing.pack(iter([batch, batch]), 64, 16, 100))
+    assert rows.num_rows >= 600 and not packing.pieces(packing.FILE).known
