@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridertide.llm.arrays import flat, mixed, span_hashes, words
+from ridertide.llm.arrays import flat, give_back, mixed, span_hashes, words
 from ridertide.llm.tables import arrow_batches, release, stage, text_bytes
 
 DISCOUNT = 0.75
@@ -185,7 +185,7 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Block]:
             block = whole()
             parts, size = [], 0
             yield block
-            del block
+            del block, found, each
     if parts:
         yield whole()
 
@@ -196,30 +196,38 @@ def questions(rows: DataFrame, layout: Layout, ask: Callable[[Block], tuple]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, layout.settings.block_tokens):
-            key, weight, shard = ask(block)
-            if not len(key):
-                continue
-            number, one = groups(key)
-            keys = key[one]
-            counts = np.bincount(number, weight, minlength=len(keys)).astype(np.uint32)
-            _, pair = groups(number * layout.all + shard)
-            wanted, of = shard[pair], number[pair]  # by key, then by shard
-            home = layout.plain(keys)
-            order = np.argsort(home, kind="stable")
-            bounds = np.searchsorted(home[order], np.arange(layout.shards + 1))
-            width = np.bincount(of, minlength=len(keys))
-            begin = np.cumsum(width) - width
-            out: list[tuple] = []
-            for h in np.flatnonzero(np.diff(bounds)):
-                mine = order[bounds[h] : bounds[h + 1]]  # keys in order
-                places = np.repeat(begin[mine] - np.cumsum(width[mine]) + width[mine], width[mine]) + np.arange(width[mine].sum())
-                out.append((int(h), packed(keys[mine]), packed(counts[mine]), packed(width[mine].astype(np.uint32)), packed(wanted[places].astype(np.uint32))))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["home", "keys", "counts", "widths", "shards"])
+            batch = asked_by(layout, *ask(block))
+            # The next block is made while this would still be held.
+            del block
+            give_back()
+            yield from batch
 
     return rows.mapInArrow(run, "home int, keys binary, counts binary, widths binary, shards binary")
 
 
+def asked_by(layout: Layout, key: np.ndarray, weight: np.ndarray, shard: np.ndarray) -> list[pa.RecordBatch]:
+    """The rows of one block; none without a key."""
+    if not len(key):
+        return []
+    number, one = groups(key)
+    keys = key[one]
+    counts = np.bincount(number, weight, minlength=len(keys)).astype(np.uint32)
+    _, pair = groups(number * layout.all + shard)
+    wanted, of = shard[pair], number[pair]  # by key, then by shard
+    home = layout.plain(keys)
+    order = np.argsort(home, kind="stable")
+    bounds = np.searchsorted(home[order], np.arange(layout.shards + 1))
+    width = np.bincount(of, minlength=len(keys))
+    begin = np.cumsum(width) - width
+    out: list[tuple] = []
+    for h in np.flatnonzero(np.diff(bounds)):
+        mine = order[bounds[h] : bounds[h + 1]]  # keys in order
+        places = np.repeat(begin[mine] - np.cumsum(width[mine]) + width[mine], width[mine]) + np.arange(width[mine].sum())
+        out.append((int(h), packed(keys[mine]), packed(counts[mine]), packed(width[mine].astype(np.uint32)), packed(wanted[places].astype(np.uint32))))
+    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)]
+    return [pa.RecordBatch.from_arrays(columns, ["home", "keys", "counts", "widths", "shards"])]
+
+
 ANSWER = "shard int, kind int, keys binary, counts binary, total long, distinct long"
 
 
@@ -228,7 +236,7 @@ def answers(asked: DataFrame, layout: Layout, kind: int) -> DataFrame:
     shard to ask for have kind 2). Beside them, with a negative shard: -1 the sum of all counts and the number of keys counted, -2 frequent keys, -3 the different followers of
     each hot word (total: its index)."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def told_to(table: pa.Table) -> pa.Table:
         keys, counts, widths, shards = ([unpacked(b.as_py(), t) for b in table.column(c)] for c, t in (("keys", np.uint64), ("counts", np.uint32), ("widths", np.uint32), ("shards", np.uint32)))
         number, one = groups(np.concatenate(keys))
         every = np.concatenate(keys)[one]
@@ -258,6 +266,11 @@ def answers(asked: DataFrame, layout: Layout, kind: int) -> DataFrame:
         types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*out, strict=True), types, strict=True)})
 
+    def run(table: pa.Table) -> pa.Table:
+        out = told_to(table)
+        give_back()
+        return out
+
     return asked.groupBy("home").applyInArrow(run, ANSWER)
 
 
@@ -318,6 +331,7 @@ def dealt_places(rows: DataFrame, layout: Layout, wave: int, waves: int) -> Data
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "keys", "word", "last", "before", "slot", "slots", "docs", "learn"])
             # The next block is made while these would still be held.
             del block, number, one, every, first, last, before, shard, home, mine
+            give_back()
 
     lists = ", ".join(f"{c} array<binary>" for c in ("word", "last", "before", "slot"))
     schema = f"shard int, block long, keys binary, {lists}, slots binary, docs array<{key_type}>, learn binary"
@@ -536,6 +550,7 @@ def scored(docs: DataFrame, key: str = "doc_id", settings: Settings | None = Non
             if not places.num_rows:
                 return like.empty_table()
             out = scored_shard(places.column("shard")[0].as_py(), layout, different, retained, n, v, places, known)
+            give_back()
             return pa.table({c: pa.array([r[c] for r in out], like.field(c).type) if c != "docs" else places.column("docs") for c in like.names}, like)
 
         places = dealt_places(rows, layout, wave, waves).groupBy("shard")
@@ -547,7 +562,9 @@ def scored(docs: DataFrame, key: str = "doc_id", settings: Settings | None = Non
     names = [key, "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def summed(table: pa.Table) -> pa.Table:
-        return summed_block(table, names, table.schema.field("docs").type.value_type)
+        out = summed_block(table, names, table.schema.field("docs").type.value_type)
+        give_back()
+        return out
 
     out = parts.groupBy("block").applyInArrow(summed, f"`{key}` {key_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(n).cast("long")).select(key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

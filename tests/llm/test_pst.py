@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,3 +163,28 @@ def test_tokens_of_texts():
     assert each.tolist() == [4, 1, 1, 3]
     assert found[1] == found[2] and found[0] != found[1] and found[3] == found[4] == found[5] == pst.STOP
     assert found[6] != found[7]  # only A to Z is lowered
+
+
+def test_questions_hold_no_earlier_block():
+    """When the texts of the next block are asked for, nothing of the last one is held but what is sent."""
+
+    class Rows:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    layout = pst.Layout(2, pst.Settings(block_tokens=20_000))
+    held = []
+
+    def batches():
+        for i in range(3):
+            held.append(tracemalloc.get_traced_memory()[0])
+            texts = [" ".join(f"w{(i * j * k) % 50}" for k in range(500)) for j in range(60)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(60)), pa.array([True] * 60)], ["text", "key", "learn"])
+
+    run = pst.questions(Rows(), layout, lambda b: pst.counted_words(b, layout))
+    list(run(batches()))  # what is imported at the first use is no part of it
+    tracemalloc.start()
+    rows = [r.num_rows for r in run(batches())]
+    tracemalloc.stop()
+    assert rows == [2, 2, 2]
+    assert held[-1] - held[-3] < 8 * 30_000  # less than one number for each token of a block
