@@ -17,7 +17,8 @@ dealt by the word before it; what all of them must know, the counts of its follo
 same kind, and the test of the word as a context is a sum over its shards, each follower in one of them. Scores of places are summed by text in each shard, and by text
 over the shards. Blocks go in waves, each for a part of the shards, to halve the disk they need at once. A shard is as
 large as a task can hold compressed, so that a block's list of words is small beside its places and a text has few sums;
-its places lie in drawers, by context again, and only one drawer is opened at a time.
+its places lie in drawers, by context again, and only one drawer is opened at a time. Places and answers of a shard come
+in one stream, and a batch is let go once it is read, so that a task never holds two shards.
 
 Words are told apart by 64-bit hashes.
 """
@@ -38,11 +39,14 @@ from ridertide.llm.tables import arrow_batches, release, stage, text_bytes
 DISCOUNT = 0.75
 #: About as many bytes of text as a token has.
 TOKEN_BYTES = 8
-#: Places of a shard that are worked on at once.
-PORTION = 500_000
+#: Places of a shard that are worked on at once, and bytes of text.
+PORTION, SLICE = 250_000, 1 << 20
 #: What stands for the end of a text, its beginning, and what is before that.
 STOP, BEGIN, NONE = np.uint64(1), np.uint64(2), np.uint64(3)
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Columns of places by drawer, and of what a shard sends back.
+SPLIT = ("word", "last", "before", "slot")
+SUMS = ("block", "slots", "docs", "learn", "score", "base", "known", "size")
 
 
 @dataclass
@@ -87,20 +91,25 @@ class Layout:
     def plain(self, keys: np.ndarray) -> np.ndarray:
         return (mixed(keys ^ ODD) % np.uint64(self.shards)).astype(np.int64)
 
-    def of(self, last: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The shard of each place. At the beginning of a text nothing is before, so the word itself deals."""
-        out = self.plain(last)
-        at, is_hot = self.place(last)
+    def of(self, every: np.ndarray, last: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The shard of each place, whose words are numbers in `every`. At the beginning of a text nothing is before, so
+        the word itself deals."""
+        out = self.plain(every).astype(np.int32)[last]
+        at, is_hot = self.place(every)
         if is_hot.any():
-            at = at[is_hot]
-            dealer = np.where(last[is_hot] == BEGIN, word[is_hot], before[is_hot])
-            out[is_hot] = self.first[at] + (mixed(dealer) % self.parts[at].astype(np.uint64)).astype(np.int64)
+            mine = np.flatnonzero(is_hot[last])
+            at = at[last[mine]]
+            dealer = np.where(every[last[mine]] == BEGIN, word[mine], before[mine])
+            out[mine] = self.first[at] + (mixed(every)[dealer] % self.parts[at].astype(np.uint64)).astype(np.int64)
         return out
 
-    def drawer(self, last: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def drawer(self, every: np.ndarray, last: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The drawer of each place in its shard: by what follows together, as shards are dealt."""
-        dealer = np.where(self.place(last)[1], np.where(last == BEGIN, word, before), last)
-        return (mixed(mixed(dealer) + ODD) % np.uint64(self.settings.drawers)).astype(np.int64)
+        drawer = (mixed(mixed(every) + ODD) % np.uint64(self.settings.drawers)).astype(np.int32)
+        out = drawer[last]
+        mine = np.flatnonzero(self.place(every)[1][last])
+        out[mine] = drawer[np.where(every[last[mine]] == BEGIN, word[mine], before[mine])]
+        return out
 
     def hot_of(self, shards: np.ndarray) -> np.ndarray:
         """The index of the hot word of shards that belong to one."""
@@ -122,19 +131,49 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each key among the distinct ones in order, index of one occurrence of each distinct key)."""
     order = np.argsort(keys)
-    ranked = keys[order]
     new = np.ones(len(keys), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(new) - 1
+    ranked = keys[order]
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    del ranked
+    rank = np.cumsum(new, dtype=np.int32 if len(keys) < 1 << 31 else np.int64)
+    rank -= 1
+    number = np.empty_like(rank)
+    number[order] = rank
     return number, order[new]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order. The array given is sorted in place."""
+    values.sort()
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
+def joint(a: np.ndarray, b: np.ndarray, below: int) -> np.ndarray:
+    """A number for each pair of a and b, which is under `below`."""
+    out = a.astype(np.int64)
+    out *= below
+    out += b
+    return out
+
+
 def followers(last: np.ndarray, word: np.ndarray) -> np.ndarray:
     """A key for each pair of a word and its follower."""
     return mixed(mixed(last) * np.uint64(3) + word)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of words, about SLICE bytes at a time: a hash takes tens of bytes for each byte of a word."""
+    out = np.empty(len(starts), np.uint64)
+    edges = [0]
+    while edges[-1] < len(starts):
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(starts, starts[edges[-1]] + SLICE))))
+        a, b = edges[-2:]
+        out[a:b] = span_hashes(data, starts[a:b], ends[a:b])
+    return np.maximum(out, NONE + np.uint64(1))
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words in lower case, each text's followed by STOP; tokens by text)."""
     data, offsets = flat(texts)
@@ -142,14 +181,16 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, each = words(data, offsets)
     out = np.full(len(starts) + len(each), STOP)
     slot = np.repeat(np.arange(len(each)), each)
-    out[np.arange(len(starts)) + slot] = np.maximum(span_hashes(data, starts, ends), NONE + np.uint64(1))
+    out[np.arange(len(starts)) + slot] = word_hashes(data, starts, ends)
     return out, each + 1
 
 
 @dataclass
 class Block:
-    """Texts one after another: for each token its word, the two before it and its text."""
+    """Texts one after another: for each token its word, the two before it and its text. Words are numbers in `every`,
+    whose last two are BEGIN and NONE."""
 
+    every: np.ndarray
     word: np.ndarray
     last: np.ndarray
     before: np.ndarray
@@ -164,16 +205,21 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Block]:
     size = 0
 
     def whole() -> Block:
-        word, each = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        each, learn = np.concatenate([p[1] for p in parts]), np.concatenate([p[3] for p in parts])
+        keys = pa.concat_arrays([p[2] for p in parts])
+        hashes = np.concatenate([p[0] for p in parts])
+        parts.clear()
+        word, one = groups(hashes)
+        every = np.concatenate([hashes[one], [BEGIN, NONE]])
+        del hashes
         first = np.cumsum(each) - each
         last = np.empty_like(word)
         last[1:] = word[:-1]
-        last[first] = BEGIN
+        last[first] = len(one)
         before = np.empty_like(word)
         before[1:] = last[:-1]
-        before[first] = NONE
-        keys = pa.concat_arrays([p[2] for p in parts])
-        return Block(word, last, before, np.repeat(np.arange(len(each)), each), keys, np.concatenate([p[3] for p in parts]))
+        before[first] = len(one) + 1
+        return Block(every, word, last, before, np.repeat(np.arange(len(each), dtype=np.int32), each), keys, learn)
 
     for batch in batches:
         if batch.num_rows == 0:
@@ -182,10 +228,12 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Block]:
         parts.append((found, each, batch.column(1), np.asarray(batch.column(2)).astype(bool)))
         size += len(found)
         if size >= most:
+            del found, each
             block = whole()
-            parts, size = [], 0
+            size = 0
+            give_back()
             yield block
-            del block, found, each
+            del block
     if parts:
         yield whole()
 
@@ -205,15 +253,12 @@ def questions(rows: DataFrame, layout: Layout, ask: Callable[[Block], tuple]) ->
     return rows.mapInArrow(run, "home int, keys binary, counts binary, widths binary, shards binary")
 
 
-def asked_by(layout: Layout, key: np.ndarray, weight: np.ndarray, shard: np.ndarray) -> list[pa.RecordBatch]:
-    """The rows of one block; none without a key."""
-    if not len(key):
+def asked_by(layout: Layout, keys: np.ndarray, number: np.ndarray, learn: np.ndarray, shard: np.ndarray) -> list[pa.RecordBatch]:
+    """The rows of one block; none without a key. keys: the distinct ones, number: which of them each place has."""
+    if not len(keys):
         return []
-    number, one = groups(key)
-    keys = key[one]
-    counts = np.bincount(number, weight, minlength=len(keys)).astype(np.uint32)
-    _, pair = groups(number * layout.all + shard)
-    wanted, of = shard[pair], number[pair]  # by key, then by shard
+    counts = np.bincount(number[learn], minlength=len(keys)).astype(np.uint32)
+    of, wanted = np.divmod(distinct(joint(number, shard, layout.all)), layout.all)  # by key, then by shard
     home = layout.plain(keys)
     order = np.argsort(home, kind="stable")
     bounds = np.searchsorted(home[order], np.arange(layout.shards + 1))
@@ -238,12 +283,15 @@ def answers(asked: DataFrame, layout: Layout, kind: int) -> DataFrame:
 
     def told_to(table: pa.Table) -> pa.Table:
         keys, counts, widths, shards = ([unpacked(b.as_py(), t) for b in table.column(c)] for c, t in (("keys", np.uint64), ("counts", np.uint32), ("widths", np.uint32), ("shards", np.uint32)))
-        number, one = groups(np.concatenate(keys))
-        every = np.concatenate(keys)[one]
+        joined = np.concatenate(keys)
+        number, one = groups(joined)
+        every = joined[one]
+        del keys, joined, one
         total = np.bincount(number, np.concatenate(counts)).astype(np.int64)
-        of, shard = np.repeat(number, np.concatenate(widths)), np.concatenate(shards).astype(np.int64)
-        _, pair = groups(shard * len(every) + of)
-        shard, of = shard[pair], of[pair]
+        del counts
+        of, shard = np.repeat(number, np.concatenate(widths)), np.concatenate(shards)
+        del number, widths, shards
+        shard, of = np.divmod(distinct(joint(shard, of, len(every))), len(every))
         kinds = np.full(len(of), kind)
         if kind == 1:
             kinds[np.unique(of, return_index=True)[1]] = 2
@@ -276,18 +324,19 @@ def answers(asked: DataFrame, layout: Layout, kind: int) -> DataFrame:
 
 def counted_words(block: Block, layout: Layout) -> tuple:
     """All words, and once for each text its beginning, which no shard asks for by itself."""
-    shard = layout.of(block.last, block.before, block.word)
-    learn = block.learn[block.slot]
+    shard = layout.of(block.every, block.last, block.before, block.word)
     texts = len(block.learn)
-    begin = np.full(texts, BEGIN)
-    return np.concatenate([block.word, begin]), np.concatenate([learn, block.learn]), np.concatenate([shard, np.zeros(texts, np.int64)])
+    begin = np.full(texts, len(block.every) - 2, block.word.dtype)
+    return block.every[:-1], np.concatenate([block.word, begin]), np.concatenate([block.learn[block.slot], block.learn]), np.concatenate([shard, np.zeros(texts, shard.dtype)])
 
 
 def counted_followers(block: Block, layout: Layout) -> tuple:
     """The followers of hot words."""
-    mine = np.flatnonzero(layout.place(block.last)[1])
+    mine = np.flatnonzero(layout.place(block.every)[1][block.last])
     last, word = block.last[mine], block.word[mine]
-    return followers(last, word), block.learn[block.slot[mine]], layout.of(last, block.before[mine], word)
+    pairs = followers(block.every[last], block.every[word])
+    number, one = groups(pairs)
+    return pairs[one], number, block.learn[block.slot[mine]], layout.of(block.every, last, block.before[mine], word)
 
 
 def dealt_places(rows: DataFrame, layout: Layout, wave: int, waves: int) -> DataFrame:
@@ -299,24 +348,16 @@ def dealt_places(rows: DataFrame, layout: Layout, wave: int, waves: int) -> Data
 
         part = TaskContext.get().partitionId() << 32
         for n, block in enumerate(blocks(batches, layout.settings.block_tokens)):
-            number, one = groups(block.word)
-            every = np.concatenate([block.word[one], [BEGIN, NONE]])
-            first = block.last == BEGIN
-            number = number.astype(np.int32)
-            last, before = np.empty_like(number), np.empty_like(number)
-            last[1:] = number[:-1]
-            last[first] = len(one)
-            before[1:] = last[:-1]
-            before[first] = len(one) + 1
-            shard = layout.of(block.last, block.before, block.word)
+            every = block.every
+            shard = layout.of(every, block.last, block.before, block.word)
             drawers = layout.settings.drawers
-            home = shard * drawers + layout.drawer(block.last, block.before, block.word)
+            home = shard * drawers + layout.drawer(every, block.last, block.before, block.word)
             mine = np.flatnonzero(shard % waves == wave)
             mine = mine[np.argsort(home[mine], kind="stable")]
             first_of = np.searchsorted(shard[mine], np.arange(layout.all + 1))
             for s in np.flatnonzero(np.diff(first_of)):
                 at = mine[first_of[s] : first_of[s + 1]]
-                ids = np.concatenate([number[at], last[at], before[at]])
+                ids = np.concatenate([block.word[at], block.last[at], block.before[at]])
                 used = np.zeros(len(every), bool)
                 used[ids] = True
                 new = (np.cumsum(used) - 1).astype(np.uint32)
@@ -330,21 +371,22 @@ def dealt_places(rows: DataFrame, layout: Layout, wave: int, waves: int) -> Data
                 columns.append(pa.array([block.learn[slots].astype(np.uint8).tobytes()], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "keys", "word", "last", "before", "slot", "slots", "docs", "learn"])
             # The next block is made while these would still be held.
-            del block, number, one, every, first, last, before, shard, home, mine
+            del block, every, shard, home, mine
             give_back()
 
-    lists = ", ".join(f"{c} array<binary>" for c in ("word", "last", "before", "slot"))
+    lists = ", ".join(f"{c} array<binary>" for c in SPLIT)
     schema = f"shard int, block long, keys binary, {lists}, slots binary, docs array<{key_type}>, learn binary"
     return rows.mapInArrow(run, schema)
 
 
-def told(known: pa.Table, *kinds: int) -> tuple[np.ndarray, np.ndarray]:
+def told(known: list[dict], *kinds: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, counts) that the answers of these kinds hold, by key."""
-    rows = [r for r in known.to_pylist() if r["kind"] in kinds]
+    rows = [r for r in known if r["kind"] in kinds]
     keys = np.concatenate([np.empty(0, np.uint64), *(unpacked(r["keys"], np.uint64) for r in rows)])
-    counts = np.concatenate([np.empty(0, np.int64), *(unpacked(r["counts"], np.uint32 if r["distinct"] == 4 else np.uint64).astype(np.int64) for r in rows)])
     order = np.argsort(keys)
-    return keys[order], counts[order]
+    keys = keys[order]
+    counts = np.concatenate([np.empty(0, np.int64), *(unpacked(r["counts"], np.uint32 if r["distinct"] == 4 else np.uint64).astype(np.int64) for r in rows)])
+    return keys, counts[order]
 
 
 def looked_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -364,8 +406,9 @@ def apart_from_root(layout: Layout, different: np.ndarray, n: int, v: int, known
     """(index of the hot word, sum of p, sum of p log(p / root)) over the followers that one of its shards is the first
     to have."""
     hot = int(layout.hot_of(np.array([known.column("shard")[0].as_py()]))[0])
-    words_, counts = told(known, 0)
-    count = looked_up(followers(layout.hot[hot : hot + 1], words_), *told(known, 2))
+    rows = known.to_pylist()
+    words_, counts = told(rows, 0)
+    count = looked_up(followers(layout.hot[hot : hot + 1], words_), *told(rows, 2))
     seen = count > 0
     over = at_root(counts[seen], n, v)
     p = np.maximum(count[seen] - DISCOUNT, 0) / layout.count[hot] + DISCOUNT * different[hot] / layout.count[hot] * over
@@ -376,10 +419,10 @@ def level(context: np.ndarray, word: np.ndarray, learn: np.ndarray, parent: np.n
     """(probability, whether its context is retained) of each place, given the parents' probabilities. whole: (count of
     the context, different followers, is it retained, count of each place's pair) where other shards have places of the
     context."""
-    number, one = groups(context * words_ + word)
+    number, one = groups(joint(context, word, words_))
     of, over = context[one], parent[one]
     if whole is None:
-        count = np.bincount(number, learn, minlength=len(one))
+        count = np.bincount(number[learn > 0], minlength=len(one))
         n = np.bincount(of, count)
         t = np.bincount(of, count > 0, minlength=len(n))
     else:
@@ -401,15 +444,19 @@ def level(context: np.ndarray, word: np.ndarray, learn: np.ndarray, parent: np.n
 def probabilities(word, last, before, learn, root: np.ndarray, words_: int, nothing: int, threshold: float, whole: tuple | None = None) -> np.ndarray:
     """The tree's probability of each place of a shard; numbers of words are below words_, `nothing` stands for NONE."""
     out = root.copy()
-    p, retained = level(last.astype(np.int64), word, learn, root, words_, threshold, whole)
+    p, retained = level(groups(last)[0], word, learn, root, words_, threshold, whole)
     out[retained] = p[retained]
-    deep = np.flatnonzero(before != nothing)
-    if len(deep):
-        context, _ = groups(last[deep].astype(np.int64) * words_ + before[deep])
-        learned = np.bincount(context, learn[deep])[context] > 0
+    del p, retained
+    every = np.flatnonzero(before != nothing)
+    # A word that fills more than a portion has many contexts, which don't meet either.
+    for part in portions(joint(last[every], before[every], words_)):
+        deep = every[part]
+        context, _ = groups(joint(last[deep], before[deep], words_))
+        learned = np.bincount(context[learn[deep] > 0], minlength=int(context.max()) + 1)[context] > 0
         deep, context = deep[learned], context[learned]
-        p, retained = level(context, word[deep], learn[deep], out[deep], words_, threshold)
-        out[deep[retained]] = p[retained]
+        if len(deep):
+            p, retained = level(context, word[deep], learn[deep], out[deep], words_, threshold)
+            out[deep[retained]] = p[retained]
     return out
 
 
@@ -424,49 +471,65 @@ def portions(keys: np.ndarray) -> Iterator[np.ndarray]:
         start = stop
 
 
-def scored_shard(shard: int, layout: Layout, different: np.ndarray, retained: np.ndarray, n: int, v: int, places: pa.Table, known: pa.Table) -> list[dict]:
-    """Sums by text of a shard's places, a row for each block."""
-    lookups = told(known, 0), told(known, 1, 2)
-    column = lambda c, t: [unpacked(x.as_py(), t) for x in places.column(c)]
-    dictionaries = column("keys", np.uint64)
-    at = 1 + np.cumsum([0, *map(len, dictionaries)])
-    keys = np.concatenate([np.array([NONE]), *dictionaries])
-    del dictionaries
-    number, one = groups(keys)
-    every, nothing, number = keys[one], int(number[0]), number.astype(np.int32)
-    del keys, one
-    slots = column("slots", np.uint32)
-    base_of = np.cumsum([0, *map(len, slots)])
-    learned = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in places.column("learn")])
+def received(batches: Iterator[pa.RecordBatch]) -> tuple[list[dict], list[dict]]:
+    """(rows of places, answers) of a shard, which come mixed; nothing else of the batches is held."""
+    places, known = [], []
+    for batch in batches:
+        for i, row in enumerate(batch.drop_columns(["docs"]).to_pylist()):
+            if row["block"] is None:
+                known.append(row)
+            else:
+                places.append(row | {"docs": batch.column("docs").take(pa.array([i]))})
+    return places, known
 
-    count = looked_up(every, *lookups[0])
-    root_of = at_root(count, n, v)
+
+def scored_shard(layout: Layout, different: np.ndarray, retained: np.ndarray, n: int, v: int, places: list[dict], known: list[dict]) -> list[dict]:
+    """Sums by text of a shard's places, a row for each block. What is read is taken out of the rows."""
+    shard = places[0]["shard"]
     hot = int(layout.hot_of(np.array([shard]))[0]) if shard >= layout.shards else None
+    dictionaries = [unpacked(r.pop("keys"), np.uint64) for r in places]
+    at = np.cumsum([0, *map(len, dictionaries)])
+    every = distinct(np.concatenate([np.array([NONE]), *dictionaries]))
+    number, nothing = np.empty(int(at[-1]), np.int32), int(np.searchsorted(every, NONE))
+    for i, a in enumerate(at[:-1]):
+        number[a : at[i + 1]] = np.searchsorted(every, dictionaries[i])
+    del dictionaries
+    count = looked_up(every, *told(known, 0))
+    pairs = None if hot is None else told(known, 1, 2)
+    known.clear()
+    root_of = at_root(count, n, v)
+    slots = [unpacked(r["slots"], np.uint32) for r in places]
+    base_of = np.cumsum([0, *map(len, slots)])
+    learned = np.concatenate([np.frombuffer(r["learn"], np.uint8) for r in places]) > 0
     texts = int(base_of[-1])
     score, base, found, size = np.zeros(texts), np.zeros(texts), np.zeros(texts, np.int64), np.zeros(texts, np.int64)
 
-    def drawer(c: str, d: int) -> list[np.ndarray]:
-        return [unpacked(x.values[d].as_py(), np.uint32) for x in places.column(c)]
+    def drawer(c: str, d: int, made: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+        out = []
+        for i, r in enumerate(places):
+            out.append(made(i, unpacked(r[c][d], np.uint32)))
+            r[c][d] = None
+        return np.concatenate(out)
 
     for d in range(layout.settings.drawers):
-        word, last, before = (np.concatenate([number[a:][ids] for a, ids in zip(at[:-1], drawer(c, d), strict=True)]) for c in ("word", "last", "before"))
-        text = np.concatenate([slot + np.uint32(a) for a, slot in zip(base_of[:-1], drawer("slot", d), strict=True)])
+        word, last, before = (drawer(c, d, lambda i, ids: number[at[i] :][ids]) for c in SPLIT[:3])
+        text = drawer("slot", d, lambda i, slot: slot.astype(np.int64) + base_of[i])
+        give_back()
         # Contexts of different words don't meet: a part of the places at a time.
         for part in portions(last if hot is None else before):
-            w, here = word[part], text[part].astype(np.int64)
+            w, here = word[part], text[part]
             whole = None
             if hot is not None:
-                whole = (layout.count[hot], different[hot], retained[hot], looked_up(followers(every[last[part]], every[w]), *lookups[1]))
-            root = root_of[w]
-            learn = learned[here].astype(float)
-            p = probabilities(w.astype(np.int64), last[part], before[part], learn, root, len(every), nothing, layout.settings.threshold, whole)
+                whole = (layout.count[hot], different[hot], retained[hot], looked_up(followers(every[last[part]], every[w]), *pairs))
+            p = probabilities(w, last[part], before[part], learned[here], root_of[w], len(every), nothing, layout.settings.threshold, whole)
             score += np.bincount(here, np.log10(p), minlength=texts)
-            base += np.bincount(here, np.log10(root), minlength=texts)
-            found += np.bincount(here, count[w] > 0, minlength=texts).astype(np.int64)
+            del p, whole
+            base += np.bincount(here, np.log10(root_of[w]), minlength=texts)
+            found += np.bincount(here[count[w] > 0], minlength=texts)
             size += np.bincount(here, minlength=texts)
     out = []
     for i, (a, b) in enumerate(zip(base_of[:-1], base_of[1:], strict=True)):
-        row = {"block": places.column("block")[i].as_py(), "slots": packed(slots[i]), "docs": places.column("docs")[i], "learn": places.column("learn")[i].as_py()}
+        row = {c: places[i][c] for c in ("block", "slots", "docs", "learn")}
         out.append(row | {"score": packed(score[a:b]), "base": packed(base[a:b]), "known": packed(found[a:b].astype(np.uint32)), "size": packed(size[a:b].astype(np.uint32))})
     return out
 
@@ -545,16 +608,20 @@ def scored(docs: DataFrame, key: str = "doc_id", settings: Settings | None = Non
     for wave in range(waves):
         wanted = replies.where(F.col("shard") % waves == wave)
 
-        def run(places: pa.Table, known: pa.Table) -> pa.Table:
-            like = pa.schema([("block", pa.int64()), ("slots", pa.binary()), ("docs", places.schema.field("docs").type if places.num_columns else pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("learn", "score", "base", "known", "size")]])
-            if not places.num_rows:
-                return like.empty_table()
-            out = scored_shard(places.column("shard")[0].as_py(), layout, different, retained, n, v, places, known)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places, known = received(batches)
+            if not places:
+                return
+            out = scored_shard(layout, different, retained, n, v, places, known)
+            docs = pa.concat_arrays([r.pop("docs") for r in out])
+            columns = {"block": pa.array([r["block"] for r in out], pa.int64())} | {c: pa.array([r[c] for r in out], pa.binary()) for c in out[0] if c != "block"} | {"docs": docs}
+            del places, known, out, docs
             give_back()
-            return pa.table({c: pa.array([r[c] for r in out], like.field(c).type) if c != "docs" else places.column("docs") for c in like.names}, like)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in SUMS], list(SUMS))
 
-        places = dealt_places(rows, layout, wave, waves).groupBy("shard")
-        found.append(stage(places.cogroup(wanted.groupBy("shard")).applyInArrow(run, schema)))
+        # Two streams would be read whole, and the next shard before the last one is let go.
+        both = dealt_places(rows, layout, wave, waves).unionByName(wanted.drop("total"), allowMissingColumns=True)
+        found.append(stage(both.groupBy("shard").applyInArrow(run, schema)))
         release(spark)
     parts = found[0]
     for more in found[1:]:

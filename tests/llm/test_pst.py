@@ -188,3 +188,45 @@ def test_questions_hold_no_earlier_block():
     tracemalloc.stop()
     assert rows == [2, 2, 2]
     assert held[-1] - held[-3] < 8 * 30_000  # less than one number for each token of a block
+
+
+def test_a_block_is_counted_in_few_bytes_a_token():
+    """Executors hold several such tasks: what a block takes at its peak beside its texts is bounded by token."""
+
+    class Rows:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    layout = pst.Layout(5, pst.Settings(block_tokens=400_000))
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 9_000)}" for _ in range(999)) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(20)), pa.array([True] * 20)], ["text", "key", "learn"])
+    run = pst.questions(Rows(), layout, lambda b: pst.counted_words(b, layout))
+    list(run(iter([batch])))
+    tracemalloc.start()
+    rows = [r.num_rows for r in run(iter([batch] * 20))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [5]
+    assert peak < 80 * 400_000, peak / 400_000
+
+
+def test_a_shard_holds_nothing_of_its_batches():
+    """Places and answers of a shard come mixed in a stream; a batch is freed before the next but one is read."""
+    big = b"x" * 1_000_000
+    names = ["shard", "block", "keys", "word", "last", "before", "slot", "slots", "docs", "learn", "kind", "counts", "distinct"]
+    lists = pa.list_(pa.binary())
+    kinds = [pa.int32(), pa.int64(), pa.binary(), *[lists] * 4, pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+    place = [1, 7, big, [big], [big], [big], [big], b"s", [4, 5], b"l", None, None, None]
+    answer = [1, None, b"k", *[None] * 7, 0, b"c", 4]
+    held = []
+
+    def batches():
+        for _ in range(6):
+            held.append(pa.total_allocated_bytes())
+            yield pa.RecordBatch.from_arrays([pa.array([a, b], k) for a, b, k in zip(place, answer, kinds, strict=True)], names)
+
+    places, known = pst.received(batches())
+    assert len(places) == len(known) == 6
+    assert places[0]["docs"].to_pylist() == [[4, 5]] and places[5]["word"] == [big] and known[5]["counts"] == b"c"
+    assert held[-1] - held[1] < len(big)
