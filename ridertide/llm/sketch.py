@@ -30,7 +30,12 @@ def limit_of(fraction: float) -> str:
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once however often it is used, in lambdas too."""
+    """use(value), with the value computed once however often it is used, in lambdas too.
+
+    Columns that a lambda needs come in by this value, in a struct if there are several. Spark numbers lambda variables
+    from 0 when it compares expressions; in a new session columns have such numbers too, and one that stands inside a
+    lambda is then taken for a variable and overlooked, so that conditions on it are derived where it does not exist.
+    """
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
@@ -72,8 +77,13 @@ def complete_below(sketch: Column, fraction: float = FRACTION) -> Column:
 def shared(a: Column, b: Column, fraction: float = FRACTION) -> tuple[Column, Column]:
     """Both sketches, cut to the range in which both are complete, as x and y."""
     bound = F.least(complete_below(a, fraction), complete_below(b, fraction))
-    cut = lambda sketch: once(bound, lambda z: F.filter(sketch, lambda h: h < z))
-    return cut(a).alias("x"), cut(b).alias("y")
+    return cut(a, bound).alias("x"), cut(b, bound).alias("y")
+
+
+def cut(hashes: Column, bound: Column) -> Column:
+    """The hashes below the bound."""
+    both = F.struct(hashes.alias("hashes"), bound.alias("bound"))
+    return once(both, lambda p: F.filter(p["hashes"], lambda h: h < p["bound"]))
 
 
 def alike(pair: Column) -> Column:
@@ -99,7 +109,7 @@ def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
 def merged(sketches: Column, fraction: float = FRACTION) -> Column:
     """The sketch of the union of several texts' shingles, from an array of their sketches."""
     bound = F.array_min(F.transform(sketches, lambda s: complete_below(s, fraction)))
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(sketches), lambda h: h < bound)))
+    return F.array_sort(F.array_distinct(cut(F.flatten(sketches), bound)))
 
 
 def cuts_of(keys: DataFrame, parts: int) -> list[int]:
@@ -117,12 +127,15 @@ def part_of(key: Column, cuts: list[int]) -> Column:
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
     below = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
 
-    def further(found: Column, step: Column) -> Column:
-        ahead = found + step
-        inside = ahead <= len(cuts)
-        return F.when(inside & (F.element_at(below, F.least(ahead, F.lit(len(cuts)))) < key), ahead).otherwise(found)
+    def search(key: Column) -> Column:
+        def further(found: Column, step: Column) -> Column:
+            ahead = found + step
+            inside = ahead <= len(cuts)
+            return F.when(inside & (F.element_at(below, F.least(ahead, F.lit(len(cuts)))) < key), ahead).otherwise(found)
+
+        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+    return once(key, search)
 
 
 def links_of(base: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 import hashlib
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,5 +84,54 @@ def test_links_between_parts_order_numbers_only(spark):
     assert windows and not any("text" in x for x in windows)
 
 
+NEW_SESSION = """
+import sys
+from ridertide.llm import sketch
+from ridertide.session import local_session
+
+spark = local_session(2, partitions=4, app="new")
+docs = spark.read.parquet(sys.argv[1])
+plan = sketch.fingerprints(docs, part_bytes=2000)
+plan.write.parquet(sys.argv[2])
+spark.stop()
+"""
+
+
+def test_first_query_of_a_session_has_parts(spark, tmp_path):
+    # There columns have numbers as small as those that Spark gives lambda variables.
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(40)), "en", "web", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/docs")
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p), "PYTHONDONTWRITEBYTECODE": "1"}
+    args = [sys.executable, "-c", NEW_SESSION, f"{tmp_path}/docs", f"{tmp_path}/out"]
+    run = subprocess.run(args, env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    want = sketch.fingerprints(docs).collect()
+    assert len(want) == 200 and sorted(spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(want)
+
+
+def outer_lambdas(expression):
+    if expression.getClass().getSimpleName() == "LambdaFunction":
+        return [expression]
+    below = expression.children()
+    return [x for i in range(below.size()) for x in outer_lambdas(below.apply(i))]
+
+
+def test_lambdas_refer_to_no_column_outside(spark):
+    df = spark.range(1).select("id", F.array(F.lit("a")).alias("a"), F.array(F.lit("b")).alias("b"))
+    columns = [
+        sketch.part_of(F.col("id"), [0, 3, 9]),
+        sketch.retained(F.col("a")),
+        sketch.shingle_hashes(F.col("a")),
+        sketch.resemblance(F.col("a"), F.col("b")),
+        sketch.containment(F.col("a"), F.col("b")),
+        sketch.merged(F.array("a", "b")),
+    ]
+    for column in columns:
+        shown = df.select(column.alias("c"))._jdf.queryExecution().analyzed().expressions()
+        lambdas = [x for i in range(shown.size()) for x in outer_lambdas(shown.apply(i))]
+        assert lambdas and all(x.references().isEmpty() for x in lambdas)
+
+
 def test_empty(empty):
     assert sketch.fingerprints(empty).count() == 0
